@@ -38,5 +38,19 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op5_ngram_jaccard_join)}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies: the mix of all documents."""
+    from orrery.llm.mixing import mixture
+
+    return mixture(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids_hash, n_bytes, round_trip of every whole text."""
+    from orrery.llm.sentencepieces import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op4_mixing, op5_ngram_jaccard_join, op9_sentencepiece)}
 ORACLES: dict[str, str] = {}
