@@ -52,5 +52,30 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op4_mixing, op5_ngram_jaccard_join, op9_sentencepiece)}
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and the spans as text."""
+    from orrery.llm.licenses import scan_licenses
+
+    found = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["first"], s["last"], s["label"])), " "))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_backoff, logprob, mean_logprob under counts of all documents."""
+    from orrery.llm.lm_scoring import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, chunks, as read back from the archives."""
+    from orrery.llm.warc import round_trip
+
+    return round_trip(spark, _table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pii, op2_toxicity, op4_mixing, op5_ngram_jaccard_join, op6_license_scan, op7_lm_scoring, op8_warc, op9_sentencepiece)
+}
 ORACLES: dict[str, str] = {}
