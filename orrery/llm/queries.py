@@ -74,8 +74,25 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, _table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 nearest of every vec_id divisible by 20, among all rows."""
+    from orrery.llm.graph_search import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept at cosine 0.98 within a label."""
+    from orrery.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), cosine=0.98)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_toxicity, op4_mixing, op5_ngram_jaccard_join, op6_license_scan, op7_lm_scoring, op8_warc, op9_sentencepiece)
-}
+    for f in (
+        op1_pii, op2_toxicity, op3_graph_search, op4_mixing, op5_ngram_jaccard_join, op6_license_scan, op7_lm_scoring, op8_warc, op9_sentencepiece,
+        op10_embedding_near_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
