@@ -30,12 +30,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.components import connected_components
-from orrery.llm.shared import as_long, byte_class, mix, save, span_hashes, text_chunks, word_spans
+from orrery.llm.shared import as_long, byte_class, id_bits, maybe_in, mix, save, span_hashes, text_chunks, word_spans
 
 BLOCK = 256
 BITS = 1024
@@ -183,7 +185,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     keys = found.select("node", F.explode("keys").alias("key"))
     first = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
-    star = keys.join(first, "key").where("node <> first").select("node", "first").distinct()
+    first = save(first)
+    bits = rows.sparkSession.sparkContext.broadcast(id_bits(first, F.col("key"), first.count()))
+
+    def shared_keys(batches):  # most keys are of one set only and needn't be shuffled again
+        for batch in batches:
+            lists = batch.column(1)
+            key = lists.flatten().to_numpy(zero_copy_only=False)
+            node = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
+            some = maybe_in(bits.value, key)
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(key[some])], names=["node", "key"])
+
+    shared = found.select("node", "keys").mapInArrow(shared_keys, "node long, key long")
+    star = shared.join(first, "key").where("node <> first").select("node", "first").distinct()
     family = connected_components(star, "node", "first").withColumnsRenamed({"component": "family"})
 
     sizes = family.join(found.select("node", "n", "doc_id"), "node").groupBy("node", "family").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"))
@@ -210,7 +224,9 @@ def _verify(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Da
         .select("node", "rep", "family", own.alias("own"), F.least(own, them).alias("lo"), F.greatest(own, them).alias("hi"))
     )
     tiles = tiled.select("node", F.xxhash64("family", "lo", "hi").alias("tile"), (F.col("own") == F.col("lo")).alias("is_lo"), (F.col("own") == F.col("hi")).alias("is_hi"))
-    wanted = members.select(F.col("rep").alias("doc_id"), F.col("node").alias("wanted"))
+    # only one document of each member's set is needed: a bitmap of them spares a shuffle of all texts
+    mixed = F.col("node").bitwiseXOR(F.coalesce("rep", F.lit(-1)))
+    bits = members.sparkSession.sparkContext.broadcast(id_bits(members, mixed, members.count()))
 
     def sets_again(batches):
         for whole in batches:
@@ -218,12 +234,10 @@ def _verify(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Da
                 batch = whole.slice(at, 2000)
                 sets = [s for _, s in _sets_of(batch, width)]
                 node = as_long(mix(np.array([np.sum(mix(s + _K[4])) + np.uint64(len(s)) for s in sets], dtype=np.uint64)))
-                keep = np.flatnonzero(node == batch.column(1).to_numpy(zero_copy_only=False))
+                keep = np.flatnonzero(maybe_in(bits.value, node ^ pc.fill_null(batch.column(1), -1).to_numpy(zero_copy_only=False)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[keep]), _lists([sets[k] for k in keep])], names=["node", "shingles"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted")
-    sets = joined.mapInArrow(sets_again, "node long, shingles array<long>")
+    sets = docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(sets_again, "node long, shingles array<long>")
 
     def link(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
@@ -253,13 +267,22 @@ def _named(rows: DataFrame, group: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but one document (the smallest doc_id) of each group; repeated rows of one doc_id stay once.
 
-    Documents without words stay. Rows without a doc_id stay unless they belong to a named group.
+    Documents without words stay, repeated or not. Rows without a doc_id stay, as nothing tells them apart.
+    Only documents whose id may be among the dropped or repeated ones are shuffled.
     """
-    from pyspark.sql import Window
-
-    found = jaccard_components(docs, width, percent)
-    kept = found.where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
+    found = save(jaccard_components(docs, width, percent))
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), (F.count("*") > 1).alias("again"))
+    special = save(ids.where("again or component_id <> doc_id").select(F.col("doc_id").alias("_id"), (F.col("component_id") == F.col("doc_id")).alias("_stays")))
+    bits = docs.sparkSession.sparkContext.broadcast(id_bits(special, F.xxhash64("_id"), special.count()))
+
+    @F.pandas_udf("boolean")
+    def maybe(hashed: pd.Series) -> pd.Series:
+        return pd.Series(maybe_in(bits.value, hashed.to_numpy()))
+
+    number = F.col("doc_id").cast("long")
+    flagged = docs.withColumn("_maybe", number.isNotNull() & maybe(F.xxhash64(number)))
+    doubted = flagged.where("_maybe").drop("_maybe")
+    doubted = doubted.join(special, doubted["doc_id"].cast("long") == special["_id"], "left").where("_stays is null or _stays").drop("_id", "_stays")
     window = Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text"))
-    named = docs.join(kept.withColumnsRenamed({"doc_id": "_kept"}), docs["doc_id"].cast("long") == F.col("_kept"), "left_semi")
-    named = named.withColumn("_nth", F.row_number().over(window)).where("_nth = 1").drop("_nth")
-    return named.unionByName(docs.where("doc_id is null"))
+    once = doubted.withColumn("_nth", F.row_number().over(window)).where("_nth = 1 or not coalesce(text rlike '[^\\\\x20\\\\x09-\\\\x0D]', false)").drop("_nth")
+    return flagged.where("not _maybe").drop("_maybe").unionByName(once)

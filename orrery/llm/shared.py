@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK = 2 << 20
 ONE = np.uint64(1)
@@ -53,6 +54,31 @@ def remove(*frames: DataFrame) -> None:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+# ---------------------------------------------------------------- bounded membership filters
+def id_bits(frame: DataFrame, hashed, n: int, most: int = 28) -> np.ndarray:
+    """A Bloom bitmap of a column of 64-bit hashes, at least 16 bits a row up to 2**most bits (32 MB).
+
+    Bits are combined before and in a shuffle; the driver gets the bitmap, whose size is bounded.
+    """
+    power = min(most, max(16, (16 * max(n, 1) - 1).bit_length()))
+    at = F.explode(F.array(*(F.shiftrightunsigned(hashed, s).bitwiseAND((1 << power) - 1) for s in (0, 30))))
+    words = frame.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at % 64 as int))")).alias("_bits"))
+    got = words.toArrow()
+    bits = np.zeros(1 << (power - 6), dtype=np.int64)
+    bits[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return bits.view(np.uint64)
+
+
+def maybe_in(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Whether hashes may be among those of `id_bits`; never False for one that is."""
+    out = np.ones(len(hashed), dtype=bool)
+    h = hashed.view(np.uint64)
+    for s in (0, 30):
+        at = (h >> np.uint64(s)) & np.uint64(64 * len(bits) - 1)
+        out &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & ONE == ONE
+    return out
+
+
 # ---------------------------------------------------------------- word hashing
 def _odd_inverse(p: int) -> int:
     return pow(p, -1, 1 << 64)
