@@ -112,7 +112,7 @@ def dot(a: Column | str, b: Column | str) -> Column:
 def clamp_score(score: Column | str) -> Column:
     """Within the scale, one decimal, halves to even."""
     score = _c(score)
-    return F.when(score.isNotNull(), F.bround(F.least(F.lit(SCORE_MAX), F.greatest(F.lit(SCORE_MIN), score)), 1))
+    return F.when(score.isNotNull(), F.rint(F.least(F.lit(SCORE_MAX), F.greatest(F.lit(SCORE_MIN), score)) * 10) / 10)
 
 
 def tag_country(tag: Column | str) -> Column:
@@ -178,7 +178,7 @@ def clamp_verdict(score: Column | str) -> Column:
 
 def clamp_confidence(confidence: Column | str) -> Column:
     """Two decimals within 0 and 1; 0 when it isn't a number."""
-    return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(_c(confidence).cast("string").try_cast("double"), F.lit(0.0)))), 2)
+    return F.rint(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(_c(confidence).cast("string").try_cast("double"), F.lit(0.0)))) * 100) / 100
 
 
 def split_key(key: Column | str, part: int, separator: str = "/") -> Column:

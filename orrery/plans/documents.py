@@ -52,7 +52,7 @@ def fan_out(t: Tables) -> DataFrame:
     return spread(rows, "seasons", ["fr", "en"]).select("c_custkey", "season", "lang")
 
 
-@query("s8_changed_ids", "SELECT DISTINCT user_id AS id, true AS truncated FROM events WHERE event_id // 500 < 12")
+@query("s8_changed_ids", "SELECT DISTINCT user_id AS id, (SELECT max(event_id) FROM events) // 500 >= 12 AS truncated FROM events WHERE event_id // 500 < 12")
 def changed_ids(t: Tables) -> DataFrame:
     """A paged feed that stops at its first bad page (page 12 here)."""
     from orrery.sources.readers import changed_ids as read
