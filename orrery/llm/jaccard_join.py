@@ -5,10 +5,13 @@ words is one shingle; no words: the empty set, linked with nothing). Two documen
 when |A & B| / |A | B| >= percent / 100. The result is exact.
 
 1. Part keys (candidates, none lost). Linked sets differ in at most D elements, D bounded
-   by their sizes. Every set is cut by hash range into D + 1 + SLACK parts, a number fixed
-   per size band, so linked sets agree on whole parts. Each part becomes one key; a set
-   near the end of its band also gets the next band's keys. Keys of several shingles
-   rarely agree by chance, so candidates follow real copies and grow with the input.
+   by their sizes. Shingles of many documents, known from a table of hashed counts over all
+   documents, are set aside. What is left of a set is cut by hash range into D + 1 + slack
+   parts, a number fixed per size band, so linked sets agree on more parts than the slack.
+   Each non-empty part becomes one key. A set with more empty parts than the slack also gives
+   the keys of its whole self: if two linked sets agree on empty parts only, both do. A set
+   whose partner may lie in the next band gives that band's keys, too. So common passages
+   make no keys of their own, and candidates follow real copies and grow with the input.
 2. Families: every key's sets are joined to the key's smallest set (combined before the
    shuffle, the join splits when skewed); connected components of these pairs are families.
 3. Tiles: a family is cut into size bands and blocks; a tile holds two blocks whose sizes
@@ -41,7 +44,8 @@ from orrery.llm.shared import as_long, byte_class, id_bits, maybe_in, mix, save,
 
 BLOCK = 256
 BITS = 1024
-SLACK = 2
+SLACK, SLACK_SHARE = 2, 0.15
+COUNTS, SLOTS = 1 << 20, 256  # hashed counts of shingles, and pieces that their table is added up in
 SPACE = byte_class("space")
 _K = np.array([0x9AE16A3B2F90404F, 0xC949C7DEFE7A4D8B, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
@@ -68,36 +72,44 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
 
 
 def band_of(n: int, percent: int) -> int:
-    """Bands are three threshold ratios wide."""
-    return int(math.floor(math.log(n) / (3 * math.log(100 / percent)) + 1e-9))
+    """Size bands are one threshold ratio wide."""
+    return int(math.floor(math.log(n) / math.log(100 / percent) + 1e-9))
 
 
 def band_top(band: int, percent: int) -> int:
-    return int(math.ceil((100 / percent) ** (3 * (band + 1)) + 1e-6))
+    return int(math.ceil((100 / percent) ** (band + 1) + 1e-6))
 
 
-def part_keys(found: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of a sorted distinct shingle set; sets that link share at least one key or are equal."""
+def _parts(found: np.ndarray, parts: int, tag: int) -> np.ndarray:
+    """Keys of the non-empty parts of a sorted set."""
+    if not len(found):
+        return found
+    at = ((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return mix(np.add.reduceat(mix(found + np.array([tag], np.uint64)), cut) + at[cut] * _K[0] + np.array([tag], np.uint64) * _K[1])
+
+
+def part_keys(found: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """The keys of a sorted distinct shingle set; sets that link share at least one key or are equal.
+
+    common: flags of count table cells whose shingles are set aside.
+    """
     n = len(found)
-    own = band_of(n, percent)
-    reach = n * 100 // percent
-    keys = []
-    for band in range(own, band_of(max(n, reach), percent) + 1):
-        top = band_top(band, percent)
-        # |A ^ B| <= (1 - t) / (1 + t) * (|A| + |B|), both at most `top`, the smaller at least percent of the larger
-        differ = (100 - percent) * 2 * top // (100 + percent)
+    rare = found[~common[(found >> np.uint64(44)).astype(np.int64)]]
+    keys = [np.zeros(0, np.uint64)]
+    for band in range(band_of(n, percent), band_of(max(n, n * 100 // percent), percent) + 1):
+        # |A ^ B| <= (1 - t) / (1 + t) * (|A| + |B|), both at most the band's top
+        differ = (100 - percent) * 2 * band_top(band, percent) // (100 + percent)
         if differ == 0:
             continue
-        parts = differ + 1 + SLACK
-        at = ((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        sums = np.add.reduceat(mix(found + np.uint64(band + 1)), cut)
-        name = at[cut]
-        if parts - len(cut) > SLACK:  # so many parts are empty that only empty ones might agree
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), name)
-            name, sums = np.concatenate((name, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
-        keys.append(mix(sums + name * _K[0] + np.array([band + 1], np.uint64) * _K[1]))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        slack = max(SLACK, math.ceil(SLACK_SHARE * (differ + 1)))
+        keys.append(_parts(rare, differ + 1 + slack, 2 * band + 2))
+        if differ + 1 + slack - len(keys[-1]) > slack:  # agreed parts may all be empty: the whole set must speak
+            whole = _parts(found, differ + 1 + SLACK, 2 * band + 3)
+            if differ + 1 + SLACK - len(whole) > SLACK:  # the same again: one key for all such sets of a band
+                whole = np.append(whole, mix(np.array([2 * band + 3], np.uint64) * _K[2]))
+            keys.append(whole)
+    return np.concatenate(keys)
 
 
 def _sets_of(batch: pa.RecordBatch, width: int):
@@ -118,22 +130,56 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(values)))
 
 
-def shingle_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, keys): set size, the set's 64-bit identity (null when empty) and its part keys."""
+def _slices(batches, rows: int = 2000):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _node(shingled: np.ndarray) -> np.uint64:
+    return np.sum(mix(shingled + _K[4])) + np.uint64(len(shingled))
+
+
+def _input(docs: DataFrame) -> DataFrame:
+    return docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
+
+
+def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, node) of every row: set size and the set's 64-bit identity (null when empty); and flags of common shingles.
+
+    The count table has a fixed size; tasks add up their own, then pieces of it are added up in a shuffle.
+    """
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                sets = [s for _, s in _sets_of(batch, width)]
-                node = np.array([np.sum(mix(s + _K[4])) + np.uint64(len(s)) if len(s) else 0 for s in sets], dtype=np.uint64)
-                n = np.array([len(s) for s in sets], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1), pa.array(n), pa.array(as_long(mix(node)), mask=n == 0), _lists([part_keys(s, percent) if len(s) else s for s in sets])],
-                    names=["doc_id", "n", "node", "keys"],
-                )
+        counts = np.zeros(COUNTS, dtype=np.int64)
+        for batch in _slices(batches):
+            sets = [s for _, s in _sets_of(batch, width)]
+            if sets:
+                counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTS)
+            node = mix(np.array([_node(s) if len(s) else 0 for s in sets], dtype=np.uint64))
+            n = np.array([len(s) for s in sets], dtype=np.int64)
+            none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n), pa.array(as_long(node), mask=n == 0), *none], names=["doc_id", "n", "node", "slot", "counts"])
+        if counts.any():
+            pieces = [p.astype(np.uint32).tobytes() for p in counts.reshape(SLOTS, -1)]
+            none = [pa.nulls(SLOTS, pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(SLOTS, dtype=np.int32)), pa.array(pieces, pa.binary())], names=["doc_id", "n", "node", "slot", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, piece in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[slot] = sums.get(slot, 0) + np.frombuffer(piece.as_buffer(), np.uint32).astype(np.int64)
+        for slot, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "counts"])
 
-    return docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, n long, node long, keys array<long>")
+    made = save(_input(docs).mapInArrow(run, "doc_id long, n long, node long, slot int, counts binary"))
+    pieces = made.where("slot is not null").select("slot", "counts").repartition("slot").mapInArrow(add, "slot int, counts binary")
+    counts = np.zeros((SLOTS, COUNTS // SLOTS), dtype=np.int64)
+    for r in pieces.toLocalIterator():  # the table: 8 MB
+        counts[r["slot"]] = np.frombuffer(r["counts"], np.int64)
+    usual = float(counts.mean())
+    return made.where("slot is null").select("doc_id", "n", "node"), (counts > usual + 6 * math.sqrt(usual) + 8).ravel()
 
 
 def _bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,24 +226,31 @@ def linked_in_tile(node: np.ndarray, sets: list[np.ndarray], left: np.ndarray, r
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
-    rows = save(shingle_sets(docs, width, percent))
+    rows, common = shingle_sets(docs, width)
     found = rows.where("node is not null")
+    flags = rows.sparkSession.sparkContext.broadcast(common)
+
+    def keyed(bits):
+        """(node, key) of all sets, or of those keys only that may be in a bitmap."""
+
+        def run(batches):
+            for batch in _slices(batches):
+                sets = [s for _, s in _sets_of(batch, width) if len(s)]
+                keys = [part_keys(s, percent, flags.value) for s in sets]
+                node = np.repeat(mix(np.array([_node(s) for s in sets], dtype=np.uint64)), [len(k) for k in keys])
+                key = np.concatenate([*keys, np.zeros(0, np.uint64)])
+                if bits is not None:
+                    some = maybe_in(bits.value, as_long(key))
+                    node, key = node[some], key[some]
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(node)), pa.array(as_long(key))], names=["node", "key"])
 
-    keys = found.select("node", F.explode("keys").alias("key"))
-    first = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
+        return _input(docs).mapInArrow(run, "node long, key long")
+
+    first = keyed(None).groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
     first = save(first)
+    # most keys are of one set only and needn't be shuffled again
     bits = rows.sparkSession.sparkContext.broadcast(id_bits(first, F.col("key"), first.count()))
-
-    def shared_keys(batches):  # most keys are of one set only and needn't be shuffled again
-        for batch in batches:
-            lists = batch.column(1)
-            key = lists.flatten().to_numpy(zero_copy_only=False)
-            node = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
-            some = maybe_in(bits.value, key)
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(key[some])], names=["node", "key"])
-
-    shared = found.select("node", "keys").mapInArrow(shared_keys, "node long, key long")
-    star = shared.join(first, "key").where("node <> first").select("node", "first").distinct()
+    star = keyed(bits).join(first, "key").where("node <> first").select("node", "first").distinct()
     family = connected_components(star, "node", "first").withColumnsRenamed({"component": "family"})
 
     sizes = family.join(found.select("node", "n", "doc_id"), "node").groupBy("node", "family").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"))
@@ -229,15 +282,13 @@ def _verify(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Da
     bits = members.sparkSession.sparkContext.broadcast(id_bits(members, mixed, members.count()))
 
     def sets_again(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                sets = [s for _, s in _sets_of(batch, width)]
-                node = as_long(mix(np.array([np.sum(mix(s + _K[4])) + np.uint64(len(s)) for s in sets], dtype=np.uint64)))
-                keep = np.flatnonzero(maybe_in(bits.value, node ^ pc.fill_null(batch.column(1), -1).to_numpy(zero_copy_only=False)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), _lists([sets[k] for k in keep])], names=["node", "shingles"])
-
-    sets = docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(sets_again, "node long, shingles array<long>")
+        for batch in _slices(batches):
+            sets = [s for _, s in _sets_of(batch, width)]
+            node = as_long(mix(np.array([_node(s) for s in sets], dtype=np.uint64)))
+            keep = np.flatnonzero(maybe_in(bits.value, node ^ pc.fill_null(batch.column(1), -1).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), _lists([sets[k] for k in keep])], names=["node", "shingles"])
+
+    sets = _input(docs).mapInArrow(sets_again, "node long, shingles array<long>")
 
     def link(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
