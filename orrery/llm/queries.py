@@ -95,4 +95,30 @@ QUERIES = {
         op10_embedding_near_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+ORACLES: dict[str, str] = {
+    "op5_ngram_jaccard_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, '{_AZ}', '{_AZ.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+r(d, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.d, l.b FROM r JOIN l ON l.a = r.c)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, g.c AS component_id
+FROM documents d JOIN (SELECT d, min(c) AS c FROM r GROUP BY 1) g ON g.d = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p WHERE size >= 100 GROUP BY 1)
+SELECT page_id, size::BIGINT AS payload_bytes, sha256(p.html) AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to, CASE WHEN first < page_id THEN 1 ELSE greatest(1, (size + 1048575) // 1048576) END::BIGINT AS chunks
+FROM p LEFT JOIN f ON f.html = p.html""",
+    "op10_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, a.e) > 0 AND list_dot_product(b.e, b.e) > 0 AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY 1),
+r(d, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.d, p.b FROM r JOIN p ON p.a = r.c)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, g.c AS component_id, e.vec_id = g.c AS kept
+FROM embeddings e JOIN (SELECT d, min(c) AS c FROM r GROUP BY 1) g ON g.d = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+}
