@@ -12,7 +12,8 @@ together; what it meets is scored in double precision on the original vectors, a
 all shards are merged. A shard of few nodes is scanned.
 
 Nulls and edges: vectors that are null, zero or hold null or non-finite components, and rows
-without an id, take no part; ties go to the smaller id; equal vectors each count as candidates;
+without an id, take no part; ties go to the smaller id; equal vectors of different ids each count as
+candidates, repeated rows once;
 only vectors of a query's length are candidates; an empty table returns no rows; other columns
 are ignored whatever their names.
 """

@@ -130,8 +130,13 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs with every document repeated as often as the schedule takes (at least half of) it.
 
-    Documents are told apart by doc_id, which must be unique here; use `mixture` for the words of any rows.
+    Rows of one doc_id are told apart by their size and text.
     """
-    copies = mixture(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_doc"), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("_copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_doc"])).drop("_doc")
+    nth = Window.partitionBy("_doc")
+    taken = mixture(docs, **options).select(F.col("doc_id").alias("_doc"), "size", "copies")
+    taken = taken.withColumn("_nth", F.row_number().over(nth.orderBy("size", F.desc("copies")))).where("copies > 0")
+    copies = taken.select("_doc", "_nth", F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("_copies"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0))
+    rows = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(size, F.xxhash64("text"))))
+    joined = rows.join(copies, rows["doc_id"].eqNullSafe(copies["_doc"]) & (rows["_nth"] == copies["_nth"])).drop("_doc", "_nth")
     return joined.withColumn("_copy", F.explode("_copies")).drop("_copies", "_copy")

@@ -227,6 +227,12 @@ def test_schedule_is_evenly_mixed(spark):
         assert (slots.head(n).src.value_counts(normalize=True) - whole).abs().max() < 12 / n
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and 1.2 < mixed.count() / docs.count() < 1.8
+    twice = spark.createDataFrame([(None, "s", "a b c"), (None, "s", "d e"), (1, "s", "f"), (1, "s", "f"), (1, "s", None)], "doc_id long, source string, text string")
+    got = collections.Counter(r.text for r in mixing.mix(twice).collect())
+    want = collections.Counter()
+    for r in mixing.mixture(twice).collect():
+        want[r.size] += r.copies
+    assert {len((t or "").split()): n for t, n in got.items()} == {k: n for k, n in want.items() if n}
 
 
 # ---------------------------------------------------------------- SentencePiece
