@@ -17,7 +17,10 @@ when |A & B| / |A | B| >= percent / 100. The result is exact.
 3. Tiles: a family is cut into size bands and blocks; a tile holds two blocks whose sizes
    can reach the threshold, about BLOCK sets each. In a tile, bit counts of hashed bitmaps
    bound each overlap from above, the survivors are intersected as sorted arrays, and pairs
-   already connected are skipped. A tile returns spanning links only, never all pairs.
+   already connected are skipped. A tile returns spanning links only, never all pairs. In
+   a family of many tiles, every set is first compared with one other; groups of a block
+   and more that this connects are then compared with the rest of the family only, so a
+   large group of near copies costs in proportion to its size.
 4. Components of the links; a component is named after its smallest doc_id.
 
 Equal sets are one node (the 64-bit sum of mixed shingle hashes), so exact copies are never
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from orrery.llm.components import connected_components
 from orrery.llm.shared import as_long, byte_class, id_bits, maybe_in, mix, save, span_hashes, text_chunks, word_spans
 
-BLOCK = 256
+BLOCK, CROWD = 256, 4
 BITS = 1024
 SLACK, SLACK_SHARE = 2, 0.15
 COUNTS, SLOTS = 1 << 20, 256  # hashed counts of shingles, and pieces that their table is added up in
@@ -213,12 +216,7 @@ def linked_in_tile(node: np.ndarray, sets: list[np.ndarray], left: np.ndarray, r
         bound = np.bitwise_count(maps[other] & maps[i]).sum(1).astype(np.int64) + np.minimum(lost[other], lost[i])
         for j in other[bound * (100 + percent) >= percent * (size[other] + size[i])]:
             a, b = top(i), top(j)
-            if a == b:
-                continue
-            small, large = (i, j) if size[i] <= size[j] else (j, i)
-            at = np.minimum(np.searchsorted(sets[large], sets[small]), size[large] - 1)
-            common = int((sets[large][at] == sets[small]).sum())
-            if 100 * common >= percent * (size[i] + size[j] - common):
+            if a != b and similar(sets[i], sets[j], percent):
                 root[max(a, b)] = min(a, b)
                 links.append((int(node[i]), int(node[j])))
     return links
@@ -250,34 +248,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     first = save(first)
     # most keys are of one set only and needn't be shuffled again
     bits = rows.sparkSession.sparkContext.broadcast(id_bits(first, F.col("key"), first.count()))
-    star = keyed(bits).join(first, "key").where("node <> first").select("node", "first").distinct()
+    star = save(keyed(bits).join(first, "key").where("node <> first").select("node", "first").distinct())
     family = connected_components(star, "node", "first").withColumnsRenamed({"component": "family"})
 
     sizes = family.join(found.select("node", "n", "doc_id"), "node").groupBy("node", "family").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"))
     edge = math.log(100 / percent)
     members = save(sizes.withColumn("band", F.floor(F.log("n") / F.lit(edge) + F.lit(1e-9))))
-    links = _verify(docs, members, width, percent)
+    links = _verify(docs, members, star, width, percent)
     group = connected_components(links).withColumnsRenamed({"component": "group"})
     return _named(rows, group)
 
 
-def _verify(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) inside the families, from tiles of two blocks whose size bands touch."""
-    blocks = members.groupBy("family", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    near = blocks.select("family", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.struct(F.col("band").alias("of"), "blocks").alias("near"))
-    near = near.groupBy("family", "band").agg(F.collect_list("near").alias("near"))  # three entries at most
-    own = F.concat_ws(":", F.format_string("%05d", "band"), F.format_string("%07d", "block"))
-    them = F.concat_ws(":", F.format_string("%05d", F.col("x.of")), F.format_string("%07d", F.col("x.i")))
-    spread = F.flatten(F.transform("near", lambda z: F.transform(F.sequence(F.lit(0).cast("long"), z["blocks"] - 1), lambda i: F.struct(z["of"].alias("of"), i.alias("i")))))
-    count = F.element_at(F.filter("near", lambda z: z["of"] == F.col("band")), 1)["blocks"]
-    tiled = (
-        members.join(near, ["family", "band"])
-        .withColumn("block", F.pmod(F.xxhash64("node"), count))
-        .withColumn("x", F.explode(spread))
-        .select("node", "rep", "family", own.alias("own"), F.least(own, them).alias("lo"), F.greatest(own, them).alias("hi"))
-    )
-    tiles = tiled.select("node", F.xxhash64("family", "lo", "hi").alias("tile"), (F.col("own") == F.col("lo")).alias("is_lo"), (F.col("own") == F.col("hi")).alias("is_hi"))
-    # only one document of each member's set is needed: a bitmap of them spares a shuffle of all texts
+def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of members (node, rep), and of few others.
+
+    One document of each set is enough: a bitmap of them spares a shuffle of all texts.
+    """
     mixed = F.col("node").bitwiseXOR(F.coalesce("rep", F.lit(-1)))
     bits = members.sparkSession.sparkContext.broadcast(id_bits(members, mixed, members.count()))
 
@@ -288,23 +274,83 @@ def _verify(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Da
             keep = np.flatnonzero(maybe_in(bits.value, node ^ pc.fill_null(batch.column(1), -1).to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([pa.array(node[keep]), _lists([sets[k] for k in keep])], names=["node", "shingles"])
 
-    sets = _input(docs).mapInArrow(sets_again, "node long, shingles array<long>")
+    return _input(docs).mapInArrow(sets_again, "node long, shingles array<long>")
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted arrays link, by exact intersection."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _star_links(docs: DataFrame, members: DataFrame, star: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of members to the smallest set they share a key with: one comparison a member."""
+    pairs = star.join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.min("first").alias("first"))
+    sets = _member_sets(docs, members, width)
+    mine = pairs.join(sets, "node").withColumnsRenamed({"shingles": "x"})
+    both = mine.join(sets.select(F.col("node").alias("first"), F.col("shingles").alias("y")), "first").select("node", "first", "x", "y")
+
+    def check(batches):
+        for batch in _slices(batches, 256):
+            pairs = zip(_views(batch.column(2)), _views(batch.column(3)), strict=True)
+            ok = np.array([similar(x.view(np.uint64), y.view(np.uint64), percent) for x, y in pairs], dtype=bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+
+    return both.mapInArrow(check, "a long, b long").distinct()
+
+
+def _verify(docs: DataFrame, members: DataFrame, star: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that span the groups of every family.
+
+    Members of families of more than CROWD tiles' size are first compared with one set each. What is connected then in
+    groups of a block and more isn't compared within itself again, only with the rest of its family. All else is
+    compared in tiles of two blocks whose size bands touch.
+    """
+    crowded = members.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > CROWD * BLOCK).select("family")
+    crowd = save(members.join(crowded, "family", "left_semi"))
+    early = None
+    members = members.withColumn("crowd", F.lit(0).cast("long"))
+    if not crowd.isEmpty():
+        early = save(_star_links(docs, crowd, star, width, percent))
+        groups = connected_components(early)
+        large = groups.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("component")
+        of = groups.join(large, "component", "left_semi")
+        members = save(members.drop("crowd").join(of, "node", "left").withColumn("crowd", F.coalesce("component", F.lit(0))).drop("component"))
+
+    blocks = members.groupBy("family", "band", "crowd").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    entry = F.struct(F.col("band").alias("of"), "crowd", "blocks").alias("near")
+    near = blocks.select("family", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), entry)
+    near = near.groupBy("family", "band").agg(F.collect_list("near").alias("near"))  # an entry per crowd and touching band
+    own = F.concat_ws(":", "band", "crowd", "block")
+    them = F.concat_ws(":", "x.of", "x.crowd", "x.i")
+    met = F.filter("near", lambda z: (z["crowd"] == 0) | (z["crowd"] != F.col("crowd")))
+    spread = F.flatten(F.transform(met, lambda z: F.transform(F.sequence(F.lit(0).cast("long"), z["blocks"] - 1), lambda i: F.struct(z["of"].alias("of"), z["crowd"].alias("crowd"), i.alias("i")))))
+    count = F.element_at(F.filter("near", lambda z: (z["of"] == F.col("band")) & (z["crowd"] == F.col("crowd"))), 1)["blocks"]
+    tiled = (
+        members.join(near, ["family", "band"])
+        .withColumn("block", F.pmod(F.xxhash64("node"), count))
+        .withColumn("x", F.explode(spread))
+        .select("node", "family", own.alias("own"), F.least(own, them).alias("lo"), F.greatest(own, them).alias("hi"))
+    )
+    tiles = tiled.select("node", F.xxhash64("family", "lo", "hi").alias("tile"), (F.col("own") == F.col("lo")).alias("is_lo"), (F.col("own") == F.col("hi")).alias("is_hi"))
 
     def link(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
         _, once = np.unique(node, return_index=True)
         table = table.take(pa.array(once))
-        shingled = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in _views(table.column("shingles"))]
+        shingled = [x.view(np.uint64) for chunk in table.column("shingles").chunks for x in _views(chunk)]
         got = linked_in_tile(node[once], shingled, table.column("is_lo").to_numpy(), table.column("is_hi").to_numpy(), percent)
         return pa.table({"a": pa.array([g[0] for g in got], pa.int64()), "b": pa.array([g[1] for g in got], pa.int64())})
 
-    return sets.join(tiles, "node").groupBy("tile").applyInArrow(link, "a long, b long")
+    links = _member_sets(docs, members, width).join(tiles, "node").groupBy("tile").applyInArrow(link, "a long, b long")
+    return links if early is None else links.unionByName(early)
 
 
-def _views(column: pa.ChunkedArray):
-    for chunk in column.chunks:
-        values, offsets = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
-        yield from (values[offsets[r] : offsets[r + 1]] for r in range(len(chunk)))
+def _views(column: pa.ListArray):
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    yield from (values[offsets[r] : offsets[r + 1]] for r in range(len(column)))
 
 
 def _named(rows: DataFrame, group: DataFrame) -> DataFrame:

@@ -36,6 +36,24 @@ WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _K = np.array([0x9AE16A3B2F90404F, 0xC949C7DEFE7A4D8B, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte: the high bytes are mostly zero and compress in the shuffle."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+
+
+def pack(ascending: np.ndarray) -> bytes:
+    """Sorted hashes as differences."""
+    return planes(np.diff(ascending, prepend=np.uint64(0)))
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(packed), dtype=np.uint64)
+
+
 def ngram_hashes(words: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
     """Per length 1..order the hash of the n-gram ending at each word; 0 where the document has none. first: each word's place in its document."""
     out = [mix(words + _K[0])]
@@ -85,7 +103,7 @@ def lm_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, cells: int
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block, np.int32)),
-                    pa.array([keys[at[c] : at[c + 1]].tobytes() for c in some], pa.binary()), pa.array([counts[at[c] : at[c + 1]].astype(np.uint32).tobytes() for c in some], pa.binary()),
+                    pa.array([pack(keys[at[c] : at[c + 1]]) for c in some], pa.binary()), pa.array([planes(counts[at[c] : at[c + 1]]) for c in some], pa.binary()),
                 ],
                 names=["cell", "block", "grams", "counts"],
             )
@@ -107,24 +125,24 @@ def lm_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, cells: int
     exploded = dealt.mapInArrow(count, "cell int, block int, grams binary, counts binary")
 
     def total(table: pa.Table) -> pa.Table:
-        grams = [np.frombuffer(g.as_py(), np.uint64) for g in table.column("grams")]
-        counts = [np.frombuffer(c.as_py(), np.uint32).astype(np.int64) for c in table.column("counts")]
+        grams = [unpack(g.as_py()) for g in table.column("grams")]
+        counts = [from_planes(c.as_py()).view(np.int64) for c in table.column("counts")]
         keys, sums = _merged(list(zip(grams, counts, strict=True)))
         keys, sums = keys[sums > 1], sums[sums > 1]
         out_grams, out_sums = [], []
         for g in grams:
             at = np.searchsorted(keys, g)
             have = keys[np.minimum(at, len(keys) - 1)] == g if len(keys) else np.zeros(len(g), bool)
-            out_grams.append(g[have].tobytes())
-            out_sums.append(sums[at[have]].tobytes())
+            out_grams.append(pack(g[have]))
+            out_sums.append(planes(sums[at[have]]))
         return pa.table({"block": table.column("block"), "grams": pa.array(out_grams, pa.binary()), "sums": pa.array(out_sums, pa.binary())})
 
     totals = exploded.groupBy("cell").applyInArrow(total, "block int, grams binary, sums binary")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams = [np.frombuffer(g.as_py(), np.uint64) for g in right.column("grams")]
+        grams = [unpack(g.as_py()) for g in right.column("grams")]
         keys = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        sums = np.concatenate([np.frombuffer(s.as_py(), np.int64) for s in right.column("sums")]) if grams else np.zeros(0, np.int64)
+        sums = np.concatenate([from_planes(s.as_py()).view(np.int64) for s in right.column("sums")]) if grams else np.zeros(0, np.int64)
         by = np.argsort(keys)
         keys, sums = keys[by], sums[by]
 

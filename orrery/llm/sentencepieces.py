@@ -22,6 +22,7 @@ through, ids must be a free name.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,7 @@ class Vocabulary:
     dummy_prefix: bool
 
     @classmethod
+    @lru_cache(maxsize=4)
     def load(cls, path: str | None = None) -> Vocabulary:
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -94,7 +96,10 @@ class Vocabulary:
             self.bytes_[int(self.pieces[k][3:5], 16)] = k
         self.unknown = int(np.flatnonzero(self.kinds == 2)[0])
         points = [np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in self.ids]
-        keys = np.array([int(Spans(p).of(np.array([0]), np.array([len(p)]))[0]) for p in points], dtype=np.uint64)
+        sizes = np.array([len(p) for p in points])
+        keys = np.empty(len(points), dtype=np.uint64)
+        for n in np.unique(sizes):
+            keys[sizes == n] = Spans(np.stack([p for p in points if len(p) == n])).of(np.array([0]), np.array([n]))[:, 0]
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(list(self.ids.values()), dtype=np.int32)[order]
         self.longest = max(map(len, points))
@@ -124,7 +129,7 @@ class Vocabulary:
     def fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether the merges leave `before` and `piece` side by side; before -1: nothing that could merge."""
         keys, back = np.unique(before.astype(np.int64) * len(self.pieces) + piece, return_inverse=True)
-        if len(self.pairs) > 4_000_000:
+        if len(self.pairs) > 500_000:
             self.pairs.clear()
         out = np.empty(len(keys), dtype=bool)
         for n, key in enumerate(keys.tolist()):
@@ -255,7 +260,7 @@ class Encoder:
             made[k] = self.v.spell(ids) if len(ids) and ids.min() >= 0 else self.v.spell(self.v_unknown(text))
         for size in np.unique(length[~spaces | self.v.unigram]):
             group = np.flatnonzero((length == size) & (~spaces | self.v.unigram))
-            for part in np.array_split(group, max(1, int(len(group) * size * min(size, self.v.longest) // 4_000_000))):
+            for part in np.array_split(group, max(1, int(len(group) * size * min(size, self.v.longest) // 2_000_000))):
                 for k, got in zip(part, self.v.viterbi(points[starts[part][:, None] + np.arange(size)]), strict=True):
                     made[k] = self.v.spell(got)
         sizes = np.array([len(m) for m in made], dtype=np.int64)
@@ -289,7 +294,7 @@ class Encoder:
         return [raw[a + (skip if raw[a : a + 1] == b" " else 0) : b].decode("utf-8", "replace") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def _batches(batches, size: int = 4_000_000):
+def _batches(batches, size: int = 2_000_000):
     """Slices of batches of about `size` bytes."""
     for batch in batches:
         if batch.num_rows:

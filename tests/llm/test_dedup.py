@@ -47,8 +47,10 @@ def brute_jaccard(rows, width, percent):
     return {i: (len(sets[i]), c) for i, c in components_of(edges, sets).items()}
 
 
-@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
-def test_jaccard_join_is_exact(spark, width, percent):
+@pytest.mark.parametrize("width, percent, block", [(3, 90, 256), (5, 80, 256), (5, 80, 4)])
+def test_jaccard_join_is_exact(spark, width, percent, block, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)  # small blocks: several tiles a family, and crowds
+    monkeypatch.setattr(jaccard_join, "CROWD", 2)
     rng = random.Random(percent)
     words = [f"w{i}" for i in range(400)]
     rows, base = [], [[rng.choice(words) for _ in range(rng.randrange(1, 200))] for _ in range(25)]
