@@ -13,7 +13,8 @@ elsewhere, else ALPHA times the shorter context's S, down to max(c(w) - 1, 1/2)
    document. The dealt documents are shuffled once and read twice.
 
 Rows hold packed arrays instead of one n-gram each: the same join, with some hundred times
-fewer rows to shuffle. `cells` and `block_rows` bound what a task holds.
+fewer rows to shuffle. `block_rows` bounds a block, and there are as many cells as keep one
+at about `cell_grams` n-grams, `cells` at least, so what a task holds doesn't grow with the corpus.
 
 Words are runs of letters, digits and non-ASCII characters, in ASCII lower case; n-grams are
 compared by 64-bit hashes. Nulls and edges: a null or empty text has no words and score 0
@@ -85,14 +86,16 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[cut], np.add.reduceat(counts, cut) if len(cut) else counts
 
 
-def lm_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, cells: int = 1024, block_rows: int = 8192) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, cells: int = 1024, block_rows: int = 8192, cell_grams: int = 1 << 22) -> DataFrame:
     """doc_id, n_words, n_backoff (words whose longest context did not help), logprob and mean_logprob of every row of docs (doc_id, text)."""
     size = docs.select(F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).alias("n")).agg(F.count("*").alias("rows"), F.sum("n").alias("words")).first()
     blocks, n_words = max(8, -(-size["rows"] // block_rows)), max(size["words"] or 0, 1)
     dealt = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
-    shift = np.uint64(64 - (cells.bit_length() - 1))
     if cells & (cells - 1):
         raise ValueError("cells must be a power of two")
+    while cells * cell_grams < order * n_words:
+        cells *= 2
+    shift = np.uint64(64 - (cells.bit_length() - 1))
 
     def count(batches):
         def packed(block: int, parts):

@@ -143,7 +143,7 @@ def test_lm_scores(spark, order):
     rows = {r.doc_id: words_of(r.text) for r in docs.collect()}
     counts = collections.Counter(tuple(w[k : k + n]) for w in rows.values() for n in range(1, order + 1) for k in range(len(w) - n + 1))
     total = sum(map(len, rows.values()))
-    got = {r.doc_id: r for r in lm_scoring.lm_scores(docs, order=order).collect()}
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(docs, order=order, cells=4, cell_grams=5000).collect()}
     for i, w in rows.items():
         want = missed = 0
         for k in range(len(w)):
