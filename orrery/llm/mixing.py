@@ -27,6 +27,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.llm.shared import save
+
 GOLDEN = 2654435769  # 2^32 / phi, odd: i * GOLDEN mod 2^32 visits every point once
 CELLS = 12
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -68,7 +70,8 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     segments: src, block, doc_id, size, begin, from, to.
     """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+    # sizes are written once: each of the joins below would count all texts' words again
+    sized = save(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")))
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources; raise max_sources if their table fits in memory")
