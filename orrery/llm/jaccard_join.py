@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.components import connected_components
@@ -144,11 +144,11 @@ def _node(shingled: np.ndarray) -> np.uint64:
 
 
 def _input(docs: DataFrame) -> DataFrame:
-    return docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
+    return docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"))
 
 
 def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, node) of every row: set size and the set's 64-bit identity (null when empty); and flags of common shingles.
+    """(doc_id, digest, n, node) of every row: the text's hash, set size and the set's 64-bit identity (null when empty); and flags of common shingles.
 
     The count table has a fixed size; tasks add up their own, then pieces of it are added up in a shuffle.
     """
@@ -162,11 +162,11 @@ def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             node = mix(np.array([_node(s) if len(s) else 0 for s in sets], dtype=np.uint64))
             n = np.array([len(s) for s in sets], dtype=np.int64)
             none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n), pa.array(as_long(node), mask=n == 0), *none], names=["doc_id", "n", "node", "slot", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n), pa.array(as_long(node), mask=n == 0), *none], names=["doc_id", "digest", "n", "node", "slot", "counts"])
         if counts.any():
             pieces = [p.astype(np.uint32).tobytes() for p in counts.reshape(SLOTS, -1)]
-            none = [pa.nulls(SLOTS, pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(SLOTS, dtype=np.int32)), pa.array(pieces, pa.binary())], names=["doc_id", "n", "node", "slot", "counts"])
+            none = [pa.nulls(SLOTS, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(SLOTS, dtype=np.int32)), pa.array(pieces, pa.binary())], names=["doc_id", "digest", "n", "node", "slot", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -176,13 +176,13 @@ def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
         for slot, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "counts"])
 
-    made = save(_input(docs).mapInArrow(run, "doc_id long, n long, node long, slot int, counts binary"))
+    made = save(_input(docs).mapInArrow(run, "doc_id long, digest long, n long, node long, slot int, counts binary"))
     pieces = made.where("slot is not null").select("slot", "counts").repartition("slot").mapInArrow(add, "slot int, counts binary")
     counts = np.zeros((SLOTS, COUNTS // SLOTS), dtype=np.int64)
     for r in pieces.toLocalIterator():  # the table: 8 MB
         counts[r["slot"]] = np.frombuffer(r["counts"], np.int64)
     usual = float(counts.mean())
-    return made.where("slot is null").select("doc_id", "n", "node"), (counts > usual + 6 * math.sqrt(usual) + 8).ravel()
+    return made.where("slot is null").select("doc_id", "digest", "n", "node"), (counts > usual + 6 * math.sqrt(usual) + 8).ravel()
 
 
 def _bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -224,6 +224,11 @@ def linked_in_tile(node: np.ndarray, sets: list[np.ndarray], left: np.ndarray, r
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    return _named(_grouped(docs, width, percent))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, digest, n, group) of every row of docs; linked rows share a group, rows without words have none."""
     rows, common = shingle_sets(docs, width)
     found = rows.where("node is not null")
     flags = rows.sparkSession.sparkContext.broadcast(common)
@@ -256,7 +261,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     members = save(sizes.withColumn("band", F.floor(F.log("n") / F.lit(edge) + F.lit(1e-9))))
     links = _verify(docs, members, star, width, percent)
     group = connected_components(links).withColumnsRenamed({"component": "group"})
-    return _named(rows, group)
+    return save(rows.join(group, "node", "left").select("doc_id", "digest", "n", F.coalesce("group", "node").alias("group")))
 
 
 def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
@@ -353,33 +358,36 @@ def _views(column: pa.ListArray):
     yield from (values[offsets[r] : offsets[r + 1]] for r in range(len(column)))
 
 
-def _named(rows: DataFrame, group: DataFrame) -> DataFrame:
+def _named(grouped: DataFrame) -> DataFrame:
     """Every row with the smallest doc_id of its group."""
-    grouped = rows.select("doc_id", "n", "node").join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    grouped = save(grouped)
     names = grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("name"))
     return grouped.join(names, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but one document (the smallest doc_id) of each group; repeated rows of one doc_id stay once.
+    """docs without all but one row of each group: that of the smallest doc_id (null last), then of the smallest hash of the text.
 
-    Documents without words stay, repeated or not. Rows without a doc_id stay, as nothing tells them apart.
-    Only documents whose id may be among the dropped or repeated ones are shuffled.
+    Rows are told apart by doc_id and text, so different texts of one doc_id, or of none, are judged each by its own group.
+    Rows without words stay, repeated or not. Only rows that may be among the dropped or repeated ones are shuffled, repeats
+    combined before.
     """
-    found = save(jaccard_components(docs, width, percent))
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), (F.count("*") > 1).alias("again"))
-    special = save(ids.where("again or component_id <> doc_id").select(F.col("doc_id").alias("_id"), (F.col("component_id") == F.col("doc_id")).alias("_stays")))
-    bits = docs.sparkSession.sparkContext.broadcast(id_bits(special, F.xxhash64("_id"), special.count()))
+    rows = _grouped(docs, width, percent).where("group is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    best = save(rows.groupBy("group").agg(F.min(place).alias("best"), F.count("*").alias("rows")).where("rows > 1").select("group", "best"))
+    texts = rows.groupBy("group", "doc_id", "digest").agg(F.count("*").alias("times"))
+    marked = texts.join(best, "group").withColumn("_stays", place == F.col("best"))
+    special = save(marked.where("times > 1 or not _stays").select(F.col("doc_id").alias("_of"), F.col("digest").alias("_text"), "_stays"))
+    bits = docs.sparkSession.sparkContext.broadcast(id_bits(special, F.xxhash64("_of", "_text"), special.count()))
 
     @F.pandas_udf("boolean")
     def maybe(hashed: pd.Series) -> pd.Series:
         return pd.Series(maybe_in(bits.value, hashed.to_numpy()))
 
-    number = F.col("doc_id").cast("long")
-    flagged = docs.withColumn("_maybe", number.isNotNull() & maybe(F.xxhash64(number)))
-    doubted = flagged.where("_maybe").drop("_maybe")
-    doubted = doubted.join(special, doubted["doc_id"].cast("long") == special["_id"], "left").where("_stays is null or _stays").drop("_id", "_stays")
-    window = Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text"))
-    once = doubted.withColumn("_nth", F.row_number().over(window)).where("_nth = 1 or not coalesce(text rlike '[^\\\\x20\\\\x09-\\\\x0D]', false)").drop("_nth")
+    number, digest = F.col("doc_id").cast("long"), F.xxhash64("text")
+    worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    flagged = docs.withColumn("_maybe", worded & maybe(F.xxhash64(number, digest)))
+    content = F.xxhash64(*[f.name for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    # a row with words that isn't special is the only one of its doc_id and text
+    once = flagged.where("_maybe").groupBy(number.alias("_id"), digest.alias("_digest")).agg(F.min_by(F.struct(*docs.columns), content).alias("_row"))
+    once = once.join(special, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_digest") == F.col("_text")), "left").where("_stays is null or _stays").select("_row.*")
     return flagged.where("not _maybe").drop("_maybe").unionByName(once)

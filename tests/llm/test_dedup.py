@@ -82,6 +82,21 @@ def test_jaccard_join_edge_cases(spark):
     assert jaccard_join.jaccard_components(docs.limit(0)).collect() == []
 
 
+def test_keep_first_judges_each_text_of_a_doc_id(spark):
+    copied, unique, other, lone = ("a b c d e f g", "h i j k l m n o", "p q r s t u v", "w x y z 1 2 3")
+    rows = [
+        (3, copied), (7, copied.upper()), (7, unique), (7, unique), (8, None), (8, ""), (8, other),
+        (None, copied), (None, lone), (None, lone), (None, lone.upper()), (None, None), (None, " "), (9, lone + " 4"),
+    ]
+    docs = spark.createDataFrame([(*r, {"at": i}) for i, r in enumerate(rows)], "doc_id long, text string, extra map<string,int>")
+    kept = jaccard_join.keep_first(docs, percent=70)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(3, copied), (7, unique), (8, None), (8, ""), (8, other), (None, None), (None, " "), (9, lone + " 4")], key=str)
+    nameless = sorted(r.text for r in jaccard_join.keep_first(docs.where("doc_id is null and text is not null")).collect())
+    assert len(nameless) == 3 and {t.lower() for t in nameless} == {copied, lone, " "}
+
+
 def test_part_keys_lose_no_link():
     rng = np.random.default_rng(5)
     none = np.zeros(jaccard_join.COUNTS, bool)
