@@ -141,7 +141,9 @@ def _lifted(x: np.ndarray, top: float) -> np.ndarray:
 
 def build_index(vectors: DataFrame, shard: int = SHARD) -> tuple[DataFrame, int]:
     """The index table, a row for each shard, and the number of shards."""
-    rows = vectors.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    # a repeated row would take several of a query's places; repeats are combined before the shuffle
+    rows = save(rows.distinct()).withColumn("embedding", F.col("embedding").cast("array<double>"))
     shards = max(1, math.ceil(rows.count() / shard))
     rows = rows.withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"))
 

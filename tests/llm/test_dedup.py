@@ -167,6 +167,22 @@ def test_graph_search_recall(spark):
     assert got.query_id.nunique() == 78 and hits >= 0.9 * total
 
 
+def test_graph_search_counts_repeated_rows_once(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(-8, 9, (60, 6)).astype(float) + 0.5
+    x[50:] = x[0] * 2  # ten ids of one vector
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    many = spark.createDataFrame(rows * 2 + rows[50:51] * 30, "vec_id long, embedding array<float>")
+    index, shards = graph_search.build_index(many)
+    assert shards == 1 and len(np.frombuffer(index.first()["ids"], np.int64)) == 60
+    got = [(r.query_id, r["rank"], r.vec_id) for r in graph_search.nearest(many, F.col("vec_id") % 20 == 0, k=20).collect()]
+    want = []
+    for q in (0, 20, 40):
+        best = [int(i) for i in np.lexsort((np.arange(60), -(x @ x[q]))) if i != q][:20]
+        want += [(q, n + 1, i) for n, i in enumerate(best)]
+    assert sorted(got) == sorted(want)
+
+
 def test_graph_search_small_tables(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in graph_search.nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()]
