@@ -149,26 +149,24 @@ def embedder_label(provider: str, model: str, dimensions: int | None = None) ->
     return f"{name}@{dimensions}" if dimensions else name
 
 
-def ablation(scored: DataFrame, most: int = 600) -> DataFrame:
+def ablation(scored: DataFrame) -> DataFrame:
     """Per axis the held-out error with a section, without it, and of weights learnt with it on texts without it.
 
-    scored: work, axis, value, with_section, without_section (vectors). At most `most` works an axis, as a study.
+    scored: work, axis, value, with_section, without_section (vectors). All works count, from both vectors' moments.
     """
-    from orrery.operators.paging import stride_sample
-
-    cast = [F.col(c).cast("array<double>").alias(c) for c in ("with_section", "without_section")]
-    sample = stride_sample(scored.select("work", "axis", F.col("value").cast("double").alias("value"), *cast), ["axis"], [F.col("work")], most)
-
-    def study(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("work")
-        a, b, y = np.stack(pdf["with_section"]), np.stack(pdf["without_section"]), pdf["value"].to_numpy()
-        error = lambda g: float(np.nanmean(np.abs(np.clip(g, regression.LOW, regression.HIGH) - y)))
-        guesses = {p: [np.full(len(y), np.nan), np.full(len(y), np.nan)] for p in regression.PENALTIES}
-        z = np.concatenate((np.ones((len(y), 1)), a, y[:, None]), 1)
-        for test in regression._folds(len(y)):
-            for p, (intercept, coef) in regression.solve(z.T @ z - z[test].T @ z[test]).items():
-                guesses[p][0][test], guesses[p][1][test] = a[test] @ coef + intercept, b[test] @ coef + intercept
-        best = min(regression.PENALTIES, key=lambda p: error(guesses[p][0]))
-        return pd.DataFrame([(key[0], len(y), error(guesses[best][0]), error(regression.ridge_predictions(b, y)), error(guesses[best][1]))], columns=["axis", "works", "with_it", "without_it", "shifted"])
-
-    return sample.groupBy("axis").applyInPandas(study, "axis string, works long, with_it double, without_it double, shifted double")
+    rows = regression.folded(scored, "with_section", "without_section")
+    models = [regression.fold_models(rows.select("axis", "fold", "value", F.col(c).alias("embedding"))) for c in ("with_section", "without_section")]
+    known = rows.sparkSession.sparkContext.broadcast(models)
+
+    def guess(axis: str, part: pd.DataFrame) -> dict[str, np.ndarray]:
+        fold, a, b, out = int(part["fold"].iloc[0]), np.stack(part["with_section"]), np.stack(part["without_section"]), {}
+        for p, (intercept, coef) in known.value[0][axis].get(fold, {}).items():
+            out[f"with {p}"], out[f"shifted {p}"] = a @ coef + intercept, b @ coef + intercept
+        return out | {f"without {p}": b @ coef + intercept for p, (intercept, coef) in known.value[1][axis].get(fold, {}).items()}
+
+    made = []
+    for axis, sums in sorted(regression.held_out_sums(rows, guess, ["with_section", "without_section"]).items()):
+        best = regression.least_error(sums, [f"with {p}" for p in regression.PENALTIES])
+        other = regression.least_error(sums, [f"without {p}" for p in regression.PENALTIES])
+        made.append((axis, int(sums[best][0]), *(float(sums[m][1] / sums[m][0]) for m in (best, other, best.replace("with", "shifted")))))
+    return rows.sparkSession.createDataFrame(made, "axis string, works long, with_it double, without_it double, shifted double")

@@ -61,7 +61,7 @@ def ablation(t: Tables) -> DataFrame:
     """What half of the coordinates contribute."""
     half = F.transform("embedding", lambda x, i: F.when(i < 32, x.cast("double")).otherwise(0.0))
     rows = t.embeddings.where("label is not null").select(F.col("vec_id").alias("work"), F.lit("label").alias("axis"), (F.col("label") + 1.0).alias("value"), F.col("embedding").alias("with_section"), half.alias("without_section"))
-    return records.ablation(rows, most=300)
+    return records.ablation(rows)
 
 
 @query("k19_import_positions", "WITH m AS (SELECT o_custkey AS member, l_partkey AS item, min(l_linenumber) AS place FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) SELECT member, item AS work, place AS rank FROM m WHERE item % 3 <> 0")

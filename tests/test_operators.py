@@ -197,6 +197,26 @@ def test_curved_scores_favour_curved_models():
     assert all(error(g) < 0.8 for g in (regression.knn_predictions(x, y, 10), regression.kernel_predictions(x, y), regression.network_predictions(x, y)))
 
 
+def test_model_comparison_covers_all_works(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1300, 4))
+    y = np.clip(5 + x[:, 0] + np.tanh(x[:, 1] * 2) + rng.normal(size=1300) * 0.3, 1, 10)
+    rows = [(i, axis, [float(v) for v in r], float(t)) for axis, n in (("a", 1300), ("b", 500), ("few", 40)) for i, (r, t) in enumerate(zip(x[:n], y[:n], strict=True))]
+    frame = spark.createDataFrame(rows, "work long, axis string, embedding array<double>, value double")
+    got = {(r.axis, r.model): r for r in regression.compare_models(frame).collect()}
+    assert {k: r.works for k, r in got.items()} == {(axis, m): n for axis, n in (("a", 1300), ("b", 500), ("few", 40)) for m in ("ridge", "kernel", "network", "neighbours")}
+    for axis, n in (("a", 1300), ("b", 500), ("few", 40)):
+        u, t = x[:n], y[:n]
+        near = {k: regression.knn_predictions(u, t, k) for k in regression.NEIGHBOURS if k < n}
+        want = {"ridge": regression.ridge_predictions(u, t), "neighbours": min(near.values(), key=lambda g: np.abs(np.clip(g, 1, 10) - t).mean())}
+        if n <= 600:  # every work is fitted on
+            want |= {"kernel": regression.kernel_predictions(u, t), "network": regression.network_predictions(u, t)}
+        for model, g in want.items():
+            g, r = np.clip(g, 1, 10), got[axis, model]
+            assert np.allclose([r.mae, r.spread, r.correlation], [np.abs(g - t).mean(), g.std() / t.std(), np.corrcoef(g, t)[0, 1]], atol=1e-3), (axis, model)
+    assert got["a", "kernel"].mae < 0.5
+
+
 def test_row_index(spark):
     frame = spark.createDataFrame([(k, i) for k in "ab" for i in (5, 9000, 12, 8999)], "k string, id long")
     got = sorted((r.k, r.i, r.id) for r in regression.row_index(frame, ["k"], "id").collect())

@@ -6,7 +6,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from orrery.operators import records
+from orrery.operators import records, regression
 from orrery.sources import legacy_import
 
 
@@ -78,6 +78,17 @@ def test_ablation(spark):
     assert got.with_it < 0.2 < got.without_it and got.shifted > 1
 
 
+def test_ablation_covers_all_works(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 3))
+    y = np.clip(5 + x[:, 0] + rng.normal(size=900) * np.where(np.arange(900) % 3, 0.1, 2), 1, 10)
+    rows = [(i, "a", float(t), [float(v) for v in r], [0.0, *map(float, r[1:])]) for i, (r, t) in enumerate(zip(x, y, strict=True))]
+    got = records.ablation(spark.createDataFrame(rows, "work long, axis string, value double, with_section array<double>, without_section array<double>")).first()
+    without = x * [0, 1, 1]
+    error = lambda z: np.abs(np.clip(regression.ridge_predictions(z, y), 1, 10) - y).mean()
+    assert got.works == 900 and np.allclose([got.with_it, got.without_it], [error(x), error(without)], atol=1e-6)
+
+
 def test_legacy_import(spark):
     works = spark.createDataFrame([(1, 100, ["x"], 2000), (2, None, ["L'Île"], 2001), (3, None, ["Twin"], 2000), (4, None, ["Far"], 1990), (5, 999, ["x"], None)], "v1_id int, id int, titles array<string>, year int")
     catalogue = spark.createDataFrame([(100, "x", 2000), (101, "ile", 2000), (102, "twin", 2000), (103, "Twin", 2001), (104, "far", 1995)], "id int, name string, year int")
