@@ -50,7 +50,8 @@ def fingerprints(scores: DataFrame, axes: list[str]) -> DataFrame:
     return picked.select("work", F.col("best.judged").alias("judged"), F.transform("best.parts", lambda p: p["value"]).alias("fingerprint"))
 
 
-def predict(vectors: DataFrame, weights: DataFrame, vector: str = "embedding") -> DataFrame:
-    """V7: vectors (any columns) x weights (axis, intercept, coef), clamped to the scale. Weights are a row per axis: few by nature."""
-    bounded = weights.limit(1000)
-    return vectors.crossJoin(F.broadcast(bounded)).withColumn("prediction", clamp_score(F.col("intercept") + dot(vector, "coef"))).drop("intercept", "coef")
+def predict(vectors: DataFrame, weights: DataFrame, vector: str = "embedding", max_axes: int = 1000) -> DataFrame:
+    """V7: vectors (any columns) x weights (axis, intercept, coef), clamped to the scale. Weights are a row per axis: few by nature, and more than max_axes are refused."""
+    if weights.limit(max_axes + 1).count() > max_axes:
+        raise ValueError(f"more than {max_axes} axes; raise max_axes if their weights fit in memory")
+    return vectors.crossJoin(F.broadcast(weights)).withColumn("prediction", clamp_score(F.col("intercept") + dot(vector, "coef"))).drop("intercept", "coef")

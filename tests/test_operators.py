@@ -197,6 +197,14 @@ def test_curved_scores_favour_curved_models():
     assert all(error(g) < 0.8 for g in (regression.knn_predictions(x, y, 10), regression.kernel_predictions(x, y), regression.network_predictions(x, y)))
 
 
+def test_predict_drops_no_axis(spark):
+    weights = spark.range(1001).selectExpr("cast(id as string) as axis", "5.0D as intercept", "array(1.0D) as coef")
+    vectors = spark.createDataFrame([(1, [2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="max_axes"):
+        similarity.predict(vectors, weights)
+    assert similarity.predict(vectors, weights, max_axes=1001).select("axis").distinct().count() == 1001
+
+
 def test_model_comparison_covers_all_works(spark):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(1300, 4))
