@@ -1,4 +1,4 @@
-"""Citation graph as node and edge tables."""
+"""Citation graph as node and edge tables."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Graph queries (G1-G11): customers cite parts, the line number is the rank."""
+"""Graph queries (G1-G10): customers cite parts, the line number is the rank."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Runbook reports (R1-R9) and quotes."""
+"""Runbook reports (R1-R9) and quotes (V16 in part, V17-V18)."""
 
 from __future__ import annotations
 
