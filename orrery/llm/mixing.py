@@ -1,59 +1,45 @@
 """Mixing sources to target weights by a low-discrepancy source schedule.
 
-Every source's documents, in a keyed shuffled order, form one stream of words, cut into
-blocks of equal words. Slot i of the mix draws the golden-ratio point frac(i * phi), which
-falls into the source whose share of the cumulative weights holds it; the slot's rank among
-its source's slots names the block it takes, starting over after the stream's end. So every
-stretch of the mix has nearly the target shares, and each source's slots read its blocks in
-shuffled order. A source's last slot is trimmed to its target; the few slots that a source
-lacks at the end are appended, the few too many are left out.
-
-Targets: `share` times all words, split by weight; no source is taken more than `cap` times,
-its excess is shared again by weight among the others.
-
-Running sums and ranks are two-level (sums of hash buckets or slot chunks, then within them),
-so a source with a third of all rows is spread like any other. Sources are counted first;
-more than `max_sources` of them are refused, which bounds the broadcast source table.
-
-Nulls and edges: a null source is a source, after all others; a null or empty text has no
-words and is never taken; rows that repeat are separate documents; an empty table mixes to
-an empty table; other columns pass through whatever their names. Reruns agree.
+Every source's documents, in a keyed shuffled order, form one endless stream of words (after the
+last document the first follows again), cut into blocks of `block` words. Slot i of the mix draws a
+low-discrepancy point (golden ratio, or van der Corput), which falls into the source whose share of
+the cumulative weights holds it; the slot's rank among its source's slots is the block it takes. So
+the points alone decide how many blocks a source gives and where in the mix each lies: every stretch
+of the mix has nearly the target shares, and a source's words are off its target by a few blocks.
+
+Targets: `share` times all words, split by weight; no source is taken more than `cap` times, its
+excess is shared again by weight among the others. Slots past `cap` times a source's words are
+trimmed, so no document is taken more often.
+
+Sources are a table like any other: ranked, given targets and looked up by joins, however many there
+are. Running sums and ranks are two-level (sums of hash buckets, slot chunks or ranges, then within
+them), so a source with a third of all rows is spread like any other.
+
+Nulls and edges: a null source is a source, after all others; a null or empty text has no words and
+is never taken; a very long text spans many blocks; rows that repeat are separate documents, and ties
+(equal doc_id and size) are interchangeable; an empty table mixes to an empty table; other columns
+pass through whatever their names. Reruns agree.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import save
+from orrery.llm.shared import fresh, save
 
+POINTS = 32  # bits of a point
 GOLDEN = 2654435769  # 2^32 / phi, odd: i * GOLDEN mod 2^32 visits every point once
-CELLS = 12
+SLOTS = 2**20  # blocks are as large as give about so many slots, MOST_BLOCK words at most
+MOST_BLOCK = 65536
+UNITS = 1024  # shares are added up in whole parts of a word, so that intervals meet exactly
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
-    """Words to take from each source; sources in code point order, null last, take the weights in turn."""
-    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
-    out: dict[str | None, float] = {}
-    rest, open_ = share * sum(sizes.values()), list(order)
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if rest * weight[s] / total > cap * sizes[s]]
-        if not over:
-            return out | {s: rest * weight[s] / total for s in open_}
-        for s in over:
-            out[s] = cap * sizes[s]
-        rest = max(0.0, rest - sum(out[s] for s in over))
-        open_ = [s for s in open_ if s not in out]
-    return out
-
-
-def _running(frame: DataFrame, keys: list[str], chunk: str, order: list, value, name: str, rows: bool = False) -> DataFrame:
+def _running(frame: DataFrame, keys: list[str], chunk: str, order: list, value, name: str) -> DataFrame:
     """The sum of `value` over the rows before each row of its keys, in order of (chunk, order)."""
     whole = frame.groupBy(*keys, chunk).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
@@ -62,84 +48,111 @@ def _running(frame: DataFrame, keys: list[str], chunk: str, order: list, value,
     return frame.join(whole, [*keys, chunk]).withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_before")
 
 
-def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 17, max_sources: int = 100_000, block: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, slots, segments) of the mix of docs (doc_id, source, text).
+def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """src, source, source_size, target, low, high of every source of sized (source, size).
 
-    documents: doc_id, size, src, source_size, target, and begin, the place in its source's stream.
-    slots: slot, src, rank, epoch, block, until: the words before `until` in this pass are taken.
-    segments: src, block, doc_id, size, begin, from, to.
+    src ranks sources by code point, null last; they take the weights in turn. low and high bound the source's
+    points. The level at which words are given out per weight rises until no further source reaches its cap.
     """
-    spark = docs.sparkSession
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last())
+    # a sorted table is numbered by its ranges: rows of the ranges before, then the place within
+    per = save(per.withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    src = _running(per.withColumn("all", F.lit(0)), ["all"], "range", [F.col("at")], F.lit(1), "src").drop("all", "at")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("src") % len(weights) + 1).cast("int"))
+    ranked = save(src.withColumn("weight", weight))
+
+    words, total_weight = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    level, closed = share * words / max(total_weight, 1e-300), -1
+    while True:
+        full = F.lit(cap) * F.col("source_size") < F.lit(level) * F.col("weight")
+        n, given, rest = ranked.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.lit(cap) * F.col("source_size"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
+        if n == closed or not rest:
+            break
+        closed, level = n, (share * words - given) / rest
+    target = F.least(F.lit(cap) * F.col("source_size"), F.lit(level) * F.col("weight"))
+
+    units = ranked.withColumn("target", target).withColumn("units", F.floor(F.col("target") * UNITS)).withColumn("all", F.lit(0))
+    placed = _running(units, ["all"], "range", [F.col("src")], F.col("units"), "begin")
+    whole = max(units.agg(F.sum("units")).first()[0] or 0, 1)
+    point = lambda x: F.floor(x / F.lit(whole) * F.lit(2.0**POINTS)).cast("long")
+    return save(placed.select("src", "source", "source_size", "target", point(F.col("begin")).alias("low"), point(F.col("begin") + F.col("units")).alias("high")))
+
+
+def point_of(slot: Column, points: str) -> Column:
+    """The slot's point, a whole number below 2**POINTS."""
+    if points == "golden":
+        return slot.bitwiseAND(0x7FFFFFFF).cast("long") * F.lit(GOLDEN) % F.lit(2**POINTS)
+    if points == "corput":  # the slot's bits in reverse order
+        return F.conv(F.reverse(F.lpad(F.bin(slot.bitwiseAND(2**POINTS - 1)), POINTS, F.lit("0"))), 2, 10).cast("long")
+    raise ValueError("points are golden or corput")
+
+
+def draw(sources: DataFrame, n_slots: int, n_sources: int, points: str = "golden") -> DataFrame:
+    """slot, src, rank of all slots: whose points they draw, and how many slots their source has before.
+
+    Points find their interval by an equi-join on cells, some four for each source.
+    """
+    bits = min(30, max(4, (4 * n_sources).bit_length()))
+    shift = POINTS - bits
+    cell = F.sequence(F.shiftright("low", shift), F.shiftright(F.col("high") - 1, shift))
+    cells = sources.where("high > low").select("src", "low", "high", F.explode(cell).alias("cell"))
+    chunk = max(256, math.isqrt(n_slots))
+    drawn = sources.sparkSession.range(n_slots).select(F.col("id").alias("slot"), point_of(F.col("id"), points).alias("point"), F.floor(F.col("id") / F.lit(chunk)).alias("chunk"))
+    drawn = drawn.withColumn("cell", F.shiftright("point", shift)).join(cells, "cell").where("point >= low and point < high").select("slot", "src", "chunk")
+    return _running(save(drawn), ["src"], "chunk", [F.col("slot")], F.lit(1), "rank").select("slot", "src", "rank")
+
+
+def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 17, block: int | None = None, points: str = "golden", row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, slots, segments) of the mix of docs (doc_id, source, text and, where rows must be told apart, row).
+
+    documents: doc_id (and row), size, src, source_size, target, and begin, the place in its source's stream.
+    slots: slot, src, rank, until: the slot takes the words of its block before `until`.
+    segments: src, rank, begin, size, epoch, from, to: the part of a document that lies in a block, at its source's epoch-th pass.
+    """
+    keys = ["doc_id", *([row] if row else [])]
     # sizes are written once: each of the joins below would count all texts' words again
-    sized = save(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")))
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources; raise max_sources if their table fits in memory")
-    sizes = {r["source"]: r["size"] for r in found}
-    goal = targets(sizes, weights, share, cap)
-    total = sum(goal.values())
-    block = block or min(max(math.ceil(total / 2**17), 32), 65536)
-    rows, at, scale = [], 0.0, 2.0**32 / max(total, 1.0)
-    for k, s in enumerate(goal_order := sorted(goal, key=lambda s: (s is None, s or ""))):
-        words = min(math.floor(goal[s] + 0.5), int(cap * sizes[s]))
-        passes, rest = divmod(words, max(sizes[s], 1))
-        quota = passes * -(-sizes[s] // block) + -(-rest // block)
-        low, at = at, at + goal[s]
-        high = 2**32 if k == len(goal_order) - 1 else int(at * scale)
-        rows.append((k, s, sizes[s], float(goal[s]), words, quota, int(low * scale), high))
-    sources = spark.createDataFrame(rows, "src int, source string, source_size long, target double, words long, quota long, low long, high long")
-    small = F.broadcast(sources)
-
-    buckets = max(1, 2 * math.isqrt(sum(r["docs"] for r in found)))
-    keyed = sized.join(small, sized["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "src", "source_size", "target", F.xxhash64(F.lit(seed), "doc_id", "size").alias("_h"))
+    sized = save(docs.select(*keys, F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")))
+    sources = source_targets(sized, weights, share, cap)
+    n_sources, total = sources.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+    block = block or min(max(math.ceil(total / SLOTS), 1), MOST_BLOCK)
+
+    buckets = max(1, 2 * math.isqrt(sized.count()))
+    keyed = sized.join(sources.drop("low", "high"), sized["source"].eqNullSafe(sources["source"])).select(*keys, "size", "src", "source_size", "target", F.xxhash64(F.lit(seed), "doc_id", "size").alias("_h"))
     keyed = keyed.withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
-    documents = _running(keyed, ["src"], "_bucket", [F.col("_h"), F.col("doc_id"), F.col("size")], F.col("size"), "begin").drop("_bucket", "_h")
+    documents = save(_running(keyed, ["src"], "_bucket", [F.col("_h"), *[F.col(k) for k in keys], F.col("size")], F.col("size"), "begin").drop("_bucket", "_h"))
 
-    n_slots = sum(r[5] for r in rows)
-    chunk = max(256, math.isqrt(n_slots))
-    point = F.col("id").bitwiseAND(0x7FFFFFFF).cast("long") * F.lit(GOLDEN)
-    drawn = spark.range(n_slots).select(F.col("id").alias("slot"), (point % F.lit(2**32)).alias("point"), F.floor(F.col("id") / F.lit(chunk)).alias("chunk"))
-    shift = 32 - CELLS
-    cells = sources.where("high > low").select("src", "low", "high", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright(F.col("high") - 1, shift))).alias("cell"))
-    drawn = drawn.withColumn("cell", F.shiftright("point", shift)).join(F.broadcast(cells), "cell").where("point >= low and point < high").select("slot", "src", "chunk")
-    ranked = _running(drawn, ["src"], "chunk", [F.col("slot")], F.lit(1), "rank").select("slot", "src", "rank")
-    have = drawn.groupBy("src").agg(F.count("*").alias("have"))
-    lacking = sources.join(have, "src", "left").select("src", "quota", F.coalesce("have", F.lit(0)).alias("have")).where("have < quota")
-    lacking = lacking.select("src", F.explode(F.sequence("have", F.col("quota") - 1)).alias("rank"))
-    slots = ranked.unionByName(lacking.select((F.lit(n_slots) + F.col("rank") * len(rows) + F.col("src")).alias("slot"), "src", "rank"))
-    blocks = F.expr(f"(source_size + {block - 1}) div {block}")
-    slots = (
-        slots.join(small, "src").where("rank < quota").withColumn("_blocks", blocks)
-        .select("slot", "src", "rank", F.expr("rank div _blocks").alias("epoch"), F.expr("rank % _blocks").alias("block"), F.expr("words - (rank div _blocks) * source_size").alias("until"))
-    )
-    spans = F.sequence(F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}"))
-    segments = documents.where("size > 0").select("doc_id", "src", "size", "begin", F.explode(spans).alias("block"))
-    segments = segments.withColumn("from", F.greatest("begin", F.col("block") * block)).withColumn("to", F.least(F.expr("begin + size"), (F.col("block") + 1) * block))
+    limit = F.floor(F.lit(cap) * F.col("source_size")).cast("long")
+    slots = draw(sources, round(total / block), n_sources, points).join(sources.select("src", limit.alias("_most")), "src")
+    slots = slots.where(F.col("rank") * block < F.col("_most")).select("slot", "src", "rank", F.least((F.col("rank") + 1) * block, "_most").alias("until"))
+
+    passes = documents.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(math.ceil(cap) - 1).cast("long"))))
+    start = F.col("epoch") * F.col("source_size") + F.col("begin")
+    passes = passes.select("src", "begin", "size", "epoch", start.alias("start"))
+    segments = passes.withColumn("rank", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
+    segments = segments.withColumn("from", F.greatest("start", F.col("rank") * block)).withColumn("to", F.least(F.expr("start + size"), (F.col("rank") + 1) * block)).drop("start")
     return documents, slots, segments
 
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target, taken (words, repeats counted), copies (whole documents)."""
-    documents, slots, segments = schedule(docs, **options)
+def mixture(docs: DataFrame, row: str | None = None, **options) -> DataFrame:
+    """Per row of docs: doc_id, size, source_size, target, taken (words, repeats counted), copies (passes that take at least half of it) and slots, where in the mix these begin."""
+    documents, slots, segments = schedule(docs, row=row, **options)
     words = F.greatest(F.lit(0), F.least("to", "until") - F.col("from"))
-    taken = segments.join(slots, ["src", "block"]).groupBy("src", "begin", "epoch").agg(F.sum(words).alias("words"), F.max("size").alias("size"))
-    taken = taken.groupBy("src", "begin").agg(F.sum("words").alias("taken"), F.sum((F.col("words") * 2 >= F.col("size")).cast("long")).alias("copies"))
+    taken = segments.join(slots, ["src", "rank"]).groupBy("src", "begin", "epoch").agg(F.sum(words).alias("words"), F.max("size").alias("size"), F.min("slot").alias("slot"))
+    whole = F.when(F.col("words") * 2 >= F.col("size"), F.col("slot"))
+    taken = taken.groupBy("src", "begin").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(whole)).alias("slots"))
     some = documents.where("size > 0").join(taken, ["src", "begin"], "left")
-    none = documents.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("copies", F.lit(0).cast("long"))
-    out = some.unionByName(none, allowMissingColumns=True)
-    return out.select("doc_id", "size", "source_size", "target", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "copies")])
+    out = some.unionByName(documents.where("size = 0"), allowMissingColumns=True).withColumn("slots", F.coalesce("slots", F.array().cast("array<long>")))
+    return out.select("doc_id", *([row] if row else []), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.size("slots").cast("long").alias("copies"), "slots")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with every document repeated as often as the schedule takes (at least half of) it.
+def mix(docs: DataFrame, slot: str | None = None, **options) -> DataFrame:
+    """docs with every document repeated as often as the schedule takes (at least half of) it; `slot` names a column of where in the mix.
 
-    Rows of one doc_id are told apart by their size and text.
+    docs is written once with a number for each row, so that rows are told apart whatever they hold.
     """
-    nth = Window.partitionBy("_doc")
-    taken = mixture(docs, **options).select(F.col("doc_id").alias("_doc"), "size", "copies")
-    taken = taken.withColumn("_nth", F.row_number().over(nth.orderBy("size", F.desc("copies")))).where("copies > 0")
-    copies = taken.select("_doc", "_nth", F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("_copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0))
-    rows = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(size, F.xxhash64("text"))))
-    joined = rows.join(copies, rows["doc_id"].eqNullSafe(copies["_doc"]) & (rows["_nth"] == copies["_nth"])).drop("_doc", "_nth")
-    return joined.withColumn("_copy", F.explode("_copies")).drop("_copies", "_copy")
+    row, at = fresh("_row", docs.columns), fresh("_slots", docs.columns)
+    kept = save(docs.withColumn(row, F.monotonically_increasing_id()))
+    taken = mixture(kept.select("doc_id", "source", "text", F.col(row).alias("_row")), row="_row", **options).where("copies > 0")
+    taken = taken.select(F.col("_row").alias(row), F.col("slots").alias(at))
+    joined = kept.join(taken, row).withColumn(at, F.explode(at))
+    return joined.select(*docs.columns, *([F.col(at).alias(slot)] if slot else []))

@@ -39,10 +39,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies: the mix of all documents."""
+    """doc_id, size, source_size, target, taken, copies, first_slot: the mix of all documents."""
     from orrery.llm.mixing import mixture
 
-    return mixture(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = mixture(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.withColumn("first_slot", F.try_element_at("slots", F.lit(1))).drop("slots")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

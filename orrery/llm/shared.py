@@ -54,6 +54,14 @@ def remove(*frames: DataFrame) -> None:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """`name`, with underscores before it until no column is called so (in any case)."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 # ---------------------------------------------------------------- bounded membership filters
 def id_bits(frame: DataFrame, hashed, n: int, most: int = 28) -> np.ndarray:
     """A Bloom bitmap of a column of 64-bit hashes, at least 16 bits a row up to 2**most bits (32 MB).
