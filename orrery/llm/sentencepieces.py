@@ -10,17 +10,20 @@ Unigram models maximise the sum of scores. BPE models need the segmentation that
 produce, which the same recursion finds: a segmentation is the result of the merges exactly if
 every two neighbouring pieces are what the merges make of their joined text. So a candidate
 gains 0 if it fits the last piece of the best path before it, else minus infinity, and one
-candidate is left. Whether two pieces fit is computed once a pair by merging. Ids equal those of the
-sentencepiece library for models without normalisation rules.
+candidate is left. Whether two pieces fit is computed once a pair by merging. A run of spaces before a
+word is cut off where the model merges spaces last, and laid out in one pass, so its time is linear in
+its length. Ids equal those of the sentencepiece library for models without normalisation rules.
 
 Nulls and edges: a null text has null ids and decodes to null; an empty one has none; unknown
 characters become byte pieces (or the unknown id, which does not decode, in models without
-them); very long texts are processed whole; an empty table returns no rows; other columns pass
-through, ids must be a free name.
+them); of equal candidates the merges' rule decides (unigram: the shortest last piece); repeated rows
+are each coded alike; very long texts are processed whole; an empty table returns no rows; other
+columns pass through, but one that has the name of the result (ids, decoded) gives way to it.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -114,17 +117,53 @@ class Vocabulary:
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
         self.floor = float(self.scores[list(self.ids.values())].min()) - 10
         self.pairs: dict[int, bool] = {}
+        self.runs: dict[int, np.ndarray] = {}
+        blank = {len(p): k for p, k in self.ids.items() if not p.strip("▁")}
+        self.spaces = np.full(max(blank, default=0) + 1, -1, dtype=np.int32)  # by width
+        self.spaces[list(blank)] = list(blank.values())
+        wide = [self.scores[k] for n, k in blank.items() if n > 1]
+        #: Whether spaces merge with each other last and as they come, and with a word only as its first character.
+        self.spaces_last = not self.unigram and 1 in blank and (not wide or max(wide) == min(wide) == self.scores[list(self.ids.values())].min()) and not any("▁" in p[1:] and p.strip("▁") for p in self.ids)
 
     def merged(self, text: str) -> list[int]:
-        """Piece ids of a short text by merging the best pair again and again; -1 for unknown characters."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.scores[k], -i) for i in range(len(parts) - 1) if (k := self.ids.get(parts[i] + parts[i + 1])) is not None), default=None)
-            if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ids.get(p, -1) for p in parts]
+        """Piece ids of a text by merging the best pair (of equal ones the leftmost) again and again; -1 for unknown characters."""
+        ids, scores = self.ids, self.scores
+        parts, after, before = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
+        waiting = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(parts) and (k := ids.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(waiting, (-scores[k], i, parts[i], parts[j]))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while waiting:
+            _, i, a, b = heapq.heappop(waiting)
+            j = after[i]
+            if parts[i] != a or j >= len(parts) or parts[j] != b:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = a + b, ""
+            after[i] = after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [ids.get(p, -1) for p in parts if p]
+
+    def space_run(self, n: int) -> np.ndarray:
+        """Pieces of n spaces where all pieces of spaces have equal scores: each space joins the pieces before it as far as it can."""
+        if n not in self.runs:
+            if len(self.runs) > 10_000:
+                self.runs.clear()
+            made: list[int] = []
+            for _ in range(n):
+                made.append(1)
+                while len(made) > 1 and (wide := made[-2] + made[-1]) < len(self.spaces) and self.spaces[wide] >= 0:
+                    made[-2:] = [wide]
+            self.runs[n] = self.spaces[made] if n else np.zeros(0, np.int32)
+        return self.runs[n]
 
     def fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether the merges leave `before` and `piece` side by side; before -1: nothing that could merge."""
@@ -253,16 +292,29 @@ class Encoder:
     def _learn(self, names: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         length = ends - starts
         made: list[np.ndarray] = [np.zeros(0, np.int32)] * len(names)
-        spaces = (points[starts] == SPACE) & (length > 1) & (points[np.minimum(starts + 1, len(points) - 1)] == SPACE)
-        for k in np.flatnonzero(spaces & (not self.v.unigram)):  # pieces of spaces have equal scores: merge them as they come
+        v = self.v
+        run = np.zeros(len(names), dtype=np.int64)  # spaces before the one that may belong to the word
+        several = np.flatnonzero((points[starts] == SPACE) & (length > 1) & (points[np.minimum(starts + 1, len(points) - 1)] == SPACE) & (not v.unigram))
+        for k in several:
+            unit = points[starts[k] : ends[k]]
+            run[k] = (int(np.argmax(unit != SPACE)) if (unit != SPACE).any() else len(unit)) - 1
+        whole = np.zeros(len(names), dtype=bool)
+        if not v.spaces_last:
+            whole[several], run[:] = True, 0
+        for k in np.flatnonzero(whole):
             text = points[starts[k] : ends[k]].tobytes().decode("utf-32-le", "surrogatepass")
-            ids = np.array(self.v.merged(text), dtype=np.int64)
-            made[k] = self.v.spell(ids) if len(ids) and ids.min() >= 0 else self.v.spell(self.v_unknown(text))
-        for size in np.unique(length[~spaces | self.v.unigram]):
-            group = np.flatnonzero((length == size) & (~spaces | self.v.unigram))
-            for part in np.array_split(group, max(1, int(len(group) * size * min(size, self.v.longest) // 2_000_000))):
-                for k, got in zip(part, self.v.viterbi(points[starts[part][:, None] + np.arange(size)]), strict=True):
-                    made[k] = self.v.spell(got)
+            ids = np.array(v.merged(text), dtype=np.int64)
+            made[k] = v.spell(ids) if ids.min() >= 0 else v.spell(self.v_unknown(text))
+        begin, length = starts + run, length - run
+        for size in np.unique(length[~whole]):
+            group = np.flatnonzero((length == size) & ~whole)
+            for part in np.array_split(group, max(1, int(len(group) * size * min(size, v.longest) // 2_000_000))):
+                for k, got in zip(part, v.viterbi(points[begin[part][:, None] + np.arange(size)]), strict=True):
+                    if run[k]:  # the last space is the word's if a piece holds both, else one of the run
+                        alone = got[0] == v.spaces[1]
+                        made[k] = np.concatenate((v.space_run(int(run[k] + alone)), v.spell(got[1:] if alone else got)))
+                    else:
+                        made[k] = v.spell(got)
         sizes = np.array([len(m) for m in made], dtype=np.int64)
         at = len(self.flat) + np.cumsum(sizes) - sizes
         self.flat = np.concatenate([self.flat, *made])
@@ -306,7 +358,7 @@ def _batches(batches, size: int = 2_000_000):
 def encode(docs: DataFrame, model: str | None = None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with ids, the piece ids of `text`."""
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    kept = [f for f in docs.schema.fields if keep_text or f.name != text]
+    kept = [f for f in docs.schema.fields if (keep_text or f.name != text) and f.name.lower() != "ids"]
     schema = StructType([*kept, StructField("ids", ArrayType(IntegerType()))])
 
     def run(batches):
@@ -324,7 +376,8 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", keep_t
 def decode(frame: DataFrame, model: str | None = None, into: str = "decoded") -> DataFrame:
     """frame with the text of its ids."""
     held = frame.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    schema = StructType([*frame.schema.fields, StructField(into, StringType())])
+    kept = [f for f in frame.schema.fields if f.name.lower() != into.lower()]
+    schema = StructType([*kept, StructField(into, StringType())])
 
     def run(batches):
         decoder = Encoder(held.value)
@@ -334,7 +387,7 @@ def decode(frame: DataFrame, model: str | None = None, into: str = "decoded") ->
             counts = np.asarray(filled.value_lengths().fill_null(0))
             texts = decoder.decode(np.asarray(filled.flatten()), counts)
             texts = [None if null else t for t, null in zip(texts, filled.is_null().to_pylist(), strict=True)] if filled.null_count else texts
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), pa.array(texts, pa.string())], names=[f.name for f in schema.fields])
 
     return frame.mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -307,6 +308,45 @@ def test_ids_equal_the_library(spark):
     assert encoder.decode(ids, counts) == [t.replace("▁", " ") for t in texts]
 
 
+def test_runs_of_spaces(spark):
+    """Ids equal plain merging, whether the model merges spaces last or not; a megabyte of spaces takes about a second."""
+    v = sentencepieces.Vocabulary.load()
+    assert v.spaces_last
+    texts = [" " * n + w for n in range(1, 70) for w in ("", "the", "é", "日", "\t", "▁")] + ["a" + " " * 33 + "\n" + " " * 17 + "b  "]
+    encoder = sentencepieces.Encoder(v)
+    ids, counts = encoder.encode(texts)
+    at = np.concatenate(([0], np.cumsum(counts)))
+
+    def spelt(text):
+        return [x for k, c in zip(v.merged(text), [text[i] for i in range(len(text))], strict=False) for x in ([k] if k >= 0 else v.bytes_[list(c.encode())].tolist())]
+
+    for text, a, b in zip(texts, at, at[1:], strict=False):
+        if "日" not in text and "\t" not in text and "\n" not in text:
+            assert ids[a:b].tolist() == spelt("▁" + text.replace(" ", "▁"))
+    long = " " * 1_000_000 + "end"
+    began = time.time()
+    ids, counts = encoder.encode([long])
+    assert time.time() - began < 10 and encoder.decode(ids, counts) == [long]
+    pieces = ["<unk>", "▁", "▁▁", "▁▁▁▁", "a", "▁a", "▁▁▁", "▁▁a"]
+    odd = sentencepieces.Vocabulary(pieces, np.array([0, -9, -3, -5, -9, -4, -6, -7.0]), np.array([2] + [1] * 7), False, False)
+    assert not odd.spaces_last
+    for n in range(12):
+        got, _ = sentencepieces.Encoder(odd).encode([" " * n + "a"])
+        parts = ["▁"] * n + ["a"]
+        while True:
+            best = max(((odd.scores[odd.ids[x + y]], -i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in odd.ids), default=None)
+            if best is None:
+                break
+            parts[-best[1] : 2 - best[1]] = ["".join(parts[-best[1] : 2 - best[1]])]
+        assert got.tolist() == [odd.ids[p] for p in parts]
+
+
+def test_results_replace_columns_of_their_name(spark):
+    docs = spark.createDataFrame([(1, "ab c", "x", 5)], "doc_id long, text string, IDS string, decoded int")
+    row = sentencepieces.decode(sentencepieces.encode(docs)).collect()
+    assert row[0].decoded == "ab c" and row[0].asDict().keys() == {"doc_id", "text", "ids", "decoded"}
+
+
 def test_unigram_viterbi_maximises_scores():
     pieces = ["<unk>", "▁", "a", "b", "ab", "ba", "aab", "▁a", "bb"]
     v = sentencepieces.Vocabulary(pieces, np.array([0, -2, -1.5, -1.7, -2.1, -2.4, -2.9, -1.9, -2.8]), np.array([2] + [1] * 8), True, True)
