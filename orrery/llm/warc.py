@@ -1,14 +1,18 @@
 """WARC writing and reading with a chunked record table.
 
-Writing: each task streams its rows into one archive of the shared folder, a gzip member per
-record, and renames it when it is whole; a retried task writes another file, and only the
-files that the job reports are read. Payloads of MIN_REVISIT bytes and more that are equal
-are stored once: the smallest id is the response, others are revisit records that refer to it.
+Writing: payloads become chunk rows of at most CHUNK bytes, which carry their record's identifier and
+number. They are dealt by page (never by digest) and sorted, and each task streams its chunks into one
+archive of the shared folder, a gzip member per record, so no task holds a record. The archive is
+renamed when it is whole; a retried task writes another file, and only the files that the job reports
+are read. Payloads of MIN_REVISIT bytes and more that are equal are stored once: the smallest id is
+the response, others are revisit records that refer to it. That is decided on identifiers and digests
+alone, before any payload moves.
 
 Reading: archives are streamed member by member. A record's payload is never held whole: it
 comes as rows (record, chunk number, bytes, running SHA-256 of the payload so far), at most
 CHUNK bytes each, so a record may be larger than a task's memory. The last chunk's digest is
-that of the payload; it must equal the one the record states, or reading fails.
+that of the payload; it must equal the one the record states, or reading fails. An archive that
+ends within a record fails, too.
 
 Digests are SHA-256 in lower-case hexadecimal. Nulls and edges: a null payload is empty; a
 null url is written as an empty target; rows of the same id and payload are each written, and
@@ -34,58 +38,79 @@ from orrery.llm.shared import save, scratch_dir
 CHUNK = 1 << 20
 MIN_REVISIT = 100
 CRLF = b"\r\n"
-CHUNKS = "page_id long, record_type string, refers_to long, chunk_no long, chunk_bytes long, payload_bytes long, digest string, stated string, last boolean, url string, data binary"
+CHUNKS = "page_id long, record_type string, refers_to long, chunk_no long, chunk_bytes long, payload_bytes long, full_bytes long, digest string, stated string, last boolean, url string, data binary"
 
 
-def describe(pages: DataFrame, payload: str = "html") -> DataFrame:
-    """pages (page_id, url, payload) with digest, record_type and refers_to, decided over all rows."""
-    data = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), data.alias("payload"))
-    rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.encode("payload", "utf-8"), 256))
-    large = rows.where((F.col("size") >= MIN_REVISIT) & F.col("page_id").isNotNull())
-    first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    joined = rows.join(first, "digest", "left")
-    revisit = F.col("page_id") > F.col("first")
-    return joined.select("page_id", "url", "payload", "size", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+def _payload(pages: DataFrame, payload: str, *more) -> DataFrame:
+    data = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), *more, data)
+    return rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
 
 
-def _head(page_id: int | None, url: str, kind: str, refers_to: int | None, digest: str, length: int) -> bytes:
+def revisits(pages: DataFrame, payload: str = "html") -> DataFrame:
+    """page_id, digest, refers_to of the pages whose payload another page holds as its response, decided over all rows."""
+    rows = _payload(pages, payload).where((F.col("size") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    # written, so that the join reads two plain tables and splits a digest that many pages share
+    first = save(rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").select("digest", "refers_to"))
+    return save(rows.join(first, "digest").where("page_id > refers_to").distinct())
+
+
+def chunk_rows(pages: DataFrame, payload: str = "html") -> DataFrame:
+    """The records to write, in chunks: page_id, row, chunk_no, and with the first chunk url, size, digest, refers_to; data is null in revisits."""
+    rows = _payload(pages, payload, F.col("url").cast("string").alias("url")).withColumn("row", F.monotonically_increasing_id())
+    again = revisits(pages, payload)
+    told = rows.join(again, ["page_id", "digest"], "left")
+    pieces = F.greatest(F.lit(1), F.when(F.col("refers_to").isNull(), F.expr(f"(size + {CHUNK - 1}) div {CHUNK}")).otherwise(1))
+    cut = F.transform(F.sequence(F.lit(1).cast("long"), pieces.cast("long")), lambda k: F.when(F.col("refers_to").isNull(), F.substring(F.col("payload"), ((k - 1) * CHUNK + 1).cast("int"), F.lit(CHUNK))))
+    opening = lambda c: F.when(F.col("chunk_no") == 0, F.col(c)).alias(c)
+    return told.select("page_id", "row", "url", "size", "digest", "refers_to", F.posexplode(cut).alias("chunk_no", "data")).select("page_id", "row", "chunk_no", *map(opening, ("url", "size", "digest", "refers_to")), "data")
+
+
+def _head(page_id: int | None, url: str, refers_to: int | None, digest: str, size: int) -> bytes:
+    kind = "response" if refers_to is None else "revisit"
     lines = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>".encode()]
     lines += [b"WARC-Date: 1970-01-01T00:00:00Z", b"WARC-Target-URI: " + url.encode().replace(b"\r", b"%0D").replace(b"\n", b"%0A"), f"WARC-Payload-Digest: sha256:{digest}".encode()]
-    if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>".encode(), b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    lines += [b"Content-Type: text/html", f"Content-Length: {length}".encode(), b"", b""]
+    if refers_to is not None:  # a field of our own tells a revisit's full length
+        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>".encode(), b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Payload-Length: {size}".encode()]
+    lines += [b"Content-Type: text/html", f"Content-Length: {size if refers_to is None else 0}".encode(), b"", b""]
     return CRLF.join(lines)
 
 
-def write_archives(described: DataFrame, folder: str, level: int = 1) -> DataFrame:
-    """(path, records, bytes) of the archives written into `folder`, a location pyarrow can open from every executor."""
+def write_archives(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
+    """(path, records, bytes) of the archives of chunk_rows, in `folder`, a location pyarrow can open from every executor."""
 
     def run(batches):
         store, root = pafs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         name = uuid.uuid4().hex
+        sink = press = None
         records = size = 0
-        sink = None
+
+        def put(part: bytes) -> None:
+            nonlocal size
+            sink.write(part)
+            size += len(part)
+
         for batch in batches:
             for k in range(batch.num_rows):
-                page_id, url, payload, digest, kind, refers_to = (batch.column(c)[k] for c in range(6))
-                body = memoryview(payload.as_buffer()) if kind.as_py() == "response" and payload.as_buffer() is not None else memoryview(b"")
-                sink = sink or store.open_output_stream(f"{root}/.{name}.part", compression=None)
-                press = zlib.compressobj(level, zlib.DEFLATED, 31)
-                parts = [press.compress(_head(page_id.as_py(), url.as_py() or "", kind.as_py(), refers_to.as_py(), digest.as_py(), len(body)))]
-                parts += [press.compress(body[at : at + CHUNK]) for at in range(0, len(body), CHUNK)]
-                for part in [*parts, press.compress(CRLF + CRLF), press.flush()]:
-                    sink.write(part)
-                    size += len(part)
-                records += 1
+                page_id, number, url, length, digest, refers_to, data = (batch.column(c)[k] for c in range(7))
+                if number.as_py() == 0:
+                    if press:
+                        put(press.compress(CRLF + CRLF) + press.flush())
+                    sink = sink or store.open_output_stream(f"{root}/.{name}.part", compression=None)
+                    press = zlib.compressobj(level, zlib.DEFLATED, 31)
+                    put(press.compress(_head(page_id.as_py(), url.as_py() or "", refers_to.as_py(), digest.as_py(), length.as_py())))
+                    records += 1
+                if data.is_valid:
+                    put(press.compress(memoryview(data.as_buffer())))
         if sink:
+            put(press.compress(CRLF + CRLF) + press.flush())
             sink.close()
             store.move(f"{root}/.{name}.part", f"{root}/{name}.warc.gz")
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{name}.warc.gz"]), pa.array([records]), pa.array([size])], names=["path", "records", "bytes"])
 
-    rows = described.select("page_id", "url", "payload", "digest", "record_type", "refers_to")
-    return rows.mapInArrow(run, "path string, records long, bytes long")
+    dealt = chunks.repartition(F.coalesce("page_id", "row")).sortWithinPartitions("page_id", "row", "chunk_no")
+    return dealt.select("page_id", "chunk_no", "url", "size", "digest", "refers_to", "data").mapInArrow(run, "path string, records long, bytes long")
 
 
 class _Members:
@@ -98,6 +123,8 @@ class _Members:
         if not self.raw:
             self.raw = self.source.read(CHUNK)
             if not self.raw:
+                if self.press:
+                    raise ValueError("an archive ends within a record")
                 return False
         self.press = self.press or zlib.decompressobj(31)
         self.held += self.press.decompress(self.raw, CHUNK)
@@ -135,19 +162,20 @@ def records(source) -> Iterator[tuple]:
     stream = _Members(source)
     while head := stream.until(CRLF + CRLF):
         fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.lstrip().decode().split("\r\n")[1:])
-        left, chunk, seen, sha = int(fields["Content-Length"]), 0, 0, hashlib.sha256()
+        size = left = int(fields["Content-Length"])
+        chunk, seen, sha = 0, 0, hashlib.sha256()
         stated = fields["WARC-Payload-Digest"].partition(":")[2]
         kind, to = fields["WARC-Type"], fields.get("WARC-Refers-To")
         while True:
             data = bytearray()
             while left and len(data) < CHUNK:
                 data += stream.take(min(left, CHUNK - len(data)))
-                left = int(fields["Content-Length"]) - seen - len(data)
+                left = size - seen - len(data)
             sha.update(data)
             seen += len(data)
             if not left and kind == "response" and sha.hexdigest() != stated:
                 raise ValueError(f"record {fields['WARC-Record-ID']}: its payload doesn't have the digest it states")
-            yield _id(fields["WARC-Record-ID"]), kind, _id(to) if to else None, chunk, len(data), seen, sha.hexdigest(), stated, not left, fields["WARC-Target-URI"], bytes(data)
+            yield _id(fields["WARC-Record-ID"]), kind, _id(to) if to else None, chunk, len(data), seen, int(fields.get("X-Payload-Length", size)), sha.hexdigest(), stated, not left, fields["WARC-Target-URI"], bytes(data)
             chunk += 1
             if not left:
                 break
@@ -155,14 +183,13 @@ def records(source) -> Iterator[tuple]:
             raise ValueError("a record is longer than it states")
 
 
-def read_archives(archives: DataFrame, data: bool = True) -> DataFrame:
-    """The chunk table of archives (path). Each archive is streamed by one task; data=False leaves the bytes out."""
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.binary()]
-    schema = CHUNKS if data else CHUNKS.rpartition(",")[0]
-    names = [c.split()[0] for c in schema.split(", ")]
+def read_archives(archives: DataFrame) -> DataFrame:
+    """The chunk table of archives (path). Each archive is streamed by one task, a few chunks at a time."""
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.binary()]
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
 
     def flush(rows):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches):
         for batch in batches:
@@ -171,26 +198,24 @@ def read_archives(archives: DataFrame, data: bool = True) -> DataFrame:
                 rows, size = [], 0
                 with store.open_input_stream(inner, compression=None) as source:
                     for row in records(source):
-                        rows.append(row if data else row[:-1])
-                        size += row[4] if data else 200
+                        rows.append(row)
+                        size += row[4] + 200
                         if size > 4 * CHUNK:
                             yield flush(rows)
                             rows, size = [], 0
                 if rows:
                     yield flush(rows)
 
-    return archives.select("path").mapInArrow(run, schema)
+    return archives.select("path").mapInArrow(run, CHUNKS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write pages (page_id, url, html), read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to, chunks.
+    """Write pages (page_id, url, html), read the chunk table back: page_id, payload_bytes, payload_digest, record_type, refers_to, chunks.
 
-    A revisit has no payload of its own; its size is its response's, looked up by the identifier it refers to.
+    A record's rows follow each other, and its last one tells its length, digest and number of chunks, so no rows meet.
     """
     folder = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
-    archives = save(write_archives(describe(pages), folder))
-    found = save(read_archives(archives.repartition(max(1, archives.count())), data=False).where("last"))
-    full = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), F.col("digest").alias("stated")).agg(F.max("payload_bytes").alias("full"))
-    joined = found.join(full, ["refers_to", "stated"], "left")
-    size = F.when(F.col("record_type") == "revisit", F.col("full")).otherwise(F.col("payload_bytes"))
-    return joined.select("page_id", size.alias("payload_bytes"), F.col("stated").alias("payload_digest"), "record_type", "refers_to", (F.col("chunk_no") + 1).alias("chunks"))
+    archives = save(write_archives(chunk_rows(pages), folder))
+    found = read_archives(archives.repartition(max(1, archives.count())))
+    whole = F.when(F.octet_length("data") == F.col("chunk_bytes"), F.col("full_bytes")).otherwise(F.raise_error(F.lit("a chunk's bytes are not all there")).cast("long"))
+    return found.where("last").select("page_id", whole.alias("payload_bytes"), F.col("stated").alias("payload_digest"), "record_type", "refers_to", (F.col("chunk_no") + 1).alias("chunks"))

@@ -1,11 +1,14 @@
 """PII, toxicity, licences, LM scores, WARC, mixing and SentencePiece."""
 
 import collections
+import gzip
 import hashlib
+import io
 import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -185,13 +188,41 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.round_trip(spark, table.limit(0)).collect() == []
 
 
+def archived(spark, pages, folder, **options):
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    return spark.createDataFrame(warc.write_archives(warc.chunk_rows(table, **options), f"file://{folder}").collect())
+
+
 def test_warc_chunks_join_to_payloads(spark, tmp_path):
-    html = "x" * (2 * warc.CHUNK + 5)
-    described = warc.describe(spark.createDataFrame([(1, "u", html), (2, "w", "y")], "page_id long, url string, html string"))
-    archives = warc.write_archives(described, f"file://{tmp_path}/a")
-    rows = sorted(warc.read_archives(spark.createDataFrame(archives.collect())).collect(), key=lambda r: (r.page_id, r.chunk_no))
-    assert b"".join(bytes(r.data) for r in rows if r.page_id == 1).decode() == html and [r.chunk_no for r in rows] == [0, 1, 2, 0]
-    assert all(len(r.data) <= warc.CHUNK for r in rows) and [r.last for r in rows] == [False, False, True, True]
+    html, other = "x" * (2 * warc.CHUNK + 5), "é" * warc.CHUNK
+    pages = [(1, "u", html), (2, "w", "y"), (3, "v", other), (3, "v", other), (4, "u", html), (None, "n", html)]
+    rows = sorted(warc.read_archives(archived(spark, pages, tmp_path / "a")).collect(), key=lambda r: (r.page_id or 0, r.chunk_no))
+    assert b"".join(bytes(r.data) for r in rows if r.page_id == 1).decode() == html and [r.chunk_no for r in rows if r.page_id in (1, 2, 4)] == [0, 1, 2, 0, 0]
+    assert [r.chunk_no for r in rows if r.page_id == 3] == [0, 0, 1, 1] and [r.full_bytes for r in rows if r.page_id == 4] == [len(html)]
+    assert all(len(r.data) <= warc.CHUNK for r in rows) and sum(r.last for r in rows) == len(pages)
+    for r in rows:
+        if r.page_id == 1:
+            assert r.digest == hashlib.sha256(html.encode()[: r.payload_bytes]).hexdigest()
+
+
+def test_warc_refuses_damaged_archives(spark, tmp_path):
+    path = archived(spark, [(1, "u", "payload " * 5000)], tmp_path / "a").first().path
+    whole = open(path[7:], "rb").read()
+    read = lambda data: list(warc.records(io.BytesIO(data)))
+    assert len(read(whole)) == 1
+    for cut in (10, len(whole) // 2, len(whole) - 9):
+        with pytest.raises((ValueError, zlib.error)):
+            read(whole[:cut])
+    plain = gzip.decompress(whole)
+    for damaged in (plain.replace(b"payload payload", b"payload Payload", 1), plain.replace(b"Content-Length: 40000", b"Content-Length: 39000")):
+        with pytest.raises(ValueError):
+            read(gzip.compress(damaged))
+
+
+def test_warc_retried_task_leaves_a_file_that_nobody_reads(spark, tmp_path):
+    first = archived(spark, [(1, "u", "a"), (2, "v", "b")], tmp_path / "a")
+    archived(spark, [(1, "u", "a")], tmp_path / "a")
+    assert sorted(r.page_id for r in warc.read_archives(first).collect()) == [1, 2]
 
 
 # ---------------------------------------------------------------- mixing
