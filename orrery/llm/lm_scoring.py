@@ -2,38 +2,44 @@
 
 Counts of all n-grams up to `order` come from all documents. Each word is scored by
 leaving itself out: S = (c(context, w) - 1) / (c(context) - 1) if that n-gram occurs
-elsewhere, else ALPHA times the shorter context's S, down to max(c(w) - 1, 1/2) / N. A document's score is the sum of log S over its words.
-
-1. Documents are dealt into blocks by a hash. A block's distinct n-grams and their counts
-   are exploded into cells by n-gram hash: rows (cell, block, packed sorted hashes, counts),
-   so a frequent n-gram is one entry per block and never a hot key.
-2. Cells are grouped: counts are summed over blocks, and each block gets back the totals of
-   its n-grams, without those that occur once only (they can never help).
-3. Blocks are joined with these totals, n-grams meet their counts, logarithms are summed per
-   document. The dealt documents are shuffled once and read twice.
-
-Rows hold packed arrays instead of one n-gram each: the same join, with some hundred times
-fewer rows to shuffle. `block_rows` bounds a block, and there are as many cells as keep one
-at about `cell_grams` n-grams, `cells` at least, so what a task holds doesn't grow with the corpus.
+elsewhere, else ALPHA times the shorter context's S, down to max(c(w) - 1, 1/2) / N. A
+document's score is the sum of log S over its words.
+
+1. Documents are read once into a table of blocks of about `block_words` words each: a block's
+   vocabulary of word hashes and every word as a number in it. A longer document is cut into
+   pieces of several blocks; a piece repeats the words that its first contexts need.
+2. A block's distinct n-grams and their counts are exploded into cells by n-gram hash: rows
+   (cell, block, packed sorted hashes, counts), so a frequent n-gram is one entry per block
+   and copies of a document are dealt like any other; nothing is a hot key.
+3. Cells are grouped: counts are summed over blocks, and each block gets back, in the order
+   in which it sent its n-grams, how often they occur in all.
+4. Blocks are joined with these totals, logarithms are summed per piece, and pieces per document.
+
+Rows hold packed arrays instead of one n-gram each: the same join, with some thousand times
+fewer rows to shuffle. Cells and the shuffles' partitions grow with the words, so what a task
+holds doesn't.
 
 Words are runs of letters, digits and non-ASCII characters, in ASCII lower case; n-grams are
 compared by 64-bit hashes. Nulls and edges: a null or empty text has no words and score 0
-(mean null); repeated rows count and are scored as often as they occur; long texts are whole;
-an empty table returns no rows; other columns are ignored whatever their names.
+(mean null); repeated rows count and are scored as often as they occur; ties can't arise, as every
+row gets its own score; long texts are whole; an empty table returns no rows; other columns are
+ignored whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import byte_class, mix, span_hashes, text_chunks, word_spans
+from orrery.llm.shared import byte_class, mix, save, span_hashes, text_chunks, word_spans
 
 ALNUM = byte_class("alnum")
 ALPHA = 0.4
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SLICE = 1 << 22  # bytes of a text that are hashed at once
+MOST_ROWS = 1 << 16  # documents of a block, however short
 _K = np.array([0x9AE16A3B2F90404F, 0xC949C7DEFE7A4D8B, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
 
@@ -55,8 +61,16 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(from_planes(packed), dtype=np.uint64)
 
 
+def squeeze(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def expand(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+
+
 def ngram_hashes(words: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
-    """Per length 1..order the hash of the n-gram ending at each word; 0 where the document has none. first: each word's place in its document."""
+    """Per length 1..order the hash of the n-gram ending at each word; 0 where the piece has none. first: each word's place in its piece."""
     out = [mix(words + _K[0])]
     for n in range(2, order + 1):
         longer = np.zeros_like(words)
@@ -65,117 +79,154 @@ def ngram_hashes(words: np.ndarray, first: np.ndarray, order: int) -> list[np.nd
     return out
 
 
-def _grams(column, order: int):
-    """(first row, words per row, hashes per length) of chunks of a text column."""
-    for i, j, data, offsets in text_chunks(column):
-        if len(data):
-            starts, ends, counts = word_spans(data, offsets, ALNUM)
-            words = span_hashes(data)(starts, ends)
-            first = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield i, counts, ngram_hashes(words, first, order)
-        else:
-            yield i, np.zeros(j - i, np.int64), [np.zeros(0, np.uint64)] * order
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([p[0] for p in parts])
-    counts = np.concatenate([p[1] for p in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[cut], np.add.reduceat(counts, cut) if len(cut) else counts
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and words per row. A long text is hashed in slices that end where a word does."""
+    if len(offsets) > 2 or len(data) <= SLICE:
+        starts, ends, counts = word_spans(data, offsets, ALNUM)
+        return (span_hashes(data)(starts, ends) if len(data) else np.zeros(0, np.uint64)), counts
+    out, at = [], 0
+    while at < len(data):
+        end = min(at + SLICE, len(data))
+        while end < len(data) and ALNUM[data[end - 1]] and ALNUM[data[end]]:
+            end += 1
+        part = data[at:end]
+        starts, ends, _ = word_spans(part, np.array([0, len(part)]), ALNUM)
+        out.append(span_hashes(part)(starts, ends))
+        at = end
+    words = np.concatenate(out)
+    return words, np.array([len(words)])
+
+
+BLOCKS = "block long, rows array<long>, doc_ids array<long>, words array<long>, lead array<int>, n_words long, vocabulary binary, ids binary, n_ids long, n_known long"
+
+
+def block_table(docs: DataFrame, order: int, block_words: int) -> DataFrame:
+    """The table of blocks: pieces of documents (row number, doc_id, words, and words before them that are context only), their words as numbers in the block's vocabulary."""
+
+    def run(batches):
+        task, made, row = TaskContext.get().partitionId(), 0, 0
+        pieces: list[tuple] = []
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush():
+            nonlocal made, pieces, held, size
+            vocabulary, ids = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_inverse=True)
+            ids = ids.astype(np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32)
+            rows, doc_ids, words, lead = zip(*pieces, strict=True)
+            cells = {"block": (task << 32) + made, "rows": rows, "doc_ids": doc_ids, "words": words, "lead": lead, "n_words": sum(words)}
+            cells |= {"vocabulary": squeeze(vocabulary.tobytes()), "ids": squeeze(ids.tobytes()), "n_ids": len(ids), "n_known": len(vocabulary)}
+            kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            made, pieces, held, size = made + 1, [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(cells.values(), kinds, strict=True)], names=list(cells))
 
-
-def lm_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, cells: int = 1024, block_rows: int = 8192, cell_grams: int = 1 << 22) -> DataFrame:
+        for batch in batches:
+            for i, j, data, offsets in text_chunks(batch.column(0)):
+                words, counts = hashed_words(data, offsets)
+                at = np.concatenate(([0], np.cumsum(counts)))
+                for doc_id, a, b in zip(batch.column(1).slice(i, j - i).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    begin = a
+                    while True:
+                        end = min(b, begin + block_words - size)
+                        lead = min(order - 1, begin - a)
+                        pieces.append(((task << 32) + row, doc_id, end - begin, lead))
+                        held.append(words[begin - lead : end])
+                        size += end - begin
+                        begin = end
+                        if size >= block_words or len(pieces) >= MOST_ROWS:
+                            yield flush()
+                        if begin >= b:
+                            break
+                    row += 1
+        if pieces:
+            yield flush()
+
+    return save(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, BLOCKS))
+
+
+def block_grams(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of a block: its pieces' word counts with lead, which words are scored, n-gram hashes per length, each word's place in its piece."""
+    kind = np.uint16 if row["n_known"] <= 1 << 16 else np.uint32
+    vocabulary = np.frombuffer(expand(row["vocabulary"], 8 * row["n_known"]), np.uint64)
+    words = vocabulary[np.frombuffer(expand(row["ids"], row["n_ids"] * np.dtype(kind).itemsize), kind)]
+    lead = np.array(row["lead"], dtype=np.int64)
+    counts = np.array(row["words"], dtype=np.int64) + lead
+    first = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return counts, first >= np.repeat(lead, counts), ngram_hashes(words, first, order), first
+
+
+def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA, cells: int = 32, block_words: int = 1 << 20, cell_grams: int = 1 << 21) -> DataFrame:
     """doc_id, n_words, n_backoff (words whose longest context did not help), logprob and mean_logprob of every row of docs (doc_id, text)."""
-    size = docs.select(F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).alias("n")).agg(F.count("*").alias("rows"), F.sum("n").alias("words")).first()
-    blocks, n_words = max(8, -(-size["rows"] // block_rows)), max(size["words"] or 0, 1)
-    dealt = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
     if cells & (cells - 1):
         raise ValueError("cells must be a power of two")
+    blocks = block_table(docs, order, block_words)
+    n_blocks, n_words = blocks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    n_words = max(n_words, 1)
     while cells * cell_grams < order * n_words:
         cells *= 2
     shift = np.uint64(64 - (cells.bit_length() - 1))
 
     def count(batches):
-        def packed(block: int, parts):
-            keys, counts = _merged(parts)
-            cell = (keys >> shift).astype(np.int64)
-            at = np.searchsorted(cell, np.arange(cells + 1))
-            some = np.flatnonzero(at[1:] > at[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block, np.int32)),
-                    pa.array([pack(keys[at[c] : at[c + 1]]) for c in some], pa.binary()), pa.array([planes(counts[at[c] : at[c + 1]]) for c in some], pa.binary()),
-                ],
-                names=["cell", "block", "grams", "counts"],
-            )
-
-        held: dict[int, list] = {}
         for batch in batches:
-            block_of = batch.column(2).to_numpy()
-            for i, counts, grams in _grams(batch.column(0), order):
-                of_word = np.repeat(block_of[i : i + len(counts)], counts)
-                for block in np.unique(of_word).tolist():
-                    own = of_word == block
-                    keys = np.concatenate([g[own] for g in grams])
-                    held.setdefault(block, []).append(np.unique(keys[keys != 0], return_counts=True))
-                    if len(held[block]) > 8:
-                        held[block] = [_merged(held[block])]
-        for block, parts in held.items():
-            yield from packed(block, parts)
-
-    exploded = dealt.mapInArrow(count, "cell int, block int, grams binary, counts binary")
+            for row in (batch.slice(r, 1).to_pylist()[0] for r in range(batch.num_rows)):
+                _, scored, grams, _ = block_grams(row, order)
+                keys = np.concatenate(grams)
+                own = np.tile(scored, order)[keys != 0]
+                keys, back = np.unique(keys[keys != 0], return_inverse=True)
+                counts = np.bincount(back[own], minlength=len(keys)).astype(np.uint64)
+                at = np.searchsorted((keys >> shift).astype(np.int64), np.arange(cells + 1))
+                for c in np.flatnonzero(at[1:] > at[:-1]).tolist():
+                    cut = slice(at[c], at[c + 1])
+                    packed = [pa.array([pack(keys[cut])], pa.binary()), pa.array([squeeze(planes(counts[cut]))], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([row["block"]]), *packed], names=["cell", "block", "grams", "counts"])
+
+    packed_words = blocks.select("block", "words", "lead", "vocabulary", "ids", "n_ids", "n_known")
+    exploded = packed_words.mapInArrow(count, "cell int, block long, grams binary, counts binary").repartition(max(8, cells // 4), "cell")
 
     def total(table: pa.Table) -> pa.Table:
         grams = [unpack(g.as_py()) for g in table.column("grams")]
-        counts = [from_planes(c.as_py()).view(np.int64) for c in table.column("counts")]
-        keys, sums = _merged(list(zip(grams, counts, strict=True)))
-        keys, sums = keys[sums > 1], sums[sums > 1]
-        out_grams, out_sums = [], []
-        for g in grams:
-            at = np.searchsorted(keys, g)
-            have = keys[np.minimum(at, len(keys) - 1)] == g if len(keys) else np.zeros(len(g), bool)
-            out_grams.append(pack(g[have]))
-            out_sums.append(planes(sums[at[have]]))
-        return pa.table({"block": table.column("block"), "grams": pa.array(out_grams, pa.binary()), "sums": pa.array(out_sums, pa.binary())})
-
-    totals = exploded.groupBy("cell").applyInArrow(total, "block int, grams binary, sums binary")
+        counts = np.concatenate([from_planes(expand(c.as_py(), 8 * len(g))) for c, g in zip(table.column("counts"), grams, strict=True)])
+        keys = np.concatenate(grams)
+        order_ = np.argsort(keys, kind="stable")
+        keys = keys[order_]
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        sums = np.empty(len(keys), np.uint64)
+        sums[order_] = np.add.reduceat(counts[order_], np.flatnonzero(new))[np.cumsum(new) - 1]
+        ends = np.cumsum([len(g) for g in grams])
+        packed = [squeeze(planes(sums[e - len(g) : e].copy())) for g, e in zip(grams, ends, strict=True)]
+        return pa.table({"block": table.column("block"), "cell": table.column("cell"), "sums": pa.array(packed, pa.binary()), "n": pa.array([len(g) for g in grams], pa.int64())})
+
+    totals = exploded.groupBy("cell").applyInArrow(total, "block long, cell int, sums binary, n long")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams = [unpack(g.as_py()) for g in right.column("grams")]
-        keys = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        sums = np.concatenate([from_planes(s.as_py()).view(np.int64) for s in right.column("sums")]) if grams else np.zeros(0, np.int64)
-        by = np.argsort(keys)
-        keys, sums = keys[by], sums[by]
-
-        def known(g: np.ndarray) -> np.ndarray:
-            """How often an n-gram occurs besides here."""
-            if not len(keys):
-                return np.zeros(len(g), np.int64)
-            at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            return np.where(keys[at] == g, sums[at] - 1, 0)
-
-        counts_out, backoff, logs = [], [], []
-        for _, counts, hashes in _grams(left.column("text"), order):
-            here = [known(h) for h in hashes]
-            value = np.log(np.maximum(here[0], 0.5) / n_words)
-            hit = here[0] >= 0
-            for n in range(1, order):
-                before = np.zeros_like(here[n])
-                before[1:] = here[n - 1][:-1]
-                inside = hashes[n] != 0
-                found = inside & (here[n] > 0)
-                value = np.where(found, np.log(np.maximum(here[n], 1) / np.maximum(before, 1)), value + np.where(inside, np.log(alpha), 0.0))
-                hit = np.where(inside, found, hit)
-            at = np.concatenate(([0], np.cumsum(counts)))
-            for out, x in ((backoff, ~hit), (logs, value)):
-                run = np.concatenate(([0], np.cumsum(x)))
-                out.append(run[at[1:]] - run[at[:-1]])
-            counts_out.append(counts)
-        empty = [np.zeros(0)]
-        n, miss, log = (np.concatenate(x or empty) for x in (counts_out, backoff, logs))
-        return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(n.astype(np.int64)), "n_backoff": pa.array(miss.astype(np.int64)), "logprob": pa.array(log.astype(np.float64))})
-
-    joined = dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, n_backoff long, logprob double")
-    return joined.withColumn("mean_logprob", F.when(F.col("n_words") > 0, F.col("logprob") / F.col("n_words")))
+        row = left.to_pylist()[0]
+        counts, scored, grams, first = block_grams(row, order)
+        keys = np.concatenate(grams)
+        some = keys != 0
+        _, back = np.unique(keys[some], return_inverse=True)
+        by_cell = sorted(zip(right.column("cell").to_pylist(), right.column("sums").to_pylist(), right.column("n").to_pylist(), strict=True))
+        sums = np.concatenate([np.zeros(0, np.uint64), *(from_planes(expand(s, 8 * n)) for _, s, n in by_cell)]).astype(np.int64)
+        here = np.zeros(len(keys), np.int64)
+        here[some] = sums[back] - 1  # how often an n-gram occurs besides here
+        here = here.reshape(order, -1)
+        value = np.log(np.maximum(here[0], 0.5) / n_words)
+        hit = np.ones(len(value), dtype=bool)
+        for n in range(1, order):
+            before = np.zeros_like(here[n])
+            before[1:] = here[n - 1][:-1]
+            inside = first >= n
+            found = inside & (here[n] > 0)
+            value = np.where(found, np.log(np.maximum(here[n], 1) / np.maximum(before, 1)), value + np.where(inside, np.log(alpha), 0.0))
+            hit = np.where(inside, found, hit)
+        at = np.concatenate(([0], np.cumsum(counts)))
+        sums_of = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[at])
+        return pa.table({
+            "row": pa.array(row["rows"], pa.int64()), "doc_id": pa.array(row["doc_ids"], pa.int64()), "n_words": pa.array(row["words"], pa.int64()),
+            "n_backoff": pa.array(sums_of(~hit & scored).astype(np.int64)), "logprob": pa.array(sums_of(np.where(scored, value, 0.0)).astype(np.float64)),
+        })
+
+    parts = max(8, -(-n_blocks // 4))
+    both = blocks.repartition(parts, "block").groupBy("block").cogroup(totals.repartition(parts, "block").groupBy("block"))
+    pieces = both.applyInArrow(score, "row long, doc_id long, n_words long, n_backoff long, logprob double")
+    whole = pieces.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_backoff", "logprob")]).drop("row")
+    return whole.withColumn("mean_logprob", F.when(F.col("n_words") > 0, F.col("logprob") / F.col("n_words")))

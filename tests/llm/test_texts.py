@@ -141,13 +141,14 @@ def test_license_spans(spark):
 
 
 # ---------------------------------------------------------------- LM scores
-@pytest.mark.parametrize("order", [2, 3])
-def test_lm_scores(spark, order):
+@pytest.mark.parametrize("order, block_words", [(2, 1 << 20), (3, 1 << 20), (4, 700)])
+def test_lm_scores(spark, order, block_words):
+    """Documents of thousands of words among blocks of 700 are cut into pieces."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = {r.doc_id: words_of(r.text) for r in docs.collect()}
     counts = collections.Counter(tuple(w[k : k + n]) for w in rows.values() for n in range(1, order + 1) for k in range(len(w) - n + 1))
     total = sum(map(len, rows.values()))
-    got = {r.doc_id: r for r in lm_scoring.lm_scores(docs, order=order, cells=4, cell_grams=5000).collect()}
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(docs, order=order, cells=4, cell_grams=5000, block_words=block_words).collect()}
     for i, w in rows.items():
         want = missed = 0
         for k in range(len(w)):
@@ -169,6 +170,24 @@ def test_lm_edge_cases(spark):
     assert lm_scoring.lm_scores(odd(spark).limit(0)).collect() == []
 
 
+def test_lm_scores_of_many_copies(spark):
+    """A row that makes up most of the table is dealt over blocks; each copy is scored by the others."""
+    docs = spark.range(400).select(F.when(F.col("id") % 4 > 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 4 > 0, F.lit("a b c d")).otherwise(F.concat(F.lit("x"), "id")).alias("text"))
+    rows = lm_scoring.lm_scores(docs, block_words=50).collect()
+    assert len(rows) == 400 and sum(r.doc_id == 7 for r in rows) == 300
+    copies = [r for r in rows if r.doc_id == 7]
+    want = math.log(299 / (4 * 300 + 100))
+    assert all(r.n_words == 4 and r.n_backoff == 0 and math.isclose(r.logprob, want, rel_tol=1e-9) for r in copies)
+
+
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    text = np.frombuffer(("word one, two é " * 50 + "z" * 90).encode(), np.uint8)
+    whole, _ = lm_scoring.hashed_words(text, np.array([0, len(text)]))
+    monkeypatch.setattr(lm_scoring, "SLICE", 37)
+    sliced, counts = lm_scoring.hashed_words(text, np.array([0, len(text)]))
+    assert np.array_equal(whole, sliced) and counts.tolist() == [len(whole)]
+
+
 # ---------------------------------------------------------------- WARC
 def test_warc_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "CHUNK", 1000)
