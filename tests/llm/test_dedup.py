@@ -128,7 +128,9 @@ def test_e8_decoder_finds_the_nearest_point():
     assert ((near.sum(1) / 2) % 2 == 0).all() and ((near % 2 == near[:, :1] % 2).all())
 
 
-def test_embedding_near_dedup(spark):
+@pytest.mark.parametrize("block", [512, 8])
+def test_embedding_near_dedup(spark, block, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)  # small blocks: crowds, and several tiles of a key
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 64))
     rows = []
@@ -136,7 +138,8 @@ def test_embedding_near_dedup(spark):
         v = base[rng.integers(40)] + rng.normal(size=64) * rng.choice([0, 0.02, 0.1, 0.15, 1])
         rows.append((i, [float(np.float32(x)) for x in v], int(rng.integers(3)) if i % 17 else None))
     rows += [(1000, None, 1), (1001, [0.0] * 64, 1), (1002, [float("nan")] * 64, 1), (1003, [1.0, None], 1), (1004, [1.0, 0.0], 1), (1005, [2.0, 0.0], 1), (None, [1.0, 0.0], 1)]
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit("clash") for c in ("node", "keys", "crowd", "n_links")})
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table).collect()}
     ids = [r[0] for r in rows[:300]]
     x = np.array([r[1] for r in rows[:300]])
     unit = x / np.linalg.norm(x, axis=1)[:, None]
@@ -150,6 +153,31 @@ def test_embedding_near_dedup(spark):
     assert (got[1004].n_links, got[1005].n_links, got[1005].component_id) == (2, 2, 1004)
 
 
+def test_embedding_crowd_is_counted_once(spark, monkeypatch):
+    """One large group of near copies and one of exact ones, among others that share their keys: each link counts once."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=32)
+    near = base + rng.normal(size=(90, 32)) * 0.03
+    far = base + rng.normal(size=(40, 32)) * 0.16
+    x = np.float32(np.concatenate((near, far, np.repeat(near[:1], 25, axis=0)))).astype(float)
+    rows = [(i, [float(a) for a in v], 1) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    exact = [i for i in range(90)] + list(range(130, 155))
+    assert all(got[i].n_links <= want[i] for i in got) and sum(got[i].n_links for i in exact) >= 0.98 * sum(want[i] for i in exact)
+    assert len({got[i].component_id for i in exact}) == 1 and got[0].kept
+
+
+def test_connected():
+    rng = random.Random(3)
+    pairs = [(rng.randrange(50), rng.randrange(50)) for _ in range(35)] + [(60 + i, 61 + i) for i in range(30)]
+    got = embedding_dedup.connected(100, *np.array(pairs).T)
+    want = components_of(pairs, range(100))
+    assert got.tolist() == [want[i] for i in range(100)]
+
+
 def test_graph_search_recall(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate((rng.normal(size=(1500, 24)), np.tile(rng.normal(size=(1, 24)), (60, 1))))
