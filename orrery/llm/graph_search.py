@@ -7,15 +7,18 @@ already chosen than to the node) keeps diverse edges, and reverse edges are adde
 For inner products a component is appended that gives all vectors of the shard equal norms.
 Each shard's graph is one row of the index table; all rows of the input are in it.
 
-Queries go in blocks to every shard of their dimension. Beam search advances a block's queries
-together; what it meets is scored in double precision on the original vectors, and the best of
-all shards are merged. A shard of few nodes is scanned.
+Queries go in blocks to every shard of their dimension: one group of a task is one shard and one
+block. Beam search advances a block's queries together; what it meets is scored in double precision
+on the original vectors, and the best of all shards are merged. A shard of fewer nodes than a few
+beams (4 * BEAM) is scanned, which gives the same answer exactly. Every query visits every shard, so
+the work is in proportion to queries times rows / SHARD; vectors without clusters leave nothing to
+route queries by.
 
 Nulls and edges: vectors that are null, zero or hold null or non-finite components, and rows
 without an id, take no part; ties go to the smaller id; equal vectors of different ids each count as
-candidates, repeated rows once;
-only vectors of a query's length are candidates; an empty table returns no rows; other columns
-are ignored whatever their names.
+candidates, repeated rows once; an id with several vectors is a candidate with each, and queries with
+the least of them (as arrays compare); only vectors of a query's length are candidates; an empty
+table returns no rows; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 from orrery.llm.shared import save
 from orrery.llm.vectors import matrix, usable
 
-SHARD, DEGREE, BEAM, ALPHA, WIDTH = 4096, 32, 96, 1.2, 4
-QUERY_BLOCK = 1024
+SHARD, DEGREE, BEAM, ALPHA, WIDTH = 16384, 32, 96, 1.2, 4
+QUERY_BLOCK, AT_ONCE = 16384, 1024
 
 
 def _distances(x: np.ndarray, ids: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -41,46 +44,60 @@ def _distances(x: np.ndarray, ids: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, squared distances) of each query's beam, nearest first; -1 where it isn't full. All queries advance together."""
+    """(ids, squared distances) of each query's beam, nearest first; -1 where it isn't full. All queries advance together.
+
+    Queries whose beam is done leave; a node met twice in one step counts where it was written last.
+    """
     q, n = len(queries), len(x)
-    rows = np.arange(q)[:, None]
+    out_ids, out_far = np.full((q, beam), -1), np.full((q, beam), np.inf, dtype=x.dtype)
     ids = np.full((q, beam), -1)
     far = np.full((q, beam), np.inf, dtype=x.dtype)
     done = np.ones((q, beam), dtype=bool)
     ids[:, 0], done[:, 0] = start, False
     far[:, 0] = ((x[start] - queries) ** 2).sum(1)
-    seen = np.zeros((q, n), dtype=bool)
-    seen[:, start] = True
-    while not done.all():
+    seen = np.zeros((q, n), dtype=np.uint16)  # the place in its step at which a node was met, from 1
+    seen[:, start] = 1
+    who = np.arange(q)
+    while len(who):
         waiting = np.where(done, np.inf, far)
         pick = np.argpartition(waiting, WIDTH - 1, axis=1)[:, :WIDTH]
-        open_ = np.take_along_axis(~done, pick, 1)
+        open_ = ~np.take_along_axis(done, pick, 1)
         np.put_along_axis(done, pick, True, 1)
-        next_ = graph[np.where(open_, ids[rows, pick], start)].reshape(q, -1)
-        fresh = np.repeat(open_, graph.shape[1], axis=1) & (next_ >= 0)
-        next_ = np.where(fresh, next_, 0)
-        fresh &= ~seen[rows, next_]
-        order = np.argsort(np.where(fresh, next_, n), axis=1, kind="stable")
-        sorted_ = np.take_along_axis(np.where(fresh, next_, n), order, 1)
-        again = np.zeros_like(fresh)
-        again[:, 1:] = sorted_[:, 1:] == sorted_[:, :-1]
-        next_, fresh = np.where(sorted_ < n, sorted_, 0), (sorted_ < n) & ~again
-        most = int(fresh.sum(1).max(initial=0))
-        if not most:
-            continue
-        keep = np.argsort(~fresh, axis=1, kind="stable")[:, :most]
-        next_, fresh = np.take_along_axis(next_, keep, 1), np.take_along_axis(fresh, keep, 1)
-        seen[np.repeat(rows, most, axis=1)[fresh], next_[fresh]] = True
-        d = np.where(fresh, _distances(x, next_, queries), np.inf)
-        all_ids, all_far = np.concatenate((ids, np.where(fresh, next_, -1)), 1), np.concatenate((far, d), 1)
-        all_done = np.concatenate((done, ~fresh), 1)
-        best = np.argsort(all_far, axis=1, kind="stable")[:, :beam]
-        ids, far, done = (np.take_along_axis(v, best, 1) for v in (all_ids, all_far, all_done))
-    return ids, far
+        next_ = graph[np.where(open_, np.take_along_axis(ids, pick, 1), start)].reshape(len(who), -1)
+        row, col = np.nonzero(np.repeat(open_, graph.shape[1], axis=1) & (next_ >= 0))
+        node = next_[row, col]
+        fresh = seen[who[row], node] == 0
+        row, node = row[fresh], node[fresh]
+        place = (np.arange(len(row)) % 65535 + 1).astype(np.uint16)
+        seen[who[row], node] = place
+        once = seen[who[row], node] == place
+        row, node = row[once], node[once]
+        if len(row):
+            d = x[node] - queries[who[row]]
+            d = np.einsum("cd,cd->c", d, d)
+            many = np.bincount(row, minlength=len(who))
+            at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            wide = int(many.max())
+            new_far = np.full((len(who), wide), np.inf, dtype=x.dtype)
+            new_ids = np.full((len(who), wide), -1)
+            new_far[row, at], new_ids[row, at] = d, node
+            all_far = np.concatenate((far, new_far), 1)
+            best = np.argpartition(all_far, beam - 1, axis=1)[:, :beam]
+            far = np.take_along_axis(all_far, best, 1)
+            ids = np.take_along_axis(np.concatenate((ids, new_ids), 1), best, 1)
+            done = np.take_along_axis(np.concatenate((done, new_ids < 0), 1), best, 1)
+        over = done.all(1)
+        if over.any():
+            out_ids[who[over]], out_far[who[over]] = ids[over], far[over]
+            who, ids, far, done = who[~over], ids[~over], far[~over], done[~over]
+    order = np.argsort(out_far, axis=1, kind="stable")
+    return np.take_along_axis(out_ids, order, 1), np.take_along_axis(out_far, order, 1)
 
 
 def robust_prune(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Out-edges (-1: none) of nodes `of` from candidate ids (-1: none)."""
+    if len(of) > 512:
+        return np.concatenate([robust_prune(x, of[at : at + 512], candidates[at : at + 512], degree, alpha) for at in range(0, len(of), 512)])
     ok = (candidates >= 0) & (candidates != of[:, None])
     safe = np.where(ok, candidates, 0)
     near = np.where(ok, _distances(x, safe, x[of]), np.inf)
@@ -88,6 +105,8 @@ def robust_prune(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree:
     safe, near = np.take_along_axis(safe, order, 1), np.take_along_axis(near, order, 1)
     near[:, 1:][safe[:, 1:] == safe[:, :-1]] = np.inf
     held = x[safe]
+    size = np.einsum("bcd,bcd->bc", held, held)
+    between = size[:, :, None] + size[:, None, :] - 2 * (held @ held.transpose(0, 2, 1))  # squared distances of the candidates
     out = np.full((len(of), degree), -1)
     live = np.isfinite(near)
     rows = np.arange(len(of))
@@ -97,8 +116,7 @@ def robust_prune(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree:
             break
         at = np.argmax(live, axis=1)
         out[have, k] = safe[rows, at][have]
-        d = held - held[rows, at][:, None, :]
-        live &= ~((alpha * alpha) * np.einsum("bcd,bcd->bc", d, d) <= near)
+        live &= ~((alpha * alpha) * between[rows, at] <= near)
         live[rows, at] = False
     return out
 
@@ -133,9 +151,11 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = 64, alpha: floa
     return graph.astype(np.int32), start
 
 
-def _lifted(x: np.ndarray, top: float) -> np.ndarray:
-    """Vectors of equal norm whose nearest neighbours have the largest inner products."""
-    rest = np.sqrt(np.maximum(top - (x * x).sum(1), 0))
+def _lifted(x: np.ndarray) -> np.ndarray:
+    """Vectors of norm one whose nearest neighbours have the largest inner products; scaled first, so that no square overflows."""
+    x = x / np.abs(x).max()
+    x = x / np.sqrt((x * x).sum(1).max())
+    rest = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
     return np.concatenate((x, rest[:, None]), 1).astype(np.float32)
 
 
@@ -151,8 +171,7 @@ def build_index(vectors: DataFrame, shard: int = SHARD) -> tuple[DataFrame, int]
         ids, x = table.column("vec_id").to_numpy(), matrix(table.column("embedding"))
         distinct, back = np.unique(x, axis=0, return_inverse=True)
         order = np.lexsort((ids, back.ravel()))
-        lifted = _lifted(distinct, float((distinct * distinct).sum(1).max()))
-        graph, start = build_graph(lifted) if len(distinct) > 4 * BEAM else (np.zeros((0, DEGREE), np.int32), 0)
+        graph, start = build_graph(_lifted(distinct)) if len(distinct) > 4 * BEAM else (np.zeros((0, DEGREE), np.int32), 0)
         cells = {"dim": table.column("dim")[0].as_py(), "shard": table.column("shard")[0].as_py(), "start": start}
         packed = {"ids": ids[order], "copies": np.bincount(back.ravel()).astype(np.int64), "vectors": distinct, "graph": graph}
         return pa.table({k: pa.array([v], pa.int64() if k == "start" else pa.int32()) for k, v in cells.items()} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in packed.items()})
@@ -168,14 +187,12 @@ def search_shard(row: dict, query_ids: np.ndarray, queries: np.ndarray, k: int,
     graph = np.frombuffer(row["graph"], np.int32).reshape(-1, DEGREE)
     first = np.cumsum(copies) - copies
     out = []
+    found = None
     if len(graph):
-        lifted = _lifted(x, float((x * x).sum(1).max()))
-        aim = np.concatenate((queries, np.zeros((len(queries), 1))), 1).astype(np.float32)
-        # the query's length doesn't change its order of inner products; equal norms make distances comparable
-        aim *= np.sqrt((lifted[:1] ** 2).sum()) / np.maximum(np.sqrt((aim**2).sum(1)), 1e-30)[:, None]
-        found, _ = beam_search(lifted, graph, row["start"], aim, max(beam, k + 1))
-    else:
-        found = None
+        lifted = _lifted(x)
+        aim = queries / np.abs(queries).max(1, keepdims=True)  # a query's length doesn't change its order of inner products
+        aim = np.concatenate((aim / np.sqrt((aim * aim).sum(1, keepdims=True)), np.zeros((len(aim), 1))), 1).astype(np.float32)
+        found = np.concatenate([beam_search(lifted, graph, row["start"], aim[part : part + AT_ONCE], max(beam, k + 1))[0] for part in range(0, len(aim), AT_ONCE)])
     for at, q in enumerate(queries):
         nodes = found[at][found[at] >= 0] if found is not None else np.arange(len(x))
         scores = (x[nodes] * q).sum(1)
@@ -195,24 +212,29 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHAR
     """query_id, rank, vec_id, score: each query's k nearest by inner product among all other rows of vectors (vec_id, embedding)."""
     index, shards = build_index(vectors, shard)
     queries = vectors.where(usable() & F.col("vec_id").isNotNull() & is_query).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    queries = save(queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     queries = queries.withColumn("dim", F.size("embedding")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
-        ids, x = table.column("vec_id").to_numpy(), matrix(table.column("embedding"))
-        _, once = np.unique(ids, return_index=True)
-        return pa.table({"dim": pa.array([table.column("dim")[0].as_py()], pa.int32()), "query_ids": pa.array([ids[once].tobytes()], pa.binary()), "queries": pa.array([x[once].tobytes()], pa.binary())})
-
-    packed = queries.groupBy("dim", "block").applyInArrow(pack, "dim int, query_ids binary, queries binary")
-    sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def search(batches):
-        for batch in batches:
-            for row in (batch.slice(r, 1).to_pylist()[0] for r in range(batch.num_rows)):
-                ids = np.frombuffer(row["query_ids"], np.int64)
-                got = search_shard(row, ids, np.frombuffer(row["queries"], np.float64).reshape(len(ids), -1), k, beam)
-                yield pa.RecordBatch.from_arrays([pa.array(g) for g in got], names=["query_id", "vec_id", "score"])
-
-    met = sent.join(index, ["dim", "shard"]).mapInArrow(search, "query_id long, vec_id long, score double")
+        cells = {c: pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("dim", "block")}
+        packed = {"query_ids": table.column("vec_id").to_numpy().tobytes(), "queries": matrix(table.column("embedding")).tobytes()}
+        return pa.table(cells | {c: pa.array([v], pa.binary()) for c, v in packed.items()})
+
+    packed = queries.groupBy("dim", "block").applyInArrow(pack, "dim int, block int, query_ids binary, queries binary")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = ("dim", "shard", "block")
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, kinds = ("query_id", "vec_id", "score"), (pa.int64(), pa.int64(), pa.float64())
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
+        sent = right.to_pylist()[0]
+        ids = np.frombuffer(sent["query_ids"], np.int64)
+        got = search_shard(left.to_pylist()[0], ids, np.frombuffer(sent["queries"], np.float64).reshape(len(ids), -1), k, beam)
+        return pa.table({n: pa.array(g, t) for n, g, t in zip(names, got, kinds, strict=True)})
+
+    shards_of = index.withColumn("block", every(blocks)).groupBy(*met)
+    found = shards_of.cogroup(packed.withColumn("shard", every(shards)).groupBy(*met)).applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -211,6 +211,24 @@ def test_graph_search_counts_repeated_rows_once(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_graph_search_large_components(spark):
+    """Squares that overflow single precision don't break the order; several vectors of one id each count, its query is the least."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(900, 12)) * 1e25
+    rows = [(i, [float(np.float32(a)) for a in v], "clash") for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows + [(0, [-1e25] * 12, "again"), (0, [-1e25] * 12, "again")], "vec_id long, embedding array<float>, query_id string").withColumns({c: F.lit(3) for c in ("shard", "dim", "rank")})
+    got = graph_search.nearest(table, F.col("vec_id") % 100 == 0, k=20).toPandas()
+    x = np.float32(x).astype(float)
+    x0 = min(x[0].tolist(), np.float32([-1e25] * 12).astype(float).tolist())
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        scores = x @ (np.array(x0) if q == 0 else x[q])
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20]) & set(part.vec_id))
+        assert len(part) == 20 and list(part["rank"].sort_values()) == list(range(1, 21))
+    assert got.query_id.nunique() == 9 and hits >= 0.9 * 180
+
+
 def test_graph_search_small_tables(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in graph_search.nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()]
