@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import licenses, lm_scoring, mixing, pii, sentencepieces, toxicity, warc
+from orrery.llm import licenses, lm_scoring, mixing, pii, sentencepieces, shared, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, " \n\t"), (3, " \n\t"), (None, "word"), (4, "long " * 50_000), (5, "é 日本 🙂 ▁")]
@@ -131,11 +131,60 @@ def test_matching_statistics():
         assert size == longest
 
 
+def test_matches_are_all_that_neither_side_extends():
+    rng = random.Random(11)
+    for _ in range(40):
+        templates = {f"t{i}": [" ".join(rng.choice("abc") for _ in range(rng.randrange(3, 25)))] for i in range(4)}
+        scanner = licenses.LicenseScanner(templates, {})
+        number = {w: k for w, k in zip("abc", scanner.numbers(np.array([shared.hash_word(c) for c in "abc"], dtype=np.uint64)), strict=True)}
+        text = [rng.choice("abc") for _ in range(60)]
+        want = set()
+        for t, (words,) in enumerate(w for w in templates.values()):
+            words = words.split()
+            for i in range(len(text)):
+                for j in range(len(words)):
+                    if text[i] == words[j] and not (i and j and text[i - 1] == words[j - 1]):
+                        n = 0
+                        while i + n < len(text) and j + n < len(words) and text[i + n] == words[j + n]:
+                            n += 1
+                        if n >= licenses.MIN_MATCH:
+                            want.add((i, t, j, n))
+        got = scanner.matches([int(number[w]) for w in text])
+        assert len(got) == len(set(got)) and set(got) == want
+        data = np.frombuffer(" ".join(text).encode(), np.uint8)
+        runs = scanner.scan(data, np.array([0, len(data)]))[2].get(0, [])
+        assert runs == scanner.spans(sorted(want))
+
+
+def spans_of(spark, texts, **options):
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit("x") for c in ("labels", "spans", "score")}), **options).collect()
+    return {r.doc_id: (r.labels, [(s["first"], s["last"], s["label"]) for s in r.spans], r.score) for r in rows}
+
+
 def test_license_spans(spark):
-    grant = licenses.TEMPLATES["bsd"][0]
-    text = "before these words " + grant.replace("source and", "source or").upper() + " after them"
-    r = licenses.scan_licenses(spark.createDataFrame([(1, text), (2, "redistribution and use in my kitchen")], "doc_id long, text string")).orderBy("doc_id").collect()
-    assert r[0].labels == "bsd" and r[0].base_labels == "" and r[0].spans[0]["first"] == 3 and r[0].spans[0]["last"] == 3 + len(words_of(grant)) - 1 and r[1].labels == ""
+    grant = licenses.NOTICES["bsd"][0]
+    apache = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance"
+    got = spans_of(spark, [
+        "before these words " + grant.replace("source and", "source or").upper() + " after them", "redistribution and use in my kitchen", apache,
+        f"{apache}. And then, in other words, {apache}.", "Released under the MIT License. " + "filler " * 40 + "Released under the MIT License",
+        licenses.default_templates()["gpl"][3], licenses.NOTICES["isc"][0], licenses.NOTICES["mit"][2],
+    ])
+    assert got[0][0] == "bsd" and got[0][1] == [(3, 3 + len(words_of(grant)) - 1, "bsd")] and got[1][0] == ""
+    assert got[2][:2] == ("apache", [(0, len(words_of(apache)) - 1, "apache")]) and got[2][2] == 1
+    assert got[3][0] == "apache" and len(got[3][1]) >= 1 and got[3][2] > 0.85
+    assert [s[:2] for s in got[4][1]] == [(0, 4), (45, 49)]
+    assert got[5][0] == "gpl" and got[5][2] > 0.99 and got[6][0] == "isc" and got[7][0] == "mit"
+
+
+def test_license_passages_of_several_templates(spark):
+    """A passage that several templates share counts for each; one that a longer match holds, for that one only."""
+    same = "alpha beta gamma delta epsilon zeta eta theta"
+    templates = {"one": [f"{same} first ending words here"], "two": [f"{same} second close to it"], "three": ["gamma delta epsilon zeta"]}
+    got = spans_of(spark, [same, f"{same} second close to it", "gamma delta epsilon zeta"], templates=templates)
+    assert got[0][0] == "one,two" and got[1][0] == "two" and got[2][0] == "three"
+
+
+def test_license_edge_cases(spark):
     rows = licenses.scan_licenses(odd(spark)).collect()
     assert len(rows) == len(ODD) and licenses.scan_licenses(odd(spark).limit(0)).collect() == []
 
