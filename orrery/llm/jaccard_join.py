@@ -24,11 +24,13 @@ when |A & B| / |A | B| >= percent / 100. The result is exact.
 4. Components of the links; a component is named after its smallest doc_id.
 
 Equal sets are one node (the 64-bit sum of mixed shingle hashes), so exact copies are never
-paired.
+paired. A second sum tells whether two different sets got one number; that stops the job with
+an error, so a result is never wrong by it. What the table of hashed counts sets aside, the size of
+families that are compared with one set first (CROWD) and the bitmaps' fixed size only save work.
 
 Nulls and edges: a null text counts as empty; a null doc_id is never a component's name
-(all null: null); repeated rows each return a row; an empty table returns no rows; other
-columns are ignored, whatever their names.
+(all null: null); repeated rows each return a row; ties at the threshold link; very long texts are
+whole; an empty table returns no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -143,6 +145,11 @@ def _node(shingled: np.ndarray) -> np.uint64:
     return np.sum(mix(shingled + _K[4])) + np.uint64(len(shingled))
 
 
+def _check(shingled: np.ndarray) -> np.uint64:
+    """Another number of a set, independent of its node."""
+    return np.sum(mix(shingled ^ _K[2]))
+
+
 def _input(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"))
 
@@ -153,6 +160,8 @@ def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     The count table has a fixed size; tasks add up their own, then pieces of it are added up in a shuffle.
     """
 
+    names = ["doc_id", "digest", "n", "node", "check", "slot", "counts"]
+
     def run(batches):
         counts = np.zeros(COUNTS, dtype=np.int64)
         for batch in _slices(batches):
@@ -161,12 +170,13 @@ def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTS)
             node = mix(np.array([_node(s) if len(s) else 0 for s in sets], dtype=np.uint64))
             n = np.array([len(s) for s in sets], dtype=np.int64)
+            check = np.array([_check(s) for s in sets], dtype=np.uint64)
             none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n), pa.array(as_long(node), mask=n == 0), *none], names=["doc_id", "digest", "n", "node", "slot", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n), pa.array(as_long(node), mask=n == 0), pa.array(as_long(check)), *none], names=names)
         if counts.any():
             pieces = [p.astype(np.uint32).tobytes() for p in counts.reshape(SLOTS, -1)]
-            none = [pa.nulls(SLOTS, pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(SLOTS, dtype=np.int32)), pa.array(pieces, pa.binary())], names=["doc_id", "digest", "n", "node", "slot", "counts"])
+            none = [pa.nulls(SLOTS, pa.int64())] * 5
+            yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(SLOTS, dtype=np.int32)), pa.array(pieces, pa.binary())], names=names)
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -176,12 +186,14 @@ def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
         for slot, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "counts"])
 
-    made = save(_input(docs).mapInArrow(run, "doc_id long, digest long, n long, node long, slot int, counts binary"))
+    made = save(_input(docs).mapInArrow(run, "doc_id long, digest long, n long, node long, check long, slot int, counts binary"))
     pieces = made.where("slot is not null").select("slot", "counts").repartition("slot").mapInArrow(add, "slot int, counts binary")
     counts = np.zeros((SLOTS, COUNTS // SLOTS), dtype=np.int64)
     for r in pieces.toLocalIterator():  # the table: 8 MB
         counts[r["slot"]] = np.frombuffer(r["counts"], np.int64)
     usual = float(counts.mean())
+    if not made.where("node is not null").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").isEmpty():
+        raise ValueError("two different sets have one 64-bit number")
     return made.where("slot is null").select("doc_id", "digest", "n", "node"), (counts > usual + 6 * math.sqrt(usual) + 8).ravel()
 
 
@@ -223,14 +235,18 @@ def linked_in_tile(node: np.ndarray, sets: list[np.ndarray], left: np.ndarray, r
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text); percent from 1 to 100, where 100 links equal sets only."""
     return _named(_grouped(docs, width, percent))
 
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, digest, n, group) of every row of docs; linked rows share a group, rows without words have none."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is from 1 to 100")
     rows, common = shingle_sets(docs, width)
-    found = rows.where("node is not null")
+    if percent == 100:
+        return rows.select("doc_id", "digest", "n", F.col("node").alias("group"))
+    found = rows.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"))
     flags = rows.sparkSession.sparkContext.broadcast(common)
 
     def keyed(bits):
@@ -256,7 +272,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     star = save(keyed(bits).join(first, "key").where("node <> first").select("node", "first").distinct())
     family = connected_components(star, "node", "first").withColumnsRenamed({"component": "family"})
 
-    sizes = family.join(found.select("node", "n", "doc_id"), "node").groupBy("node", "family").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"))
+    sizes = family.join(found, "node")
     edge = math.log(100 / percent)
     members = save(sizes.withColumn("band", F.floor(F.log("n") / F.lit(edge) + F.lit(1e-9))))
     links = _verify(docs, members, star, width, percent)
@@ -273,10 +289,14 @@ def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     bits = members.sparkSession.sparkContext.broadcast(id_bits(members, mixed, members.count()))
 
     def sets_again(batches):
+        told: set[int] = set()  # rows that repeat are told once a task
         for batch in _slices(batches):
             sets = [s for _, s in _sets_of(batch, width)]
             node = as_long(mix(np.array([_node(s) for s in sets], dtype=np.uint64)))
             keep = np.flatnonzero(maybe_in(bits.value, node ^ pc.fill_null(batch.column(1), -1).to_numpy(zero_copy_only=False)))
+            _, once = np.unique(node[keep], return_index=True)
+            keep = np.array([k for k in keep[np.sort(once)].tolist() if int(node[k]) not in told], dtype=np.int64)
+            told.update(node[keep].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(node[keep]), _lists([sets[k] for k in keep])], names=["node", "shingles"])
 
     return _input(docs).mapInArrow(sets_again, "node long, shingles array<long>")
@@ -359,8 +379,12 @@ def _views(column: pa.ListArray):
 
 
 def _named(grouped: DataFrame) -> DataFrame:
-    """Every row with the smallest doc_id of its group."""
-    names = grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("name"))
+    """Every row with the smallest doc_id of its group.
+
+    Only groups of several rows need one from elsewhere; the names are written, so that the join reads two plain tables
+    and splits a large group.
+    """
+    names = save(grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("name"), F.count("*").alias("rows")).where("rows > 1").select("group", "name"))
     return grouped.join(names, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"))
 
 

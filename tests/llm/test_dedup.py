@@ -47,7 +47,7 @@ def brute_jaccard(rows, width, percent):
     return {i: (len(sets[i]), c) for i, c in components_of(edges, sets).items()}
 
 
-@pytest.mark.parametrize("width, percent, block", [(3, 90, 256), (5, 80, 256), (5, 80, 4)])
+@pytest.mark.parametrize("width, percent, block", [(3, 90, 256), (5, 80, 256), (5, 80, 4), (2, 100, 256)])
 def test_jaccard_join_is_exact(spark, width, percent, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)  # small blocks: several tiles a family, and crowds
     monkeypatch.setattr(jaccard_join, "CROWD", 2)
@@ -97,6 +97,24 @@ def test_keep_first_judges_each_text_of_a_doc_id(spark):
     assert len(nameless) == 3 and {t.lower() for t in nameless} == {copied, lone, " "}
 
 
+def test_jaccard_join_of_many_repeated_rows(spark):
+    """Repeated rows, also without doc_id, are one set of a tile; two sets of one number stop the job."""
+    text = "a b c d e f g h i j k l m n o p q r s t"
+    docs = spark.range(300).select(F.when(F.col("id") < 150, F.lit(5)).alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(9, text + " u")], "doc_id long, text string"))
+    rows = jaccard_join.jaccard_components(docs, 3, 90).collect()
+    assert len(rows) == 301 and {r.component_id for r in rows} == {5}
+
+
+def test_jaccard_join_refuses_clashing_sets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_node", lambda s: np.uint64(7))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        jaccard_join.shingle_sets(docs, 3)
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            jaccard_join.jaccard_components(docs, 3, percent)
+
+
 def test_part_keys_lose_no_link():
     rng = np.random.default_rng(5)
     none = np.zeros(jaccard_join.COUNTS, bool)
