@@ -12,9 +12,13 @@ format, so equal values get equal pseudonyms in every document, different values
 ones, and the key holder can undo it. Check digits are computed anew. Separators, the first
 digit of a card, the country of an IBAN, a phone's country code and an e-mail's domain stay.
 
+The key is the caller's secret: whoever has it can undo the pseudonyms.
+
 Nulls and edges: a null text stays null with no findings, an empty one stays empty; texts of
-any length are processed whole; an empty table returns no rows; every column except text
-(and n_chars, when present) passes through untouched, whatever its name.
+any length are processed whole; where patterns overlap, the one that begins first counts, of equal
+beginnings the first in order of trial; repeated rows get equal pseudonyms; an empty table returns no
+rows; every column except text (and n_chars, when present) passes through untouched, whatever its
+name, but one called like a result (count, kinds) gives way to it.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.shared import fresh
+
 ROUNDS = 10
 NAMES = "password|passwd|token|secret|api[_-]?key"
 #: All values, in order of trial. Possessive repeats and boundaries keep the scan linear.
@@ -163,21 +169,21 @@ def pseudonym_sql(key: str) -> str:
     return _let("kd", kind_sql(), "case kd " + " ".join(f"when '{k}' then {made[k]}" for k in KINDS) + " end")
 
 
-def pseudonymise(docs: DataFrame, key: str = "orrery", text: str = "text", count: str | None = "n_private", kinds: str | None = "private_kinds") -> DataFrame:
-    """docs with every private value of `text` replaced; optionally how many, and which kinds (sorted, comma-joined)."""
-    found = F.when(F.col(text).rlike("[0-9@=:]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    swapped = F.expr(f"transform(_found, m -> named_struct('m', m, 'kind', {kind_sql()}, 'new', {pseudonym_sql(key)}))")
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = "n_private", kinds: str | None = "private_kinds") -> DataFrame:
+    """docs with every private value of `text` replaced under the secret `key`; optionally how many, and which kinds (sorted, comma-joined)."""
+    found, swapped = fresh("_found", docs.columns), fresh("_swapped", docs.columns)
+    matches = F.when(F.col(text).rlike("[0-9@=:]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    new = F.expr(f"transform({found}, m -> named_struct('m', m, 'kind', {kind_sql()}, 'new', {pseudonym_sql(key)}))")
     gaps = F.split(text, PATTERN, -1)
-    whole = F.array_join(F.zip_with(gaps, F.col("_swapped.new"), lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))), "")
-    out = docs.withColumn("_found", found).withColumn("_swapped", F.when(F.size("_found") > 0, swapped))
-    changed = F.filter(F.col("_swapped"), lambda x: x["m"] != x["new"])
-    made = {text: F.when(F.col("_swapped").isNotNull(), whole).otherwise(F.col(text))}
+    whole = F.array_join(F.zip_with(gaps, F.col(f"{swapped}.new"), lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))), "")
+    out = docs.withColumn(found, matches).withColumn(swapped, F.when(F.size(found) > 0, new))
+    changed = F.filter(F.col(swapped), lambda x: x["m"] != x["new"])
+    made = {text: F.when(F.col(swapped).isNotNull(), whole).otherwise(F.col(text))}
     if count:
         made[count] = F.coalesce(F.size(changed), F.lit(0)).cast("long")
     if kinds:
         made[kinds] = F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(changed, lambda x: x["kind"]))), ","), F.lit(""))
-    out = out.withColumns(made).drop("_found", "_swapped")
+    out = out.withColumns(made).drop(found, swapped)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out
-
