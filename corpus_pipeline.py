@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import jaccard_join, mixing, pii, sentencepieces, toxicity
+from orrery.llm.queries import pii_key
 from orrery.llm.shared import scratch_dir
 
 
@@ -30,7 +31,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs, count=None, kinds=None)
+    return pii.pseudonymise(docs, pii_key(spark), count=None, kinds=None)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
