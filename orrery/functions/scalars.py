@@ -1,23 +1,20 @@
-"""Scalar functions (X1-X27) as Column expressions."""
+"""Scalar functions (X1-X27) as Column expressions; X2, X4 and X7 ask Python for the rows that need it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orrery.functions import unicode
+
 #: Fixed values of the rating: a mean that votes pull away from, and its weight in votes.
 PRIOR_MEAN, PRIOR_VOTES = 6.5, 50
 SCORE_MIN, SCORE_MAX = 1.0, 10.0
 #: Leading articles that a title key drops.
 ARTICLES = "le|la|les|l|un|une|des|the|a|an|el|los|las|il|lo|der|die|das"
-#: Parameters whose values are secret, and those that never keep a fingerprint.
-SECRET_NAMES = "api_key|apikey|access_token|session_id|password|passwd|secret|token"
-ALWAYS_MASKED = "password|passwd|secret"
+#: Parameters that never keep a fingerprint of their value, and those that do.
+ALWAYS_MASKED, FINGERPRINTED = "password|passwd|secret", "api_key|apikey|access_token|session_id|token"
 HEAD, TAIL, SHORTEST = 5, 8, 21
-#: Characters that compatibility folding rewrites to plain letters.
-_FOLD_FROM = "àáâãäåāăąçćĉċčďđèéêëēĕėęěĝğġģĥħìíîïĩīĭįĵķĺļľłñńņňòóôõöøōŏőŕŗřśŝşšţťŧùúûüũūŭůűųŵýÿŷźżž"
-_FOLD_TO = "aaaaaaaaacccccddeeeeeeeeegggghhiiiiiiiijkllllnnnnooooooooorrrsssstttuuuuuuuuuuwyyyzzz"
-
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -29,10 +26,14 @@ def weighted_rating(average: Column | str, votes: Column | str, mean: float = PR
     return F.when(F.coalesce(votes, F.lit(0)) == 0, F.lit(None)).otherwise((average * votes + F.lit(mean * weight)) / (votes + F.lit(weight)))
 
 
+def canonical_json(value: Column | str) -> Column:
+    """JSON with sorted keys at every depth and no spaces; value is a JSON text, or a map, struct or array; null if it can't be read."""
+    return unicode.canonical(F.col(value) if isinstance(value, str) else value)
+
+
 def sorted_map_json(entries: Column | str) -> Column:
-    """A map's canonical JSON: keys sorted, no spaces."""
-    pairs = F.array_sort(F.map_entries(_c(entries)))
-    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
+    """A map's, struct's or array's canonical JSON."""
+    return canonical_json(F.to_json(_c(entries), {"ignoreNullFields": "false"}))
 
 
 def text_digest(text: Column | str) -> Column:
@@ -41,11 +42,8 @@ def text_digest(text: Column | str) -> Column:
 
 
 def fold(text: Column | str) -> Column:
-    """Lower case without accents; ligatures and sharp s are spelled out."""
-    lowered = F.lower(_c(text))
-    for a, b in (("œ", "oe"), ("æ", "ae"), ("ß", "ss")):
-        lowered = F.replace(lowered, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.translate(lowered, _FOLD_FROM, _FOLD_TO), "[̀-ͯ]", "")
+    """Case folded, without accents, compatibility forms and ligatures spelled out."""
+    return unicode.folded(_c(text))
 
 
 def title_key(title: Column | str) -> Column:
@@ -63,11 +61,8 @@ def anchor_key(title: Column | str) -> Column:
 
 def plain_text(html: Column | str) -> Column:
     """Entities resolved, tags replaced by spaces, white space squeezed; null if nothing is left."""
-    t = _c(html)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    t = F.regexp_replace(t, "<[^>]+>", " ")
-    return F.nullif(F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit(""))
+    t = F.regexp_replace(unicode.unescaped(_c(html)), "<[^>]+>", " ")
+    return F.nullif(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")), F.lit(""))
 
 
 def cut_at_sentence(text: Column | str, limit: int) -> Column:
@@ -84,6 +79,11 @@ def first_year(text: Column | str) -> Column:
     return F.regexp_extract(_c(text), r"(?<![0-9])(1[89][0-9]{2}|20[0-9]{2})(?![0-9])", 1).try_cast("int")
 
 
+def publication_year(text: Column | str) -> Column:
+    """The first four digits in a row that are a year from 1000 to 2100, wherever they stand."""
+    return F.regexp_extract(_c(text), "(1[0-9]{3}|20[0-9]{2}|2100)", 1).try_cast("int")
+
+
 def safe_date(text: Column | str) -> Column:
     """The first ten characters as a date, if they are one."""
     head = F.substring(_c(text).cast("string"), 1, 10)
@@ -124,7 +124,7 @@ def redact_secrets(text: Column | str) -> Column:
     """Secret parameter values masked; long ones keep a fingerprint, passwords never."""
     value = r"([^&\s\"'<>]+)"
     t = F.regexp_replace(_c(text), rf"(?i)\b({ALWAYS_MASKED})={value}", "$1=***")
-    keep = "api_key|apikey|access_token|session_id|token"
+    keep = FINGERPRINTED
     t = F.regexp_replace(t, rf"(?i)\b({keep})=([^&\s\"'<>]{{{HEAD}}})[^&\s\"'<>]{{{SHORTEST - HEAD - TAIL},}}([^&\s\"'<>]{{{TAIL}}})(?=[&\s\"'<>]|$)", "$1=$2.....$3")
     return F.regexp_replace(t, rf"(?i)\b({keep})=(?![^&\s\"'<>]{{{HEAD}}}\.{{5}}[^&\s\"'<>]{{{TAIL}}}(?:[&\s\"'<>]|$)){value}", "$1=***")
 
@@ -165,6 +165,16 @@ def human_bytes(n: Column | str) -> Column:
     return F.concat(F.format_number(n / F.pow(F.lit(1024), step), 1), F.lit(" "), F.element_at(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB")]), step + 1))
 
 
+def size_or_zero(items: Column | str) -> Column:
+    """An array's or map's length, 0 for null."""
+    return F.coalesce(F.size(_c(items)), F.lit(0))
+
+
+def distinct_codes(items: Column | str, field: str) -> Column:
+    """The different values of a field of an array of structs, sorted, without nulls."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(_c(items), lambda e: e[field]), lambda c: c.isNotNull())))
+
+
 def is_number(text: Column | str) -> Column:
     """X24."""
     return _c(text).rlike("^[0-9]+$")
@@ -186,6 +196,11 @@ def split_key(key: Column | str, part: int, separator: str = "/") -> Column:
     return F.split_part(_c(key), F.lit(separator), F.lit(part))
 
 
+def succeeded(status: Column | str) -> Column:
+    """an HTTP status of success."""
+    return _c(status).between(200, 299)
+
+
 def present(text: Column | str) -> Column:
     """not null and not blank."""
     return F.nullif(F.trim(_c(text)), F.lit("")).isNotNull()

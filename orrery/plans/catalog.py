@@ -49,10 +49,10 @@ def page_before_aggregate(t: Tables) -> DataFrame:
     return page.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_acctbal", F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce("statuses", F.lit(0)).alias("statuses"))
 
 
-@query("f_filters_combined", "SELECT p_partkey, p_name, p_size FROM part WHERE (p_name ILIKE '%1%' OR p_partkey = 7) AND p_size BETWEEN 5 AND 40 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#11', 'Brand#12') AND NOT starts_with(p_type, 'ECONOMY')")
+@query("f_filters_combined", "SELECT p_partkey, p_name, p_size FROM part WHERE (p_name ILIKE '%gear%' OR p_partkey = 7) AND p_size BETWEEN 5 AND 40 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#11', 'Brand#12') AND NOT starts_with(p_type, 'ECONOMY')")
 def filters_combined(t: Tables) -> DataFrame:
     """Only the criteria given become predicates."""
-    wanted: dict = {"text": "1", "size": (5, 40), "brands": ["Brand#1", "Brand#2", "Brand#3", "Brand#11", "Brand#12"], "not_type": "ECONOMY"}
+    wanted: dict = {"text": "gear", "size": (5, 40), "brands": ["Brand#1", "Brand#2", "Brand#3", "Brand#11", "Brand#12"], "not_type": "ECONOMY"}
     rows = t.part
     if text := wanted.get("text"):
         rows = rows.where(F.col("p_name").ilike(f"%{text}%") | (F.col("p_partkey") == 7))
@@ -65,6 +65,13 @@ def filters_combined(t: Tables) -> DataFrame:
     return rows.select("p_partkey", "p_name", "p_size")
 
 
+@query("f1_http_success", "SELECT event_id FROM events WHERE 100 + event_id * 7 % 400 BETWEEN 200 AND 299 AND CASE WHEN event_type <> 'error' THEN props END IS NOT NULL")
+def http_success(t: Tables) -> DataFrame:
+    """answered with success, and with something."""
+    rows = t.events.select("event_id", (F.col("event_id") * 7 % 400 + 100).alias("status"), F.when(F.col("event_type") != "error", F.col("props")).alias("payload"))
+    return rows.where(S.succeeded("status") & F.col("payload").isNotNull()).select("event_id")
+
+
 @query("f4_any_of_arrays", "SELECT p_partkey FROM part WHERE list_has_any(string_split(p_type, ' '), ['STEEL', 'BRASS', 'PROMO'])")
 def any_of_arrays(t: Tables) -> DataFrame:
     """genres are OR."""

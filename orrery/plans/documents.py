@@ -88,12 +88,12 @@ def site_links(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("links"))
 
 
-@query("s16_first_article", "SELECT source, arg_min(left(text, 40), doc_id) AS extract FROM documents WHERE lang <> 'en' AND trim(text) <> '' GROUP BY 1")
+@query("s16_first_article", "SELECT source, arg_min(text, doc_id) AS extract FROM documents WHERE lang <> 'en' AND trim(text) <> '' GROUP BY 1")
 def first_article(t: Tables) -> DataFrame:
     """The first article that isn't missing (English ones are, here) and says something."""
     from orrery.sources.readers import first_article as read
 
-    pages = t.documents.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", (F.col("lang") == "en").alias("missing"), F.substring("text", 1, 40).alias("extract")))), lambda p: F.struct(p["missing"].alias("missing"), p["extract"].alias("extract"))).alias("pages"))
+    pages = t.documents.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", (F.col("lang") == "en").alias("missing"), F.col("text").alias("extract")))), lambda p: F.struct(p["missing"].alias("missing"), p["extract"].alias("extract"))).alias("pages"))
     return pages.select("source", read("pages")["extract"].alias("extract")).where("extract is not null")
 
 

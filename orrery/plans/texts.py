@@ -12,7 +12,7 @@ from orrery.plans.base import Tables, query
 @query("x2_canonical_json", "SELECT source, sha256('{' || string_agg('\"' || lang || '\":' || n, ',' ORDER BY lang) || '}') AS digest FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1")
 def canonical_json(t: Tables) -> DataFrame:
     per = t.documents.groupBy("source", "lang").agg(F.count("*").alias("n"))
-    maps = per.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.col("n").cast("string")))).alias("m"))
+    maps = per.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m"))
     return maps.select("source", S.text_digest(S.sorted_map_json("m")).alias("digest"))
 
 
@@ -31,12 +31,12 @@ def title_key(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", S.title_key("p_name").alias("key"))
 
 
-@query("x6_anchor_key", "SELECT doc_id, regexp_replace(lower(left(text, 80)), '[^a-z0-9]', '', 'g') AS key FROM documents")
+@query("x6_anchor_key", "SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS key FROM documents")
 def anchor_key(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", S.anchor_key(F.substring("text", 1, 80)).alias("key"))
+    return t.documents.select("doc_id", S.anchor_key("text").alias("key"))
 
 
-@query("x7_plain_text", "SELECT page_id, nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS text FROM pages")
+@query("x7_plain_text", "SELECT page_id, nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS text FROM pages")
 def plain_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", S.plain_text("html").alias("text"))
 
@@ -46,9 +46,9 @@ def cut_at_sentence(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", S.cut_at_sentence("text", 500).alias("cut"))
 
 
-@query("x9_first_year", "SELECT page_id, TRY_CAST(nullif(regexp_extract(url || ' ' || left(html, 2000), '(?:^|[^0-9])(1[89][0-9]{2}|20[0-9]{2})(?:[^0-9]|$)', 1), '') AS INTEGER) AS year FROM pages")
+@query("x9_first_year", "SELECT page_id, TRY_CAST(nullif(regexp_extract(url || ' ' || html, '(?:^|[^0-9])(1[89][0-9]{2}|20[0-9]{2})(?:[^0-9]|$)', 1), '') AS INTEGER) AS year FROM pages")
 def first_year(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", S.first_year(F.concat_ws(" ", "url", F.substring("html", 1, 2000))).alias("year"))
+    return t.pages.select("page_id", S.first_year(F.concat_ws(" ", "url", "html")).alias("year"))
 
 
 @query("x10_safe_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 7 = 1 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders")
@@ -120,9 +120,9 @@ def human_bytes(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.sum(F.octet_length("text")).alias("n")).select("source", S.human_bytes("n").alias("size"))
 
 
-@query("x19_language_pick", "SELECT source, coalesce(max(CASE WHEN lang = 'es' THEN t END), max(CASE WHEN lang = 'de' THEN t END), max(CASE WHEN lang = 'en' THEN t END), max(CASE WHEN lang = 'fr' THEN t END)) AS picked FROM (SELECT source, lang, max(trim(left(text, 20))) AS t FROM documents WHERE trim(left(text, 20)) <> '' GROUP BY 1, 2) GROUP BY 1")
+@query("x19_language_pick", "SELECT source, coalesce(max(CASE WHEN lang = 'es' THEN t END), max(CASE WHEN lang = 'de' THEN t END), max(CASE WHEN lang = 'en' THEN t END), max(CASE WHEN lang = 'fr' THEN t END)) AS picked FROM (SELECT source, lang, max(trim(text)) AS t FROM documents WHERE trim(text) <> '' GROUP BY 1, 2) GROUP BY 1")
 def language_pick(t: Tables) -> DataFrame:
     """By preference, else any in order of language."""
-    per = t.documents.groupBy("source", "lang").agg(F.max(F.trim(F.substring("text", 1, 20))).alias("t"))
+    per = t.documents.groupBy("source", "lang").agg(F.max(F.trim("text")).alias("t"))
     maps = per.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", "t"))).alias("m"))
     return maps.select("source", S.pick_language("m", ["es"]).alias("picked"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orrery.functions.scalars import cut_at_sentence, plain_text, safe_int
+from orrery.functions.scalars import cut_at_sentence, plain_text, publication_year
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str | StructType) -> DataFrame:
@@ -86,7 +86,7 @@ def editions_by_language(editions: DataFrame, work: str = "work") -> DataFrame:
 
     editions: work, position, lang, isbn_13, isbn_10, published.
     """
-    year = safe_int(F.regexp_extract("published", "(1[0-9]{3}|20[0-9]{2}|2100)", 1))
+    year = publication_year("published")
     isbn = F.coalesce(F.min_by("isbn_13", F.when(F.col("isbn_13").isNotNull(), F.col("position"))), F.min_by("isbn_10", F.when(F.col("isbn_10").isNotNull(), F.col("position"))))
     return editions.groupBy(work, F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("editions"), isbn.alias("isbn"), F.min(year).alias("first_year"))
 
