@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.scalars import fold
+from orrery.functions.unicode import fold_text
 
 SHORTEST, LONGEST = 2, 20
 K1 = 1.2
@@ -30,39 +33,63 @@ def index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, "tf", F.explode(forms).alias("prefix")).groupBy("prefix", key).agg(F.sum("tf").alias("tf"))
 
 
-def match_all(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
-    """Documents in which every query word starts some word, with BM25 without length norms.
+def query_words(query: str) -> list[str]:
+    """The different words of a query, folded like the texts."""
+    return list(dict.fromkeys(re.findall("[a-z0-9]+", fold_text(query))))
 
-    The index is filtered to the query's prefixes before it is built, so other words are never shuffled.
-    """
-    wanted = F.array(*[F.lit(q) for q in query])
-    words = docs.select(key, F.explode(tokens(text)).alias("token"))
-    hits = words.select(key, F.explode(F.filter(wanted, lambda q: F.startswith(F.col("token"), q))).alias("term"))
-    tf = hits.groupBy("term", key).agg(F.count("*").alias("tf"))
+
+def _weighed(tf: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """tf (term, key, tf) with idf."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("docs"))
-    weighed = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = weighed.groupBy(key).agg(F.count("*").alias("terms"), F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1)).alias("score"))
+    return tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(total)).select(key, "term", "tf", idf.alias("idf"))  # a row a query word
+
+
+def match_all(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
+    """Documents in which every query word starts some word (or is one, if it is shorter than SHORTEST or longer than LONGEST).
+
+    The score is BM25 without length norms: idf * tf / (tf + K1). The index is filtered to the query's words before it is built,
+    so other words are never shuffled.
+    """
+    query = list(dict.fromkeys(query))
+    hit = lambda q: (F.col("token") == q) | (F.startswith(F.col("token"), F.lit(q)) if SHORTEST <= len(q) <= LONGEST else F.lit(False))
+    words = docs.select(key, F.explode(tokens(text)).alias("token"))
+    terms = F.filter(F.array(*[F.when(hit(q), F.lit(q)) for q in query], F.lit(None).cast("string")), lambda q: q.isNotNull())
+    tf = words.select(key, F.explode(terms).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    scored = _weighed(tf, docs, key).groupBy(key).agg(F.count("*").alias("terms"), F.sum(F.col("idf") * F.col("tf") / (F.col("tf") + K1)).alias("score"))
     return scored.where(F.col("terms") == len(query)).select(key, "score")
 
 
 def match_phrase(docs: DataFrame, key: str, text: str, phrase: list[str]) -> DataFrame:
     """T4: documents with the phrase's words at consecutive places, and how often."""
-    wanted = F.array(*[F.lit(p) for p in phrase])
+    wanted = F.array(*[F.lit(p) for p in phrase], F.lit(None).cast("string"))
     spots = positions(docs, key, text).withColumn("at", F.explode(F.filter(F.transform(wanted, lambda w, i: F.when(w == F.col("token"), i)), lambda i: i.isNotNull())))
     runs = spots.groupBy(key, (F.col("place") - F.col("at")).alias("start")).agg(F.count_distinct("at").alias("found")).where(F.col("found") == len(phrase))
     return runs.groupBy(key).agg(F.count("*").alias("times"))
 
 
+def score_phrase(docs: DataFrame, key: str, text: str, phrase: list[str]) -> DataFrame:
+    """BM25 of a phrase of whole words: the sum of its words' idf, times its own frequency's share."""
+    words = docs.select(key, F.explode(tokens(text)).alias("term")).where(F.col("term").isin(phrase))
+    idf = _weighed(words.groupBy("term", key).agg(F.count("*").alias("tf")), docs, key).select("term", "idf").distinct()
+    times = F.create_map(*[x for p in dict.fromkeys(phrase) for x in (F.lit(p), F.lit(phrase.count(p)))])
+    whole = idf.agg(F.sum(F.col("idf") * times[F.col("term")]).alias("idf"))
+    return match_phrase(docs, key, text, phrase).crossJoin(F.broadcast(whole)).select(key, (F.col("idf") * F.col("times") / (F.col("times") + K1)).alias("score"))
+
+
 def search(docs: DataFrame, key: str, text: str, query: str, rating: str | None = None) -> DataFrame:
-    """Prefix matches, phrases boosted, a numeric query also matches the id; times the rating."""
-    words = [w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()]
-    base = match_all(docs, key, text, words)
-    phrase = match_phrase(docs, key, text, words).select(key, F.lit(PHRASE_BOOST).alias("boost"))
-    found = base.join(phrase, key, "left").select(key, (F.col("score") + F.coalesce("boost", F.lit(0.0))).alias("score"))
+    """Clauses of which one must match, their scores times their boosts added up, times the rating.
+
+    All words as prefixes; the words as a phrase (boost PHRASE_BOOST); a numeric query as the id, whose own score is 1 (boost ID_BOOST).
+    """
+    phrase = re.findall("[a-z0-9]+", fold_text(query))
+    found = docs.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
+    if phrase:
+        found = match_all(docs, key, text, phrase).unionByName(score_phrase(docs, key, text, phrase).select(key, (F.col("score") * PHRASE_BOOST).alias("score")))
     if query.strip().isdigit():
-        found = found.unionByName(docs.where(F.col(key) == int(query)).select(key, F.lit(ID_BOOST).alias("score"))).groupBy(key).agg(F.sum("score").alias("score"))
+        found = found.unionByName(docs.where(F.col(key) == int(query)).select(key, F.lit(ID_BOOST).alias("score")))
+    found = found.groupBy(key).agg(F.sum("score").alias("score"))
     if rating:
         found = found.join(docs.select(key, rating), key).select(key, (F.col("score") * F.coalesce(rating, F.lit(DEFAULT_RATING))).alias("score"))
     return found

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from orrery.functions.scalars import clamp_score, dot, norm
 
 
-def blocked_pairs(queries: DataFrame, rows: DataFrame, blocks: int = 32) -> DataFrame:
+ROWS_OF_BLOCK = 20_000
+
+
+def blocked_pairs(queries: DataFrame, rows: DataFrame, blocks: int | None = None) -> DataFrame:
     """A stated set of queries against all rows: rows are dealt into blocks, each query goes to every block once.
 
-    An equi-join on the block, so work is spread by blocks and nothing is broadcast.
+    An equi-join on the block, so work is spread by blocks and nothing is broadcast. There are as many blocks as keep
+    one at ROWS_OF_BLOCK rows, 32 at least.
     """
+    blocks = blocks or max(32, -(-rows.count() // ROWS_OF_BLOCK))
     sent = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return sent.join(rows.withColumn("_block", F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(blocks)).cast("int")), "_block").drop("_block")
 
@@ -51,7 +56,12 @@ def fingerprints(scores: DataFrame, axes: list[str]) -> DataFrame:
 
 
 def predict(vectors: DataFrame, weights: DataFrame, vector: str = "embedding", max_axes: int = 1000) -> DataFrame:
-    """V7: vectors (any columns) x weights (axis, intercept, coef), clamped to the scale. Weights are a row per axis: few by nature, and more than max_axes are refused."""
-    if weights.limit(max_axes + 1).count() > max_axes:
-        raise ValueError(f"more than {max_axes} axes; raise max_axes if their weights fit in memory")
-    return vectors.crossJoin(F.broadcast(weights)).withColumn("prediction", clamp_score(F.col("intercept") + dot(vector, "coef"))).drop("intercept", "coef")
+    """V7: vectors (any columns) x weights (axis, intercept, coef), clamped to the scale.
+
+    Weights are a row per axis, few by nature: up to max_axes of them are broadcast, more meet the vectors in blocks.
+    """
+    if weights.limit(max_axes + 1).count() <= max_axes:
+        met = vectors.crossJoin(F.broadcast(weights))
+    else:
+        met = blocked_pairs(vectors, weights)
+    return met.withColumn("prediction", clamp_score(F.col("intercept") + dot(vector, "coef"))).drop("intercept", "coef")

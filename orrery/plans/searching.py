@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from orrery.operators import fulltext
 from orrery.plans.base import Tables, query
+from orrery.plans.catalog import _CARDS
 
-_WORDS = "w AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')), ' ')) AS token FROM documents WHERE lang = 'en')"
+_WORDS = "w AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(strip_accents(replace(replace(replace(lower(text), 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g')), ' ')) AS token FROM documents)"
 
 
 @query("t1_prefix_index", "WITH w AS (SELECT p_partkey, unnest(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS token FROM part), t AS (SELECT p_partkey, token, count(*) AS tf FROM w WHERE token <> '' GROUP BY 1, 2) SELECT prefix, p_partkey, sum(tf)::BIGINT AS tf FROM (SELECT p_partkey, tf, unnest(list_distinct(list_append(list_transform(range(2, least(20, length(token)) + 1), lambda n: left(token, n::INT)), token))) AS prefix FROM t) GROUP BY 1, 2")
@@ -20,13 +21,13 @@ def prefix_index(t: Tables) -> DataFrame:
 @query("t3_match_all_prefixes", f"WITH {_WORDS} SELECT doc_id FROM w GROUP BY 1 HAVING count(CASE WHEN starts_with(token, 'licen') THEN 1 END) > 0 AND count(CASE WHEN starts_with(token, 'th') THEN 1 END) > 0")
 def match_all_prefixes(t: Tables) -> DataFrame:
     """Every query word starts some word."""
-    return fulltext.match_all(t.documents.where("lang = 'en'"), "doc_id", "text", ["licen", "th"]).select("doc_id")
+    return fulltext.match_all(t.documents, "doc_id", "text", ["licen", "th"]).select("doc_id")
 
 
-@query("t7_bm25_no_norms", f"WITH {_WORDS}, tf AS (SELECT 'licen' AS term, doc_id, count(*) AS tf FROM w WHERE starts_with(token, 'licen') GROUP BY 2 UNION ALL SELECT 'th', doc_id, count(*) FROM w WHERE starts_with(token, 'th') GROUP BY 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en') SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)), 6) AS score FROM tf JOIN df USING (term), n GROUP BY 1 HAVING count(*) = 2")
+@query("t7_bm25_no_norms", f"WITH {_WORDS}, tf AS (SELECT 'licen' AS term, doc_id, count(*) AS tf FROM w WHERE starts_with(token, 'licen') GROUP BY 2 UNION ALL SELECT 'th', doc_id, count(*) FROM w WHERE starts_with(token, 'th') GROUP BY 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2)), 6) AS score FROM tf JOIN df USING (term), n GROUP BY 1 HAVING count(*) = 2")
 def bm25(t: Tables) -> DataFrame:
     """BM25 without length normalisation."""
-    return fulltext.match_all(t.documents.where("lang = 'en'"), "doc_id", "text", ["licen", "th"]).select("doc_id", F.round("score", 6).alias("score"))
+    return fulltext.match_all(t.documents, "doc_id", "text", ["licen", "th"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("t4_phrase", "SELECT doc_id, len(regexp_extract_all(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' apache license (?=version )| apache license version ')) AS times FROM documents WHERE regexp_matches(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' apache license version ')".replace("(?=version )| apache license version ", "version "))
@@ -35,16 +36,63 @@ def phrase(t: Tables) -> DataFrame:
     return fulltext.match_phrase(t.documents, "doc_id", "text", ["apache", "license", "version"])
 
 
-@query("t6_rated_search")
-def rated_search(t: Tables) -> DataFrame:
-    """Prefixes, phrase boost, times the rating; best first."""
+_PART_WORDS = f"""{_CARDS}, l AS (SELECT p_partkey, string_split(trim(regexp_replace(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')), ' ') AS l FROM part),
+  w AS (SELECT p_partkey, unnest(l) AS token, unnest(range(len(l))) AS place FROM l), n AS (SELECT count(*) AS n FROM part)"""
+_IDF = "idf AS (SELECT *, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT *, count(*) OVER (PARTITION BY kind, term) AS df FROM tf), n)"
+_RATED = "SELECT p_partkey, round(score * coalesce(rating, 5.0), 6) AS score FROM (SELECT p_partkey, sum(score) AS score FROM s GROUP BY 1) JOIN cards USING (p_partkey)"
+
+
+def _searched(t: Tables, words: str) -> DataFrame:
     from orrery.plans.catalog import cards
 
     rows = cards(t).withColumn("text", F.concat_ws(" ", "p_name", "p_type", "p_brand"))
-    found = fulltext.search(rows.select("p_partkey", "text", "rating"), "p_partkey", "text", "small ri", "rating")
+    found = fulltext.search(rows.select("p_partkey", "text", "rating"), "p_partkey", "text", words, "rating")
     return found.select("p_partkey", F.round("score", 6).alias("score"))
 
 
+def _terms(kind: str, term: str, match: str) -> str:
+    return f"SELECT '{kind}' AS kind, '{term}' AS term, p_partkey, count(*) AS tf FROM w WHERE {match} GROUP BY 3"
+
+
+def _searched_sql(tf: list[str], clauses: list[str]) -> str:
+    return f"WITH {_PART_WORDS}, tf AS ({' UNION ALL '.join(tf)}), {_IDF}, s AS ({' UNION ALL '.join(clauses)}) {_RATED}"
+
+
+@query(
+    "t6_rated_search",
+    _searched_sql(
+        [_terms("p", "small", "starts_with(token, 'small')"), _terms("p", "ring", "starts_with(token, 'ring')"), _terms("w", "small", "token = 'small'"), _terms("w", "ring", "token = 'ring'")],
+        [
+            "SELECT p_partkey, sum(idf * tf / (tf + 1.2)) AS score FROM idf WHERE kind = 'p' GROUP BY 1 HAVING count(*) = 2",
+            "SELECT a.p_partkey, 3 * (SELECT sum(DISTINCT idf) FROM idf WHERE kind = 'w') * count(*) / (count(*) + 1.2) FROM w a JOIN w b ON b.p_partkey = a.p_partkey AND b.place = a.place + 1 WHERE a.token = 'small' AND b.token = 'ring' GROUP BY 1",
+        ],
+    ),
+)
+def rated_search(t: Tables) -> DataFrame:
+    """Prefixes and the phrase of an accented query, times the rating."""
+    return _searched(t, "Smáll RÎNG")
+
+
+@query(
+    "t5_id_clause",
+    _searched_sql(
+        [_terms("p", "7", "token = '7'"), _terms("w", "7", "token = '7'")],
+        ["SELECT p_partkey, idf * tf / (tf + 1.2) AS score FROM idf WHERE kind = 'p'", "SELECT p_partkey, 3 * idf * tf / (tf + 1.2) FROM idf WHERE kind = 'w'", "SELECT p_partkey, 10.0 FROM part WHERE p_partkey = 7"],
+    ),
+)
+def id_clause(t: Tables) -> DataFrame:
+    """T5: a numeric query also names an id; of one letter, it must be a whole word."""
+    return _searched(t, "7")
+
+
+@query("t9_facet_terms", "SELECT p_brand AS value, count(*) AS n FROM part WHERE p_name LIKE '%ring%' GROUP BY 1")
+def facet_terms(t: Tables) -> DataFrame:
+    """Values of the rows found."""
+    from orrery.operators.paging import facets
+
+    return facets(t.part.where("p_name like '%ring%'"), "p_brand")
+
+
 @query("t8_document_builder", "SELECT p_partkey, array_to_string(list_distinct_ordered, '|') AS titles FROM (SELECT p_partkey, list_filter([p_name, CASE WHEN p_brand <> p_name THEN p_brand END, CASE WHEN p_type <> p_name AND p_type <> p_brand THEN p_type END], lambda x: x IS NOT NULL) AS list_distinct_ordered FROM part)")
 def document_builder(t: Tables) -> DataFrame:
     """Titles without nulls, each once, in order."""

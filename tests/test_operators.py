@@ -44,6 +44,18 @@ def test_text_functions(spark):
     assert value(spark, S.human_bytes("n"), n=1536) == "1.5 KB"
 
 
+def test_folding_and_entities(spark):
+    assert value(spark, S.fold("t"), t="ếﬁ１２άẞŒ Ærø łódź İ") == "efi12αssoe aero lodz i"
+    assert value(spark, S.fold("t"), t="Plain ASCII") == "plain ascii" and value(spark, S.fold("t"), t=None) is None
+    assert value(spark, S.title_key("t"), t="L’été ｄｅ １９９８") == "ete de 1998"
+    assert value(spark, S.plain_text("t"), t="&eacute;&#233;&#xE9;&nbsp;&amp;lt;<b>x</b>&unknown;") == "ééé &lt; x &unknown;"
+    assert value(spark, S.canonical_json("t"), t='{"b": [1, {"z": "a\\"b", "a": null}], "a": "é"}') == '{"a":"é","b":[1,{"a":null,"z":"a\\"b"}]}'
+    assert value(spark, S.canonical_json("t"), t="not json") is None
+    assert value(spark, S.sorted_map_json("m"), m={"b": 'say "x"', "a": None}) == '{"a":null,"b":"say \\"x\\""}'
+    assert value(spark, S.publication_year("t"), t="printed 0999, June 12001995") == 1200 and value(spark, S.publication_year("t"), t="in 1066") == 1066
+    assert value(spark, S.publication_year("t"), t="none") is None
+
+
 def test_redaction(spark):
     key = "0123456789abcdef0123456789abcdef"
     got = value(spark, S.redact_secrets("t"), t=f"GET /x?api_key={key}&password={key}&token=short end")
@@ -57,7 +69,7 @@ def test_clamps(spark):
     assert value(spark, S.clamp_confidence("x"), x="?") == 0.0 and value(spark, S.clamp_confidence("x"), x="0.987") == 0.99
     assert value(spark, S.unit("x"), x=[0.0, 0.0]) is None and value(spark, S.unit("x"), x=[3.0, 4.0]) == [0.6, 0.8]
     assert value(spark, S.pick_language("m", ["fr", "en"]), m={"en": "b", "fr": " ", "de": "c"}) == "b"
-    assert value(spark, S.sorted_map_json("m"), m={"b": "2", "a": "1"}) == '{"a":1,"b":2}'
+    assert value(spark, S.sorted_map_json("m"), m={"b": "2", "a": "1"}) == '{"a":"1","b":"2"}'
 
 
 def test_work_states(spark):
@@ -128,6 +140,24 @@ def test_search(spark):
     best = fulltext.search(docs, "id", "text", "the wire", "rating").orderBy(F.desc("score")).first()
     assert best.id == 1
     assert {r.id for r in fulltext.search(docs, "id", "text", "4").collect()} == {4}
+    more = spark.createDataFrame([(1, "été indien"), (2, "Apple a day"), (3, "apple"), (4, "x" * 25), (5, "x" * 25 + "y"), (6, None)], "id long, text string")
+    ids = lambda q: {r.id for r in fulltext.search(more, "id", "text", q).collect()}
+    assert ids("ÉTÉ") == {1} and ids("a") == {2} and ids("ap") == {2, 3} and ids("x" * 25) == {4} and ids("x" * 20) == {4, 5} and ids("?!") == set()
+    scores = {r.id: r.score for r in fulltext.search(more, "id", "text", "apple").collect()}
+    idf = np.log(1 + (6 - 2 + 0.5) / 2.5)
+    assert scores == pytest.approx({2: 4 * idf / 2.2, 3: 4 * idf / 2.2})
+
+
+def test_encoders(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 4))
+    y = np.clip(5 + x[:, 0] * 2, 1, 10)
+    rows = [(e, a, i, [float(v) for v in r[:d]], float(t)) for e, d, lost in (("good", 4, 0), ("blind", 3, 1)) for a, n in (("p", 80), ("few", 9)) for i, (r, t) in enumerate(zip(np.roll(x, -lost, axis=1)[:n], y[:n], strict=True))]
+    got = regression.compare_encoders(spark.createDataFrame([*rows, ("none", "p", 1, [1.0], 5.0)], "encoder string, axis string, work long, embedding array<double>, value double")).orderBy("place").collect()
+    assert [(r.encoder, r.dims, r.axes) for r in got] == [("good", 4, 1), ("blind", 3, 1), ("none", None, 0)] and got[0].mae < 0.2 < got[1].mae and got[2].mae is None
+    kept = spark.createDataFrame([(1, "a", "good"), (2, "old", "good"), (3, "c", "blind")], "work long, sha string, encoder string")
+    dossiers = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "work long, sha string")
+    assert sorted(r.work for r in regression.missing_vectors(dossiers, kept, "good").collect()) == [2, 3]
 
 
 # ---------------------------------------------------------------- events
@@ -188,21 +218,35 @@ def test_ridge_recovers_a_linear_rule(spark):
     assert np.isclose(np.clip(regression.ridge_predictions(x, y), 1, 10).std(), y.std(), rtol=0.2)
 
 
+def near_means(x, y, k):
+    """Each row's guess from the k most similar rows of other folds, row by row."""
+    n = len(y)
+    folds = n if n <= regression.ALONE else regression.FOLDS
+    likeness = lambda a, b: float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)))
+    out = []
+    for i in range(n):
+        ranked = sorted(((likeness(x[i], x[j]), -j) for j in range(n) if j % folds != i % folds), reverse=True)[:k]
+        weights = [s - ranked[-1][0] for s, _ in ranked]
+        values = [y[-j] for _, j in ranked]
+        out.append(np.average(values, weights=weights) if sum(weights) > 1e-12 else np.mean(values))
+    return np.array(out)
+
+
 def test_curved_scores_favour_curved_models():
     rng = np.random.default_rng(1)
     x = rng.choice([-1.0, 1.0], size=(200, 2)) + rng.normal(size=(200, 2)) * 0.15
     y = np.where(x[:, 0] * x[:, 1] > 0, 8.0, 3.0)
     error = lambda g: np.abs(np.clip(g, 1, 10) - y).mean()
     assert error(regression.ridge_predictions(x, y)) > 2
-    assert all(error(g) < 0.8 for g in (regression.knn_predictions(x, y, 10), regression.kernel_predictions(x, y), regression.network_predictions(x, y)))
+    assert all(error(g) < 0.8 for g in (near_means(x, y, 10), regression.kernel_predictions(x, y), regression.network_predictions(x, y)))
 
 
 def test_predict_drops_no_axis(spark):
     weights = spark.range(1001).selectExpr("cast(id as string) as axis", "5.0D as intercept", "array(1.0D) as coef")
     vectors = spark.createDataFrame([(1, [2.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(ValueError, match="max_axes"):
-        similarity.predict(vectors, weights)
-    assert similarity.predict(vectors, weights, max_axes=1001).select("axis").distinct().count() == 1001
+    for most in (1000, 1001):
+        got = similarity.predict(vectors, weights, max_axes=most).collect()
+        assert len({r.axis for r in got}) == len(got) == 1001 and {r.prediction for r in got} == {7.0}
 
 
 def test_model_comparison_covers_all_works(spark):
@@ -215,7 +259,7 @@ def test_model_comparison_covers_all_works(spark):
     assert {k: r.works for k, r in got.items()} == {(axis, m): n for axis, n in (("a", 1300), ("b", 500), ("few", 40)) for m in ("ridge", "kernel", "network", "neighbours")}
     for axis, n in (("a", 1300), ("b", 500), ("few", 40)):
         u, t = x[:n], y[:n]
-        near = {k: regression.knn_predictions(u, t, k) for k in regression.NEIGHBOURS if k < n}
+        near = {k: near_means(u, t, k) for k in regression.NEIGHBOURS if k < n}
         want = {"ridge": regression.ridge_predictions(u, t), "neighbours": min(near.values(), key=lambda g: np.abs(np.clip(g, 1, 10) - t).mean())}
         if n <= 600:  # every work is fitted on
             want |= {"kernel": regression.kernel_predictions(u, t), "network": regression.network_predictions(u, t)}
