@@ -1,4 +1,4 @@
-"""Keyed history: latest versions, previous versions, upserts, preferred rows."""
+"""Keyed history: latest versions, previous versions, upserts, preferred rows."""
 
 from __future__ import annotations
 
@@ -39,12 +39,15 @@ def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.dropDuplicates(keys).join(old.select(*keys).distinct(), keys, "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_first: tuple[str, ...] = (), fill_only: tuple[str, ...] = ()) -> DataFrame:
-    """K2, K3, K5, K7: new values replace old ones by key.
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_first: tuple[str, ...] = (), fill_only: tuple[str, ...] = (), order: list[str] | None = None) -> DataFrame:
+    """K3, K5, K7, K9: new values replace old ones by key; rows of `new` without a key are left out.
 
+    Of several new rows of a key the one with the greatest `order` counts (without an order, one of them, always the same).
     keep_first columns stay as first seen; fill_only ones change only where they were null.
     """
     rest = [c for c in new.columns if c not in keys]
+    place = F.struct(*order) if order else F.xxhash64(F.to_json(F.struct(*rest)))
+    new = new.dropna(subset=keys).groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
     o = old.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in old.columns if c not in keys], F.lit(True).alias("_old"))
     n = new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in rest], F.lit(True).alias("_new"))
     both = o.join(n, keys, "full_outer")
@@ -75,3 +78,45 @@ def assign_keys(known: DataFrame, wanted: DataFrame, natural: str, surrogate: st
 def replace_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """All rows of the keys in `new` are replaced by it."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def upsert_counts(change: DataFrame) -> DataFrame:
+    """K3: read, inserted and updated of an upsert's result."""
+    told = F.col("change")
+    return change.agg(F.count_if(told != "kept").alias("read"), F.count_if(told == "inserted").alias("inserted"), F.count_if(told == "updated").alias("updated"))
+
+
+def mark_fetch(state: DataFrame, visits: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """K2: the state of every key after visits (keys, at, status, changed, error and the columns of `order`).
+
+    The time of the last success moves only with a 2xx status, that of the last change only with a change; attempts add up.
+    """
+    when = lambda cond: F.max(F.when(cond, F.col("at")))
+    last = lambda c: F.max_by(c, F.struct(*order))
+    seen = visits.groupBy(*keys).agg(
+        F.max("at").alias("n_fetched"), when(F.col("status").between(200, 299)).alias("n_success"), when(F.col("changed")).alias("n_changed"), F.count("*").alias("n_attempts"),
+        last("status").alias("n_status"), last("error").alias("n_error"), F.lit(True).alias("n_seen"),
+    )
+    both = state.join(seen, keys, "full_outer")
+    new = F.col("n_seen").isNotNull()
+    return both.select(
+        *keys, F.coalesce("n_fetched", "last_fetched_at").alias("last_fetched_at"), F.coalesce("n_success", "last_success_at").alias("last_success_at"), F.coalesce("n_changed", "last_changed_at").alias("last_changed_at"),
+        (F.coalesce("attempts", F.lit(0)) + F.coalesce("n_attempts", F.lit(0))).alias("attempts"), F.when(new, F.col("n_status")).otherwise(F.col("last_status")).alias("last_status"), F.when(new, F.col("n_error")).otherwise(F.col("last_error")).alias("last_error"),
+    )
+
+
+def append_scores(scores: DataFrame, judged: DataFrame) -> DataFrame:
+    """K8: one more row for each axis that was judged; no row is ever changed. judged: scores (map of axis to struct of score and confidence) and all other columns."""
+    rest = [c for c in scores.columns if c not in ("axis", "value", "confidence")]
+    new = judged.select(*rest, F.explode("scores").alias("axis", "_s"))
+    return scores.unionByName(new.select(*rest, "axis", F.col("_s.score").alias("value"), F.col("_s.confidence").alias("confidence")))
+
+
+def journal_weights(journal: DataFrame, trained: DataFrame, prompt: str, at) -> DataFrame:
+    """K9: the dated journal of weights, one row a prompt (by its digest): training the same prompt again replaces and dates its row.
+
+    journal: prompt_sha256, prompt, rubric, weights (axis to struct), trained_at; trained: rubric, axis, intercept, coef, trained_on.
+    """
+    one = trained.groupBy("rubric").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", F.struct("intercept", "coef", "trained_on").alias("of"))))).alias("weights"))
+    row = one.select(F.sha2(F.lit(prompt), 256).alias("prompt_sha256"), F.lit(prompt).alias("prompt"), "rubric", "weights", F.lit(at).cast("timestamp").alias("trained_at"))
+    return replace_keys(journal, row, ["prompt_sha256"])

@@ -3,53 +3,71 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 class VersionedTable:
-    """Every write makes a new version folder; a pointer file names the one that readers see.
+    """Every write makes a new version folder; a pointer file names the ones that readers see.
 
-    The pointer is replaced by renaming, after the version is whole. Versions older than the last `keep` go.
+    Folders have names of their own, so a write that fails leaves one that nothing points to, and none is ever written twice.
+    When the version is whole, the pointer is replaced in one step. Versions older than the last `keep` go, and with sweep()
+    those that nothing points to. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, folder: str, keep: int = 2):
         self.spark, self.folder, self.keep = spark, folder.rstrip("/"), keep
         self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(folder).getFileSystem(self._conf)
 
-    def _pointer(self) -> dict:
+    def versions(self) -> list[str]:
+        """The versions that can be read, oldest first."""
         where = self._path(f"{self.folder}/CURRENT")
         if not self._fs.exists(where):
-            return {"versions": []}
-        return json.loads(self.spark.read.text(where.toString(), wholetext=True).first()[0])
-
-    def write(self, frame: DataFrame, partition_by: list[str] | None = None) -> str:
-        """Write a version, point to it, and return its folder."""
-        state = self._pointer()
-        number = int(state["versions"][-1].rsplit("-", 1)[1]) + 1 if state["versions"] else 1
-        name = f"v-{number}"
-        writer = frame.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.folder}/{name}")
-        kept = [*state["versions"], name][-self.keep :]
-        draft = self._path(f"{self.folder}/CURRENT.next")
+            return []
+        return json.loads(self.spark.read.text(where.toString(), wholetext=True).first()[0])["versions"]
+
+    def _point(self, versions: list[str]) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        draft, current = self._path(f"{self.folder}/CURRENT.{uuid.uuid4().hex}"), self._path(f"{self.folder}/CURRENT")
         out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"versions": kept}).encode()))
+        out.write(bytearray(json.dumps({"versions": versions}).encode()))
         out.close()
-        self._fs.delete(self._path(f"{self.folder}/CURRENT"), False)
-        self._fs.rename(draft, self._path(f"{self.folder}/CURRENT"))
-        for old in state["versions"]:
+        replace = getattr(hadoop, "Options$Rename").OVERWRITE
+        options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        options[0] = replace
+        hadoop.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(self._fs.makeQualified(draft), self._fs.makeQualified(current), options)
+
+    def write(self, frame: DataFrame, partition_by: list[str] | None = None) -> int:
+        """Write a version, point to it, and return how many rows it has."""
+        before, name = self.versions(), f"v-{uuid.uuid4().hex}"
+        writer = frame.write.mode("errorifexists")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.folder}/{name}")
+        kept = [*before, name][-self.keep :]
+        self._point(kept)
+        for old in before:
             if old not in kept:
                 self._fs.delete(self._path(f"{self.folder}/{old}"), True)
-        return f"{self.folder}/{name}"
+        return self.read().count()
 
     def read(self) -> DataFrame:
-        versions = self._pointer()["versions"]
+        versions = self.versions()
         if not versions:
             raise FileNotFoundError(f"no version in {self.folder}")
         return self.spark.read.parquet(f"{self.folder}/{versions[-1]}")
 
+    def sweep(self) -> list[str]:
+        """Delete and name the folders of writes that failed."""
+        known = self.versions()
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
+        gone = sorted(n for n in names if n.startswith(("v-", "CURRENT.")) and n not in known)
+        for name in gone:
+            self._fs.delete(self._path(f"{self.folder}/{name}"), True)
+        return gone
+
 
 def export_corpus(entries: DataFrame, current: DataFrame, path: str) -> dict[str, int]:
     """Write as JSON lines the entries (work, sha, ...) whose digest is still the current one; counts written and stale."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from orrery.operators.latest import insert_new
+from orrery.operators.latest import insert_new, replace_keys
 
 
 def new_items(items: DataFrame, keys: list[str], time: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -23,17 +25,19 @@ def windowed_counts(events: DataFrame, time: str, keys: list[str], width: str =
 
 
 def append_new(stream: DataFrame, table: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Append what a table lacks, batch by batch; replayed batches change nothing. The checkpoint is the mark."""
+    """Append what a table lacks, batch by batch. The checkpoint is the mark.
+
+    A batch is a partition of the table, written over when it is replayed, so replays change nothing; it is compared with the
+    keys of all other batches, of which only the key columns are read.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(table)
-        except Exception as e:  # the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-            old = batch.limit(0)
-        insert_new(old, batch, keys).write.mode("append").parquet(table)
+        where = spark._jvm.org.apache.hadoop.fs.Path(table)
+        old = batch.select(*keys).limit(0)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            old = spark.read.schema(batch.schema.add("batch", "long")).parquet(table).where(F.col("batch") != number).select(*keys)
+        insert_new(old, batch, keys).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -62,3 +66,34 @@ def staleness(projectable: DataFrame, projected: DataFrame, key: str) -> DataFra
 def recheck_queue(videos: DataFrame, most: int) -> DataFrame:
     """What to check next: never checked first, then the longest ago; only the definitely dead are left out."""
     return videos.where("alive is not false").orderBy(F.col("checked_at").asc_nulls_first(), "id").limit(most)
+
+
+def advance_mark(marks: DataFrame, universe: str, started, complete: bool) -> DataFrame:
+    """Marks (universe, mark) after a projection that began at `started`.
+
+    Only one of everything moves the mark: after a part, it would say that works never listed are up to date.
+    """
+    if not complete:
+        return marks
+    row = marks.sparkSession.range(1).select(F.lit(universe).alias("universe"), F.lit(started).cast("timestamp").alias("mark"))
+    return replace_keys(marks, row, ["universe"])
+
+
+class SummaryCache:
+    """The rows of small summaries, kept on the driver for some seconds; `most` bounds a summary's rows."""
+
+    def __init__(self, seconds: float, most: int = 1000, clock=time.monotonic):
+        self.seconds, self.most, self.clock, self.held = seconds, most, clock, {}
+
+    def get(self, key: str, make) -> list:
+        """The rows of make(), a DataFrame, computed anew when they are older than `seconds`."""
+        at, rows = self.held.get(key, (None, None))
+        if at is None or self.clock() - at > self.seconds:
+            rows = make().limit(self.most + 1).collect()
+            if len(rows) > self.most:
+                raise ValueError(f"a summary has at most {self.most} rows")
+            self.held[key] = (self.clock(), rows)
+        return rows
+
+    def clear(self) -> None:
+        self.held.clear()

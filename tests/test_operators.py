@@ -293,9 +293,47 @@ def test_versioned_table(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         table.read()
     for n in (1, 2, 3):
-        table.write(spark.range(n))
-        assert table.read().count() == n
-    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir()) == ["v-2", "v-3"]
+        assert table.write(spark.range(n)) == n and table.read().count() == n
+    (tmp_path / "t" / "v-failed").mkdir()
+    (tmp_path / "t" / "CURRENT.draft").write_text("half")
+    assert len(table.versions()) == 2 and table.read().count() == 3
+    names = lambda: sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith("."))
+    assert table.sweep() == ["CURRENT.draft", "v-failed"] and names() == sorted(["CURRENT", *table.versions()])
+    before = table.versions()
+    with pytest.raises(Exception, match="broken"):
+        table.write(spark.range(5).select(F.raise_error(F.lit("broken")).alias("x")))
+    assert table.versions() == before and table.read().count() == 3
+
+
+def test_upsert_takes_one_row_a_key(spark):
+    old = spark.createDataFrame([(1, "a", 1)], "id int, name string, n int")
+    new = spark.createDataFrame([(2, "b", 1), (2, "c", 3), (2, "d", 2), (1, "x", 0), (None, "lost", 9)], old.schema)
+    got = latest.upsert(old, new, ["id"], order=["n"])
+    assert sorted((r.id, r.name, r.change) for r in got.collect()) == [(1, "x", "updated"), (2, "c", "inserted")]
+    assert latest.upsert_counts(got).first().asDict() == {"read": 2, "inserted": 1, "updated": 1}
+    assert latest.upsert(old, new, ["id"]).count() == 2
+
+
+def test_fetch_state(spark):
+    day = lambda d: dt.datetime(2024, 1, d)
+    empty = spark.createDataFrame([], "k string, last_fetched_at timestamp, last_success_at timestamp, last_changed_at timestamp, attempts long, last_status int, last_error string")
+    visit = "k string, at timestamp, status int, changed boolean, error string"
+    first = latest.mark_fetch(empty, spark.createDataFrame([("a", day(1), 200, True, None), ("b", day(1), 500, False, "down")], visit), ["k"], ["at"])
+    then = latest.mark_fetch(first, spark.createDataFrame([("a", day(3), 404, False, "gone"), ("a", day(2), 204, False, None), ("c", day(2), 200, False, None)], visit), ["k"], ["at"])
+    got = {r.k: (r.last_fetched_at, r.last_success_at, r.last_changed_at, r.attempts, r.last_status, r.last_error) for r in then.collect()}
+    assert got == {"a": (day(3), day(2), day(1), 3, 404, "gone"), "b": (day(1), None, None, 1, 500, "down"), "c": (day(2), day(2), None, 1, 200, None)}
+
+
+def test_scores_and_weights(spark):
+    scores = spark.createDataFrame([(1, "r1", "x", 5.0, 0.5)], "work long, rubric string, axis string, value double, confidence double")
+    judged = spark.createDataFrame([(1, "r1", {"x": (6.0, 0.9), "y": (None, 0.1)})], "work long, rubric string, scores map<string,struct<score:double,confidence:double>>")
+    got = sorted((r.axis, r.value) for r in latest.append_scores(scores, judged).where("value is not null").collect())
+    assert got == [("x", 5.0), ("x", 6.0)] and latest.append_scores(scores, judged).count() == 3
+    journal = spark.createDataFrame([], "prompt_sha256 string, prompt string, rubric string, weights map<string,struct<intercept:double,coef:array<double>,trained_on:long>>, trained_at timestamp")
+    trained = lambda n: spark.createDataFrame([("r1", "x", 1.0, [0.5], n), ("r1", "y", 2.0, [0.1], n)], "rubric string, axis string, intercept double, coef array<double>, trained_on long")
+    one = latest.journal_weights(journal, trained(10), "p", "2024-01-01")
+    two = latest.journal_weights(latest.journal_weights(one, trained(20), "q", "2024-01-02"), trained(30), "p", "2024-01-03")
+    assert sorted((r.prompt, str(r.trained_at)[:10], r.weights["y"].trained_on) for r in two.collect()) == [("p", "2024-01-03", 30), ("q", "2024-01-02", 20)]
 
 
 def test_corpus_export(spark, tmp_path):
@@ -320,6 +358,37 @@ def test_stream_appends_once(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
 
 
+def test_replayed_batches_change_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, digest string")
+    rows.write.parquet(f"{tmp_path}/in")
+    for mark in ("one", "two"):  # a lost checkpoint: the first batch is written again
+        incremental.append_new(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", ["id"], f"{tmp_path}/{mark}").awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+
+
+def test_marks_and_summaries(spark):
+    marks = spark.createDataFrame([("tv", dt.datetime(2024, 1, 1))], "universe string, mark timestamp")
+    assert incremental.advance_mark(marks, "tv", "2024-02-01", complete=False).collect() == marks.collect()
+    moved = incremental.advance_mark(incremental.advance_mark(marks, "tv", "2024-02-01", complete=True), "film", "2024-03-01", complete=True)
+    assert sorted((r.universe, r.mark.month) for r in moved.collect()) == [("film", 3), ("tv", 2)]
+    now, made = [0.0], []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    cache = incremental.SummaryCache(60, most=5, clock=lambda: now[0])
+    for at in (0, 59, 61):
+        now[0] = at
+        assert len(cache.get("k", make)) == 3
+    assert len(made) == 2
+    cache.clear()
+    cache.get("k", make)
+    assert len(made) == 3
+    with pytest.raises(ValueError):
+        cache.get("wide", lambda: spark.range(6))
+
+
 def test_stream_windows(spark, tmp_path):
     events = spark.sql("select timestamp'2024-01-01 10:05:00' + make_interval(0, 0, 0, 0, 0, id * 20) ts, 'x' kind from range(6)")
     events.write.parquet(f"{tmp_path}/in")
