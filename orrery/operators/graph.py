@@ -1,10 +1,13 @@
-"""Citation graph as node and edge tables."""
+"""Citation graph as node and edge tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.scalars import norm
+from orrery.operators import similarity
+
 MOST_WORKS, MOST_PEOPLE, MOST_NEIGHBOURS, MOST_SUGGESTIONS = 12, 4, 10, 12
 #: Rank of a citation without one, the value of the first place, and of an uncredited person.
 DEFAULT_RANK, TOP_VALUE, DEFAULT_CREDIT = 5, 6, 99
@@ -63,3 +66,37 @@ def orphans(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 def duplicate_keys(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that more than one node has; empty when the constraint holds."""
     return nodes.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def nearest_works(works: DataFrame, is_query: Column, most: int = 5) -> DataFrame:
+    """query_id, id, distance, place: the works nearest in the scale of the scores; works: vec_id, embedding."""
+    found = similarity.nearest(works, is_query, most, "euclid")
+    return found.select("query_id", "id", F.sqrt(1 / F.col("score") - 1).alias("distance"), "place")
+
+
+def same_colour(works: DataFrame, is_query: Column, pool: int = 50, most: int = 5) -> DataFrame:
+    """Of the `pool` works of most similar direction, the first that are stronger than the query."""
+    found = similarity.nearest(works, is_query, pool, "cosine").drop("place")
+    size = works.select(F.col("vec_id").alias("id"), norm("embedding").alias("size"))
+    both = found.join(size, "id").join(size.withColumnsRenamed({"id": "query_id", "size": "own"}), "query_id").where("size > own")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", "id", "score", "size", "place")
+
+
+def same_colour_and_links(works: DataFrame, is_query: Column, genres: DataFrame, people: DataFrame, pool: int = 200, most: int = 10) -> DataFrame:
+    """Of the `pool` works of most similar direction those that share a genre, by likeness, then by people shared.
+
+    genres: work, genre; people: work, person. Shared edges are counted for the pools' pairs only.
+    """
+    found = similarity.nearest(works, is_query, pool, "cosine").drop("place")
+
+    def shared(edges: DataFrame, of: str) -> DataFrame:
+        one = edges.select("work", of).distinct()
+        mine = found.select("query_id", "id").join(one.withColumnRenamed("work", "query_id"), "query_id")
+        return mine.join(one.withColumnRenamed("work", "id"), ["id", of])
+
+    kin = found.join(shared(genres, "genre").select("query_id", "id").distinct(), ["query_id", "id"])
+    links = shared(people, "person").groupBy("query_id", "id").agg(F.count("*").alias("links"))
+    told = kin.join(links, ["query_id", "id"], "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.desc("links"), "id")
+    return told.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", "id", "score", "links", "place")

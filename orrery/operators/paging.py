@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.sources.scratch import save
+
 #: Windows past this are refused, as are longer lists of ids.
 DEEPEST, MOST_IDS = 10_000, 2_000
 
@@ -63,13 +65,31 @@ def evenly_spaced(frame: DataFrame, keys: list[str], order: list[Column], k: int
 
 
 def stride_sample(frame: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """Every (n div k)-th row of each key's order, k at most."""
+    """Every (n div k)-th row of each key's order, k at most."""
     own = Window.partitionBy(*keys)
     out = frame.withColumn("_n", F.count("*").over(own)).withColumn("_i", F.row_number().over(own.orderBy(*order)) - 1)
     step = F.greatest(F.floor(F.col("_n") / k), F.lit(1))
     return out.where((F.col("_i") % step == 0) & (F.col("_i") / step < k)).drop("_n", "_i")
 
 
+def global_rank(frame: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """frame with each row's place (from 0) in a total order: rows of the ranges before its own, then the place within."""
+    ranged = save(frame.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
+def decile_sample(frame: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """K rows of each tenth of an order, an even stride apart; tenths are equal, what is left over is dropped."""
+    ranked = global_rank(frame, order, "_i")
+    size = ranked.count() // 10
+    step = max(1, size // k)
+    at = F.col("_i") % F.lit(max(size, 1))
+    picked = ranked.where((F.col("_i") < 10 * size) & (at % step == 0) & (at / step < k))
+    return picked.withColumn("decile", (F.expr(f"_i div {max(size, 1)}") + 1).cast("int")).drop("_i")
+
+
 def top_per_key(frame: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "nth") -> DataFrame:
     """Each key's first k rows."""
     return frame.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)

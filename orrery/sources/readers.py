@@ -55,6 +55,29 @@ def sparql_rows(bindings: DataFrame, column: str = "bindings", single: tuple[str
     return bindings.select(*[c for c in bindings.columns if c != column], *[value(n).alias(n) for n in single], *[F.coalesce(split(value(n)), F.array().cast("array<string>")).alias(n) for n in lists])
 
 
+def sparql_pairs(value: Column | str, separator: str = "|", between: str = "~") -> Column:
+    """A concatenated list of id and label pairs as structs, each once, by id; a pair without an id is left out."""
+    value = F.col(value) if isinstance(value, str) else value
+    pairs = F.transform(F.split(value, f"[{separator}]"), lambda p: F.struct(F.nullif(F.trim(F.split_part(p, F.lit(between), F.lit(1))), F.lit("")).alias("qid"), F.nullif(F.trim(F.split_part(p, F.lit(between), F.lit(2))), F.lit("")).alias("label")))
+    return F.coalesce(F.array_sort(F.array_distinct(F.filter(pairs, lambda p: p["qid"].isNotNull()))), F.array().cast("array<struct<qid:string,label:string>>"))
+
+
+def first_years(rows: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
+    """The earliest year of each key's dates."""
+    return rows.groupBy(*keys).agg(F.min(publication_year(F.col(date).cast("string"))).alias("year"))
+
+
+def sweep_page(items: DataFrame, known: DataFrame, key: str, after, size: int) -> DataFrame:
+    """The next `size` items that aren't known yet, in order of their key: a page begins after the last key of the one before."""
+    rest = items if after is None else items.where(F.col(key) > F.lit(after))
+    return rest.join(known.select(key).distinct(), key, "left_anti").orderBy(key).limit(size)
+
+
+def most_linked(items: DataFrame, links: str, key: str, most: int) -> DataFrame:
+    """The `most` items with most links, ties by key."""
+    return items.orderBy(F.col(links).desc_nulls_last(), key).limit(most)
+
+
 def site_links(links: Column | str) -> Column:
     """Wiki language -> title; other projects and commons left out."""
     links = F.col(links) if isinstance(links, str) else links
@@ -75,6 +98,63 @@ def show_summary(episodes: Column | str) -> Column:
     return F.struct(F.size(episodes).alias("episodes"), F.size(F.array_distinct(F.transform(episodes, lambda e: e["season"]))).alias("seasons"), F.array_join(told, " ").alias("summary"))
 
 
+def accepted_show(candidates: Column | str, imdb: Column | str) -> Column:
+    """The first candidate (struct with imdb) of exactly this external id; a title alone is no proof."""
+    candidates, imdb = (F.col(c) if isinstance(c, str) else c for c in (candidates, imdb))
+    return F.try_element_at(F.filter(candidates, lambda c: c["imdb"] == imdb), F.lit(1))
+
+
+def last_part(key: Column) -> Column:
+    return F.nullif(F.substring_index(key, "/", -1), F.lit(""))
+
+
+#: Covers kept of a work, and library language codes as they are written elsewhere: fixed values.
+MOST_COVERS = 4
+MARC_TO_ISO = {"fre": "fr", "eng": "en", "spa": "es", "ara": "ar", "tur": "tr", "ger": "de", "ita": "it", "por": "pt", "rus": "ru", "jpn": "ja", "chi": "zh", "kor": "ko"}
+LIBRARY_WORK = "struct<key:string,title:string,description:string,covers:array<int>,location:string,type:struct<key:string>>"
+
+
+def library_work(payload: Column | str) -> Column:
+    """(olid, title, description, covers, redirect) of a work's JSON; null if it has no key.
+
+    A description is a text or an object with a value; covers that were taken back (not above 0) are left out; redirect is
+    the work that a merged one points to.
+    """
+    w = F.from_json(F.col(payload) if isinstance(payload, str) else payload, LIBRARY_WORK)
+    told = F.when(w["description"].startswith("{"), F.get_json_object(w["description"], "$.value")).otherwise(w["description"])
+    covers = F.slice(F.filter(F.coalesce(w["covers"], F.array().cast("array<int>")), lambda c: c > 0), 1, MOST_COVERS)
+    merged = F.when(w["type"]["key"] == "/type/redirect", last_part(w["location"]))
+    out = F.struct(last_part(w["key"]).alias("olid"), w["title"].alias("title"), F.nullif(F.trim(told), F.lit("")).alias("description"), covers.alias("covers"), merged.alias("redirect"))
+    return F.when(w["key"].isNotNull(), out)
+
+
+def edition_work(payload: Column | str) -> Column:
+    """The work of an edition's JSON; null for an edition without one."""
+    e = F.from_json(F.col(payload) if isinstance(payload, str) else payload, "struct<works:array<struct<key:string>>>")
+    return last_part(F.try_element_at(e["works"], F.lit(1))["key"])
+
+
+def resolved(works: DataFrame, key: str, to: str, hops: int = 3) -> DataFrame:
+    """Works with `canonical`, what their redirects lead to after at most `hops` (null or 0: none)."""
+    target = works.where(F.col(to).isNotNull() & (F.col(to).cast("string") != "0")).select(F.col(key).alias("_from"), F.col(to).alias("_to"))
+    out = works.withColumn("canonical", F.col(key))
+    for _ in range(hops):
+        out = out.join(target, F.col("canonical") == F.col("_from"), "left").withColumn("canonical", F.coalesce("_to", "canonical")).drop("_from", "_to")
+    return out
+
+
+def iso_language(code: Column | str) -> Column:
+    """A library's language code as a two-letter one where there is one."""
+    code = F.col(code) if isinstance(code, str) else code
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in MARC_TO_ISO.items() for x in p]), code), code)
+
+
+def editions_inventory(editions: DataFrame, sizes: DataFrame, work: str = "work") -> DataFrame:
+    """Per work how many editions were read, how many name no language, and whether the list was cut; sizes: work, size (as the source states it)."""
+    read = editions.groupBy(work).agg(F.count("*").alias("total"), F.count_if(F.coalesce("lang", F.lit("")) == "").alias("without_language"))
+    return read.join(sizes, work, "left").select(work, "total", "without_language", (F.coalesce("size", "total") > F.col("total")).alias("truncated"))
+
+
 def work_key(candidates: Column | str) -> Column:
     """The first candidate key that names a work (it ends with W)."""
     candidates = F.col(candidates) if isinstance(candidates, str) else candidates
@@ -82,13 +162,13 @@ def work_key(candidates: Column | str) -> Column:
 
 
 def editions_by_language(editions: DataFrame, work: str = "work") -> DataFrame:
-    """Per work and language: editions, first ISBN (13 digits before 10) and earliest year; no language: ''.
+    """Per work and language (two letters where known): editions, first ISBN (13 digits before 10) and earliest year; no language: ''.
 
     editions: work, position, lang, isbn_13, isbn_10, published.
     """
     year = publication_year("published")
     isbn = F.coalesce(F.min_by("isbn_13", F.when(F.col("isbn_13").isNotNull(), F.col("position"))), F.min_by("isbn_10", F.when(F.col("isbn_10").isNotNull(), F.col("position"))))
-    return editions.groupBy(work, F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("editions"), isbn.alias("isbn"), F.min(year).alias("first_year"))
+    return editions.groupBy(work, iso_language(F.coalesce("lang", F.lit(""))).alias("lang")).agg(F.count("*").alias("editions"), isbn.alias("isbn"), F.min(year).alias("first_year"))
 
 
 def feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
@@ -106,6 +186,12 @@ def ranked_lists(lists: DataFrame, items: str = "items") -> DataFrame:
     return placed.groupBy(*keys, "item").agg((F.min("_at") + 1).alias("place"))
 
 
+def citation_counts(lists: DataFrame, mentions: DataFrame, keys: list[str]) -> DataFrame:
+    """How often each item of valid lists is cited, and 0 for items that are mentioned only; lists: keys, valid; mentions: keys."""
+    cited = lists.where("valid").groupBy(*keys).agg(F.count("*").alias("n"))
+    return cited.unionByName(mentions.select(*keys).distinct().withColumn("n", F.lit(0).cast("long"))).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def distinct_values(frame: DataFrame, column: str) -> DataFrame:
     """The values present, in order."""
     return frame.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(column)
