@@ -59,10 +59,15 @@ def anchor_key(title: Column | str) -> Column:
     return F.regexp_replace(F.lower(_c(title)), "[^a-z0-9]", "")
 
 
+def stripped(html: Column | str) -> Column:
+    """Tags replaced by spaces, white space squeezed; null if nothing is left. Entities stay."""
+    t = F.regexp_replace(_c(html), "<[^>]+>", " ")
+    return F.nullif(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")), F.lit(""))
+
+
 def plain_text(html: Column | str) -> Column:
     """Entities resolved, tags replaced by spaces, white space squeezed; null if nothing is left."""
-    t = F.regexp_replace(unicode.unescaped(_c(html)), "<[^>]+>", " ")
-    return F.nullif(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")), F.lit(""))
+    return stripped(unicode.unescaped(_c(html)))
 
 
 def cut_at_sentence(text: Column | str, limit: int) -> Column:

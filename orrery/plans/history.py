@@ -70,8 +70,12 @@ def _days(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query("k3_bulk_upsert", f"WITH {_DAYS} SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE o.name END AS name, CASE WHEN n.id IS NOT NULL THEN n.popularity ELSE o.popularity END AS popularity, CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS change FROM old o FULL JOIN new n ON o.id = n.id")
 def bulk_upsert(t: Tables) -> DataFrame:
-    """K2, K3: two exports of a catalogue; rows absent from the second are kept."""
-    return latest.upsert(*_days(t), ["id"])
+    """K3: two exports of a catalogue; rows absent from the second are kept, repeated ids count once, rows without an id don't."""
+    old, new = _days(t)
+    new = new.withColumn("seq", F.lit(1))
+    stale = new.where("id % 7 = 0").withColumns({"name": F.lit("stale"), "seq": F.lit(0)})
+    nameless = new.where("id % 11 = 0").withColumn("id", F.lit(None).cast("long"))
+    return latest.upsert(old, new.unionByName(stale).unionByName(nameless), ["id"], order=["seq"]).drop("seq")
 
 
 @query("k5_fill_only", f"WITH {_DAYS} SELECT coalesce(o.id, n.id) AS id, coalesce(o.name, n.name) AS name, coalesce(o.popularity, n.popularity) AS popularity FROM old o FULL JOIN new n ON o.id = n.id")

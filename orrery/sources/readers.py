@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orrery.functions.scalars import cut_at_sentence, plain_text, publication_year
+from orrery.functions.scalars import cut_at_sentence, plain_text, publication_year, stripped
+from orrery.functions.unicode import unescaped
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str | StructType) -> DataFrame:
@@ -94,7 +95,9 @@ def first_article(pages: Column | str) -> Column:
 def show_summary(episodes: Column | str) -> Column:
     """(episodes, seasons, summary): counts and the told episodes' text in order."""
     episodes = F.col(episodes) if isinstance(episodes, str) else episodes
-    told = F.filter(F.transform(episodes, lambda e: plain_text(e["summary"])), lambda s: s.isNotNull())
+    # entities of all summaries are resolved at once, each summary is then stripped by itself
+    texts = F.split(unescaped(F.array_join(F.transform(episodes, lambda e: F.coalesce(e["summary"], F.lit(""))), "\x01")), "\x01")
+    told = F.filter(F.transform(texts, stripped), lambda s: s.isNotNull())
     return F.struct(F.size(episodes).alias("episodes"), F.size(F.array_distinct(F.transform(episodes, lambda e: e["season"]))).alias("seasons"), F.array_join(told, " ").alias("summary"))
 
 
