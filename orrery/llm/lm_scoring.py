@@ -7,7 +7,8 @@ document's score is the sum of log S over its words.
 
 1. Documents are read once into a table of blocks of about `block_words` words each: a block's
    vocabulary of word hashes and every word as a number in it. A longer document is cut into
-   pieces of several blocks; a piece repeats the words that its first contexts need.
+   pieces of several blocks; a piece repeats the words that its first contexts need. The table
+   is bucketed by block, so the join below doesn't shuffle it.
 2. A block's distinct n-grams and their counts are exploded into cells by n-gram hash: rows
    (cell, block, packed sorted hashes, counts), so a frequent n-gram is one entry per block
    and copies of a document are dealt like any other; nothing is a hot key.
@@ -28,13 +29,15 @@ ignored whatever their names.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import byte_class, mix, save, span_hashes, text_chunks, word_spans
+from orrery.llm.shared import byte_class, mix, scratch_dir, span_hashes, text_chunks, word_spans
 
 ALNUM = byte_class("alnum")
 ALPHA = 0.4
@@ -61,6 +64,13 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(from_planes(packed), dtype=np.uint64)
 
 
+def bucketed(frame: DataFrame, parts: int, key: str) -> DataFrame:
+    """frame, written to the scratch folder as a table of `parts` buckets."""
+    spark, name = frame.sparkSession, f"orrery_{uuid.uuid4().hex}"
+    frame.write.bucketBy(parts, key).option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def squeeze(data: bytes) -> bytes:
     return pa.compress(data, codec="zstd", asbytes=True)
 
@@ -100,8 +110,8 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 BLOCKS = "block long, rows array<long>, doc_ids array<long>, words array<long>, lead array<int>, n_words long, vocabulary binary, ids binary, n_ids long, n_known long"
 
 
-def block_table(docs: DataFrame, order: int, block_words: int) -> DataFrame:
-    """The table of blocks: pieces of documents (row number, doc_id, words, and words before them that are context only), their words as numbers in the block's vocabulary."""
+def block_table(docs: DataFrame, order: int, block_words: int) -> tuple[DataFrame, int]:
+    """The table of blocks and its number of buckets: pieces of documents (row number, doc_id, words, and words before them that are context only), their words as numbers in the block's vocabulary."""
 
     def run(batches):
         task, made, row = TaskContext.get().partitionId(), 0, 0
@@ -111,11 +121,14 @@ def block_table(docs: DataFrame, order: int, block_words: int) -> DataFrame:
 
         def flush():
             nonlocal made, pieces, held, size
-            vocabulary, ids = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_inverse=True)
-            ids = ids.astype(np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32)
+            vocabulary, ids, times = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+            often = np.argsort(-times, kind="stable")  # frequent words have small numbers, which compress
+            number = np.empty(len(often), np.uint32)
+            number[often] = np.arange(len(often))
+            vocabulary, ids = vocabulary[often], number[ids]
             rows, doc_ids, words, lead = zip(*pieces, strict=True)
             cells = {"block": (task << 32) + made, "rows": rows, "doc_ids": doc_ids, "words": words, "lead": lead, "n_words": sum(words)}
-            cells |= {"vocabulary": squeeze(vocabulary.tobytes()), "ids": squeeze(ids.tobytes()), "n_ids": len(ids), "n_known": len(vocabulary)}
+            cells |= {"vocabulary": squeeze(vocabulary.tobytes()), "ids": squeeze(ids.view(np.uint8).reshape(-1, 4).T.tobytes()), "n_ids": len(ids), "n_known": len(vocabulary)}
             kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
             made, pieces, held, size = made + 1, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(cells.values(), kinds, strict=True)], names=list(cells))
@@ -141,14 +154,15 @@ def block_table(docs: DataFrame, order: int, block_words: int) -> DataFrame:
         if pieces:
             yield flush()
 
-    return save(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, BLOCKS))
+    size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(8, size // (24 * block_words) + 1)  # some four blocks each
+    return bucketed(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, BLOCKS), parts, "block"), parts
 
 
 def block_grams(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """Of a block: its pieces' word counts with lead, which words are scored, n-gram hashes per length, each word's place in its piece."""
-    kind = np.uint16 if row["n_known"] <= 1 << 16 else np.uint32
     vocabulary = np.frombuffer(expand(row["vocabulary"], 8 * row["n_known"]), np.uint64)
-    words = vocabulary[np.frombuffer(expand(row["ids"], row["n_ids"] * np.dtype(kind).itemsize), kind)]
+    words = vocabulary[np.frombuffer(expand(row["ids"], 4 * row["n_ids"]), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()]
     lead = np.array(row["lead"], dtype=np.int64)
     counts = np.array(row["words"], dtype=np.int64) + lead
     first = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -159,9 +173,8 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA, cells: int
     """doc_id, n_words, n_backoff (words whose longest context did not help), logprob and mean_logprob of every row of docs (doc_id, text)."""
     if cells & (cells - 1):
         raise ValueError("cells must be a power of two")
-    blocks = block_table(docs, order, block_words)
-    n_blocks, n_words = blocks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    n_words = max(n_words, 1)
+    blocks, parts = block_table(docs, order, block_words)
+    n_words = max(blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0], 1)
     while cells * cell_grams < order * n_words:
         cells *= 2
     shift = np.uint64(64 - (cells.bit_length() - 1))
@@ -177,14 +190,14 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA, cells: int
                 at = np.searchsorted((keys >> shift).astype(np.int64), np.arange(cells + 1))
                 for c in np.flatnonzero(at[1:] > at[:-1]).tolist():
                     cut = slice(at[c], at[c + 1])
-                    packed = [pa.array([pack(keys[cut])], pa.binary()), pa.array([squeeze(planes(counts[cut]))], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([row["block"]]), *packed], names=["cell", "block", "grams", "counts"])
+                    packed = [pa.array([squeeze(pack(keys[cut]))], pa.binary()), pa.array([squeeze(planes(counts[cut]))], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([row["block"]]), *packed, pa.array([int(at[c + 1] - at[c])])], names=["cell", "block", "grams", "counts", "n"])
 
     packed_words = blocks.select("block", "words", "lead", "vocabulary", "ids", "n_ids", "n_known")
-    exploded = packed_words.mapInArrow(count, "cell int, block long, grams binary, counts binary").repartition(max(8, cells // 4), "cell")
+    exploded = packed_words.mapInArrow(count, "cell int, block long, grams binary, counts binary, n long").repartition(max(8, cells // 4), "cell")
 
     def total(table: pa.Table) -> pa.Table:
-        grams = [unpack(g.as_py()) for g in table.column("grams")]
+        grams = [unpack(expand(g.as_py(), 8 * n)) for g, n in zip(table.column("grams"), table.column("n").to_pylist(), strict=True)]
         counts = np.concatenate([from_planes(expand(c.as_py(), 8 * len(g))) for c, g in zip(table.column("counts"), grams, strict=True)])
         keys = np.concatenate(grams)
         order_ = np.argsort(keys, kind="stable")
@@ -225,8 +238,7 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA, cells: int
             "n_backoff": pa.array(sums_of(~hit & scored).astype(np.int64)), "logprob": pa.array(sums_of(np.where(scored, value, 0.0)).astype(np.float64)),
         })
 
-    parts = max(8, -(-n_blocks // 4))
-    both = blocks.repartition(parts, "block").groupBy("block").cogroup(totals.repartition(parts, "block").groupBy("block"))
+    both = blocks.groupBy("block").cogroup(totals.repartition(parts, "block").groupBy("block"))
     pieces = both.applyInArrow(score, "row long, doc_id long, n_words long, n_backoff long, logprob double")
     whole = pieces.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_backoff", "logprob")]).drop("row")
     return whole.withColumn("mean_logprob", F.when(F.col("n_words") > 0, F.col("logprob") / F.col("n_words")))
