@@ -46,30 +46,40 @@ def facets(frame: DataFrame, column: str, array: bool = False) -> DataFrame:
     return frame.select(value).where("value is not null").groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
 
 
+def keyed_rank(frame: DataFrame, keys: list[str], order: list[Column], name: str = "_i", count: str = "_n") -> DataFrame:
+    """frame with each row's place (from 0) in its key's order, and the key's number of rows.
+
+    Rows are sorted into ranges by key and order; a key's rows of the ranges before are added up, so a key with a third of all
+    rows is spread over ranges instead of one window.
+    """
+    ranged = save(frame.orderBy(*keys, *order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    own = Window.partitionBy(*keys)
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_m"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_m").over(own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), "_first", before.alias("_before"), F.sum("_m").over(own).alias(count))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return ranged.join(known, same).select(*frame.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(name), count)
+
+
 def buckets_by_position(frame: DataFrame, keys: list[str], order: list[Column], count: int, name: str = "bucket") -> DataFrame:
     """Equal slices by position, the last takes the remainder (not ntile's rule)."""
-    own = Window.partitionBy(*keys)
-    nth = F.row_number().over(own.orderBy(*order)) - 1
     size = F.expr(f"cast(floor(_n / {count}) as int)")
-    out = frame.withColumn("_n", F.count("*").over(own)).withColumn("_nth", nth)
-    slice_ = F.when(size == 0, F.lit(count)).otherwise(F.least(F.lit(count), F.floor(F.col("_nth") / size) + 1))
-    return out.withColumn(name, slice_.cast("int")).drop("_n", "_nth")
+    slice_ = F.when(size == 0, F.lit(count)).otherwise(F.least(F.lit(count), F.floor(F.col("_i") / size) + 1))
+    return keyed_rank(frame, keys, order).withColumn(name, slice_.cast("int")).drop("_n", "_i")
 
 
 def evenly_spaced(frame: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """K rows of each key spread over its order, first and last kept; halves round to even."""
-    own = Window.partitionBy(*keys)
-    out = frame.withColumn("_n", F.count("*").over(own)).withColumn("_i", F.row_number().over(own.orderBy(*order)) - 1)
     picked = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.bround(j * (F.col("_n") - 1) / F.lit(k - 1), 0).cast("long"))
-    return out.where((F.col("_n") <= k) | F.array_contains(picked, F.col("_i").cast("long"))).drop("_n", "_i")
+    return keyed_rank(frame, keys, order).where((F.col("_n") <= k) | F.array_contains(picked, F.col("_i"))).drop("_n", "_i")
 
 
 def stride_sample(frame: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """Every (n div k)-th row of each key's order, k at most."""
-    own = Window.partitionBy(*keys)
-    out = frame.withColumn("_n", F.count("*").over(own)).withColumn("_i", F.row_number().over(own.orderBy(*order)) - 1)
     step = F.greatest(F.floor(F.col("_n") / k), F.lit(1))
-    return out.where((F.col("_i") % step == 0) & (F.col("_i") / step < k)).drop("_n", "_i")
+    return keyed_rank(frame, keys, order).where((F.col("_i") % step == 0) & (F.col("_i") / step < k)).drop("_n", "_i")
 
 
 def global_rank(frame: DataFrame, order: list[Column], name: str = "position") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Graph queries (G1-G10): customers cite parts, the line number is the rank."""
+"""Graph queries (G1-G10; G11 is in diagnostics): customers cite parts, the line number is the rank."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import graph
 from orrery.plans.base import Tables, query
+from orrery.sources.scratch import save
 
 _EDGES = "edges AS (SELECT o_custkey AS member, l_partkey AS work, min(l_linenumber) AS rank FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)"
 _MEMBERS = "c_custkey % 50 = 0"
@@ -53,14 +54,14 @@ def person_roles(t: Tables) -> DataFrame:
 
 @query("g6_neighbours", f"WITH {_NEAR} SELECT member, neighbour, common, place FROM near")
 def neighbours(t: Tables) -> DataFrame:
-    """Two hops, for the members drawn."""
-    return graph.neighbours(edges(t), members(t)).select("member", "neighbour", "common", F.col("place").cast("long").alias("place"))
+    """Two hops, for the members drawn; the edges are built once."""
+    return graph.neighbours(save(edges(t)), members(t)).select("member", "neighbour", "common", F.col("place").cast("long").alias("place"))
 
 
 @query("g7_suggestions", f"WITH {_NEAR}, {_SHOWN}, s AS (SELECT n.member, e.work, count(DISTINCT n.neighbour) AS neighbours, avg(6 - coalesce(e.rank, 5)) AS strength FROM near n JOIN edges e ON e.member = n.neighbour WHERE NOT EXISTS (SELECT 1 FROM shown x WHERE x.member = n.member AND x.work = e.work) GROUP BY 1, 2) SELECT member, work, neighbours, round(strength, 6) AS strength, place FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY neighbours DESC, strength DESC, work) AS place FROM s) WHERE place <= 12")
 def suggestions(t: Tables) -> DataFrame:
     """What neighbours cite and the member isn't shown."""
-    e, m = edges(t), members(t)
+    e, m = save(edges(t)), members(t)
     shown = graph.member_works(e.join(m, "member", "left_semi"), t.part.select(F.col("p_partkey").alias("work"), F.col("p_name").alias("title"))).select("member", "work")
     found = graph.suggestions(e, m, shown)
     return found.select("member", "work", "neighbours", F.round("strength", 6).alias("strength"), F.col("place").cast("long").alias("place"))
@@ -69,7 +70,7 @@ def suggestions(t: Tables) -> DataFrame:
 @query("g8_graph_state", f"WITH {_EDGES} SELECT 'members' AS what, count(DISTINCT member) AS n FROM edges UNION ALL SELECT 'works', count(DISTINCT work) FROM edges UNION ALL SELECT 'citations', count(*) FROM edges UNION ALL SELECT 'rank ' || rank, count(*) FROM edges GROUP BY rank")
 def graph_state(t: Tables) -> DataFrame:
     """Nodes and relations counted from one edge table."""
-    e = edges(t)
+    e = save(edges(t))
     parts = [e.select("member").distinct().agg(F.lit("members").alias("what"), F.count("*").alias("n")), e.select("work").distinct().agg(F.lit("works").alias("what"), F.count("*").alias("n")), e.agg(F.lit("citations").alias("what"), F.count("*").alias("n"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(e.groupBy("rank").agg(F.count("*").alias("n")).select(F.concat(F.lit("rank "), "rank").alias("what"), "n"))
 

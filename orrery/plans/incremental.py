@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.plans.base import Tables, query
+from orrery.sources.scratch import new_folder
 from orrery.streaming import incremental as I
 
 
@@ -53,13 +54,10 @@ def windowed_counts(t: Tables) -> DataFrame:
     return I.windowed_counts(t.events, "ts", ["event_type"])
 
 
-@query("i_stream_dedup")
+@query("i_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(t: Tables) -> DataFrame:
     """Events as a stream, appended once by key; equals its batch form (tested)."""
-    import tempfile
-    import uuid
-
-    root = (t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()) + f"/stream-{uuid.uuid4().hex}"
+    root = new_folder(t.spark, "stream")
     stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir).select("user_id", "event_type", "event_id")
     I.append_new(stream, f"{root}/table", ["user_id", "event_type"], f"{root}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{root}/table").select("user_id", "event_type")

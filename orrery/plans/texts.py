@@ -115,7 +115,7 @@ def clamp_verdict(t: Tables) -> DataFrame:
     return t.events.select("event_id", S.clamp_verdict(score).alias("score"), S.clamp_confidence(sure).alias("confidence"))
 
 
-@query("x21_human_bytes")
+@query("x21_human_bytes", "SELECT source, format('{:,.1f}', n / (CASE WHEN n < 1024 THEN 1 WHEN n < 1048576 THEN 1024 WHEN n < 1073741824 THEN 1048576 ELSE 1073741824 END)::DOUBLE) || CASE WHEN n < 1024 THEN ' B' WHEN n < 1048576 THEN ' KB' WHEN n < 1073741824 THEN ' MB' ELSE ' GB' END AS size FROM (SELECT source, sum(octet_length(encode(text)))::BIGINT AS n FROM documents GROUP BY 1)")
 def human_bytes(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.sum(F.octet_length("text")).alias("n")).select("source", S.human_bytes("n").alias("size"))
 

@@ -122,6 +122,23 @@ def test_samples(spark):
     assert buckets == [1, 1, 2, 2, 3, 3, 4, 4, 4, 4]
 
 
+def test_keyed_rank_equals_a_window(spark):
+    rng = np.random.default_rng(13)
+    rows = [(None if k == 0 else int(k), int(v), i) for i, (k, v) in enumerate(zip(rng.choice([0, 1, 1, 1, 2], 500), rng.integers(0, 40, 500), strict=True))]
+    frame = spark.createDataFrame(rows, "k int, v int, id long").repartition(7)
+    got = sorted(((r.id, r._i, r._n) for r in paging.keyed_rank(frame, ["k"], [F.col("v").desc(), F.col("id")]).collect()))
+    want = []
+    for key in (None, 1, 2):
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
+        want += [(r[2], n, len(own)) for n, r in enumerate(own)]
+    assert got == sorted(want)
+    assert [r.position for r in paging.global_rank(frame, [F.col("v"), F.col("id")]).orderBy("v", "id").collect()] == list(range(500))
+    tenths = paging.decile_sample(frame.limit(0), [F.col("id")], 3)
+    assert tenths.collect() == []
+    picked = [(r.id, r.decile) for r in paging.decile_sample(spark.range(27), [F.col("id")], 1).orderBy("id").collect()]
+    assert picked == [(2 * d, d + 1) for d in range(10)]
+
+
 # ---------------------------------------------------------------- graph
 def test_suggestions(spark):
     edges = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 10, 1), (2, 12, 1), (3, 11, 2), (3, 12, None), (3, 13, 1), (4, 99, 1)], "member long, work long, rank int")
