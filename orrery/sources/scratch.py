@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/orrery-{spark.sparkContext.applicationId}"
 
 
+_NOTED: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str = "t") -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder that nothing else uses."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for noted in _NOTED:
+        noted.append(path)
+    return path
+
+
+def delete(spark: SparkSession, *folders: str) -> None:
+    for folder in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what was put into the scratch folder within; only for results that have been written by then."""
+    _NOTED.append([])
+    try:
+        yield
+    finally:
+        delete(spark, *_NOTED.pop())
 
 
 def save(frame: DataFrame) -> DataFrame:
