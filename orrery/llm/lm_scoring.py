@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import byte_class, mix, scratch_dir, span_hashes, text_chunks, word_spans
+from orrery.llm.shared import byte_class, mix, new_folder, span_hashes, text_chunks, word_spans
 
 ALNUM = byte_class("alnum")
 ALPHA = 0.4
@@ -67,7 +67,7 @@ def unpack(packed: bytes) -> np.ndarray:
 def bucketed(frame: DataFrame, parts: int, key: str) -> DataFrame:
     """frame, written to the scratch folder as a table of `parts` buckets."""
     spark, name = frame.sparkSession, f"orrery_{uuid.uuid4().hex}"
-    frame.write.bucketBy(parts, key).option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    frame.write.bucketBy(parts, key).option("path", new_folder(spark, "blocks")).saveAsTable(name)
     return spark.table(name)
 
 

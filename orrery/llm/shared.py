@@ -6,52 +6,29 @@ megabytes at a time, so memory does not depend on the size of a batch.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.sources.scratch import delete, new_folder, save, scratch_dir
+
+__all__ = ["delete", "new_folder", "save", "scratch_dir"]
+
 CHUNK = 1 << 20
 ONE = np.uint64(1)
 
 
 # ---------------------------------------------------------------- scratch tables
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only in local mode where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="orrery-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/orrery-{spark.sparkContext.applicationId}"
-
-
-def save(frame: DataFrame) -> DataFrame:
-    """Cut the lineage: write a table into the shared scratch folder and read it back.
-
-    A lost executor then costs at most the stage that is running.
-    """
-    spark = frame.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def remove(*frames: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more."""
     for frame in frames:
-        spark = frame.sparkSession
-        root = scratch_dir(spark)
-        for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            if folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-                where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        root = scratch_dir(frame.sparkSession)
+        inside = {f.rsplit("/", 1)[0] for f in frame.inputFiles()}
+        delete(frame.sparkSession, *(f for f in inside if f.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/"))))
 
 
 def fresh(name: str, columns: list[str]) -> str:

@@ -33,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import save, scratch_dir
+from orrery.llm.shared import new_folder, save
 
 CHUNK = 1 << 20
 MIN_REVISIT = 100
@@ -214,7 +214,7 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     A record's rows follow each other, and its last one tells its length, digest and number of chunks, so no rows meet.
     """
-    folder = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "warc")
     archives = save(write_archives(chunk_rows(pages), folder))
     found = read_archives(archives.repartition(max(1, archives.count())))
     whole = F.when(F.octet_length("data") == F.col("chunk_bytes"), F.col("full_bytes")).otherwise(F.raise_error(F.lit("a chunk's bytes are not all there")).cast("long"))
