@@ -8,18 +8,21 @@ written as Parquet before the next one reads it.
 3. pii: private values become format-preserving pseudonyms.
 4. mixing: documents repeat as the source schedule takes them.
 5. sentencepiece: piece ids instead of texts.
+
+Nulls and edges, in every stage: columns beyond those of documents pass through, whatever their names (the last stage
+returns its own columns); a null or empty text is never toxic, is no copy of another, holds nothing private and is not taken
+by the mix; rows that repeat are copies of each other; rows without doc_id are judged like others, the one with a doc_id
+stays; very long texts are whole; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import jaccard_join, mixing, pii, sentencepieces, toxicity
 from orrery.llm.queries import pii_key
-from orrery.llm.shared import scratch_dir
+from orrery.sources.scratch import clearing, delete, new_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; every stage's table is written to the shared scratch folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        path = f"{root}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages on documents; every stage's table is written to the shared scratch folder, and kept until the next one is."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        path = new_folder(spark, name)
+        with clearing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
