@@ -133,7 +133,8 @@ FOUND = "node long, links long, parent long"
 
 def _crowds(nodes: DataFrame, entries: DataFrame, crowded: DataFrame, cosine: float) -> DataFrame:
     """(node, crowd) of nodes under crowded keys that one link each connects in groups of a block and more."""
-    first = entries.join(crowded.select("key"), "key", "left_semi").groupBy("key").agg(F.min("node").alias("first"))
+    # written, so that the joins below read plain tables and split a large crowd
+    first = save(entries.join(crowded.select("key"), "key", "left_semi").groupBy("key").agg(F.min("node").alias("first")))
     pairs = entries.join(first, "key").where("node <> first").groupBy("node").agg(F.min("first").alias("first"))
     mine = pairs.join(nodes.select("node", F.col("embedding").alias("x")), "node")
     both = mine.join(nodes.select(F.col("node").alias("first"), F.col("embedding").alias("y")), "first").select("node", "first", "x", "y")
@@ -199,6 +200,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     placed = save(placed)
     sizes = placed.groupBy("key", "crowd").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
     met = sizes.groupBy("key").agg(F.collect_list(F.struct("crowd", "blocks")).alias("crowds")).where("size(crowds) > 1 or crowds[0].crowd = 0")
+    met = save(met)
     spread = lambda z: F.transform(F.sequence(F.lit(0).cast("long"), z["blocks"] - 1), lambda i: F.concat_ws(":", z["crowd"], i))
     others = F.flatten(F.transform(F.filter("crowds", lambda z: (z["crowd"] == 0) | (z["crowd"] != F.col("crowd"))), spread))
     count = F.element_at(F.filter("crowds", lambda z: z["crowd"] == F.col("crowd")), 1)["blocks"]
@@ -216,7 +218,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     group = connected_components(found.where("node <> parent"), "node", "parent").withColumnsRenamed({"component": "group"})
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "copies").join(links, "node", "left").join(group, "node", "left")
-    known = known.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("group", "node").alias("group"))
+    known = save(known.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("group", "node").alias("group")))
     grouped = save(rows.select("vec_id", "node").join(known, "node", "left"))
     # only groups of several rows need a name from elsewhere; written, so that the join splits a large group
     names = save(grouped.where("group is not null").groupBy("group").agg(F.min("vec_id").alias("name"), F.count("*").alias("n")).where("n > 1").select("group", "name"))
