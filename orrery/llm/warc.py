@@ -1,12 +1,12 @@
 """WARC writing and reading with a chunked record table.
 
 Writing: payloads become chunk rows of at most CHUNK bytes, which carry their record's identifier and
-number. They are dealt by page (never by digest) and sorted, and each task streams its chunks into one
-archive of the shared folder, a gzip member per record, so no task holds a record. The archive is
-renamed when it is whole; a retried task writes another file, and only the files that the job reports
-are read. Payloads of MIN_REVISIT bytes and more that are equal are stored once: the smallest id is
-the response, others are revisit records that refer to it. That is decided on identifiers and digests
-alone, before any payload moves.
+number and follow each other in a task, and each task streams its chunks into one archive of the shared
+folder, a gzip member per record, so no writer holds a record. The archive is renamed when it is whole;
+a retried task writes another file, and only the files that the job reports are read. Payloads of
+MIN_REVISIT bytes and more that are equal are stored once: the smallest id is the response, others are
+revisit records that refer to it. That is decided on identifiers and digests alone; payloads move at
+most once, to meet that decision by page and digest, and stay where they are if it is small.
 
 Reading: archives are streamed member by member. A record's payload is never held whole: it
 comes as rows (record, chunk number, bytes, running SHA-256 of the payload so far), at most
@@ -77,7 +77,10 @@ def _head(page_id: int | None, url: str, refers_to: int | None, digest: str, siz
 
 
 def write_archives(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
-    """(path, records, bytes) of the archives of chunk_rows, in `folder`, a location pyarrow can open from every executor."""
+    """(path, records, bytes) of the archives of chunk_rows, in `folder`, a location pyarrow can open from every executor.
+
+    A record's chunks must follow each other, as chunk_rows makes them; a table that was dealt anew is refused.
+    """
 
     def run(batches):
         store, root = pafs.FileSystem.from_uri(folder)
@@ -85,6 +88,7 @@ def write_archives(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
         name = uuid.uuid4().hex
         sink = press = None
         records = size = 0
+        current, expected = None, 0
 
         def put(part: bytes) -> None:
             nonlocal size
@@ -93,7 +97,10 @@ def write_archives(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
 
         for batch in batches:
             for k in range(batch.num_rows):
-                page_id, number, url, length, digest, refers_to, data = (batch.column(c)[k] for c in range(7))
+                page_id, row, number, url, length, digest, refers_to, data = (batch.column(c)[k] for c in range(8))
+                if number.as_py() and (number.as_py() != expected or row.as_py() != current):
+                    raise ValueError("the chunks of a record don't follow each other")
+                current, expected = row.as_py(), number.as_py() + 1
                 if number.as_py() == 0:
                     if press:
                         put(press.compress(CRLF + CRLF) + press.flush())
@@ -109,8 +116,7 @@ def write_archives(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
             store.move(f"{root}/.{name}.part", f"{root}/{name}.warc.gz")
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{name}.warc.gz"]), pa.array([records]), pa.array([size])], names=["path", "records", "bytes"])
 
-    dealt = chunks.repartition(F.coalesce("page_id", "row")).sortWithinPartitions("page_id", "row", "chunk_no")
-    return dealt.select("page_id", "chunk_no", "url", "size", "digest", "refers_to", "data").mapInArrow(run, "path string, records long, bytes long")
+    return chunks.select("page_id", "row", "chunk_no", "url", "size", "digest", "refers_to", "data").mapInArrow(run, "path string, records long, bytes long")
 
 
 class _Members:

@@ -351,6 +351,12 @@ def test_warc_refuses_damaged_archives(spark, tmp_path):
             read(gzip.compress(damaged))
 
 
+def test_warc_refuses_chunks_out_of_order(spark, tmp_path):
+    table = spark.createDataFrame([(1, "u", "x" * (3 * warc.CHUNK))], "page_id long, url string, html string")
+    with pytest.raises(Exception, match="follow each other"):
+        warc.write_archives(warc.chunk_rows(table).orderBy(F.desc("chunk_no")), f"file://{tmp_path}/a").collect()
+
+
 def test_warc_retried_task_leaves_a_file_that_nobody_reads(spark, tmp_path):
     first = archived(spark, [(1, "u", "a"), (2, "v", "b")], tmp_path / "a")
     archived(spark, [(1, "u", "a")], tmp_path / "a")
