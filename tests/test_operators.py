@@ -239,13 +239,13 @@ def near_means(x, y, k):
     """Each row's guess from the k most similar rows of other folds, row by row."""
     n = len(y)
     folds = n if n <= regression.ALONE else regression.FOLDS
-    likeness = lambda a, b: float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)))
-    out = []
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    likeness, out = unit @ unit.T, []
     for i in range(n):
-        ranked = sorted(((likeness(x[i], x[j]), -j) for j in range(n) if j % folds != i % folds), reverse=True)[:k]
-        weights = [s - ranked[-1][0] for s, _ in ranked]
-        values = [y[-j] for _, j in ranked]
-        out.append(np.average(values, weights=weights) if sum(weights) > 1e-12 else np.mean(values))
+        others = np.flatnonzero(np.arange(n) % folds != i % folds)
+        best = others[np.lexsort((others, -likeness[i, others]))[:k]]
+        weights = likeness[i, best] - likeness[i, best[-1]]
+        out.append(np.average(y[best], weights=weights) if weights.sum() > 1e-12 else y[best].mean())
     return np.array(out)
 
 
