@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.scalars import fold
 from orrery.functions.unicode import fold_text
+from orrery.sources.scratch import save
 
 SHORTEST, LONGEST = 2, 20
 K1 = 1.2
@@ -39,7 +40,8 @@ def query_words(query: str) -> list[str]:
 
 
 def _weighed(tf: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """tf (term, key, tf) with idf."""
+    """tf (term, key, tf) with idf. tf is written: texts are folded and split once."""
+    tf = save(tf)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("docs"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
