@@ -94,11 +94,32 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), cosine=0.98)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank: a quarter of the documents of 20 words and more, drawn towards `benchmark`."""
+    from orrery.llm.importance import importance_ranks
+
+    return importance_ranks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every whole text, as read back from the token files."""
+    from orrery.llm.token_files import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256; every tenth document gets a planted repetition."""
+    from orrery.llm.periodic import find_runs, plant_repeats, run_digests
+
+    return run_digests(find_runs(plant_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")), keep_text=False))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_toxicity, op3_graph_search, op4_mixing, op5_ngram_jaccard_join, op6_license_scan, op7_lm_scoring, op8_warc, op9_sentencepiece,
-        op10_embedding_near_dedup,
+        op10_embedding_near_dedup, op11_importance_resampling, op12_token_files, op13_periodic_runs,
     )
 }
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

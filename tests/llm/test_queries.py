@@ -86,4 +86,4 @@ def test_entry_lists_all():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert set(queries.QUERIES) < names and "pipeline" in names and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) < names and "pipeline" in names and len(queries.QUERIES) == 13
