@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by batched numpy Viterbi.
 
 Texts are cut into units that no piece crosses (spaces with the word behind them, or single
-characters that occur in no longer piece). New units of equal length advance together: every
+characters that occur in no longer piece). New units of equal length advance together (of a unit
+longer than LONG overlapping parts of it do, see `Encoder._parts`): every
 substring's hash probes the sorted keys of the vocabulary, and for each end position the
 maximum over the candidate last pieces is taken for all units at once; its length and piece
 are the backpointers. Units already seen come from a bounded cache of the task.
@@ -37,6 +38,8 @@ from orrery.llm.shared import mix
 
 SPACE = 0x2581
 CACHE = 1_000_000
+MOST_IDS = 1 << 24  # ids of the units that are kept
+LONG, STEP, LAP = 4096, 2048, 256  # units of more characters are coded in parts that begin every STEP and overlap by LAP
 ROWS = 2_000
 _RNG = np.random.Generator(np.random.PCG64(9))
 _A = int(_RNG.integers(1 << 62)) | 1
@@ -104,6 +107,7 @@ class Vocabulary:
         for n in np.unique(sizes):
             keys[sizes == n] = Spans(np.stack([p for p in points if len(p) == n])).of(np.array([0]), np.array([n]))[:, 0]
         order = np.argsort(keys)
+        self.widths = np.array([len(p) for p in self.pieces])
         self.keys, self.key_ids = keys[order], np.array(list(self.ids.values()), dtype=np.int32)[order]
         self.longest = max(map(len, points))
         self.joins = np.zeros(0x110000, dtype=bool)  # characters of pieces of two and more
@@ -274,7 +278,7 @@ class Encoder:
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(points))
         names, first, back = np.unique(Spans(points).of(starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(names) > CACHE:
+        if len(self.known) + len(names) > CACHE or len(self.flat) > MOST_IDS:
             self.forget()
         at = np.searchsorted(self.known, names)
         have = np.zeros(len(names), bool)
@@ -308,8 +312,10 @@ class Encoder:
         begin, length = starts + run, length - run
         for size in np.unique(length[~whole]):
             group = np.flatnonzero((length == size) & ~whole)
-            for part in np.array_split(group, max(1, int(len(group) * size * min(size, v.longest) // 2_000_000))):
-                for k, got in zip(part, v.viterbi(points[begin[part][:, None] + np.arange(size)]), strict=True):
+            split = size > LONG and not v.unigram
+            for part in np.array_split(group, len(group) if split else min(len(group), max(1, int(len(group) * size * min(size, v.longest) // 2_000_000)))):
+                units = points[begin[part][:, None] + np.arange(size)]
+                for k, got in zip(part, [self._parts(units[0])] if split else v.viterbi(units), strict=True):
                     if run[k]:  # the last space is the word's if a piece holds both, else one of the run
                         alone = got[0] == v.spaces[1]
                         made[k] = np.concatenate((v.space_run(int(run[k] + alone)), v.spell(got[1:] if alone else got)))
@@ -324,6 +330,34 @@ class Encoder:
         self.at = np.concatenate((self.at, at))[order]
         self.size = np.concatenate((self.size, sizes))[order]
 
+    def _parts(self, unit: np.ndarray) -> np.ndarray:
+        """Pieces of a long unit of a BPE model, whose overlapping parts advance together.
+
+        Every two neighbours within a part fit, and a segmentation whose neighbours all fit is the result of the merges. So where
+        two parts hold the same piece at the same place, one goes on as the other; where an overlap holds none, the unit is merged.
+        """
+        v, starts = self.v, np.arange(0, max(len(unit) - LAP, 1), STEP)
+        ends = np.minimum(starts + STEP + LAP, len(unit))
+        cut: list[np.ndarray] = []
+        for size in np.unique(ends - starts)[::-1]:
+            some = starts[ends - starts == size]
+            for part in np.array_split(some, -(-len(some) // 128)):
+                cut += v.viterbi(unit[part[:, None] + np.arange(size)])
+        out, done = [], 0  # done: the end of the pieces taken so far
+        for k, (start, pieces) in enumerate(zip(starts.tolist(), cut, strict=True)):
+            at = start + np.cumsum(np.where(pieces >= 0, v.widths[np.maximum(pieces, 0)], 1))
+            if k:
+                shared = np.flatnonzero(np.isin(at * len(v.pieces) + pieces, last_at * len(v.pieces) + last))
+                if not len(shared):
+                    text = unit.tobytes().decode("utf-32-le", "surrogatepass")
+                    return self.v_unknown(text)
+                done = int(at[shared[0]])
+                out[-1] = last[last_at <= done]
+                pieces, at = pieces[at > done], at[at > done]
+            out.append(pieces)
+            last, last_at = pieces, at
+        return np.concatenate(out)
+
     def v_unknown(self, text: str) -> np.ndarray:
         """Pieces of a text that holds unknown characters."""
         parts, out = [], []
