@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The secret of spark.orrery.pii.key; the tables of this repository are invented, so a published one serves where it is unset."""
-    return spark.conf.get("spark.orrery.pii.key", "not a secret")
+    """The secret of spark.orrery.pii.key; where it is unset, one that is drawn for this session, which nobody can undo or link to other sessions."""
+    key = spark.conf.get("spark.orrery.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("spark.orrery.pii.key", key)
+    return key
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
