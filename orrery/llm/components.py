@@ -13,6 +13,32 @@ from pyspark.sql import functions as F
 from orrery.llm.shared import remove, save
 
 
+def clashes(rows: DataFrame, number: str, check: str) -> DataFrame | None:
+    """(number, check, other) for everything whose 64-bit number another thing has, too; `other` is a number of its own. None if all numbers differ.
+
+    `check` is a second 64-bit hash, independent of the first: both together tell things apart.
+    """
+    known = rows.where(F.col(number).isNotNull()).groupBy(number).agg(F.min(check).alias("_a"), F.max(check).alias("_b"))
+    shared = save(known.where("_a <> _b").select(number))
+    if shared.isEmpty():
+        return None
+    apart = save(rows.join(shared, number, "left_semi").select(number, check).distinct())
+    attempt = 0
+    while True:
+        made = save(apart.withColumn("other", F.xxhash64(number, check, F.lit(attempt))))
+        taken = rows.select(F.col(number).alias("other")).join(made, "other", "left_semi")
+        if made.groupBy("other").count().where("count > 1").isEmpty() and taken.isEmpty():
+            return made
+        attempt += 1
+
+
+def renumbered(frame: DataFrame, clashing: DataFrame | None, number: str, check: str) -> DataFrame:
+    """frame with numbers that tell everything apart, as found by `clashes`."""
+    if clashing is None:
+        return frame
+    return frame.join(clashing, [number, check], "left").withColumn(number, F.coalesce("other", number)).select(*frame.columns)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 

@@ -1,6 +1,7 @@
 """Embedding near-duplicates by lattice hashing with E8, verified by cosine.
 
-Equal vectors of a label are one node with a count. Every node's unit vector is projected at
+Equal vectors of a label are one node with a count; a second 64-bit hash finds vectors, and labels, that
+share the first only, which get numbers of their own. Every node's unit vector is projected at
 random onto BLOCKS x 8 dimensions, in TABLES tables; each 8-dimensional part is decoded to its
 nearest E8 lattice point and to the next one, and the PROBES combinations nearest to the
 projection become keys. Nodes that share a key meet in a tile, where cosines are computed in
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.components import connected_components
+from orrery.llm.components import clashes, connected_components, renumbered
 from orrery.llm.shared import as_long, mix, save
 from orrery.llm.vectors import matrix, usable
 
@@ -153,11 +154,15 @@ def _crowds(nodes: DataFrame, entries: DataFrame, crowded: DataFrame, cosine: fl
     return save(groups.join(large, "component").select("node", F.col("component").alias("crowd"), F.ceil(F.col("n") / F.lit(BLOCK)).alias("blocks")))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
-    """Per row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, bits: int = 64) -> DataFrame:
+    """Per row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept. Fewer than 64 bits make numbers clash, for tests."""
     picked = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    picked = picked.withColumn("node", F.when(usable() & F.col("label").isNotNull(), F.xxhash64("label", "embedding")))
-    rows = save(picked)
+    able = usable() & F.col("label").isNotNull()
+    number = lambda *of: F.xxhash64(*of) if bits == 64 else F.xxhash64(*of).bitwiseAND((1 << bits) - 1)
+    rows = picked.withColumns({"node": F.when(able, number("label", "embedding")), "check": F.when(able, F.xxhash64(F.lit(1), "label", "embedding"))})
+    rows = save(rows.withColumns({"check_label": F.xxhash64(F.lit(1), "label"), "label": number("label")}))
+    for name, check in (("node", "check"), ("label", "check_label")):
+        rows = renumbered(rows, clashes(rows, name, check), name, check)
     nodes = rows.where("node is not null").groupBy("node", "label", "embedding").agg(F.count("*").alias("copies"))
 
     def hashed(batches):
@@ -174,7 +179,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
                     part = own.slice(at, 4096)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), lists], names=["node", "embedding", "copies", "keys"])
 
-    nodes = nodes.select("node", F.xxhash64("label").alias("label"), "embedding", "copies")
+    nodes = nodes.select("node", "label", "embedding", "copies")
     nodes = save(nodes.mapInArrow(hashed, "node long, embedding array<double>, copies long, keys array<long>"))
     entries = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")

@@ -24,8 +24,8 @@ when |A & B| / |A | B| >= percent / 100. The result is exact.
 4. Components of the links; a component is named after its smallest doc_id.
 
 Equal sets are one node (the 64-bit sum of mixed shingle hashes), so exact copies are never
-paired. A second sum tells whether two different sets got one number; that stops the job with
-an error, so a result is never wrong by it. What the table of hashed counts sets aside, the size of
+paired. A second such sum goes with it: sets that share the first only are found once over all
+documents and get numbers of their own, so 128 bits tell sets apart. What the table of hashed counts sets aside, the size of
 families that are compared with one set first (CROWD) and the bitmaps' fixed size only save work.
 
 Nulls and edges: a null text counts as empty; a null doc_id is never a component's name
@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.components import connected_components
+from orrery.llm.components import clashes, connected_components, renumbered
 from orrery.llm.shared import as_long, byte_class, id_bits, maybe_in, mix, save, span_hashes, text_chunks, word_spans
 
 BLOCK, CROWD = 256, 4
@@ -150,12 +150,18 @@ def _check(shingled: np.ndarray) -> np.uint64:
     return np.sum(mix(shingled ^ _K[2]))
 
 
+def _identities(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Node and check of sets; fewer than 64 bits make nodes clash, for tests."""
+    node = mix(np.array([_node(s) if len(s) else 0 for s in sets], dtype=np.uint64)) & np.uint64((1 << bits) - 1)
+    return as_long(node), as_long(np.array([_check(s) for s in sets], dtype=np.uint64))
+
+
 def _input(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"))
 
 
-def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, digest, n, node) of every row: the text's hash, set size and the set's 64-bit identity (null when empty); and flags of common shingles.
+def shingle_sets(docs: DataFrame, width: int, bits: int = 64) -> tuple[DataFrame, np.ndarray, DataFrame | None]:
+    """(doc_id, digest, n, node, check) of every row: the text's hash, set size and the set's identity (node null when empty); flags of common shingles; clashing nodes.
 
     The count table has a fixed size; tasks add up their own, then pieces of it are added up in a shuffle.
     """
@@ -168,11 +174,10 @@ def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             sets = [s for _, s in _sets_of(batch, width)]
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTS)
-            node = mix(np.array([_node(s) if len(s) else 0 for s in sets], dtype=np.uint64))
+            node, check = _identities(sets, bits)
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            check = np.array([_check(s) for s in sets], dtype=np.uint64)
             none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n), pa.array(as_long(node), mask=n == 0), pa.array(as_long(check)), *none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n), pa.array(node, mask=n == 0), pa.array(check), *none], names=names)
         if counts.any():
             pieces = [p.astype(np.uint32).tobytes() for p in counts.reshape(SLOTS, -1)]
             none = [pa.nulls(SLOTS, pa.int64())] * 5
@@ -192,9 +197,9 @@ def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     for r in pieces.toLocalIterator():  # the table: 8 MB
         counts[r["slot"]] = np.frombuffer(r["counts"], np.int64)
     usual = float(counts.mean())
-    if not made.where("node is not null").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").isEmpty():
-        raise ValueError("two different sets have one 64-bit number")
-    return made.where("slot is null").select("doc_id", "digest", "n", "node"), (counts > usual + 6 * math.sqrt(usual) + 8).ravel()
+    rows = made.where("slot is null").select("doc_id", "digest", "n", "node", "check")
+    clashing = clashes(rows, "node", "check")
+    return renumbered(rows, clashing, "node", "check"), (counts > usual + 6 * math.sqrt(usual) + 8).ravel(), clashing
 
 
 def _bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -234,72 +239,79 @@ def linked_in_tile(node: np.ndarray, sets: list[np.ndarray], left: np.ndarray, r
     return links
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text); percent from 1 to 100, where 100 links equal sets only."""
-    return _named(_grouped(docs, width, percent))
+    return _named(_grouped(docs, width, percent, bits))
 
 
-def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _grouped(docs: DataFrame, width: int, percent: int, bits: int = 64) -> DataFrame:
     """(doc_id, digest, n, group) of every row of docs; linked rows share a group, rows without words have none."""
     if not 1 <= percent <= 100:
         raise ValueError("percent is from 1 to 100")
-    rows, common = shingle_sets(docs, width)
+    rows, common, clashing = shingle_sets(docs, width, bits)
     if percent == 100:
         return rows.select("doc_id", "digest", "n", F.col("node").alias("group"))
-    found = rows.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"))
+    found = rows.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.min("check").alias("check"))
     flags = rows.sparkSession.sparkContext.broadcast(common)
 
-    def keyed(bits):
+    clash = clashing is not None
+
+    def keyed(wanted):
         """(node, key) of all sets, or of those keys only that may be in a bitmap."""
 
         def run(batches):
             for batch in _slices(batches):
                 sets = [s for _, s in _sets_of(batch, width) if len(s)]
                 keys = [part_keys(s, percent, flags.value) for s in sets]
-                node = np.repeat(mix(np.array([_node(s) for s in sets], dtype=np.uint64)), [len(k) for k in keys])
+                node, check = (np.repeat(x, [len(k) for k in keys]) for x in _identities(sets, bits))
                 key = np.concatenate([*keys, np.zeros(0, np.uint64)])
-                if bits is not None:
-                    some = maybe_in(bits.value, as_long(key))
-                    node, key = node[some], key[some]
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(node)), pa.array(as_long(key))], names=["node", "key"])
+                if wanted is not None:
+                    some = maybe_in(wanted.value, as_long(key))
+                    node, check, key = node[some], check[some], key[some]
+                yield pa.RecordBatch.from_arrays([pa.array(node), *([pa.array(check)] if clash else []), pa.array(as_long(key))], names=names)
 
-        return _input(docs).mapInArrow(run, "node long, key long")
+        names = ["node", "check", "key"] if clash else ["node", "key"]
+        found = _input(docs).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+        return renumbered(found, clashing, "node", "check").select("node", "key")
 
     first = keyed(None).groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
     first = save(first)
     # most keys are of one set only and needn't be shuffled again
-    bits = rows.sparkSession.sparkContext.broadcast(id_bits(first, F.col("key"), first.count()))
-    star = save(keyed(bits).join(first, "key").where("node <> first").select("node", "first").distinct())
+    wanted = rows.sparkSession.sparkContext.broadcast(id_bits(first, F.col("key"), first.count()))
+    star = save(keyed(wanted).join(first, "key").where("node <> first").select("node", "first").distinct())
     family = connected_components(star, "node", "first").withColumnsRenamed({"component": "family"})
 
     sizes = family.join(found, "node")
     edge = math.log(100 / percent)
     members = save(sizes.withColumn("band", F.floor(F.log("n") / F.lit(edge) + F.lit(1e-9))))
-    links = _verify(docs, members, star, width, percent)
+    links = _verify(_member_sets(docs, members, width, bits, clashing), members, star, percent)
     group = connected_components(links).withColumnsRenamed({"component": "group"})
     return save(rows.join(group, "node", "left").select("doc_id", "digest", "n", F.coalesce("group", "node").alias("group")))
 
 
-def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of members (node, rep), and of few others.
+def _member_sets(docs: DataFrame, members: DataFrame, width: int, bits: int, clashing: DataFrame | None) -> DataFrame:
+    """(node, shingles) of members (check, rep), and of few others.
 
     One document of each set is enough: a bitmap of them spares a shuffle of all texts.
     """
-    mixed = F.col("node").bitwiseXOR(F.coalesce("rep", F.lit(-1)))
-    bits = members.sparkSession.sparkContext.broadcast(id_bits(members, mixed, members.count()))
+    mixed = F.col("check").bitwiseXOR(F.coalesce("rep", F.lit(-1)))
+    wanted = members.sparkSession.sparkContext.broadcast(id_bits(members, mixed, members.count()))
 
     def sets_again(batches):
-        told: set[int] = set()  # rows that repeat are told once a task
+        told: set[tuple[int, int]] = set()  # rows that repeat are told once a task
         for batch in _slices(batches):
             sets = [s for _, s in _sets_of(batch, width)]
-            node = as_long(mix(np.array([_node(s) for s in sets], dtype=np.uint64)))
-            keep = np.flatnonzero(maybe_in(bits.value, node ^ pc.fill_null(batch.column(1), -1).to_numpy(zero_copy_only=False)))
-            _, once = np.unique(node[keep], return_index=True)
-            keep = np.array([k for k in keep[np.sort(once)].tolist() if int(node[k]) not in told], dtype=np.int64)
-            told.update(node[keep].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), _lists([sets[k] for k in keep])], names=["node", "shingles"])
+            node, check = _identities(sets, bits)
+            keep = []
+            for k in np.flatnonzero(maybe_in(wanted.value, check ^ pc.fill_null(batch.column(1), -1).to_numpy(zero_copy_only=False))).tolist():
+                both = int(node[k]), int(check[k])
+                if both not in told:
+                    told.add(both)
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(check[keep]), _lists([sets[k] for k in keep])], names=["node", "check", "shingles"])
 
-    return _input(docs).mapInArrow(sets_again, "node long, shingles array<long>")
+    found = _input(docs).mapInArrow(sets_again, "node long, check long, shingles array<long>")
+    return renumbered(found, clashing, "node", "check").select("node", "shingles")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -310,10 +322,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _star_links(docs: DataFrame, members: DataFrame, star: DataFrame, width: int, percent: int) -> DataFrame:
+def _star_links(sets: DataFrame, members: DataFrame, star: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of members to the smallest set they share a key with: one comparison a member."""
     pairs = star.join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.min("first").alias("first"))
-    sets = _member_sets(docs, members, width)
     mine = pairs.join(sets, "node").withColumnsRenamed({"shingles": "x"})
     both = mine.join(sets.select(F.col("node").alias("first"), F.col("shingles").alias("y")), "first").select("node", "first", "x", "y")
 
@@ -326,7 +337,7 @@ def _star_links(docs: DataFrame, members: DataFrame, star: DataFrame, width: int
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def _verify(docs: DataFrame, members: DataFrame, star: DataFrame, width: int, percent: int) -> DataFrame:
+def _verify(sets: DataFrame, members: DataFrame, star: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that span the groups of every family.
 
     Members of families of more than CROWD tiles' size are first compared with one set each. What is connected then in
@@ -338,7 +349,7 @@ def _verify(docs: DataFrame, members: DataFrame, star: DataFrame, width: int, pe
     early = None
     members = members.withColumn("crowd", F.lit(0).cast("long"))
     if not crowd.isEmpty():
-        early = save(_star_links(docs, crowd, star, width, percent))
+        early = save(_star_links(sets, crowd, star, percent))
         groups = connected_components(early)
         large = groups.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("component")
         of = groups.join(large, "component", "left_semi")
@@ -369,7 +380,7 @@ def _verify(docs: DataFrame, members: DataFrame, star: DataFrame, width: int, pe
         got = linked_in_tile(node[once], shingled, table.column("is_lo").to_numpy(), table.column("is_hi").to_numpy(), percent)
         return pa.table({"a": pa.array([g[0] for g in got], pa.int64()), "b": pa.array([g[1] for g in got], pa.int64())})
 
-    links = _member_sets(docs, members, width).join(tiles, "node").groupBy("tile").applyInArrow(link, "a long, b long")
+    links = sets.join(tiles, "node").groupBy("tile").applyInArrow(link, "a long, b long")
     return links if early is None else links.unionByName(early)
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.llm import embedding_dedup, graph_search, jaccard_join, shared
-from orrery.llm.components import connected_components
+from orrery.llm.components import clashes, connected_components, renumbered
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,23 +98,47 @@ def test_keep_first_judges_each_text_of_a_doc_id(spark):
 
 
 def test_jaccard_join_of_many_repeated_rows(spark):
-    """Repeated rows, also without doc_id, are one set of a tile; two sets of one number stop the job."""
+    """Repeated rows, also without doc_id, are one set of a tile; as one more near copy."""
     text = "a b c d e f g h i j k l m n o p q r s t"
     docs = spark.range(300).select(F.when(F.col("id") < 150, F.lit(5)).alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(9, text + " u")], "doc_id long, text string"))
     rows = jaccard_join.jaccard_components(docs, 3, 90).collect()
     assert len(rows) == 301 and {r.component_id for r in rows} == {5}
 
 
-def test_jaccard_join_refuses_clashing_sets(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "_node", lambda s: np.uint64(7))
-    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")
-    with pytest.raises(ValueError):
-        jaccard_join.shingle_sets(docs, 3)
+@pytest.mark.parametrize("width, percent", [(3, 60), (2, 100)])
+def test_jaccard_join_of_clashing_sets(spark, width, percent, monkeypatch):
+    """Sets that share their first number (three bits here) are told apart by the second one, everywhere."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "CROWD", 1)
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(90)}" for _ in range(30)] for _ in range(9)]
+    rows = []
+    for i in range(70):
+        text = list(rng.choice(base))
+        text[rng.randrange(30)] = f"w{rng.randrange(90)}"
+        rows.append((i, " ".join(text)))
+    rows += [(100, rows[0][1]), (101, "short"), (102, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, width, percent, bits=3).collect()}
+    assert got == brute_jaccard(rows, width, percent) and len({c for _, c in got.values()}) > 5
+
+
+def test_jaccard_join_refuses_percentages(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     for percent in (0, 101):
         with pytest.raises(ValueError):
             jaccard_join.jaccard_components(docs, 3, percent)
 
 
+def test_numbers_that_clash(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (2, 5), (None, 1)], "number long, check long")
+    found = clashes(rows, "number", "check")
+    assert {(r.number, r["check"]) for r in found.collect()} == {(1, 5), (1, 6)}
+    new = renumbered(rows, found, "number", "check")
+    assert new.where("number is not null").select("number").distinct().count() == 3 and new.count() == 5 and new.where("number is null").count() == 1
+    assert clashes(rows.where("check = 5"), "number", "check") is None
+
+
 def test_part_keys_lose_no_link():
     rng = np.random.default_rng(5)
     none = np.zeros(jaccard_join.COUNTS, bool)
@@ -146,8 +170,8 @@ def test_e8_decoder_finds_the_nearest_point():
     assert ((near.sum(1) / 2) % 2 == 0).all() and ((near % 2 == near[:, :1] % 2).all())
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_embedding_near_dedup(spark, block, monkeypatch):
+@pytest.mark.parametrize("block, bits", [(512, 64), (8, 64), (8, 3)])
+def test_embedding_near_dedup(spark, block, bits, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)  # small blocks: crowds, and several tiles of a key
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 64))
@@ -157,7 +181,7 @@ def test_embedding_near_dedup(spark, block, monkeypatch):
         rows.append((i, [float(np.float32(x)) for x in v], int(rng.integers(3)) if i % 17 else None))
     rows += [(1000, None, 1), (1001, [0.0] * 64, 1), (1002, [float("nan")] * 64, 1), (1003, [1.0, None], 1), (1004, [1.0, 0.0], 1), (1005, [2.0, 0.0], 1), (None, [1.0, 0.0], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit("clash") for c in ("node", "keys", "crowd", "n_links")})
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table, bits=bits).collect()}
     ids = [r[0] for r in rows[:300]]
     x = np.array([r[1] for r in rows[:300]])
     unit = x / np.linalg.norm(x, axis=1)[:, None]
