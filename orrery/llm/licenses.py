@@ -20,6 +20,8 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import groupby
 from pathlib import Path
 
 import numpy as np
@@ -217,11 +219,7 @@ class LicenseScanner:
                 near.append(chains[-1])
         enough = {(c[1], c[2], self.labels[c[0]], c[4]) for c in chains if c[4] >= min(LEAST, COVER * len(self.sequences[c[0]]))}
 
-        def inside(c, d) -> bool:
-            """c adds nothing to d: a part of it that covers less, or no more of the same label."""
-            return d[0] <= c[0] and c[1] <= d[1] and (c[3] < d[3] or (c[3] == d[3] and c[2] == d[2] and c[:2] != d[:2]))
-
-        return sorted((c[0], c[1], c[2]) for c in enough if not any(inside(c, d) for d in enough))
+        return sorted((c[0], c[1], c[2]) for c in outermost(enough))
 
     def scan(self, data: np.ndarray, offsets: np.ndarray):
         """Per row: words, base places (start, label), spans (start, end, label)."""
@@ -256,6 +254,33 @@ class LicenseScanner:
         return counts, base, chained
 
 
+def outermost(chains: set[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """Chains (first, end, label, covered) without those that add nothing to another: a part of one that covers more, or as much of the same label.
+
+    From the most covered down: a tree over the starts tells the furthest end of all chains so far that begin no later.
+    """
+    begins = sorted({c[0] for c in chains})
+    tree = [0] * (len(begins) + 1)
+    kept = []
+    for _, equal in groupby(sorted(chains, key=lambda c: (-c[3], c[2], c[0], -c[1])), key=lambda c: c[3]):
+        equal = list(equal)
+        label, furthest = None, 0
+        for c in equal:
+            if c[2] != label:
+                label, furthest = c[2], 0
+            at, end = bisect_right(begins, c[0]), furthest
+            while at:
+                end, at = max(end, tree[at]), at & (at - 1)
+            if end < c[1]:
+                kept.append(c)
+            furthest = max(furthest, c[1])
+        for c in equal:
+            at = bisect_right(begins, c[0])
+            while at < len(tree):
+                tree[at], at = max(tree[at], c[1]), at + (at & -at)
+    return kept
+
+
 def covered_words(spans: list[tuple[int, int, str]]) -> int:
     total, end = 0, 0
     for a, b, _ in sorted(spans):
