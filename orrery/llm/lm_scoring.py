@@ -65,10 +65,12 @@ def unpack(packed: bytes) -> np.ndarray:
 
 
 def bucketed(frame: DataFrame, parts: int, key: str) -> DataFrame:
-    """frame, written to the scratch folder as a table of `parts` buckets."""
+    """frame, written to the scratch folder as a table of `parts` buckets; its name leaves the catalogue at once, the relation stays."""
     spark, name = frame.sparkSession, f"orrery_{uuid.uuid4().hex}"
     frame.write.bucketBy(parts, key).option("path", new_folder(spark, "blocks")).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def squeeze(data: bytes) -> bytes:
