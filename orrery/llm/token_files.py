@@ -34,6 +34,7 @@ import math
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,8 @@ from orrery.llm.shared import new_folder, save, text_chunks
 MAGIC, VERSION = 0x4F52544F4B454E53, 1
 END = 2
 FILE_BYTES = 256 << 20
-KNOWN_PIECES, LONGEST_KEPT = 500_000, 256
+KNOWN_PIECES, MOST_IDS = 500_000, 1 << 23
+CALL = 20_000
 PART = 1 << 20
 MANIFEST = "file string, documents long, ids long"
 
@@ -91,49 +93,52 @@ class Encoder:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.at, self.size = [], []
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+        self.upto = np.zeros(1 << 12, dtype=np.int64)  # where the ids of each piece end
 
     def _learn(self, pieces: list[str]) -> None:
-        for piece, got in zip(pieces, self.library.encode_batch(pieces, add_special_tokens=False), strict=True):
-            ids = got.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), dtype=np.uint32)))
+        """Encode pieces and number them; each goes through the library as a text of its own, some thousand in a call."""
+        for first in range(0, len(pieces), CALL):
+            some = pieces[first : first + CALL]
+            got = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids, of = np.array(got.ids, dtype=np.uint32), np.array(got.word_ids, dtype=np.int64)
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
             self.flat[self.used : self.used + len(ids)] = ids
-            self.number[piece] = len(self.at)
-            self.at.append(self.used)
-            self.size.append(len(ids))
+            n = len(self.number)
+            while n + len(some) >= len(self.upto):
+                self.upto = np.concatenate((self.upto, np.zeros_like(self.upto)))
+            self.upto[n + 1 : n + 1 + len(some)] = self.used + np.cumsum(np.bincount(of, minlength=len(some)))
             self.used += len(ids)
+            self.number.update(zip(some, range(n, n + len(some))))
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of texts, all their ids, ids of each text) for runs of texts of about a megabyte, in order."""
         for _, _, data, offsets in text_chunks(column):
-            edges = np.unique(np.concatenate((offsets, cuts(data)))) if self.cuttable else np.unique(offsets)
+            edge = np.zeros(len(data) + 1, dtype=bool)
+            edge[offsets] = True
+            if self.cuttable:
+                edge[cuts(data)] = True
+            edges = np.flatnonzero(edge)
             starts = edges[:-1]
             pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
             names = pieces.dictionary.to_pylist()
-            if len(self.number) + len(names) > KNOWN_PIECES:
+            if len(self.number) + len(names) > KNOWN_PIECES or self.used > MOST_IDS:
                 self.forget()
-            known, mark = self.number, (self.used, len(self.at))
+            known = self.number
             if new := [n for n in names if n not in known]:
                 self._learn(new)
-            numbers = np.array([known[n] for n in names], dtype=np.int64)
-            at, size = np.array(self.at, dtype=np.int64)[numbers], np.array(self.size, dtype=np.int64)[numbers]
-            code = pieces.indices.to_numpy()
-            sizes = size[code]
+            numbers = np.fromiter(map(known.__getitem__, names), dtype=np.int64, count=len(names))[pieces.indices.to_numpy()]
+            at, sizes = self.upto[numbers], self.upto[numbers + 1] - self.upto[numbers]
             upto = np.concatenate(([0], np.cumsum(sizes)))
-            ids = self.flat[np.arange(upto[-1]) + np.repeat(at[code] - upto[:-1], sizes)]
-            if any(len(n) > LONGEST_KEPT for n in new):
-                self._drop_long(new, mark)
+            ids = self.flat[np.arange(upto[-1]) + np.repeat(at - upto[:-1], sizes)]
             yield len(offsets) - 1, ids, np.diff(upto[np.searchsorted(starts, offsets)])
 
-    def _drop_long(self, new: list[str], mark: tuple[int, int]) -> None:
-        """Keep no long piece, and no ids of one: what came in with it is learnt again where it is needed."""
-        self.used = mark[0]
-        del self.at[mark[1] :], self.size[mark[1] :]
-        for n in new:
-            del self.number[n]
+
+@lru_cache(maxsize=1)
+def encoder_of(content: str) -> Encoder:
+    """One for all tasks of a worker: what one has seen the next needn't learn."""
+    return Encoder(content)
 
 
 def _vocabulary_bytes(content: str) -> int:
@@ -189,7 +194,7 @@ def _writer(folder: str, content, width: int, end: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or Encoder(content.value)
+            encoder = encoder or encoder_of(content.value)
             sink = sink or store.open_output_stream(f"{root}/{name}.bin", compression=None)
             doc_ids += batch.column(0).to_pylist()
             for n, ids, counts in encoder.encode(batch.column(1)):
