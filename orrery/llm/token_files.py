@@ -13,8 +13,8 @@ A dataset is a folder:
 Writing: rows are dealt into ranges of doc_id, sorted within, and each task encodes its texts and streams
 their ids into one file. Only texts move, once. Several ranges hold one doc_id if it repeats without end.
 
-Encoding: a text is cut before white space that follows other characters, where no token of a byte-level
-BPE with the usual pattern crosses. Equal pieces are found by Arrow's dictionaries (exactly, not by a hash), and only
+Encoding: a text is cut where no token of a byte-level BPE with the usual pattern crosses: before white space that
+follows other characters, and between letters, digits and signs. Equal pieces are found by Arrow's dictionaries (exactly, not by a hash), and only
 pieces that a task has not seen lately go to the tokenizers library; ids of all others are gathered.
 Ids equal those of the library on the whole text.
 
@@ -48,8 +48,8 @@ from orrery.llm.shared import new_folder, save, text_chunks
 MAGIC, VERSION = 0x4F52544F4B454E53, 1
 END = 2
 FILE_BYTES = 256 << 20
-KNOWN_PIECES, MOST_IDS = 500_000, 1 << 23
-CALL = 20_000
+KNOWN_PIECES, MOST_IDS = 800_000, 1 << 23
+CALL, CHUNK = 20_000, 1 << 22
 PART = 1 << 20
 MANIFEST = "file string, documents long, ids long"
 
@@ -61,19 +61,44 @@ def default_tokenizer() -> str:
 
 
 # ---------------------------------------------------------------- encoding
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Places in UTF-8 bytes where ASCII white space follows a character that is surely none."""
+LETTER, DIGIT, SIGN, QUOTE, SPACE = 1, 2, 3, 4, 5
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """The class of each ASCII character (0: another), and between which classes the usual pattern always ends a token."""
+    kind = np.zeros(256, dtype=np.uint8)
+    kind[0x21:0x7F] = SIGN
+    kind[ord("'")] = QUOTE
+    kind[ord("0") : ord("9") + 1] = DIGIT
+    kind[ord("A") : ord("Z") + 1] = kind[ord("a") : ord("z") + 1] = LETTER
+    kind[[0x20, *range(0x09, 0x0E)]] = SPACE
+    ends = np.zeros((6, 6), dtype=bool)
+    ends[[LETTER, DIGIT, SIGN, QUOTE], SPACE] = True
+    ends[[LETTER, DIGIT], SIGN] = ends[[LETTER, DIGIT], QUOTE] = True
+    ends[LETTER, DIGIT] = ends[DIGIT, LETTER] = True
+    ends[SIGN, LETTER] = ends[SIGN, DIGIT] = True  # but not behind a quote, which may begin a short form ('s)
+    return kind, ends.ravel()
+
+
+KINDS, ENDS = _classes()
+
+
+def cuts(data: np.ndarray, words_only: bool = False) -> np.ndarray:
+    """Places in UTF-8 bytes where a token surely ends: before white space that follows none and, unless words_only, between letters, digits and signs.
+
+    U+00C0 to U+00FF but two are letters. Of other characters beyond ASCII only those are known that aren't white space:
+    U+0080 to U+00BF and U+1000 to U+3FFF may be.
+    """
     if len(data) < 2:
         return np.zeros(0, dtype=np.int64)
-    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-    solid = (data > 0x20) & (data != 0x7F)
-    # of the characters beyond ASCII, U+0080 to U+00BF and U+1000 to U+3FFF hold white space
-    two = np.zeros(len(data), dtype=bool)
-    two[1:] = (data[:-1] == 0xC2) & (data[1:] >= 0x80)
-    three = np.zeros(len(data), dtype=bool)
-    three[2:] = (data[:-2] >= 0xE1) & (data[:-2] <= 0xE3) & (data[1:-1] >= 0x80) & (data[2:] >= 0x80)
-    solid &= ~two & ~three
-    return np.flatnonzero(space[1:] & solid[:-1]) + 1
+    kind = KINDS[data]
+    latin = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    kind[:-1][latin], kind[1:][latin] = LETTER, LETTER
+    ends = (kind[1:] == SPACE) & (kind[:-1] != SPACE) & (kind[:-1] != 0) if words_only else ENDS[6 * kind[:-1] + kind[1:]]
+    known = data >= 0x80
+    known[1:] &= (data[:-1] != 0xC2) | (data[1:] < 0x80)
+    known[2:] &= ~((data[:-2] >= 0xE1) & (data[:-2] <= 0xE3) & (data[1:-1] >= 0x80) & (data[2:] >= 0x80))
+    return np.flatnonzero(ends | (known[:-1] & (kind[1:] == SPACE))) + 1
 
 
 class Encoder:
@@ -89,12 +114,30 @@ class Encoder:
         shape = json.loads(content)
         before = shape.get("pre_tokenizer") or {}
         self.cuttable = shape.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in shape.get("added_tokens", ()))
+        self.special = [t["content"].encode() for t in shape.get("added_tokens", ())]
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.upto = np.zeros(1 << 12, dtype=np.int64)  # where the ids of each piece end
+        self.seen = np.zeros(1 << 12, dtype=np.int64)  # in how many chunks each piece was, of late
+
+    def _make_room(self) -> None:
+        """Keep the pieces that were in several chunks, as far as they leave half of the room."""
+        names, seen = list(self.number), self.seen[: len(self.number)]
+        stay = np.flatnonzero(seen > 1)
+        stay = np.sort(stay[np.argsort(-seen[stay], kind="stable")][: KNOWN_PIECES // 2])
+        sizes = self.upto[stay + 1] - self.upto[stay]
+        at = np.repeat(self.upto[stay] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        flat, seen = self.flat[at], seen[stay]
+        self.forget()
+        if len(flat) > MOST_IDS // 2:
+            return
+        self.flat, self.used = np.concatenate((flat, self.flat)), len(flat)
+        self.upto = np.concatenate(([0], np.cumsum(sizes), self.upto))
+        self.seen = np.concatenate((seen // 2, np.zeros(len(self.upto), dtype=np.int64)))
+        self.number = {names[k]: n for n, k in enumerate(stay.tolist())}
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces and number them; each goes through the library as a text of its own, some thousand in a call."""
@@ -107,28 +150,31 @@ class Encoder:
             self.flat[self.used : self.used + len(ids)] = ids
             n = len(self.number)
             while n + len(some) >= len(self.upto):
-                self.upto = np.concatenate((self.upto, np.zeros_like(self.upto)))
+                self.upto, self.seen = (np.concatenate((a, np.zeros_like(self.upto))) for a in (self.upto, self.seen))
             self.upto[n + 1 : n + 1 + len(some)] = self.used + np.cumsum(np.bincount(of, minlength=len(some)))
             self.used += len(ids)
             self.number.update(zip(some, range(n, n + len(some))))
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of texts, all their ids, ids of each text) for runs of texts of about a megabyte, in order."""
-        for _, _, data, offsets in text_chunks(column):
+        """(number of texts, all their ids, ids of each text) for runs of texts of some megabytes, in order."""
+        for _, _, data, offsets in text_chunks(column, CHUNK):
             edge = np.zeros(len(data) + 1, dtype=bool)
             edge[offsets] = True
             if self.cuttable:
-                edge[cuts(data)] = True
+                raw = data.tobytes()
+                edge[cuts(data, any(t in raw for t in self.special))] = True
             edges = np.flatnonzero(edge)
             starts = edges[:-1]
             pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
             names = pieces.dictionary.to_pylist()
             if len(self.number) + len(names) > KNOWN_PIECES or self.used > MOST_IDS:
-                self.forget()
+                self._make_room()
             known = self.number
             if new := [n for n in names if n not in known]:
                 self._learn(new)
-            numbers = np.fromiter(map(known.__getitem__, names), dtype=np.int64, count=len(names))[pieces.indices.to_numpy()]
+            numbers = np.fromiter(map(known.__getitem__, names), dtype=np.int64, count=len(names))
+            self.seen[numbers] += 1
+            numbers = numbers[pieces.indices.to_numpy()]
             at, sizes = self.upto[numbers], self.upto[numbers + 1] - self.upto[numbers]
             upto = np.concatenate(([0], np.cumsum(sizes)))
             ids = self.flat[np.arange(upto[-1]) + np.repeat(at - upto[:-1], sizes)]

@@ -129,6 +129,22 @@ def test_token_query(spark, library):
     assert sorted(map(tuple, got.collect())) == coded(library, docs)
 
 
+def test_pieces_are_those_of_the_library(library, monkeypatch):
+    """Any mixture of letters, digits, signs, white space and the special token; also when pieces are forgotten all the time."""
+    rng = random.Random(5)
+    parts = ["a", "b", "Z", "é", "ß", "×", "÷", "ñ", "1", "9", "'", "s", "t", "re", "ll", "!", "_", "-", ".", ",", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2009", "日", "本", "ж", "\u0301", "\x7f", "\x00", "\x1c", "\x85", "😀", "<|", "½", "²", "ª", "º", "µ", "Ā"]
+    with open(token_files.default_tokenizer(), encoding="utf-8") as f:
+        encoder = token_files.Encoder(f.read())
+    monkeypatch.setattr(token_files, "CHUNK", 5000)
+    for known, more in ((800_000, []), (3000, []), (800_000, ["<|endoftext|>"])):
+        monkeypatch.setattr(token_files, "KNOWN_PIECES", known)
+        texts = ["".join(rng.choices(parts + more, k=rng.randrange(40))) for _ in range(4000)]
+        got = []
+        for _, ids, counts in encoder.encode(pa.array(texts)):
+            got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_edges(spark, library):
     rng = random.Random(3)
     words = ["the", "and", "x" * 300, "\n\n", "   ", "é", "n't", "12", "#!?", "\t", "日本", " ", "　", "<|endoftext|>", "\r\n", "\x1c", "\x85"]
