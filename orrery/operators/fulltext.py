@@ -1,15 +1,19 @@
-"""Full-text search over an inverted index table."""
+"""Full-text search over the postings of an index or of a scanned table.
+
+A source answers `exact(word)` and `prefix(prefix)` with (key, places): `sources.search_index.SearchIndex`
+reads them from its buckets, `ScannedTexts` finds them in the texts.
+"""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.scalars import fold
 from orrery.functions.unicode import fold_text
-from orrery.sources.scratch import save
 
 SHORTEST, LONGEST = 2, 20
 K1 = 1.2
@@ -21,77 +25,85 @@ def tokens(text):
     return F.filter(F.split(F.regexp_replace(fold(text), "[^a-z0-9]+", " "), " "), lambda t: t != "")
 
 
-def positions(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, place) of every word."""
-    return docs.select(key, F.posexplode(tokens(text)).alias("place", "token"))
+def query_words(query: str) -> list[str]:
+    """The different words of a query, folded like the texts."""
+    return list(dict.fromkeys(re.findall("[a-z0-9]+", fold_text(query))))
 
 
-def index(docs: DataFrame, key: str, text: str) -> DataFrame:
+def prefix_forms(source) -> DataFrame:
     """(prefix, key, tf): every word's prefixes of 2 to 20 characters and the word itself, counted per document."""
-    words = positions(docs, key, text).groupBy(key, "token").agg(F.count("*").alias("tf"))
     ends = F.sequence(F.lit(SHORTEST), F.least(F.length("token"), F.lit(LONGEST)))
     forms = F.when(F.length("token") < SHORTEST, F.array("token")).otherwise(F.array_distinct(F.array_append(F.transform(ends, lambda n: F.substring(F.col("token"), F.lit(1), n)), F.col("token"))))
-    return words.select(key, "tf", F.explode(forms).alias("prefix")).groupBy("prefix", key).agg(F.sum("tf").alias("tf"))
+    counted = source.postings().select(source.key, F.size("places").cast("long").alias("tf"), F.explode(forms).alias("prefix"))
+    return counted.groupBy("prefix", source.key).agg(F.sum("tf").alias("tf"))
 
 
-def query_words(query: str) -> list[str]:
-    """The different words of a query, folded like the texts."""
-    return list(dict.fromkeys(re.findall("[a-z0-9]+", fold_text(query))))
+def _together(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
-def _weighed(tf: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """tf (term, key, tf) with idf. tf is written: texts are folded and split once."""
-    tf = save(tf)
+def _weighed(tf: DataFrame, source) -> DataFrame:
+    """tf (term, key, tf) with idf; the table of terms has a row a query word."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("docs"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(total)).select(key, "term", "tf", idf.alias("idf"))  # a row a query word
+    weights = df.crossJoin(F.broadcast(source.total())).select("term", idf.alias("idf"))
+    return tf.join(F.broadcast(weights), "term")
+
+
+def _counts(source, word: str, prefix: bool) -> DataFrame:
+    """(term, key, tf) of one query word: a document's words that start so, or are it."""
+    found = source.prefix(word) if prefix and SHORTEST <= len(word) <= LONGEST else source.exact(word)
+    tf = found.groupBy(found.columns[0]).agg(F.sum(F.size("places")).alias("tf"))
+    return tf.select(F.lit(word).alias("term"), found.columns[0], "tf")
 
 
-def match_all(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
+def match_all(source, query: list[str]) -> DataFrame:
     """Documents in which every query word starts some word (or is one, if it is shorter than SHORTEST or longer than LONGEST).
 
-    The score is BM25 without length norms: idf * tf / (tf + K1). The index is filtered to the query's words before it is built,
-    so other words are never shuffled.
+    The score is BM25 without length norms: idf * tf / (tf + K1).
     """
     query = list(dict.fromkeys(query))
-    hit = lambda q: (F.col("token") == q) | (F.startswith(F.col("token"), F.lit(q)) if SHORTEST <= len(q) <= LONGEST else F.lit(False))
-    words = docs.select(key, F.explode(tokens(text)).alias("token"))
-    terms = F.filter(F.array(*[F.when(hit(q), F.lit(q)) for q in query], F.lit(None).cast("string")), lambda q: q.isNotNull())
-    tf = words.select(key, F.explode(terms).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
-    scored = _weighed(tf, docs, key).groupBy(key).agg(F.count("*").alias("terms"), F.sum(F.col("idf") * F.col("tf") / (F.col("tf") + K1)).alias("score"))
-    return scored.where(F.col("terms") == len(query)).select(key, "score")
+    tf = _together([_counts(source, q, True) for q in query])
+    scored = _weighed(tf, source).groupBy(tf.columns[1]).agg(F.count("*").alias("terms"), F.sum(F.col("idf") * F.col("tf") / (F.col("tf") + K1)).alias("score"))
+    return scored.where(F.col("terms") == len(query)).select(tf.columns[1], "score")
 
 
-def match_phrase(docs: DataFrame, key: str, text: str, phrase: list[str]) -> DataFrame:
-    """T4: documents with the phrase's words at consecutive places, and how often."""
-    wanted = F.array(*[F.lit(p) for p in phrase], F.lit(None).cast("string"))
-    spots = positions(docs, key, text).withColumn("at", F.explode(F.filter(F.transform(wanted, lambda w, i: F.when(w == F.col("token"), i)), lambda i: i.isNotNull())))
-    runs = spots.groupBy(key, (F.col("place") - F.col("at")).alias("start")).agg(F.count_distinct("at").alias("found")).where(F.col("found") == len(phrase))
-    return runs.groupBy(key).agg(F.count("*").alias("times"))
+def match_phrase(source, phrase: list[str]) -> DataFrame:
+    """T4: documents with the phrase's words at consecutive places, and how often: places moved back by their word's, and met."""
+    places = {w: source.exact(w) for w in dict.fromkeys(phrase)}
+    key = next(iter(places.values())).columns[0]
+    moved = _together([places[w].select(key, F.expr(f"transform(places, p -> p - {at})").alias("starts")) for at, w in enumerate(phrase)])
+    met = moved.groupBy(key).agg(F.collect_list("starts").alias("lists")).where(F.size("lists") == len(phrase))  # a list a word of the phrase
+    common = F.aggregate(F.slice("lists", 2, len(phrase)), F.element_at("lists", 1), F.array_intersect)
+    return met.select(key, F.size(common).cast("long").alias("times")).where("times > 0")
 
 
-def score_phrase(docs: DataFrame, key: str, text: str, phrase: list[str]) -> DataFrame:
+def score_phrase(source, phrase: list[str]) -> DataFrame:
     """BM25 of a phrase of whole words: the sum of its words' idf, times its own frequency's share."""
-    words = docs.select(key, F.explode(tokens(text)).alias("term")).where(F.col("term").isin(phrase))
-    idf = _weighed(words.groupBy("term", key).agg(F.count("*").alias("tf")), docs, key).select("term", "idf").distinct()
-    times = F.create_map(*[x for p in dict.fromkeys(phrase) for x in (F.lit(p), F.lit(phrase.count(p)))])
-    whole = idf.agg(F.sum(F.col("idf") * times[F.col("term")]).alias("idf"))
-    return match_phrase(docs, key, text, phrase).crossJoin(F.broadcast(whole)).select(key, (F.col("idf") * F.col("times") / (F.col("times") + K1)).alias("score"))
+    df = _together([source.exact(w).agg(F.count("*").alias("df")).select(F.lit(phrase.count(w)).alias("times"), "df") for w in dict.fromkeys(phrase)])
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    whole = df.crossJoin(F.broadcast(source.total())).agg(F.sum(idf * F.col("times")).alias("idf"))
+    found = match_phrase(source, phrase)
+    return found.crossJoin(F.broadcast(whole)).select(found.columns[0], (F.col("idf") * F.col("times") / (F.col("times") + K1)).alias("score"))
 
 
-def search(docs: DataFrame, key: str, text: str, query: str, rating: str | None = None) -> DataFrame:
+def search(source, query: str, rating: str | None = None) -> DataFrame:
     """Clauses of which one must match, their scores times their boosts added up, times the rating.
 
     All words as prefixes; the words as a phrase (boost PHRASE_BOOST); a numeric query as the id, whose own score is 1 (boost ID_BOOST).
     """
     phrase = re.findall("[a-z0-9]+", fold_text(query))
-    found = docs.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
+    stored = source.documents()
+    key = source.key
+    found = []
     if phrase:
-        found = match_all(docs, key, text, phrase).unionByName(score_phrase(docs, key, text, phrase).select(key, (F.col("score") * PHRASE_BOOST).alias("score")))
+        found += [match_all(source, phrase), score_phrase(source, phrase).select(key, (F.col("score") * PHRASE_BOOST).alias("score"))]
     if query.strip().isdigit():
-        found = found.unionByName(docs.where(F.col(key) == int(query)).select(key, F.lit(ID_BOOST).alias("score")))
-    found = found.groupBy(key).agg(F.sum("score").alias("score"))
+        found.append(stored.where(F.col(key) == int(query)).select(key, F.lit(ID_BOOST).alias("score")))
+    if not found:
+        return stored.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
+    scored = _together(found).groupBy(key).agg(F.sum("score").alias("score"))
     if rating:
-        found = found.join(docs.select(key, rating), key).select(key, (F.col("score") * F.coalesce(rating, F.lit(DEFAULT_RATING))).alias("score"))
-    return found
+        scored = scored.join(stored.select(key, rating), key).select(key, (F.col("score") * F.coalesce(rating, F.lit(DEFAULT_RATING))).alias("score"))
+    return scored
+

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.sources.pointer import Pointer
+
 
 class VersionedTable:
     """Every write makes a new version folder; a pointer file names the ones that readers see.
@@ -18,40 +19,21 @@ class VersionedTable:
     """
 
     def __init__(self, spark: SparkSession, folder: str, keep: int = 2):
-        self.spark, self.folder, self.keep = spark, folder.rstrip("/"), keep
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._conf = spark._jsc.hadoopConfiguration()
-        self._fs = self._path(folder).getFileSystem(self._conf)
+        self.spark, self.folder, self.keep, self.pointer = spark, folder.rstrip("/"), keep, Pointer(spark, folder)
 
     def versions(self) -> list[str]:
         """The versions that can be read, oldest first."""
-        where = self._path(f"{self.folder}/CURRENT")
-        if not self._fs.exists(where):
-            return []
-        return json.loads(self.spark.read.text(where.toString(), wholetext=True).first()[0])["versions"]
-
-    def _point(self, versions: list[str]) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        draft, current = self._path(f"{self.folder}/CURRENT.{uuid.uuid4().hex}"), self._path(f"{self.folder}/CURRENT")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"versions": versions}).encode()))
-        out.close()
-        replace = getattr(hadoop, "Options$Rename").OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
-        options[0] = replace
-        hadoop.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(self._fs.makeQualified(draft), self._fs.makeQualified(current), options)
+        return (self.pointer.read() or {"versions": []})["versions"]
 
     def write(self, frame: DataFrame, partition_by: list[str] | None = None) -> int:
         """Write a version, point to it, and return how many rows it has."""
-        before, name = self.versions(), f"v-{uuid.uuid4().hex}"
-        writer = frame.write.mode("errorifexists")
+        before, name, seen = self.versions(), f"v-{uuid.uuid4().hex}", Observation()
+        writer = frame.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.folder}/{name}")
         kept = [*before, name][-self.keep :]
-        self._point(kept)
-        for old in before:
-            if old not in kept:
-                self._fs.delete(self._path(f"{self.folder}/{old}"), True)
-        return self.read().count()
+        self.pointer.replace({"versions": kept})
+        self.pointer.delete(*(old for old in before if old not in kept))
+        return seen.get["rows"]
 
     def read(self) -> DataFrame:
         versions = self.versions()
@@ -62,10 +44,8 @@ class VersionedTable:
     def sweep(self) -> list[str]:
         """Delete and name the folders of writes that failed."""
         known = self.versions()
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        gone = sorted(n for n in names if n.startswith(("v-", "CURRENT.")) and n not in known)
-        for name in gone:
-            self._fs.delete(self._path(f"{self.folder}/{name}"), True)
+        gone = [n for n in self.pointer.names() if n.startswith(("v-", "CURRENT.")) and n not in known]
+        self.pointer.delete(*gone)
         return gone
 
 
@@ -88,6 +68,10 @@ def purge(frame: DataFrame, column: str, value: str) -> DataFrame:
     return frame.where(~F.col(column).eqNullSafe(F.lit(value)))
 
 
-def remap_keys(rows: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
-    """Keys rewritten by a correspondence (old, new); others stay."""
+def remap_keys(rows: DataFrame, mapping: DataFrame, key: str, chained: bool = False) -> DataFrame:
+    """Keys rewritten by a correspondence (old, new); others stay. Chained: what a key became may have become another since."""
+    if chained:
+        from orrery.sources.readers import redirect_ends
+
+        mapping = redirect_ends(mapping.select(F.col("old").alias("_from"), F.col("new").alias("_to"))).where("not looped").select(F.col("_from").alias("old"), F.col("end").alias("new"))
     return rows.join(mapping.select(F.col("old").alias(key), F.col("new").alias("_new")), key, "left").withColumn(key, F.coalesce("_new", key)).drop("_new")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import scalars as S
+from orrery.sources.search_index import ScannedTexts
 from orrery.operators import changes, dossier, fulltext, graph, latest, paging, regression, similarity
 from orrery.sources import readers, sinks
 from orrery.streaming import incremental
@@ -150,17 +151,18 @@ def test_suggestions(spark):
 
 # ---------------------------------------------------------------- search
 def test_search(spark):
+    scan = lambda frame: ScannedTexts(frame, "id", "text")
     docs = spark.createDataFrame([(1, "The Wire", 8.0), (2, "Wireless wire", 9.0), (3, "Élite du Wire", None), (4, "nothing", 1.0)], "id long, text string, rating double")
-    assert {r.id for r in fulltext.match_all(docs, "id", "text", ["wir"]).collect()} == {1, 2, 3}
-    assert {r.id for r in fulltext.match_all(docs, "id", "text", ["wir", "eli"]).collect()} == {3}
-    assert [(r.id, r.times) for r in fulltext.match_phrase(docs, "id", "text", ["the", "wire"]).collect()] == [(1, 1)]
-    best = fulltext.search(docs, "id", "text", "the wire", "rating").orderBy(F.desc("score")).first()
+    assert {r.id for r in fulltext.match_all(scan(docs), ["wir"]).collect()} == {1, 2, 3}
+    assert {r.id for r in fulltext.match_all(scan(docs), ["wir", "eli"]).collect()} == {3}
+    assert [(r.id, r.times) for r in fulltext.match_phrase(scan(docs), ["the", "wire"]).collect()] == [(1, 1)]
+    best = fulltext.search(scan(docs), "the wire", "rating").orderBy(F.desc("score")).first()
     assert best.id == 1
-    assert {r.id for r in fulltext.search(docs, "id", "text", "4").collect()} == {4}
+    assert {r.id for r in fulltext.search(scan(docs), "4").collect()} == {4}
     more = spark.createDataFrame([(1, "été indien"), (2, "Apple a day"), (3, "apple"), (4, "x" * 25), (5, "x" * 25 + "y"), (6, None)], "id long, text string")
-    ids = lambda q: {r.id for r in fulltext.search(more, "id", "text", q).collect()}
+    ids = lambda q: {r.id for r in fulltext.search(scan(more), q).collect()}
     assert ids("ÉTÉ") == {1} and ids("a") == {2} and ids("ap") == {2, 3} and ids("x" * 25) == {4} and ids("x" * 20) == {4, 5} and ids("?!") == set()
-    scores = {r.id: r.score for r in fulltext.search(more, "id", "text", "apple").collect()}
+    scores = {r.id: r.score for r in fulltext.search(scan(more), "apple").collect()}
     idf = np.log(1 + (6 - 2 + 0.5) / 2.5)
     assert scores == pytest.approx({2: 4 * idf / 2.2, 3: 4 * idf / 2.2})
 
@@ -268,18 +270,17 @@ def test_predict_drops_no_axis(spark):
 
 def test_model_comparison_covers_all_works(spark):
     rng = np.random.default_rng(11)
-    x = rng.normal(size=(1300, 4))
-    y = np.clip(5 + x[:, 0] + np.tanh(x[:, 1] * 2) + rng.normal(size=1300) * 0.3, 1, 10)
-    rows = [(i, axis, [float(v) for v in r], float(t)) for axis, n in (("a", 1300), ("b", 500), ("few", 40)) for i, (r, t) in enumerate(zip(x[:n], y[:n], strict=True))]
+    x = rng.normal(size=(700, 4))
+    y = np.clip(5 + x[:, 0] + np.tanh(x[:, 1] * 2) + rng.normal(size=700) * 0.3, 1, 10)
+    rows = [(i, axis, [float(v) for v in r], float(t)) for axis, n in (("a", 700), ("b", 300), ("few", 20)) for i, (r, t) in enumerate(zip(x[:n], y[:n], strict=True))]
     frame = spark.createDataFrame(rows, "work long, axis string, embedding array<double>, value double")
     got = {(r.axis, r.model): r for r in regression.compare_models(frame).collect()}
-    assert {k: r.works for k, r in got.items()} == {(axis, m): n for axis, n in (("a", 1300), ("b", 500), ("few", 40)) for m in ("ridge", "kernel", "network", "neighbours")}
-    for axis, n in (("a", 1300), ("b", 500), ("few", 40)):
+    assert {k: r.works for k, r in got.items()} == {(axis, m): n for axis, n in (("a", 700), ("b", 300), ("few", 20)) for m in ("ridge", "kernel", "network", "neighbours")}
+    for axis, n in (("a", 700), ("b", 300), ("few", 20)):
         u, t = x[:n], y[:n]
         near = {k: near_means(u, t, k) for k in regression.NEIGHBOURS if k < n}
         want = {"ridge": regression.ridge_predictions(u, t), "neighbours": min(near.values(), key=lambda g: np.abs(np.clip(g, 1, 10) - t).mean())}
-        if n <= 600:  # every work is fitted on
-            want |= {"kernel": regression.kernel_predictions(u, t), "network": regression.network_predictions(u, t)}
+        want |= {"kernel": regression.kernel_predictions(u, t), "network": regression.network_predictions(u, t)}
         for model, g in want.items():
             g, r = np.clip(g, 1, 10), got[axis, model]
             assert np.allclose([r.mae, r.spread, r.correlation], [np.abs(g - t).mean(), g.std() / t.std(), np.corrcoef(g, t)[0, 1]], atol=1e-3), (axis, model)
