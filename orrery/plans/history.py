@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from orrery.operators import latest
 from orrery.plans.base import Tables, query
+from orrery.sources.keyed_table import KeyedTable
+from orrery.sources.scratch import new_folder
 
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"
 
@@ -68,14 +70,21 @@ def _days(t: Tables) -> tuple[DataFrame, DataFrame]:
     return c.where("id % 3 <> 0"), new.where("id % 5 <> 0")
 
 
+def _stored(t: Tables, rows: DataFrame) -> KeyedTable:
+    table = KeyedTable(t.spark, new_folder(t.spark, "keyed"))
+    table.create(rows, ["id"], buckets=16)
+    return table
+
+
 @query("k3_bulk_upsert", f"WITH {_DAYS} SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE o.name END AS name, CASE WHEN n.id IS NOT NULL THEN n.popularity ELSE o.popularity END AS popularity, CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS change FROM old o FULL JOIN new n ON o.id = n.id")
 def bulk_upsert(t: Tables) -> DataFrame:
-    """K3: two exports of a catalogue; rows absent from the second are kept, repeated ids count once, rows without an id don't."""
+    """K3: two exports of a catalogue through a stored table; rows absent from the second are kept, repeated ids count once, rows without an id don't."""
     old, new = _days(t)
-    new = new.withColumn("seq", F.lit(1))
-    stale = new.where("id % 7 = 0").withColumns({"name": F.lit("stale"), "seq": F.lit(0)})
-    nameless = new.where("id % 11 = 0").withColumn("id", F.lit(None).cast("long"))
-    return latest.upsert(old, new.unionByName(stale).unionByName(nameless), ["id"], order=["seq"]).drop("seq")
+    copies = F.array(F.struct("id", "name", F.lit(1).alias("seq")), F.when(F.col("id") % 7 == 0, F.struct("id", F.lit("stale").alias("name"), F.lit(0).alias("seq"))), F.when(F.col("id") % 11 == 0, F.struct(F.lit(None).cast("long").alias("id"), "name", F.lit(1).alias("seq"))))
+    new = new.select("popularity", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("c")).select("c.id", "c.name", "popularity", "c.seq")
+    table = _stored(t, old)
+    table.upsert(new, order=["seq"])
+    return table.changes(since=1)
 
 
 @query("k5_fill_only", f"WITH {_DAYS} SELECT coalesce(o.id, n.id) AS id, coalesce(o.name, n.name) AS name, coalesce(o.popularity, n.popularity) AS popularity FROM old o FULL JOIN new n ON o.id = n.id")
@@ -86,13 +95,20 @@ def fill_only(t: Tables) -> DataFrame:
 
 @query("k7_mixed_policies", f"WITH {_DAYS} SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NOT NULL THEN o.name ELSE n.name END AS name, CASE WHEN n.id IS NOT NULL THEN n.popularity ELSE o.popularity END AS popularity FROM old o FULL JOIN new n ON o.id = n.id")
 def mixed_policies(t: Tables) -> DataFrame:
-    """K7: one column as first seen, one as last seen."""
-    return latest.upsert(*_days(t), ["id"], keep_first=("name",)).drop("change")
+    """K7: one column as first seen, one as last seen, in a stored table."""
+    old, new = _days(t)
+    table = _stored(t, old)
+    table.upsert(new, keep_first=("name",))
+    return table.read()
 
 
 @query("k6_keyed_replace", f"WITH {_DAYS} SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)")
 def keyed_replace(t: Tables) -> DataFrame:
-    return latest.replace_keys(*_days(t), ["id"])
+    """The rows of some keys give way in a stored table."""
+    old, new = _days(t)
+    table = _stored(t, old)
+    table.replace(new)
+    return table.read()
 
 
 @query("k4_ensure_pivot", f"WITH {_DAYS} SELECT n AS works, n AS keys, n AS greatest FROM (SELECT count(*) AS n FROM (SELECT id FROM old UNION SELECT id FROM new))")

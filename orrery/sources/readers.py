@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orrery.functions.scalars import cut_at_sentence, plain_text, publication_year, stripped
+from orrery.functions.scalars import cut_at_sentence, plain_text, publication_year, safe_int, stripped
 from orrery.functions.unicode import unescaped
+from orrery.sources.scratch import save
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str | StructType) -> DataFrame:
@@ -92,6 +93,19 @@ def first_article(pages: Column | str) -> Column:
     return F.try_element_at(F.filter(pages, lambda p: ~F.coalesce(p["missing"], F.lit(False)) & (F.trim(F.coalesce(p["extract"], F.lit(""))) != "")), F.lit(1))
 
 
+def first_articles(pages: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Keys, extract of each key's first page by `order` that isn't missing and has an extract; pages: keys, order, missing, extract.
+
+    The first is found on `order` alone, so texts are neither sorted nor gathered; only those of first pages move.
+    """
+    told = pages.where(~F.coalesce("missing", F.lit(False)) & (F.trim(F.coalesce("extract", F.lit(""))) != ""))
+    first = told.groupBy(*keys).agg(F.min(order).alias("_first")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_first")
+    same = F.col(order) == F.col("_first")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return told.join(first, same).groupBy(*keys).agg(F.min("extract").alias("extract"))
+
+
 def show_summary(episodes: Column | str) -> Column:
     """(episodes, seasons, summary): counts and the told episodes' text in order."""
     episodes = F.col(episodes) if isinstance(episodes, str) else episodes
@@ -107,6 +121,25 @@ def accepted_show(candidates: Column | str, imdb: Column | str) -> Column:
     return F.try_element_at(F.filter(candidates, lambda c: c["imdb"] == imdb), F.lit(1))
 
 
+SHOW_IMAGE = "struct<image:struct<original:string,medium:string>>"
+SHOW_CANDIDATES = "array<struct<show:struct<id:string,externals:struct<imdb:string>>>>"
+
+
+def show_images(payload: Column | str) -> Column:
+    """A show's poster (type, url) in its best size, as a list of one or none."""
+    image = F.from_json(F.col(payload) if isinstance(payload, str) else payload, SHOW_IMAGE)["image"]
+    url = F.coalesce(F.nullif(image["original"], F.lit("")), F.nullif(image["medium"], F.lit("")))
+    return F.filter(F.array(F.struct(F.lit("poster").alias("type"), url.alias("url"))), lambda i: i["url"].isNotNull())
+
+
+def chosen_show(payload: Column | str, imdb: Column | str) -> Column:
+    """The id of the first search result that carries this external id, wherever it stands; a title alone chooses none."""
+    found = F.from_json(F.col(payload) if isinstance(payload, str) else payload, SHOW_CANDIDATES)
+    imdb = F.nullif(F.col(imdb) if isinstance(imdb, str) else imdb, F.lit(""))
+    same = F.filter(found, lambda c: c["show"]["externals"]["imdb"] == imdb)
+    return safe_int(F.try_element_at(same, F.lit(1))["show"]["id"])
+
+
 def last_part(key: Column) -> Column:
     return F.nullif(F.substring_index(key, "/", -1), F.lit(""))
 
@@ -137,13 +170,31 @@ def edition_work(payload: Column | str) -> Column:
     return last_part(F.try_element_at(e["works"], F.lit(1))["key"])
 
 
-def resolved(works: DataFrame, key: str, to: str, hops: int = 3) -> DataFrame:
-    """Works with `canonical`, what their redirects lead to after at most `hops` (null or 0: none)."""
-    target = works.where(F.col(to).isNotNull() & (F.col(to).cast("string") != "0")).select(F.col(key).alias("_from"), F.col(to).alias("_to"))
-    out = works.withColumn("canonical", F.col(key))
-    for _ in range(hops):
-        out = out.join(target, F.col("canonical") == F.col("_from"), "left").withColumn("canonical", F.coalesce("_to", "canonical")).drop("_from", "_to")
-    return out
+def redirect_ends(links: DataFrame) -> DataFrame:
+    """(_from, end, looped) of links (_from, _to), one a place: where a chain of any length ends. Null where it runs into a circle (looped).
+
+    Every round doubles how far each link reaches, so a chain of n links takes log2(n) rounds. What has no end after as many
+    rounds as all links together could need, goes round.
+    """
+    one = save(links.where("_from is not null and _to is not null and _from <> _to").groupBy("_from").agg(F.min("_to").alias("_to")))
+    most, reach, rounds = max(one.count(), 1), one, 0
+    while True:
+        further = reach.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+        joined = save(reach.join(further, "_to", "left").select("_from", F.coalesce("_next", "_to").alias("_to"), F.col("_next").isNotNull().alias("_on")))
+        moving = not joined.where("_on").isEmpty()
+        reach, rounds = joined.select("_from", "_to"), rounds + 1
+        if not moving or 2**rounds > 2 * most:
+            break
+    starts = one.select(F.col("_from").alias("_to"), F.lit(True).alias("looped"))
+    told = reach.join(starts, "_to", "left").withColumn("looped", F.coalesce("looped", F.lit(False)))
+    return told.select("_from", F.when(~F.col("looped"), F.col("_to")).alias("end"), "looped")
+
+
+def resolved(works: DataFrame, key: str, to: str) -> DataFrame:
+    """Works with `canonical`, the end of their redirects (null or 0: none), however many; a work whose redirects go round stays itself and is `looped`."""
+    links = works.where(F.col(to).isNotNull() & (F.col(to).cast("string") != "0")).select(F.col(key).alias("_from"), F.col(to).alias("_to"))
+    out = works.join(redirect_ends(links), F.col(key) == F.col("_from"), "left")
+    return out.withColumn("canonical", F.coalesce("end", key)).withColumn("looped", F.coalesce("looped", F.lit(False))).drop("_from", "end")
 
 
 def iso_language(code: Column | str) -> Column:
