@@ -28,3 +28,10 @@ def english_translation(entries: Column) -> Column:
     ordered = F.concat(F.filter(english, lambda e: e["country"] == "US"), F.filter(english, lambda e: ~e["country"].eqNullSafe(F.lit("US"))))
     told = F.filter(ordered, lambda e: F.nullif(F.trim(e["overview"]), F.lit("")).isNotNull())
     return F.coalesce(F.try_element_at(told, F.lit(1)), F.try_element_at(ordered, F.lit(1)))
+
+
+def english_rows(entries: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """D1 over rows (keys, order, lang, country, overview, value): keys and `value` of the English entry that `english_translation` would pick, without gathering a key's entries."""
+    blank = F.trim(F.coalesce("overview", F.lit(""))) == ""
+    rank = F.struct(blank, ~F.col("country").eqNullSafe(F.lit("US")), F.col(order))
+    return entries.where("lang = 'en'").groupBy(*keys).agg(F.min_by(value, rank).alias(value))

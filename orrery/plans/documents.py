@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from orrery.operators import dossier, latest
 from orrery.plans.base import Tables, query
+from orrery.sources.scratch import new_folder
 
 
 @query("d1_english_translation", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents WHERE lang = 'en') WHERE rn = 1")
 def english_translation(t: Tables) -> DataFrame:
     """Among translations the English one of US origin (none here), else the first."""
-    entries = t.documents.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))), lambda d: F.struct(d["lang"].alias("lang"), F.lit("GB").alias("country"), d["doc_id"].cast("string").alias("overview"))).alias("e"))
-    picked = entries.select("source", dossier.english_translation(F.col("e")).alias("p")).where("p is not null")
-    return picked.select("source", F.col("p.overview").cast("long").alias("doc_id"))
+    entries = t.documents.select("source", "doc_id", "lang", F.lit("GB").alias("country"), F.col("doc_id").cast("string").alias("overview"))
+    return dossier.english_rows(entries, ["source"], "doc_id", "doc_id")
 
 
 @query("d2_latest_in_language", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rn FROM documents WHERE lang = 'fr') WHERE rn = 1")
@@ -91,10 +91,9 @@ def site_links(t: Tables) -> DataFrame:
 @query("s16_first_article", "SELECT source, arg_min(text, doc_id) AS extract FROM documents WHERE lang <> 'en' AND trim(text) <> '' GROUP BY 1")
 def first_article(t: Tables) -> DataFrame:
     """The first article that isn't missing (English ones are, here) and says something."""
-    from orrery.sources.readers import first_article as read
+    from orrery.sources.readers import first_articles
 
-    pages = t.documents.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", (F.col("lang") == "en").alias("missing"), F.col("text").alias("extract")))), lambda p: F.struct(p["missing"].alias("missing"), p["extract"].alias("extract"))).alias("pages"))
-    return pages.select("source", read("pages")["extract"].alias("extract")).where("extract is not null")
+    return first_articles(t.documents.select("source", "doc_id", (F.col("lang") == "en").alias("missing"), F.col("text").alias("extract")), ["source"], "doc_id")
 
 
 @query("s23_distinct_values", "SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1")
@@ -110,11 +109,29 @@ def restricted_scan(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", "o_custkey").join(t.customer.where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("d5_event_diff", "WITH v AS (SELECT user_id, event_id, event_type AS status, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was, CAST(ts AS DATE) AS day FROM events) SELECT event_id, CASE WHEN status = 'error' THEN 'diffusion_terminee' ELSE 'annulation' END AS type, day FROM v WHERE was IS NOT NULL AND was <> status AND status IN ('error', 'click')")
+_EVENT_DIFF = "WITH v AS (SELECT user_id, event_id, event_type AS status, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was, CAST(ts AS DATE) AS day FROM events) SELECT event_id, CASE WHEN status = 'error' THEN 'diffusion_terminee' ELSE 'annulation' END AS type, day FROM v WHERE was IS NOT NULL AND was <> status AND status IN ('error', 'click')"
+
+
+@query("d5_event_diff", _EVENT_DIFF)
 def event_diff(t: Tables) -> DataFrame:
     """A user's event types as a record's status: its changes become events."""
     from orrery.operators.changes import derive
 
+    return derive(_versions(t)).select(F.col("id").alias("event_id"), "type", "day")
+
+
+def _versions(t: Tables) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "Ended").when(F.col("event_type") == "click", "Canceled").otherwise(F.col("event_type"))
-    raw = t.events.select(F.col("event_id").alias("id"), F.lit("tv").alias("kind"), F.col("user_id").alias("source_id"), F.lit("").alias("lang"), F.col("ts").alias("fetched_at"), F.to_json(F.struct(status.alias("status"))).alias("payload"))
-    return derive(raw).select(F.col("id").alias("event_id"), "type", "day")
+    return t.events.select(F.col("event_id").alias("id"), F.lit("tv").alias("kind"), F.col("user_id").alias("source_id"), F.lit("").alias("lang"), F.col("ts").cast("timestamp").alias("fetched_at"), F.to_json(F.struct(status.alias("status"))).alias("payload"))
+
+
+@query("d6_event_stream", _EVENT_DIFF)
+def event_stream(t: Tables) -> DataFrame:
+    """The same events from a stream of four batches, each row compared with its key's last version only."""
+    from orrery.streaming.stateful import append_batches, derive_stream
+
+    root, rows = new_folder(t.spark, "versions"), _versions(t)
+    rows.repartitionByRange(4, "fetched_at", "id").write.parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    append_batches(derive_stream(stream), f"{root}/events", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/events").select(F.col("id").alias("event_id"), "type", "day")

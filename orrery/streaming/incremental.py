@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from orrery.operators.latest import insert_new, replace_keys
+from orrery.operators.latest import replace_keys
+from orrery.streaming.stateful import append_batches, first_of_each, run_name
 
 
 def new_items(items: DataFrame, keys: list[str], time: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -27,19 +28,15 @@ def windowed_counts(events: DataFrame, time: str, keys: list[str], width: str =
 def append_new(stream: DataFrame, table: str, keys: list[str], checkpoint: str) -> StreamingQuery:
     """Append what a table lacks, batch by batch. The checkpoint is the mark.
 
-    A batch is a partition of the table, written over when it is replayed, so replays change nothing; it is compared with the
-    keys of all other batches, of which only the key columns are read.
+    Keys that were seen are state (see `stateful`), so a batch reads none of the table; what other checkpoints put into the table
+    is read once, when this one begins. A batch is a partition of the table, named after checkpoint and number and written over
+    when it is replayed.
     """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(table)
-        old = batch.select(*keys).limit(0)
-        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            old = spark.read.schema(batch.schema.add("batch", "long")).parquet(table).where(F.col("batch") != number).select(*keys)
-        insert_new(old, batch, keys).write.mode("overwrite").parquet(f"{table}/batch={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark, known, run = stream.sparkSession, None, run_name(checkpoint)
+    where = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        known = spark.read.schema(stream.schema.add("run", "string")).parquet(table).where(F.col("run") != run)
+    return append_batches(first_of_each(stream, keys, known), table, checkpoint)
 
 
 def changed_since(sources: list[DataFrame], key: str, time: str, mark) -> DataFrame:
