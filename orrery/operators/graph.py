@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from orrery.functions.scalars import norm
 from orrery.operators import similarity
+from orrery.sources.scratch import save
 
 MOST_WORKS, MOST_PEOPLE, MOST_NEIGHBOURS, MOST_SUGGESTIONS = 12, 4, 10, 12
+#: Rows of a work on a side of a join, beyond which it is cut into tiles.
+HEAVY = 2000
 #: Rank of a citation without one, the value of the first place, and of an uncredited person.
 DEFAULT_RANK, TOP_VALUE, DEFAULT_CREDIT = 5, 6, 99
 
@@ -24,14 +27,35 @@ def member_works(edges: DataFrame, titles: DataFrame, most: int = MOST_WORKS) ->
     return edges.join(titles, "work").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-def neighbours(edges: DataFrame, members: DataFrame, most: int = MOST_NEIGHBOURS) -> DataFrame:
+def meetings(mine: DataFrame, edges: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """mine (me, work) and edges (other, work) with the tile (work, a, b) in which a pair of rows that share a work meets exactly once.
+
+    A work with more than `heavy` rows on either side is cut into tiles of some `heavy` rows a side, by hashes of the members;
+    each row goes to the tiles of its row or column. Few works are heavy, all others are one tile.
+    """
+    sizes = edges.groupBy("work").agg(F.count("*").alias("_n")).where(F.col("_n") > heavy)
+    asked = mine.groupBy("work").agg(F.count("*").alias("_m")).where(F.col("_m") > heavy)
+    large = save(sizes.join(asked, "work", "full_outer").select("work", F.ceil(F.coalesce("_m", F.lit(1)) / F.lit(heavy)).alias("_rows"), F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(heavy)).alias("_columns")))
+    one = F.lit(1).cast("long")
+
+    def dealt(rows: DataFrame, member: str, own: str, others: str, own_name: str, other_name: str) -> DataFrame:
+        cut = rows.join(large, "work", "left").withColumn(own_name, F.pmod(F.xxhash64(member), F.coalesce(own, one)))
+        return cut.withColumn(other_name, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(others, one) - 1))).select(member, "work", "a", "b")
+
+    return dealt(mine, "me", "_rows", "_columns", "a", "b"), dealt(edges, "other", "_columns", "_rows", "b", "a")
+
+
+def neighbours(edges: DataFrame, members: DataFrame, most: int = MOST_NEIGHBOURS, heavy: int = HEAVY) -> DataFrame:
     """For each of `members`, who shares most works with them (ties: smaller id).
 
-    Two equi-joins on the work; only the chosen members' works meet all edges, so the first side is small.
+    The chosen members' works meet all edges in tiles, so that a work which everybody cites is many small joins; what two members
+    share is added up before it is shuffled.
     """
+    edges = edges.select("member", "work").distinct()
     mine = edges.join(members.select("member"), "member", "left_semi").select(F.col("member").alias("me"), "work")
-    met = mine.join(edges.select(F.col("member").alias("other"), "work"), "work").where("me <> other")
-    common = met.groupBy("me", "other").agg(F.count_distinct("work").alias("common"))
+    left, right = meetings(save(mine), save(edges.select(F.col("member").alias("other"), "work")), heavy)
+    met = left.join(right, ["work", "a", "b"]).where("me <> other")
+    common = met.groupBy("me", "other").agg(F.count("*").alias("common"))
     order = Window.partitionBy("me").orderBy(F.desc("common"), "other")
     return common.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).withColumnsRenamed({"me": "member", "other": "neighbour"})
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.scalars import anchor_key, safe_int
 from orrery.operators import regression
+from orrery.operators.paging import top_per_key
 from orrery.operators.latest import first_per_key, language_rank
 
 #: Kinds of offers in order of display, and how many people and images a work keeps: fixed values.
@@ -73,6 +74,13 @@ def offers(providers: Column) -> Column:
     return F.filter(made, lambda o: F.coalesce(F.size(o["providers"]), F.lit(0)) > 0)
 
 
+def top_images(images: DataFrame, keys: list[str], most: int = MOST_BACKDROPS) -> DataFrame:
+    """D4, O10 over rows (keys, file_path, vote_count): keys and `paths` as `backdrops` orders them; each task sends a key's `most` best at most."""
+    told = images.where(_blank_to_null(F.col("file_path")).isNotNull()).withColumn("vote_count", F.coalesce("vote_count", F.lit(0)))
+    best = top_per_key(told, keys, [F.desc("vote_count"), F.col("file_path")], most)
+    return best.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "file_path"))), lambda b: b["file_path"]).alias("paths"))
+
+
 def backdrops(images: Column, most: int = MOST_BACKDROPS) -> Column:
     """Paths of the images with most votes, ties by path; without a path left out."""
     told = F.filter(images, lambda b: _blank_to_null(b["file_path"]).isNotNull())
@@ -102,6 +110,47 @@ def series_facts(row: str = "facts") -> Column:
     return facts({"pays": listed(c("countries")), "langues": listed(c("languages")), "lieux": listed(places), "ids": F.when(F.size(ids) > 0, F.to_json(ids))})
 
 
+#: A show's states as they are told in the closed schema; others say nothing sure. Fixed values.
+SHOW_STATES = {"Running": "en_cours", "Ended": "terminee", "Canceled": "annulee", "Cancelled": "annulee"}
+
+
+def _listed(items: Column) -> Column:
+    return F.when(F.size(items) > 0, F.to_json(items))
+
+
+def _said(text: Column) -> Column:
+    """Null for an empty text, so that a struct's JSON leaves it out."""
+    return F.nullif(text, F.lit(""))
+
+
+def book_facts(row: str = "facts") -> Column:
+    """A book's facts of the knowledge base (year, countries, languages, site_links, authors of qid and name, qid, olid) in the closed schema."""
+    c = lambda n: F.col(f"{row}.{n}")
+    authors = F.filter(F.transform(c("authors"), lambda a: F.struct(_said(a["qid"]).alias("qid"), _said(a["name"]).alias("nom"))), lambda a: a["qid"].isNotNull() | a["nom"].isNotNull())
+    ids = F.to_json(F.struct(_said(c("qid")).alias("wikidata"), _said(c("olid")).alias("openlibrary")))
+    return facts({"annee": c("year"), "pays": _listed(c("countries")), "langues": _listed(c("languages")), "sitelinks": c("site_links"), "auteurs": _listed(authors), "ids": ids})
+
+
+def library_facts(row: str = "facts") -> Column:
+    """A library work's facts (title, olid, and of its editions by_language, total, without_language, truncated) in the closed schema; no editions, no key."""
+    c = lambda n: F.col(f"{row}.{n}")
+    none = F.array().cast("array<struct<langue:string,nombre:long,isbn:string,annee:int>>")
+    editions = F.struct(F.coalesce(c("by_language"), none).alias("par_langue"), c("total").alias("total"), F.coalesce(c("without_language"), F.lit(0)).alias("sans_langue"), F.coalesce(c("truncated"), F.lit(False)).alias("tronque"))
+    return facts({"titre": c("title"), "editions": F.when(c("total") > 0, F.to_json(editions)), "ids": F.to_json(F.struct(_said(c("olid")).alias("openlibrary")))})
+
+
+def show_facts(row: str = "facts") -> Column:
+    """A show's facts (id, name, premiered, status, country, network, days, time, episodes, dated, told, imdb) in the closed schema."""
+    c = lambda n: F.col(f"{row}.{n}")
+    state = F.try_element_at(F.create_map(*[F.lit(x) for p in SHOW_STATES.items() for x in p]), F.coalesce(c("status"), F.lit("")))
+    year = F.when(c("premiered").rlike("^[0-9]{4}"), F.substring(c("premiered"), 1, 4).cast("int"))
+    hours = F.to_json(F.struct(F.when(F.size(c("days")) > 0, c("days")).alias("jours"), _said(c("time")).alias("heure")))
+    episodes = F.when(c("episodes") > 0, F.to_json(F.struct(c("episodes").alias("total"), c("dated").alias("dates"), c("told").alias("resumes"))))
+    ids = F.to_json(F.struct(safe_int(c("id")).alias("tvmaze"), _said(c("imdb")).alias("imdb")))
+    country = F.when(c("country") != "", F.to_json(F.array(c("country"))))
+    return facts({"titre": c("name"), "annee": year, "statut": state, "pays": country, "diffuseur": c("network"), "calendrier": hours, "episodes": episodes, "ids": ids})
+
+
 def assemble_books(works: DataFrame, sources: DataFrame, preferred: list[str]) -> DataFrame:
     """P20: one record a book from its source rows: facts of the knowledge base, description of the catalogue, the article in the preferred language.
 
@@ -120,20 +169,27 @@ def assemble_books(works: DataFrame, sources: DataFrame, preferred: list[str]) -
     )
 
 
-def parse_anchors(prompt: str) -> dict[str, dict[str, float]]:
-    """Axis -> title -> score of a rubric's text: numbered axis lines, each followed by an 'Anchors:' line."""
-    out: dict[str, dict[str, float]] = {}
-    axis = None
-    for line in prompt.splitlines():
-        if head := re.match(r"\s*\d+\.\s+(\w+)\s+—", line):
-            axis = head[1]
-        elif axis and (said := re.match(r"\s*Anchors:\s*(.+)", line)):
-            pairs = {}
-            for title, sep, score in (piece.rpartition("=") for piece in said[1].rstrip(".").split(",")):
-                if sep and re.fullmatch(r"\s*-?\d+(\.\d+)?\s*", score):
-                    pairs[re.sub("[^a-z0-9]", "", title.lower())] = float(score)
-            out[axis], axis = pairs, None
-    return out
+#: A rubric's lines: a numbered axis, and the line that names works of known score for it. Fixed values.
+AXIS_LINE, ANCHOR_LINE = r"[^\S\n]*\d+\.[^\S\n]+(\w+)[^\S\n]+—", r"[^\S\n]*Anchors:[^\S\n]*"
+
+
+def anchors_of(prompt: Column | str) -> Column:
+    """(axis, title, wanted) of a rubric's text: an axis line, and the first 'Anchors:' line before the next one; titles as keys.
+
+    Of an axis or a title that is named again the last counts; pieces without a number are passed over.
+    """
+    prompt = F.concat(F.lit("\n"), F.col(prompt) if isinstance(prompt, str) else prompt)
+    pattern = rf"(?U)\n{AXIS_LINE}[^\n]*+(?:\n(?!{AXIS_LINE}|{ANCHOR_LINE})[^\n]*+)*+\n{ANCHOR_LINE}([^\n]+)"
+    said = F.arrays_zip(F.regexp_extract_all(prompt, F.lit(pattern), F.lit(1)).alias("axis"), F.regexp_extract_all(prompt, F.lit(pattern), F.lit(3)).alias("told"))
+    last = F.filter(said, lambda s, i: ~F.exists(F.slice(said, i + 2, F.size(said)), lambda t: t["axis"] == s["axis"]))
+
+    def pairs(s: Column) -> Column:
+        pieces = F.split(F.regexp_replace(s["told"], r"\.+$", ""), ",")
+        scored = F.filter(pieces, lambda p: F.substring_index(p, "=", -1).rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$") & p.contains("="))
+        made = F.transform(scored, lambda p: F.struct(s["axis"].alias("axis"), anchor_key(F.regexp_replace(p, "=[^=]*$", "")).alias("title"), F.trim(F.substring_index(p, "=", -1)).cast("double").alias("wanted")))
+        return F.filter(made, lambda m, i: ~F.exists(F.slice(made, i + 2, F.size(made)), lambda t: t["title"] == m["title"]))
+
+    return F.flatten(F.transform(last, pairs))
 
 
 def anchor_gaps(scores: DataFrame, titles: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -143,10 +199,16 @@ def anchor_gaps(scores: DataFrame, titles: DataFrame, anchors: DataFrame) -> Dat
     return wanted.join(named, "_k").join(scores, ["work", "axis"]).select("axis", "work", "wanted", "value", (F.col("value") - F.col("wanted")).alias("gap"))
 
 
-def embedder_label(provider: str, model: str, dimensions: int | None = None) -> str:
-    """What tells one encoder's vectors from another's."""
-    name = re.sub(r"[^a-z0-9.-]+", "-", f"{provider}/{model.rsplit('/', 1)[-1]}".lower()).strip("-")
-    return f"{name}@{dimensions}" if dimensions else name
+#: The encoder that runs without an address, and the label of its vectors: fixed values.
+OWN_ENCODER, OWN_LABEL = "jinaai/jina-embeddings-v2-small-en", "jina-v2-small-en@512"
+
+
+def encoder_label(spec: Column | str) -> Column:
+    """What tells one encoder's vectors from another's: a served model's name, a local model's folder (wherever it lies), else the name itself."""
+    spec = F.col(spec) if isinstance(spec, str) else spec
+    folder = F.substring_index(F.regexp_replace(F.regexp_replace(spec, "^local:", ""), "/+$", ""), "/", -1)
+    return F.when(spec.startswith("openai/"), F.regexp_replace(spec, "^openai/", "")).when(spec.startswith("local:"), folder).when(spec == OWN_ENCODER, F.lit(OWN_LABEL)).otherwise(spec)
+
 
 
 def ablation(scored: DataFrame) -> DataFrame:

@@ -27,8 +27,8 @@ def credit_flattening(t: Tables) -> DataFrame:
 @query("d4_top_images", "SELECT user_id, string_agg(path, ',' ORDER BY place) AS paths FROM (SELECT user_id, '/' || event_id AS path, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(value) AS INTEGER) DESC, '/' || event_id) AS place FROM events) WHERE place <= 6 GROUP BY 1")
 def top_images(t: Tables) -> DataFrame:
     """Six paths by votes, ties by path."""
-    rows = t.events.groupBy("user_id").agg(F.collect_list(F.struct(F.concat(F.lit("/"), "event_id").alias("file_path"), F.floor("value").cast("int").alias("vote_count"))).alias("b"))
-    return rows.select("user_id", F.array_join(records.backdrops(F.col("b")), ",").alias("paths"))
+    images = t.events.select("user_id", F.concat(F.lit("/"), "event_id").alias("file_path"), F.floor("value").cast("int").alias("vote_count"))
+    return records.top_images(images, ["user_id"]).select("user_id", F.array_join("paths", ",").alias("paths"))
 
 
 @query("p18_offers", "SELECT nation, kind, string_agg(c_name, ',' ORDER BY priority, c_name) AS providers FROM (SELECT c_nationkey AS nation, CASE c_mktsegment WHEN 'BUILDING' THEN 'flatrate' WHEN 'MACHINERY' THEN 'rent' ELSE 'buy' END AS kind, c_name, CAST(c_custkey % 5 AS INTEGER) AS priority FROM customer) GROUP BY 1, 2")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.plans.base import Tables, query
+from orrery.sources.scratch import save
 
 
 @query("r1_funnel", "SELECT (SELECT count(*) FROM customer) AS catalogue, (SELECT count(DISTINCT o_custkey) FROM orders) AS collected, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F') AS looked_up, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000) AS enriched")
@@ -69,11 +70,12 @@ def translation_lookup(t: Tables) -> DataFrame:
     return nested.select("conv_id", F.explode(F.filter("e", lambda e: e["role"] == "user")).alias("e")).select("conv_id", "e.turn", "e.text")
 
 
-@query("v18_tiered_quote", "WITH r AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS i FROM documents), t AS (SELECT unnest([100, 300, 1000000000]) AS tier) SELECT tier, count(*) AS works, count(CASE WHEN n_chars >= 400 THEN 1 END) AS enough, round(sum(n_chars) / 4 * 2.5 / 1e6, 8) AS cost FROM t JOIN r ON i <= tier GROUP BY 1")
+@query("v18_tiered_quote", "WITH r AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS i FROM documents), t AS (SELECT unnest([1000, 5000, 20000, 50000, 100000, 1000000000]) AS tier) SELECT tier, count(*) AS works, count(CASE WHEN n_chars >= 400 THEN 1 END) AS enough, round(sum(n_chars) / 4 * 2.5 / 1e6, 8) AS cost FROM t JOIN r ON i <= tier GROUP BY 1")
 def tiered_quote(t: Tables) -> DataFrame:
-    """Cost of the first 100, of the first 300, of all: each tier is a top-k, so ranks of all rows aren't needed."""
-    rows = t.documents.select("doc_id", "n_chars")
-    tiers = [(n, rows.orderBy(F.desc("n_chars"), "doc_id").limit(n)) for n in (100, 300)] + [(1_000_000_000, rows)]
+    """Cost of the first 1000 to 100,000, and of all: each tier is a top-k of the one above, so ranks of all rows aren't needed."""
+    rows, tiers = t.documents.select("doc_id", "n_chars"), []
+    first = save(rows.orderBy(F.desc("n_chars"), "doc_id").limit(100_000))
+    tiers = [(n, first.orderBy(F.desc("n_chars"), "doc_id").limit(n)) for n in (1_000, 5_000, 20_000, 50_000, 100_000)] + [(1_000_000_000, rows)]
     out = None
     for n, part in tiers:
         one = part.agg(F.lit(n).alias("tier"), F.count("*").alias("works"), F.count_if(F.col("n_chars") >= 400).alias("enough"), F.round(F.sum("n_chars") / 4 * 2.5 / 1e6, 8).alias("cost"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +39,16 @@ def json_files(t: Tables) -> DataFrame:
     return readers.json_lines(t.spark, paths, "c_custkey long, c_name string, c_acctbal double")
 
 
-@query("s2_newest_file", "SELECT 'day-2' AS newest, NULL::VARCHAR AS strict")
+@query("s2_newest_file", "SELECT o_orderkey, CAST(o_orderdate AS DATE)::VARCHAR AS day, NULL::VARCHAR AS strict FROM orders WHERE CAST(o_orderdate AS DATE) = (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)")
 def newest_file(t: Tables) -> DataFrame:
-    """The newest of the files that are there; strict: only today's."""
-    root = new_folder(t.spark)
-    for day in (1, 2):
-        export = t.region.select(F.col("r_name").alias("value"))
-        export.write.text(f"{root}/day-{day}")
-    names = ["day-3", "day-2", "day-1"]
-    found = [readers.newest_file(t.spark, root, names, strict=strict) for strict in (False, True)]
-    return t.spark.createDataFrame([tuple(f and f.rsplit("/", 1)[1] for f in found)], "newest string, strict string")
+    """Daily exports; of the last days' files the newest that is there (today's and yesterday's aren't), and its rows; strict: only today's."""
+    root, day = new_folder(t.spark, "exports"), F.to_date("o_orderdate")
+    t.orders.select("o_orderkey", day.cast("string").alias("day")).write.partitionBy("day").json(root)
+    newest = t.orders.agg(F.max(day).alias("d")).first()["d"]
+    names = [f"day={newest + datetime.timedelta(days=k)}" for k in (2, 1, 0, -1)]
+    found, strict = (readers.newest_file(t.spark, root, names, strict=s) for s in (False, True))
+    told = found.rstrip("/").rsplit("=", 1)[1]
+    return readers.json_lines(t.spark, found, "o_orderkey long").select("o_orderkey", F.lit(told).alias("day"), F.lit(strict).cast("string").alias("strict"))
 
 
 @query("s24_tab_separated", _CUSTOMERS)
@@ -86,6 +88,24 @@ def accepted_show(t: Tables) -> DataFrame:
     return shows.select(F.col("o_orderkey").alias("show"), readers.accepted_show(F.col("candidates"), F.col("o_custkey") % 3)["l_linenumber"].alias("accepted"))
 
 
+@query("s17_show_images", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'poster:http://host/o' || p_partkey ELSE 'poster:http://host/m' || p_partkey END AS images FROM part")
+def show_images(t: Tables) -> DataFrame:
+    """The poster in its best size, else the next one, else none."""
+    at = lambda kind: F.concat(F.lit(f"http://host/{kind}"), "p_partkey")
+    image = F.struct(F.when(F.col("p_size") % 3 == 1, at("o")).when(F.col("p_size") % 3 == 2, "").alias("original"), F.when(F.col("p_size") % 3 > 0, at("m")).alias("medium"))
+    payload = F.to_json(F.struct("p_partkey", image.alias("image")))
+    return t.part.select("p_partkey", F.array_join(F.transform(readers.show_images(payload), lambda i: F.concat_ws(":", i["type"], i["url"])), ",").alias("images"))
+
+
+@query("s17_chosen_by_title", "SELECT o_orderkey AS show, arg_min(l_partkey, (l_linenumber, l_partkey)) FILTER (WHERE l_suppkey % 3 = o_custkey % 3) AS chosen FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def chosen_by_title(t: Tables) -> DataFrame:
+    """Of a title's search results, as JSON, the first with the show's own external id."""
+    result = F.struct(F.struct(F.col("l_partkey").alias("id"), F.struct(F.concat(F.lit("tt"), F.col("l_suppkey") % 3).alias("imdb")).alias("externals")).alias("show"))
+    found = t.lineitem.groupBy("l_orderkey").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", result.alias("r")))), lambda x: x["r"])).alias("found"))
+    shows = t.orders.join(found, F.col("l_orderkey") == F.col("o_orderkey"))
+    return shows.select(F.col("o_orderkey").alias("show"), readers.chosen_show("found", F.concat(F.lit("tt"), F.col("o_custkey") % 3)).cast("long").alias("chosen"))
+
+
 @query("s18_library_works", "SELECT 'OL' || p_partkey || 'W' AS olid, p_name AS title, CASE WHEN p_partkey % 4 < 2 THEN 'about ' || p_name END AS description, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_size::VARCHAR END AS covers, CASE WHEN p_partkey % 10 = 0 THEN 'OL1W' END AS redirect FROM part")
 def library_works(t: Tables) -> DataFrame:
     """works' JSON: descriptions as texts or objects, covers taken back, merged works."""
@@ -243,6 +263,36 @@ def facts(t: Tables) -> DataFrame:
     return told.select("n_nationkey", *[F.try_element_at("f", F.lit(k)).alias(k) for k in ("pays", "lieux", "ids", "langues")])
 
 
+@query("p21_book_facts", "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN (1900 + c_nationkey)::VARCHAR END AS annee, c_nationkey::VARCHAR AS sitelinks, CASE c_custkey % 3 WHEN 0 THEN '[{\"nom\":\"' || c_name || '\"}]' WHEN 1 THEN '[{\"qid\":\"Q' || c_custkey || '\",\"nom\":\"' || c_name || '\"}]' END AS auteurs, CASE WHEN c_custkey % 2 = 0 THEN '{\"wikidata\":\"Q' || c_custkey || '\",\"openlibrary\":\"OL' || c_custkey || 'W\"}' ELSE '{\"wikidata\":\"Q' || c_custkey || '\"}' END AS ids, NULL::VARCHAR AS langues FROM customer")
+def book_facts(t: Tables) -> DataFrame:
+    """A book's facts: authors known by name only, without anything, a count of zero that stays."""
+    none, qid = F.array().cast("array<string>"), F.concat(F.lit("Q"), "c_custkey")
+    author = F.struct(F.when(F.col("c_custkey") % 3 == 1, qid).otherwise("").alias("qid"), F.when(F.col("c_custkey") % 3 < 2, F.col("c_name")).alias("name"))
+    row = F.struct(F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey") + 1900).alias("year"), none.alias("countries"), F.lit(None).cast("array<string>").alias("languages"), F.col("c_nationkey").alias("site_links"), F.array(author).alias("authors"), qid.alias("qid"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("OL"), "c_custkey", F.lit("W"))).alias("olid"))
+    return t.customer.select("c_custkey", row.alias("facts")).select("c_custkey", records.book_facts().alias("f")).select("c_custkey", *[F.try_element_at("f", F.lit(k)).alias(k) for k in ("annee", "sitelinks", "auteurs", "ids", "langues")])
+
+
+@query("p21_library_facts", "SELECT c_custkey, c_name AS titre, CASE WHEN coalesce(n, 0) > 0 THEN '{\"par_langue\":[{\"langue\":\"fr\",\"nombre\":' || n || '}],\"total\":' || n || ',\"sans_langue\":0,\"tronque\":' || (n > 10) || '}' END AS editions, '{\"openlibrary\":\"OL' || c_custkey || 'W\"}' AS ids FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def library_facts(t: Tables) -> DataFrame:
+    """A library work's facts; one without editions has no such key."""
+    counts = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    rows = t.customer.select("c_custkey", "c_name").join(counts, "c_custkey", "left")
+    by = F.array(F.struct(F.lit("fr").alias("langue"), F.col("n").alias("nombre"), F.lit(None).cast("string").alias("isbn"), F.lit(None).cast("int").alias("annee")))
+    row = F.struct(F.col("c_name").alias("title"), F.concat(F.lit("OL"), "c_custkey", F.lit("W")).alias("olid"), by.alias("by_language"), F.coalesce("n", F.lit(0)).alias("total"), F.lit(None).cast("long").alias("without_language"), F.when(F.col("n") > 10, True).alias("truncated"))
+    return rows.select("c_custkey", row.alias("facts")).select("c_custkey", records.library_facts().alias("f")).select("c_custkey", *[F.try_element_at("f", F.lit(k)).alias(k) for k in ("titre", "editions", "ids")])
+
+
+@query("p21_show_facts", "SELECT o_orderkey, year(o_orderdate)::VARCHAR AS annee, CASE o_orderstatus WHEN 'F' THEN 'terminee' WHEN 'O' THEN 'en_cours' END AS statut, CASE WHEN o_custkey % 2 = 0 THEN '[\"FR\"]' END AS pays, CASE WHEN n > 1 THEN '{\"jours\":[\"Monday\"],\"heure\":\"20:00\"}' ELSE '{\"heure\":\"20:00\"}' END AS calendrier, CASE WHEN n > 0 THEN '{\"total\":' || n || ',\"dates\":' || n || ',\"resumes\":0}' END AS episodes, '{\"tvmaze\":' || o_orderkey || '}' AS ids, NULL::VARCHAR AS diffuseur FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def show_facts(t: Tables) -> DataFrame:
+    """A show's facts: states that say nothing sure are left out, a count of zero isn't."""
+    counts = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    rows = t.orders.join(counts, "o_orderkey", "left")
+    status = F.when(F.col("o_orderstatus") == "F", "Ended").when(F.col("o_orderstatus") == "O", "Running").otherwise("To Be Determined")
+    days = F.when(F.col("n") > 1, F.array(F.lit("Monday"))).otherwise(F.array().cast("array<string>"))
+    row = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.lit("show").alias("name"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("premiered"), status.alias("status"), F.when(F.col("o_custkey") % 2 == 0, "FR").otherwise("").alias("country"), F.lit("").alias("network"), days.alias("days"), F.lit("20:00").alias("time"), F.col("n").alias("episodes"), F.col("n").alias("dated"), F.lit(0).alias("told"), F.lit("").alias("imdb"))
+    return rows.select("o_orderkey", row.alias("facts")).select("o_orderkey", records.show_facts().alias("f")).select("o_orderkey", *[F.try_element_at("f", F.lit(k)).alias(k) for k in ("annee", "statut", "pays", "calendrier", "episodes", "ids", "diffuseur")])
+
+
 @query("x11_safe_int", "SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN p_size END AS size FROM part")
 def safe_int(t: Tables) -> DataFrame:
     text = F.when(F.col("p_size") % 3 == 1, F.concat(F.lit(" "), "p_size", F.lit(" "))).when(F.col("p_size") % 3 == 2, " ").otherwise("12a")
@@ -256,18 +306,23 @@ def sizes_and_codes(t: Tables) -> DataFrame:
     return rows.select("conv_id", S.size_or_zero("e").cast("long").alias("turns"), F.array_join(S.distinct_codes("e", "role"), ",").alias("roles"), F.size(F.map_keys("m")).cast("long").alias("keys"))
 
 
-@query("x25_embedder_label", "SELECT * FROM (VALUES ('local-jina-v2@512'), ('openai-text-3-large'), ('a-b.c-1@8')) x(label)")
+@query("x25_embedder_label", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'text-embedding-' || c_nationkey || '@512' WHEN 1 THEN 'pupil-' || c_nationkey WHEN 2 THEN 'jina-v2-small-en@512' ELSE lower(c_mktsegment) END AS label FROM customer")
 def embedder_labels(t: Tables) -> DataFrame:
-    """What tells one encoder's vectors from another's."""
-    named = [("Local", "org/Jina v2", 512), ("openai", "text-3-large", None), ("a", "x/B.c_1", 8)]
-    return t.spark.createDataFrame([(records.embedder_label(*n),) for n in named], "label string")
+    """What tells one encoder's vectors from another's, for every row's encoder."""
+    spec = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("openai/text-embedding-"), "c_nationkey", F.lit("@512"))).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("local:/models/"), "c_custkey", F.lit("/pupil-"), "c_nationkey", F.lit("/")))
+    spec = spec.when(F.col("c_custkey") % 4 == 2, records.OWN_ENCODER).otherwise(F.lower("c_mktsegment"))
+    return t.customer.select("c_custkey", records.encoder_label(spec).alias("label"))
 
 
-@query("x26_anchors", "SELECT * FROM (VALUES ('humour', 'chernobyl', 1.0), ('humour', 'theoffice', 9.5), ('dream', 'paprika', 10.0)) x(axis, title, wanted)")
+@query("x26_anchors", "SELECT o_custkey AS rubric, 'axis' || l_linenumber AS axis, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS title, max(p_size)::DOUBLE AS wanted FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size % 3 > 0 GROUP BY 1, 2, 3")
 def anchors(t: Tables) -> DataFrame:
-    """A rubric's anchors as rows."""
-    found = records.parse_anchors("1. humour — how funny\nAnchors: Chernobyl = 1, The Office=9.5, broken.\n2. dream — how odd\nAnchors: Paprika = 10\n3. none — nothing\n")
-    return t.spark.createDataFrame([(a, k, v) for a, pairs in found.items() for k, v in pairs.items()], "axis string, title string, wanted double")
+    """Rubrics written from customers' orders, an axis a line number; their anchors as rows."""
+    told = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    piece = F.concat("p_name", F.when(F.col("p_size") % 3 > 0, F.concat(F.lit(" = "), "p_size")).otherwise(" (broken)"))
+    lines = told.groupBy(F.col("o_custkey").alias("rubric"), "l_linenumber").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_size", piece.alias("s")))), lambda x: x["s"]), ", ").alias("s"))
+    line = F.concat(F.col("l_linenumber").cast("string"), F.lit(". axis"), F.col("l_linenumber").cast("string"), F.lit(" — how much\nfrom 1 to 50\nAnchors: "), F.col("s"), F.lit("."))
+    rubrics = lines.groupBy("rubric").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("prompt"))
+    return rubrics.select("rubric", F.explode(records.anchors_of("prompt")).alias("a")).select("rubric", "a.*")
 
 
 # ---------------------------------------------------------------- order and samples

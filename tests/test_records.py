@@ -62,11 +62,15 @@ def test_books(spark):
 
 def test_anchors(spark):
     prompt = "1. humour — how funny\nAnchors: Chernobyl = 1, The Office=9.5, broken.\n2. dream — x\n no anchors\n"
-    assert records.parse_anchors(prompt) == {"humour": {"chernobyl": 1.0, "theoffice": 9.5}}
+    told = lambda text: [tuple(a) for a in spark.createDataFrame([(text,)], "p string").select(records.anchors_of("p").alias("a")).first().a]
+    assert told(prompt) == [("humour", "chernobyl", 1.0), ("humour", "theoffice", 9.5)]
+    odd = "Anchors: lost = 1\n  1. a — x\nmore\n\nAnchors: A=B = -2, A = 1e1, C = x, D\nAnchors: late = 1\n2. b — y\n3. c — z\nAnchors: É! = 3.5..\n12. a — again\nAnchors: A = 4, a = 5"
+    assert told(odd) == [("c", "", 3.5), ("a", "a", 5.0)] and told("") == []
     scores = spark.createDataFrame([(1, "humour", 2.0)], "work int, axis string, value double")
     gaps = records.anchor_gaps(scores, spark.createDataFrame([(1, "Chernobyl!")], "work int, title string"), spark.createDataFrame([("humour", "chernobyl", 1.0)], "axis string, title string, wanted double"))
     assert [r.gap for r in gaps.collect()] == [1.0]
-    assert records.embedder_label("Local", "org/Jina v2", 512) == "local-jina-v2@512"
+    specs = spark.createDataFrame([("openai/text-3@512",), ("local:/a/b/pupil/",), ("local:pupil",), (records.OWN_ENCODER,), ("other/x",), (None,)], "s string")
+    assert [r.l for r in specs.select(records.encoder_label("s").alias("l")).collect()] == ["text-3@512", "pupil", "pupil", records.OWN_LABEL, "other/x", None]
 
 
 def test_ablation(spark):
