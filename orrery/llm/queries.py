@@ -129,6 +129,7 @@ QUERIES = {
     )
 }
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLES: dict[str, str] = {
     "op5_ngram_jaccard_join": rf"""
@@ -154,4 +155,22 @@ n AS (SELECT a, count(*) AS n FROM p GROUP BY 1),
 r(d, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.d, p.b FROM r JOIN p ON p.a = r.c)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, g.c AS component_id, e.vec_id = g.c AS kept
 FROM embeddings e JOIN (SELECT d, min(c) AS c FROM r GROUP BY 1) g ON g.d = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    # the crc32 of every different feature, a byte at a time, by the table k
+    "op11_importance_resampling": rf"""
+WITH k AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS k FROM (SELECT unnest(range(256)) AS i)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '{_WORDS}') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '{_WORDS}') AS w FROM benchmark),
+f AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+g AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b),
+x AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM f UNION SELECT f FROM g)),
+y AS (SELECT f, list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1)) AS y FROM x),
+h AS (SELECT f, xor(list_reduce(y, lambda c, v: xor(c >> 8, k.k[(xor(c, v) & 255) + 1])), 4294967295) % 10000 AS bucket FROM y, k),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN h USING (f) GROUP BY 1), t AS (SELECT bucket, count(*) AS n FROM g JOIN h USING (f) GROUP BY 1),
+n AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS s, coalesce((SELECT sum(n) FROM t), 0)::DOUBLE AS t),
+gain AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * (n.s + 10000) / ((s.n + 1) * (n.t + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+w AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM f JOIN h USING (f) JOIN gain USING (bucket) GROUP BY 1),
+r AS (SELECT d.doc_id, len(d.w) AS words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || left(sha256('7:' || d.doc_id), 8))::BIGINT AS h FROM d LEFT JOIN w USING (doc_id)),
+q AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score FROM r),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM q WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM q LEFT JOIN o USING (doc_id)""",
 }
