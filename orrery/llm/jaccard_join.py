@@ -36,6 +36,7 @@ whole; an empty table returns no rows; other columns are ignored, whatever their
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -284,7 +285,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, bits: int = 64) -> DataF
     sizes = family.join(found, "node")
     edge = math.log(100 / percent)
     members = save(sizes.withColumn("band", F.floor(F.log("n") / F.lit(edge) + F.lit(1e-9))))
-    links = _verify(_member_sets(docs, members, width, bits, clashing), members, star, percent)
+    links = _verify(lambda of: _member_sets(docs, of, width, bits, clashing), members, star, percent)
     group = connected_components(links).withColumnsRenamed({"component": "group"})
     return save(rows.join(group, "node", "left").select("doc_id", "digest", "n", F.coalesce("group", "node").alias("group")))
 
@@ -337,8 +338,8 @@ def _star_links(sets: DataFrame, members: DataFrame, star: DataFrame, percent: i
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def _verify(sets: DataFrame, members: DataFrame, star: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that span the groups of every family.
+def _verify(sets_of: Callable[[DataFrame], DataFrame], members: DataFrame, star: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span the groups of every family; sets_of gives the sets of some members.
 
     Members of families of more than CROWD tiles' size are first compared with one set each. What is connected then in
     groups of a block and more isn't compared within itself again, only with the rest of its family. All else is
@@ -349,7 +350,7 @@ def _verify(sets: DataFrame, members: DataFrame, star: DataFrame, percent: int)
     early = None
     members = members.withColumn("crowd", F.lit(0).cast("long"))
     if not crowd.isEmpty():
-        early = save(_star_links(sets, crowd, star, percent))
+        early = save(_star_links(sets_of(crowd), crowd, star, percent))
         groups = connected_components(early)
         large = groups.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("component")
         of = groups.join(large, "component", "left_semi")
@@ -380,7 +381,7 @@ def _verify(sets: DataFrame, members: DataFrame, star: DataFrame, percent: int)
         got = linked_in_tile(node[once], shingled, table.column("is_lo").to_numpy(), table.column("is_hi").to_numpy(), percent)
         return pa.table({"a": pa.array([g[0] for g in got], pa.int64()), "b": pa.array([g[1] for g in got], pa.int64())})
 
-    links = sets.join(tiles, "node").groupBy("tile").applyInArrow(link, "a long, b long")
+    links = sets_of(members).join(tiles, "node").groupBy("tile").applyInArrow(link, "a long, b long")
     return links if early is None else links.unionByName(early)
 
 
