@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,20 @@ def scratch_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/orrery-{spark.sparkContext.applicationId}"
+    folder = f"{found.rstrip('/')}/orrery-{spark.sparkContext.applicationId}"
+    if folder not in _KNOWN:
+        _KNOWN.add(folder)
+        atexit.register(_leave, spark, folder)
+    return folder
+
+
+_KNOWN: set[str] = set()
+
+
+def _leave(spark: SparkSession, folder: str) -> None:
+    """What queries have put into the scratch folder goes with the application; within one, `clearing` tells what is done with."""
+    with suppress(Exception):  # the session may be gone
+        delete(spark, folder)
 
 
 _NOTED: list[list[str]] = []

@@ -10,11 +10,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import BooleanType, DateType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, DateType, LongType, StringType, StructField, StructType
 
 from orrery.operators.changes import RECORD, diff_events
 
@@ -37,11 +36,9 @@ class _OnceAKey(StatefulProcessor):
     def handleInitialState(self, key, state, timers) -> None:
         self.seen.update((True,))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        first = None if self.seen.exists() else next((r.iloc[:1] for r in rows if len(r)), None)
-        for _ in rows:
-            pass
-        if first is not None:
+    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+        first = next(rows, None)
+        if first is not None and not self.seen.exists():
             self.seen.update((True,))
             yield first
 
@@ -54,43 +51,37 @@ def first_of_each(stream: DataFrame, keys: list[str], known: DataFrame | None =
     remembering(stream.sparkSession)
     rows = stream.dropna(subset=keys)
     before = known.select(*keys).dropna().distinct().groupBy(*keys) if known is not None else None
-    return rows.groupBy(*keys).transformWithStateInPandas(_OnceAKey(), rows.schema, "Append", "None", before)
+    return rows.groupBy(*keys).transformWithState(_OnceAKey(), rows.schema, "Append", "None", before)
 
 
 class _Pairs(StatefulProcessor):
     """Every version of a record with the one before it, which is all that is kept."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("fetched_at", TimestampType()), StructField("id", LongType()), StructField("record", StringType())]))
+        self.last = handle.getValueState("last", StructType([StructField("at", LongType()), StructField("id", LongType()), StructField("record", StringType())]))
 
-    def handleInitialState(self, key, state: pd.DataFrame, timers) -> None:
-        r = state.iloc[0]
-        self.last.update((r["fetched_at"].to_pydatetime(), int(r["id"]), r["record"]))
+    def handleInitialState(self, key, state: Row, timers) -> None:
+        self.last.update((state["at"], state["id"], state["record"]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows)).sort_values(["fetched_at", "id"])
+    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
         last = self.last.get() if self.last.exists() else None
+        for r in sorted(rows, key=lambda r: (r["at"], r["id"])):
+            if last is not None and (r["at"], r["id"]) <= (last[0], last[1]):
+                continue
+            if last is not None:
+                yield Row(id=r["id"], **{k: r[k] for k in KEYS}, day=r["day"], before=last[2], record=r["record"])
+            last = (r["at"], r["id"], r["record"])
         if last is not None:
-            moved = (part["fetched_at"] > pd.Timestamp(last[0])) | ((part["fetched_at"] == pd.Timestamp(last[0])) & (part["id"] > last[1]))
-            part = part[moved]
-        if not len(part):
-            return
-        before = [last[2] if last is not None else None, *part["record"].tolist()[:-1]]
-        newest = part.iloc[-1]
-        self.last.update((newest["fetched_at"].to_pydatetime(), int(newest["id"]), newest["record"]))
-        out = part.assign(before=before)
-        out = out.iloc[0 if last is not None else 1 :]
-        if len(out):
-            yield out[["id", *KEYS, "day", "before", "record"]]
+            self.last.update(last)
 
     def close(self) -> None:
         pass
 
 
 def version_rows(raw: DataFrame) -> DataFrame:
-    """id, kind, source_id, lang, fetched_at, day and record (of the payload, what events come from) of versions."""
+    """id, kind, source_id, lang, at (microseconds), day and record (of the payload, what events come from) of versions."""
     record = F.to_json(F.from_json("payload", RECORD))
-    return raw.select("id", *KEYS, F.col("fetched_at").cast("timestamp").alias("fetched_at"), F.to_date("fetched_at").alias("day"), record.alias("record"))
+    return raw.select("id", *KEYS, F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("at"), F.to_date("fetched_at").alias("day"), record.alias("record"))
 
 
 def derive_stream(raw: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -102,10 +93,10 @@ def derive_stream(raw: DataFrame, known: DataFrame | None = None) -> DataFrame:
     a payload, tells nothing. Nulls in a key make a key.
     """
     remembering(raw.sparkSession)
-    rows = version_rows(raw).where("id is not null and fetched_at is not null")
-    before = version_rows(known).groupBy(*KEYS).agg(F.max_by(F.struct("fetched_at", "id", "record"), F.struct("fetched_at", "id")).alias("_r")).select(*KEYS, "_r.*").groupBy(*KEYS) if known is not None else None
+    rows = version_rows(raw).where("id is not null and at is not null")
+    before = version_rows(known).groupBy(*KEYS).agg(F.max_by(F.struct("at", "id", "record"), F.struct("at", "id")).alias("_r")).select(*KEYS, "_r.*").groupBy(*KEYS) if known is not None else None
     schema = StructType([StructField("id", LongType()), *[rows.schema[k] for k in KEYS], StructField("day", DateType()), StructField("before", StringType()), StructField("record", StringType())])
-    paired = rows.groupBy(*KEYS).transformWithStateInPandas(_Pairs(), schema, "Append", "None", before)
+    paired = rows.groupBy(*KEYS).transformWithState(_Pairs(), schema, "Append", "None", before)
     parsed = paired.where("before is not null").withColumn("before", F.from_json("before", RECORD)).withColumn("after", F.from_json("record", RECORD))
     return diff_events(parsed.drop("record"))
 
