@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.sources.scratch import save
+
 
 def latest_per_key(frame: DataFrame, keys: list[str], order: list[str], columns: list[str] | None = None) -> DataFrame:
     """Each key's row with the greatest `order`, as one aggregation (combined before the shuffle).
@@ -29,9 +31,22 @@ def language_rank(lang: str, preferred: list[str]) -> Column:
 
 
 def previous_version(frame: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """Every row with its key's row before it, as columns prev_<name>."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return frame.select("*", *[F.lag(c).over(window).alias(f"prev_{c}") for c in columns])
+    """Every row with its key's row before it, as columns prev_<name>.
+
+    Rows are sorted into ranges by key and order, and each looks back within its range; a range's first row gets the last one of the
+    range before, if it is of its key. So a key with a third of all rows is spread over ranges like any others.
+    """
+    ranged = save(frame.orderBy(*keys, *order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    told = F.struct(*[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)], *[F.col(c).alias(f"c{n}") for n, c in enumerate(columns)])
+    last = ranged.groupBy("_range").agg(F.max_by(told, "_at").alias("_last"))  # a row a range
+    before = last.select(F.col("_range").alias("_r"), F.lag("_last").over(Window.orderBy("_range")).alias("_edge"))
+    back = F.coalesce(F.lag(told).over(Window.partitionBy("_range").orderBy("_at")), F.col("_edge"))
+    rows = ranged.join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn("_back", back)
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_back.k{n}"))
+    same &= F.col("_back").isNotNull()
+    return rows.select(*frame.columns, *[F.when(same, F.col(f"_back.c{n}")).alias(f"prev_{c}") for n, c in enumerate(columns)])
 
 
 def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import dossier, latest
 from orrery.plans.base import Tables, query
-from orrery.sources.scratch import new_folder
+from orrery.sources.scratch import new_folder, save
 
 
 @query("d1_english_translation", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents WHERE lang = 'en') WHERE rn = 1")
@@ -131,7 +131,9 @@ def event_stream(t: Tables) -> DataFrame:
     from orrery.streaming.stateful import append_batches, derive_stream
 
     root, rows = new_folder(t.spark, "versions"), _versions(t)
-    rows.repartitionByRange(4, "fetched_at", "id").write.parquet(f"{root}/in")
+    ranged = save(rows.repartitionByRange(4, "fetched_at", "id").withColumn("part", F.spark_partition_id()))
+    for k in range(4):  # one after the other, as versions are collected: a stream takes the oldest files first
+        ranged.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     append_batches(derive_stream(stream), f"{root}/events", f"{root}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{root}/events").select(F.col("id").alias("event_id"), "type", "day")

@@ -140,6 +140,22 @@ def test_keyed_rank_equals_a_window(spark):
     assert picked == [(2 * d, d + 1) for d in range(10)]
 
 
+def test_previous_versions_of_a_key_that_holds_most_rows(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), rng.choice([1, 1, None]), k, rng.choice([k, None])) for k in range(3000)]
+    rng.shuffle(rows)
+    want, last = {}, {}
+    for a, b, k, v in sorted(rows, key=lambda r: r[2]):
+        want[k] = last.get((a, b), (None, None))
+        last[a, b] = (k, v)
+    frame = spark.createDataFrame(rows, "a string, b int, k long, v long").repartition(7)
+    got = latest.previous_version(frame, ["a", "b"], ["k"], ["k", "v"])
+    assert got.columns == ["a", "b", "k", "v", "prev_k", "prev_v"] and {r.k: (r.prev_k, r.prev_v) for r in got.collect()} == want
+    assert latest.previous_version(frame.limit(0), ["a"], ["k"], ["v"]).collect() == []
+
+
 # ---------------------------------------------------------------- graph
 def test_suggestions(spark):
     edges = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 10, 1), (2, 12, 1), (3, 11, 2), (3, 12, None), (3, 13, 1), (4, 99, 1)], "member long, work long, rank int")
