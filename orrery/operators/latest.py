@@ -30,12 +30,19 @@ def language_rank(lang: str, preferred: list[str]) -> Column:
     return F.when(place > 0, place).otherwise(F.lit(len(preferred) + 1))
 
 
-def previous_version(frame: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+#: Rows of one key that a task may order by itself.
+MOST_OF_A_KEY = 1_000_000
+
+
+def previous_version(frame: DataFrame, keys: list[str], order: list[str], columns: list[str], most: int = MOST_OF_A_KEY) -> DataFrame:
     """Every row with its key's row before it, as columns prev_<name>.
 
-    Rows are sorted into ranges by key and order, and each looks back within its range; a range's first row gets the last one of the
+    One window, as long as no key has more than `most` rows (which is counted first). Else rows are sorted into ranges by key and order, and each looks back within its range; a range's first row gets the last one of the
     range before, if it is of its key. So a key with a third of all rows is spread over ranges like any others.
     """
+    if frame.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).isEmpty():
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return frame.select("*", *[F.lag(c).over(window).alias(f"prev_{c}") for c in columns])
     ranged = save(frame.orderBy(*keys, *order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
     told = F.struct(*[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)], *[F.col(c).alias(f"c{n}") for n, c in enumerate(columns)])
     last = ranged.groupBy("_range").agg(F.max_by(told, "_at").alias("_last"))  # a row a range

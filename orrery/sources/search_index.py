@@ -12,7 +12,7 @@ marked is dead. The pointer names segments and marks, and is replaced last, so r
 or nothing. Small segments are merged, without looking at a text again, when there are more than SEGMENTS of them
 or when the dead outweigh a share of the living.
 
-A frequent word is spread over tasks and files by its documents' keys.
+The bucket of a frequent word is spread over tasks and files (adaptive execution splits it).
 
 Nulls and edges: a document without text has no postings, but counts; rows without key are left out; of rows
 that repeat a key within a change one counts, always the same; an empty table is an index that finds nothing.
@@ -146,9 +146,9 @@ class SearchIndex:
 
     # ------------------------------------------------------------ writing
     def _write_postings(self, frame: DataFrame, name: str, key: str) -> None:
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        ranged = frame.withColumn("bucket", bucket_of(F.col("token"))).repartitionByRange(parts, "bucket", "token", key).sortWithinPartitions("bucket", "token", key)
-        ranged.write.option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{self.folder}/{name}/postings")
+        # a bucket that is large, as that of a frequent word is, becomes several tasks and files
+        place = frame.withColumn("bucket", bucket_of(F.col("token"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", key)
+        place.write.option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{self.folder}/{name}/postings")
 
     def _segment(self, docs: DataFrame, key: str, text: str, stored: list[str]) -> dict:
         """Write a segment of docs; nothing points to it yet."""

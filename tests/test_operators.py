@@ -151,8 +151,9 @@ def test_previous_versions_of_a_key_that_holds_most_rows(spark):
         want[k] = last.get((a, b), (None, None))
         last[a, b] = (k, v)
     frame = spark.createDataFrame(rows, "a string, b int, k long, v long").repartition(7)
-    got = latest.previous_version(frame, ["a", "b"], ["k"], ["k", "v"])
-    assert got.columns == ["a", "b", "k", "v", "prev_k", "prev_v"] and {r.k: (r.prev_k, r.prev_v) for r in got.collect()} == want
+    for most in (10**6, 100):
+        got = latest.previous_version(frame, ["a", "b"], ["k"], ["k", "v"], most)
+        assert got.columns == ["a", "b", "k", "v", "prev_k", "prev_v"] and {r.k: (r.prev_k, r.prev_v) for r in got.collect()} == want
     assert latest.previous_version(frame.limit(0), ["a"], ["k"], ["v"]).collect() == []
 
 
