@@ -1,6 +1,6 @@
 """Approximate nearest neighbours with robust-pruned directed graphs, one per shard.
 
-Rows are dealt into shards of about SHARD rows by a hash. In a shard, equal vectors are one
+Rows are dealt into shards of about SHARD rows (fewer, if NUMBERS numbers are fewer rows) by a hash. In a shard, equal vectors are one
 node. A graph is built from random edges in two passes: for batches of nodes a greedy search
 proposes neighbours, relaxed distance pruning (drop what is nearer, times alpha, to a neighbour
 already chosen than to the node) keeps diverse edges, and reverse edges are added and pruned.
@@ -34,6 +34,7 @@ from orrery.llm.shared import save
 from orrery.llm.vectors import matrix, usable
 
 SHARD, DEGREE, BEAM, ALPHA, WIDTH = 16384, 32, 96, 1.2, 4
+NUMBERS = 1 << 22  # of a shard's vectors, or a block of queries', on average: wide vectors make smaller ones
 QUERY_BLOCK, AT_ONCE = 16384, 1024
 
 
@@ -164,7 +165,8 @@ def build_index(vectors: DataFrame, shard: int = SHARD) -> tuple[DataFrame, int]
     rows = vectors.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     # a repeated row would take several of a query's places; repeats are combined before the shuffle
     rows = save(rows.distinct()).withColumn("embedding", F.col("embedding").cast("array<double>"))
-    shards = max(1, math.ceil(rows.count() / shard))
+    n, numbers = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0))).first()
+    shards = max(1, math.ceil(n / shard), math.ceil(numbers / NUMBERS))
     rows = rows.withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
@@ -213,7 +215,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHAR
     index, shards = build_index(vectors, shard)
     queries = vectors.where(usable() & F.col("vec_id").isNotNull() & is_query).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     queries = save(queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    n, numbers = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / QUERY_BLOCK), math.ceil(numbers / NUMBERS))
     queries = queries.withColumn("dim", F.size("embedding")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:

@@ -11,8 +11,8 @@ Targets: `share` times all words, split by weight; no source is taken more than
 excess is shared again by weight among the others. Slots past `cap` times a source's words are
 trimmed, so no document is taken more often.
 
-Sources are a table like any other: ranked, given targets and looked up by joins, however many there
-are. Running sums and ranks are two-level (sums of hash buckets, slot chunks or ranges, then within
+Up to FEW sources get their targets on the driver; more are a table like any other, ranked and given targets by
+sums. Either way they are looked up by joins. Running sums and ranks are two-level (sums of hash buckets, slot chunks or ranges, then within
 them), so a source with a third of all rows is spread like any other.
 
 Nulls and edges: a null source is a source, after all others; a null or empty text has no words and
@@ -37,6 +37,7 @@ MOST_BLOCK = 65536
 UNITS = 1024  # shares are added up in whole parts of a word, so that intervals meet exactly
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
+FEW = 10_000  # sources that the driver gives their targets; more are a table throughout
 
 
 def _running(frame: DataFrame, keys: list[str], chunk: str, order: list, value, name: str) -> DataFrame:
@@ -54,7 +55,12 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     src ranks sources by code point, null last; they take the weights in turn. low and high bound the source's
     points. The level at which words are given out per weight rises until no further source reaches its cap.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last())
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    few = per.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        made = _few_targets([(r["source"], r["source_size"]) for r in few], weights, share, cap)
+        return sized.sparkSession.createDataFrame(made, "src long, source string, source_size long, target double, low long, high long")
+    per = per.orderBy(F.col("source").asc_nulls_last())
     # a sorted table is numbered by its ranges: rows of the ranges before, then the place within
     per = save(per.withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     src = _running(per.withColumn("all", F.lit(0)), ["all"], "range", [F.col("at")], F.lit(1), "src").drop("all", "at")
@@ -78,6 +84,27 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return save(placed.select("src", "source", "source_size", "target", point(F.col("begin")).alias("low"), point(F.col("begin") + F.col("units")).alias("high")))
 
 
+def _few_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], share: float, cap: float) -> list[tuple]:
+    """The rows of `source_targets` for at most FEW sources: the same sums in one place."""
+    ranked = [(k, s, n, weights[k % len(weights)]) for k, (s, n) in enumerate(sorted(sizes, key=lambda x: (x[0] is None, x[0] or "")))]
+    words, open_ = sum(n for _, _, n, _ in ranked), ranked
+    level, closed = share * words / max(sum(w for *_, w in ranked), 1e-300), -1
+    while True:
+        open_ = [r for r in ranked if not cap * r[2] < level * r[3]]
+        given, rest = sum(cap * r[2] for r in ranked if cap * r[2] < level * r[3]), sum(r[3] for r in open_)
+        if len(ranked) - len(open_) == closed or not rest:
+            break
+        closed, level = len(ranked) - len(open_), (share * words - given) / rest
+    targets = [min(cap * n, level * w) for _, _, n, w in ranked]
+    units = [math.floor(t * UNITS) for t in targets]
+    whole, begin, out = max(sum(units), 1), 0, []
+    point = lambda x: math.floor(float(x) / float(whole) * 2.0**POINTS)
+    for (k, s, n, _), target, unit in zip(ranked, targets, units, strict=True):
+        out.append((k, s, n, float(target), point(begin), point(begin + unit)))
+        begin += unit
+    return out
+
+
 def point_of(slot: Column, points: str) -> Column:
     """The slot's point, a whole number below 2**POINTS."""
     if points == "golden":

@@ -378,9 +378,13 @@ def targets(sizes, weights=mixing.WEIGHTS, share=1.5, cap=2.0):
         full |= over
 
 
-def test_targets(spark):
+def test_targets(spark, monkeypatch):
     for sizes in ({"b": 100, "a": 10, None: 50, "c": 40}, {"z": 0, "é": 7, "Z": 900, None: 3}, {f"s{k}": k * k for k in range(40)}):
-        rows = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).orderBy("src").collect()
+        frame = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        rows = mixing.source_targets(frame).orderBy("src").collect()
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "FEW", 0)  # as a table throughout
+            assert rows == mixing.source_targets(frame).orderBy("src").collect()
         assert [r.source for r in rows] == sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
         want = targets(sizes)
         assert all(r.target == pytest.approx(want[r.source], abs=1e-6) and r.source_size == sizes[r.source] for r in rows)
