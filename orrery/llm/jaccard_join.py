@@ -136,10 +136,12 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(values)))
 
 
-def _slices(batches, rows: int = 2000):
+def _slices(batches, rows: int = 256):
+    """Runs of rows, as few as leave a worker's memory small beside the batch itself."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def _node(shingled: np.ndarray) -> np.uint64:
@@ -174,7 +176,7 @@ def shingle_sets(docs: DataFrame, width: int, bits: int = 64) -> tuple[DataFrame
         for batch in _slices(batches):
             sets = [s for _, s in _sets_of(batch, width)]
             if sets:
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTS)
+                np.add.at(counts, (np.concatenate(sets) >> np.uint64(44)).astype(np.int64), 1)
             node, check = _identities(sets, bits)
             n = np.array([len(s) for s in sets], dtype=np.int64)
             none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.llm.queries import pii_key
 from orrery.llm import mixing, pii, sentencepieces, toxicity
 
 sys.path.insert(0, ".")
@@ -111,7 +112,7 @@ def test_private_values_are_replaced(spark, stages):
     assert before.keys() == after.keys() and sum(before[i].text != after[i].text for i in before) == 1
     text = after[2003].text
     assert "me@mail" not in text and "203.0.113.9" not in text and "@mail.example.com" in text and after[2003].n_chars == len(text)
-    assert bag(pii.pseudonymise(made[2], "not a secret", count=None, kinds=None)) == bag(made[3])
+    assert bag(pii.pseudonymise(made[2], pii_key(spark), count=None, kinds=None)) == bag(made[3])
 
 
 def test_mix_repeats_documents(stages):
