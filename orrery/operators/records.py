@@ -49,14 +49,15 @@ def cast_of(members: Column, most: int = MOST_CAST) -> Column:
     return F.filter(F.transform(F.slice(F.coalesce(members, F.array().cast(f"array<{MEMBER}>")), 1, most), one), lambda m: m["id"].isNotNull())
 
 
-def directors_of(crew: Column, most: int = MOST_DIRECTORS) -> Column:
-    """Directors only, by episodes (stable): a job list counts if it names one, else the single job must be it."""
+def directors_of(crew: Column, most: int | None = MOST_DIRECTORS) -> Column:
+    """Directors only, by episodes (stable), the first `most` (None: all): a job list counts if it names one, else the single job must be it."""
     jobs = lambda m: F.coalesce(m["jobs"], F.array().cast("array<struct<job:string,episode_count:int>>"))
     mine = lambda m: F.filter(jobs(m), lambda j: j["job"] == "Director")
     kept = F.filter(crew, lambda m: m["id"].isNotNull() & F.when(F.size(jobs(m)) > 0, F.size(mine(m)) > 0).otherwise(F.coalesce(m["job"] == "Director", F.lit(False))))
     episodes = lambda m: F.when(F.size(jobs(m)) > 0, F.coalesce(F.nullif(m["total_episode_count"], F.lit(0)), _first(mine(m))["episode_count"]))
     ranked = F.array_sort(F.transform(kept, lambda m, i: F.struct((-F.coalesce(episodes(m), F.lit(0))).alias("less"), i.alias("at"), m["id"].alias("id"), m["name"].alias("name"), episodes(m).alias("episodes"))))
-    return F.transform(F.slice(ranked, 1, most), lambda m: F.struct(m["id"].alias("id"), m["name"].alias("name"), m["episodes"].alias("episodes")))
+    kept = ranked if most is None else F.slice(ranked, 1, most)
+    return F.transform(kept, lambda m: F.struct(m["id"].alias("id"), m["name"].alias("name"), m["episodes"].alias("episodes")))
 
 
 def credit_edges(works: DataFrame, work: str, people: str, role: str) -> DataFrame:
