@@ -123,7 +123,7 @@ def _nearest_of_width(base: DataFrame, n: int, k: int, measure: str, context) ->
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[a]), pa.array(ids[b]), pa.array(exact), pa.array(like)], names=["query_id", "id", "far", "score"])
 
     kind = "query_id long, id long, far double, score double"
-    own = save(queries.join(blocks, "cell").mapInArrow(score, kind))
+    own = save(queries.join(blocks.hint("merge"), "cell").mapInArrow(score, kind))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("far", "id"))
     bound = own.withColumn("nth", nth).where(F.col("nth") == k).select(F.col("query_id").alias("id"), F.col("far").alias("bound"))
     cells = blocks.groupBy("cell").agg(F.max("radius").alias("radius")).toPandas()  # a row a centre
@@ -148,7 +148,7 @@ def _nearest_of_width(base: DataFrame, n: int, k: int, measure: str, context) ->
 
     counts = sent.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(QUERY_ROWS)).alias("_blocks"))
     packs = sent.join(counts, "cell").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks"))).groupBy("cell", "_block").applyInPandas(bounded, "cell long, query_ids binary, queries binary, bounds binary")
-    others = packs.join(blocks, "cell").mapInArrow(score, kind)
+    others = packs.join(blocks.hint("merge"), "cell").mapInArrow(score, kind)  # packs look small to the planner, which would broadcast all queries
     return own.unionByName(others)
 
 

@@ -27,3 +27,14 @@ def test_plain_text_resolves_what_its_sql_resolves(spark, tmp_path):
     pages = """select row_number() over () as page_id, html from (values ('<p>a&&&amp</p> b&amp'), ('x &lt y &copy 2'), ('&amp;lt; &amp;amp;'), ('&eacute;&#233; &hellip;'), ('a&nbsp;b' || chr(160) || 'c' || chr(8195) || 'd'),
       ('e' || chr(11) || 'f' || chr(9) || chr(10) || 'g'), ('<br>'), (''), (null), ('1 &lt;b&gt; 2 < 3'), ('&middot;&quot;&#39;&apos;')) t(html)"""
     agrees(spark, tmp_path, "x7_plain_text", pages=pages)
+
+
+def test_queries_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from orrery.operators import similarity
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 11), 1.0]) for i in range(300)], "vec_id long, embedding array<double>")
+    for measure in ("cosine", "euclid"):
+        plan = similarity.nearest(rows, F.col("vec_id") % 5 == 0, 3, measure)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [cell" in plan
