@@ -112,7 +112,7 @@ def same_colour_and_links(works: DataFrame, is_query: Column, genres: DataFrame,
 
     genres: work, genre; people: work, person. Shared edges are counted for the pools' pairs only.
     """
-    found = similarity.nearest(works, is_query, pool, "cosine").drop("place")
+    found = save(similarity.nearest(works, is_query, pool, "cosine").drop("place"))
 
     def shared(edges: DataFrame, of: str) -> DataFrame:
         one = edges.select("work", of).distinct()
