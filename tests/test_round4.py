@@ -38,3 +38,23 @@ def test_queries_are_not_broadcast(spark):
     for measure in ("cosine", "euclid"):
         plan = similarity.nearest(rows, F.col("vec_id") % 5 == 0, 3, measure)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin [cell" in plan
+
+
+def test_medians_leave_their_histograms_in_spark(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from orrery.operators import kernels
+
+    x = np.random.default_rng(3).normal(size=(90, 5))
+    rows = spark.createDataFrame([("a", i, 90, 3, i % 3, 1.0, [float(v) for v in x[i]]) for i in range(90)], "axis string, i long, n long, folds long, fold long, value double, embedding array<double>")
+    blocks, seen, collect = kernels._blocks(rows, 20), [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: 1 / 0)
+    found = kernels._medians(blocks, {"a": 3})["a"]
+    assert max(map(len, seen)) <= 6
+    for f in range(3):
+        rest = x[np.arange(90) % 3 != f]
+        far = kernels.distances(rest, rest)
+        np.fill_diagonal(far, 0)
+        assert abs(found[f] - np.median(far[far > 0])) < 1e-12
