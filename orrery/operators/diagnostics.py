@@ -62,7 +62,10 @@ def anchor_summary(anchors: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def _plain(genres: DataFrame) -> DataFrame:
-    return genres.where("genre is not null").select("work", fold("genre").alias("genre")).distinct()
+    """Works and folded genres, each once; a spelling is folded once, however many works have it."""
+    spelt = genres.where("genre is not null").select("work", "genre")
+    names = spelt.select("genre").distinct().select("genre", fold("genre").alias("_plain"))
+    return spelt.join(names, "genre").select("work", F.col("_plain").alias("genre")).distinct()
 
 
 def genre_gap(scores: DataFrame, genres: DataFrame, expected: DataFrame) -> DataFrame:
@@ -71,7 +74,7 @@ def genre_gap(scores: DataFrame, genres: DataFrame, expected: DataFrame) -> Data
     scores: work, axis, value; genres: work, genre; expected: axis, genre (few).
     """
     plain = _plain(genres)
-    claims = F.broadcast(expected.select("axis", fold("genre").alias("genre")).distinct())
+    claims = F.broadcast(expected.coalesce(1).select("axis", fold("genre").alias("genre")).distinct())
     raised = plain.join(claims, "genre").select("work", "axis").distinct().withColumn("has", F.lit(True))
     told = scores.where("value is not null").join(plain.select("work").distinct(), "work", "left_semi").join(raised, ["work", "axis"], "left")
     mean = lambda cond: F.avg(F.when(cond, F.col("value")))
@@ -88,6 +91,6 @@ def counter_judge(scores: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def orphan_genres(genres: DataFrame, expected: DataFrame, most: int = 8) -> DataFrame:
     """The genres of most works that no axis claims."""
-    free = _plain(genres).join(F.broadcast(expected.select(fold("genre").alias("genre")).distinct()), "genre", "left_anti")
+    free = _plain(genres).join(F.broadcast(expected.coalesce(1).select(fold("genre").alias("genre")).distinct()), "genre", "left_anti")
     return free.groupBy("genre").agg(F.count("*").alias("works")).orderBy(F.desc("works"), F.desc("genre")).limit(most)
 

@@ -58,3 +58,16 @@ def test_medians_leave_their_histograms_in_spark(spark, monkeypatch):
         far = kernels.distances(rest, rest)
         np.fill_diagonal(far, 0)
         assert abs(found[f] - np.median(far[far > 0])) < 1e-12
+
+
+def test_a_spelling_is_folded_once(spark):
+    from pyspark.sql import functions as F
+
+    from orrery.operators import diagnostics
+
+    genres = spark.range(900).select(F.col("id").alias("work"), F.element_at(F.array(F.lit("Féerie"), F.lit("feerie"), F.lit("Noir"), F.lit("clair"), F.lit(None)), (F.col("id") % 5 + 1).cast("int")).alias("genre"))
+    found = diagnostics.orphan_genres(genres, spark.createDataFrame([("a", "NOIR")], "axis string, genre string"))
+    assert [tuple(r) for r in found.collect()] == [("feerie", 360), ("clair", 180)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("ArrowEvalPython [_folded", plan.index("Join Inner"))  # the fold of the works' genres stands over an aggregate of spellings
+    assert plan[at:].split("\n")[1].strip(" :+-|").startswith("Aggregate [genre")
