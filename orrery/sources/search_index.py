@@ -24,8 +24,9 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,10 @@ from orrery.sources.pointer import Pointer
 BUCKETS, LEAD = 64, 2
 ROW_GROUP = 4 << 20
 SEGMENTS, DEAD = 8, 0.3
-_WORD = re.compile("[a-z0-9]+")
+#: Bytes of texts that are cut into words at once, and postings of a batch.
+CHUNK, POSTINGS = 1 << 20, 1 << 16
+_WORD, _BEYOND = re.compile("[a-z0-9]+"), re.compile(r"[^\x00-\x7f]+")
+_INSIDE = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
 
 
 def words(text: str) -> list[str]:
@@ -45,30 +49,52 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower() if text.isascii() else fold_text(text))
 
 
+@lru_cache(1 << 16)
+def _folded_run(run: str) -> str:
+    return fold_text(run)
+
+
+def _folded_bytes(text: str) -> bytes:
+    """The folded text's bytes. Folding looks at one character at a time, so runs beyond ASCII are folded alone, equal ones once."""
+    return (text if text.isascii() else _BEYOND.sub(lambda m: _folded_run(m[0]), text)).encode().lower()
+
+
+def word_places(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(text's number, word, places) of every different word of every folded text, all texts at once."""
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    inside = _INSIDE[data]
+    edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    row = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+    counts = np.bincount(row, minlength=len(texts))
+    place = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+    cuts = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    coded = pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(cuts), pa.py_buffer(data[inside])).dictionary_encode()
+    at = row * max(len(coded.dictionary), 1) + coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+    some = order[first]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+    return row[some], coded.dictionary.take(coded.indices.take(pa.array(some))).cast(pa.string()), lists
+
+
 def postings_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(token, key, places) of every different word of every document; a document's words meet in its own task."""
     kind = docs.schema[key].dataType
     schema = StructType([StructField("token", StringType()), StructField(key, kind), StructField("places", ArrayType(IntegerType()))])
 
-    def flush(tokens, rows, places, keys):
-        return pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), keys.take(pa.array(rows, pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=schema.names)
-
     def run(batches):
         for batch in batches:
-            keys, tokens, rows, places, size = batch.column(0), [], [], [], 0
+            texts, begin, size = [], 0, 0
             for row, value in enumerate(batch.column(1)):
-                own: dict[str, list[int]] = {}
-                for place, word in enumerate(words(value.as_py() or "")):
-                    own.setdefault(word, []).append(place)
-                tokens += own
-                rows += [row] * len(own)
-                places += own.values()
-                size += sum(map(len, own.values()))
-                if size > 1 << 18:
-                    yield flush(tokens, rows, places, keys)
-                    tokens, rows, places, size = [], [], [], 0
-            if tokens:
-                yield flush(tokens, rows, places, keys)
+                texts.append(_folded_bytes(value.as_py() or ""))
+                size += len(texts[-1])
+                if size > CHUNK or row + 1 == batch.num_rows:
+                    rows, tokens, places = word_places(texts)
+                    for at in range(0, len(rows), POSTINGS):
+                        own = slice(at, at + POSTINGS)
+                        yield pa.RecordBatch.from_arrays([tokens[own], batch.column(0).take(pa.array(rows[own] + begin)), places[own]], names=schema.names)
+                    texts, begin, size = [], row + 1, 0
 
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, schema)
 

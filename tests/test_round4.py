@@ -71,3 +71,17 @@ def test_a_spelling_is_folded_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     at = plan.index("ArrowEvalPython [_folded", plan.index("Join Inner"))  # the fold of the works' genres stands over an aggregate of spellings
     assert plan[at:].split("\n")[1].strip(" :+-|").startswith("Aggregate [genre")
+
+
+def test_words_of_many_texts_at_once():
+    from orrery.sources import search_index
+
+    texts = ["", "The the END", "Œuvre d'été, ÉTÉ été straße ﬁn ½ x²", "  ", "a", "a1 b2 a1", "日本 ǅ İstanbul ΑΣ", "x ý̈z" * 40, ""]
+    rows, tokens, places = search_index.word_places([search_index._folded_bytes(t) for t in texts])
+    got = sorted(zip(rows.tolist(), tokens.to_pylist(), places.to_pylist(), strict=True))
+    want = {}
+    for row, text in enumerate(texts):
+        for place, word in enumerate(search_index.words(text)):
+            want.setdefault((row, word), []).append(place)
+    assert got == sorted((row, word, at) for (row, word), at in want.items())
+    assert len(search_index.word_places([b"", b" "])[0]) == 0
