@@ -271,3 +271,32 @@ def test_runs_of_long_texts_are_quick():
     words[800_000:900_000] = np.tile(words[800_000:810_000], 10)
     got = periodic.runs_of(words.astype(np.int32), np.array([0, len(words)]))[0]
     assert {(s, q) for s, _, q in got} == {(300_000, 7), (800_000, 10_000)}
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """2,600 clean documents whose words occur three times each, in groups: every word counts, in whatever order rows come."""
+    from pyspark.sql import functions as F
+
+    from orrery.llm import shared, toxicity
+
+    word = lambda i: "w" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    docs = [(i, f"{word(i % 900)} {'vermin' if i % 13 == 0 else 'plain'} text", "en" if i % 3 else "fr") for i in range(2800)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    y = spark.createDataFrame([(i, int(i % 13 == 0)) for i, _, _ in docs], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "GROUP_ROWS", 500)
+    model = toxicity.fit(d, y)
+    back = {r.doc_id for r in d.where(F.pmod(F.xxhash64(F.lit(toxicity.HELD_BACK), "doc_id"), F.lit(toxicity.HELD_BACK)) == 0).collect()}
+    held = {}
+    for i, text, _ in docs:
+        for w in text.split() if i not in back else ():
+            held[w] = held.get(w, 0) + 1
+    want = {int(shared.hash_word(w) >> 32) for w, n in held.items() if n >= 3}
+    assert len(want) > 500 and want <= set(model.vocabulary.tolist())
+    scores = {r.doc_id: (r.toxicity >= 0.5) == (r.doc_id % 13 == 0) for r in toxicity.score(d, model).collect()}
+    assert np.mean(list(scores.values())) >= 0.99
+    again = toxicity.fit(d.orderBy(F.desc("doc_id")).repartition(3), y)
+    assert again.thresholds == model.thresholds and np.array_equal(again.embedding, model.embedding) and np.array_equal(again.output, model.output)
+    monkeypatch.setattr(toxicity, "OWN", 50)
+    monkeypatch.setattr(toxicity, "SHARED", 64)
+    small = toxicity.fit(d, y)
+    assert len(small.vocabulary) == 50 and len(small.embedding) == 50 + 64 + 1 and small.rows_of(np.array([12345], np.uint32))[0] > 50
