@@ -182,15 +182,21 @@ def anchors_of(prompt: Column | str) -> Column:
     prompt = F.concat(F.lit("\n"), F.col(prompt) if isinstance(prompt, str) else prompt)
     pattern = rf"(?U)\n{AXIS_LINE}[^\n]*+(?:\n(?!{AXIS_LINE}|{ANCHOR_LINE})[^\n]*+)*+\n{ANCHOR_LINE}([^\n]+)"
     said = F.arrays_zip(F.regexp_extract_all(prompt, F.lit(pattern), F.lit(1)).alias("axis"), F.regexp_extract_all(prompt, F.lit(pattern), F.lit(3)).alias("told"))
-    last = F.filter(said, lambda s, i: ~F.exists(F.slice(said, i + 2, F.size(said)), lambda t: t["axis"] == s["axis"]))
 
     def pairs(s: Column) -> Column:
         pieces = F.split(F.regexp_replace(s["told"], r"\.+$", ""), ",")
         scored = F.filter(pieces, lambda p: F.substring_index(p, "=", -1).rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$") & p.contains("="))
         made = F.transform(scored, lambda p: F.struct(s["axis"].alias("axis"), anchor_key(F.regexp_replace(p, "=[^=]*$", "")).alias("title"), F.trim(F.substring_index(p, "=", -1)).cast("double").alias("wanted")))
-        return F.filter(made, lambda m, i: ~F.exists(F.slice(made, i + 2, F.size(made)), lambda t: t["title"] == m["title"]))
+        return _last_of_each(made, "title")
 
-    return F.flatten(F.transform(last, pairs))
+    return F.flatten(F.transform(_last_of_each(said, "axis"), pairs))
+
+
+def _last_of_each(rows: Column, key: str) -> Column:
+    """The last struct of each key, in order. Rows are made once: what lambdas name outside of them, they make again for every element."""
+    placed = F.transform(rows, lambda r, i: F.struct(r[key].alias("k"), i.alias("i"), r.alias("r")))
+    by_key = F.transform(F.array(F.array_sort(placed)), lambda x: F.filter(x, lambda r, i: ~F.get(x, i + 1)["k"].eqNullSafe(r["k"])))[0]
+    return F.transform(F.array_sort(F.transform(by_key, lambda r: F.struct(r["i"].alias("i"), r["r"].alias("r")))), lambda r: r["r"])
 
 
 def anchor_gaps(scores: DataFrame, titles: DataFrame, anchors: DataFrame) -> DataFrame:

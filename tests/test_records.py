@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -73,6 +74,16 @@ def test_anchors(spark):
     assert [r.l for r in specs.select(records.encoder_label("s").alias("l")).collect()] == ["text-3@512", "pupil", "pupil", records.OWN_LABEL, "other/x", None]
 
 
+def test_anchors_of_a_long_rubric_are_read_once(spark):
+    """5,000 pieces on an axis; read once each, not once for every other piece (by the minute)."""
+    pieces = ", ".join(f"Work {i % 4000} = {i}" for i in range(5000))
+    frame = spark.createDataFrame([(f"1. a — x\nAnchors: {pieces}.",)], "p string").select(records.anchors_of("p").alias("a"))
+    began = time.monotonic()
+    told = [tuple(a) for a in frame.first().a]
+    assert time.monotonic() - began < 20
+    assert told == [("a", f"work{i % 4000}", float(i)) for i in range(1000, 5000)]
+
+
 def test_ablation(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(80, 5))
