@@ -12,8 +12,10 @@ when |A & B| / |A | B| >= percent / 100. The result is exact.
    the keys of its whole self: if two linked sets agree on empty parts only, both do. A set
    whose partner may lie in the next band gives that band's keys, too. So common passages
    make no keys of their own, and candidates follow real copies and grow with the input.
-2. Families: every key's sets are joined to the key's smallest set (combined before the
-   shuffle, the join splits when skewed); connected components of these pairs are families.
+2. Families: every key's sets are joined to the key's smallest set (the join splits when
+   skewed); connected components of these pairs are families. Most keys are of one set only; which
+   aren't is found on keys packed into rows by hash range, each key's smallest and largest set
+   combined before the shuffle, so no row or hash table entry of the JVM stands for one key.
 3. Tiles: a family is cut into size bands and blocks; a tile holds two blocks whose sizes
    can reach the threshold, about BLOCK sets each. In a tile, bit counts of hashed bitmaps
    bound each overlap from above, the survivors are intersected as sorted arrays, and pairs
@@ -52,6 +54,7 @@ BLOCK, CROWD = 256, 4
 BITS = 1024
 SLACK, SLACK_SHARE = 2, 0.15
 COUNTS, SLOTS = 1 << 20, 256  # hashed counts of shingles, and pieces that their table is added up in
+PACK, CELL = 1 << 18, 1 << 19  # part keys that are packed at once, and shingles of all documents for each range of keys
 SPACE = byte_class("space")
 _K = np.array([0x9AE16A3B2F90404F, 0xC949C7DEFE7A4D8B, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
@@ -259,15 +262,18 @@ def _grouped(docs: DataFrame, width: int, percent: int, bits: int = 64) -> DataF
 
     clash = clashing is not None
 
+    def keys_of(batch):
+        sets = [s for _, s in _sets_of(batch, width) if len(s)]
+        keys = [part_keys(s, percent, flags.value) for s in sets]
+        node, check = (np.repeat(x, [len(k) for k in keys]) for x in _identities(sets, bits))
+        return node, check, np.concatenate([*keys, np.zeros(0, np.uint64)])
+
     def keyed(wanted):
         """(node, key) of all sets, or of those keys only that may be in a bitmap."""
 
         def run(batches):
             for batch in _slices(batches):
-                sets = [s for _, s in _sets_of(batch, width) if len(s)]
-                keys = [part_keys(s, percent, flags.value) for s in sets]
-                node, check = (np.repeat(x, [len(k) for k in keys]) for x in _identities(sets, bits))
-                key = np.concatenate([*keys, np.zeros(0, np.uint64)])
+                node, check, key = keys_of(batch)
                 if wanted is not None:
                     some = maybe_in(wanted.value, as_long(key))
                     node, check, key = node[some], check[some], key[some]
@@ -277,7 +283,11 @@ def _grouped(docs: DataFrame, width: int, percent: int, bits: int = 64) -> DataF
         found = _input(docs).mapInArrow(run, ", ".join(f"{c} long" for c in names))
         return renumbered(found, clashing, "node", "check").select("node", "key")
 
-    first = keyed(None).groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
+    if clash:  # sets are renumbered by a join, a row a key
+        first = keyed(None).groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
+    else:
+        cells = math.ceil((rows.agg(F.sum("n")).first()[0] or 1) / CELL)
+        first = _shared_keys(_input(docs), keys_of, cells)
     first = save(first)
     # most keys are of one set only and needn't be shuffled again
     wanted = rows.sparkSession.sparkContext.broadcast(id_bits(first, F.col("key"), first.count()))
@@ -292,6 +302,53 @@ def _grouped(docs: DataFrame, width: int, percent: int, bits: int = 64) -> DataF
     return save(rows.join(group, "node", "left").select("doc_id", "digest", "n", F.coalesce("group", "node").alias("group")))
 
 
+def _ends(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, with the smallest and the largest node of each."""
+    order = np.argsort(key)
+    key, node = key[order], node[order]
+    cut = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+    if not len(cut):
+        return key, node, node
+    return key[cut], np.minimum.reduceat(node, cut), np.maximum.reduceat(node, cut)
+
+
+def _packed(key: np.ndarray, node: np.ndarray, cells: int):
+    """Batches (cell, keys, nodes) of keys with their smallest and largest node; a row holds those of one range of keys."""
+    key, low, high = _ends(key, node)
+    more = np.flatnonzero(low != high)
+    key, node = np.insert(key, more, key[more]), np.insert(low, more, high[more])
+    cell = ((key >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+    for at in range(0, len(key), PACK):
+        here = cell[at : at + PACK].astype(np.int64)
+        cut = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1])))
+        ends = pa.py_buffer((np.append(cut, len(here)) * 8).astype(np.int32))
+        both = [pa.Array.from_buffers(pa.binary(), len(cut), [None, ends, pa.py_buffer(np.ascontiguousarray(x[at : at + PACK]))]) for x in (as_long(key), node)]
+        yield pa.RecordBatch.from_arrays([pa.array(here[cut]), *both], names=["cell", "keys", "nodes"])
+
+
+def _shared_keys(texts: DataFrame, keys_of: Callable, cells: int) -> DataFrame:
+    """(key, first) of the keys that more than one node has; keys_of gives (node, check, key) of a batch of texts."""
+
+    def pack(batches):
+        held, n = [], 0
+        for batch in _slices(batches):
+            held.append(keys_of(batch))
+            n += len(held[-1][2])
+            if n >= PACK:
+                yield from _packed(np.concatenate([h[2] for h in held]), np.concatenate([h[0] for h in held]), cells)
+                held, n = [], 0
+        if n:
+            yield from _packed(np.concatenate([h[2] for h in held]), np.concatenate([h[0] for h in held]), cells)
+
+    def meet(table: pa.Table) -> pa.Table:
+        key, node = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(c)]) for c in ("keys", "nodes"))
+        key, low, high = _ends(key, node)
+        return pa.table({"key": pa.array(key[low != high]), "first": pa.array(low[low != high])})
+
+    packed = texts.mapInArrow(pack, "cell long, keys binary, nodes binary")
+    return packed.groupBy("cell").applyInArrow(meet, "key long, first long")
+
+
 def _member_sets(docs: DataFrame, members: DataFrame, width: int, bits: int, clashing: DataFrame | None) -> DataFrame:
     """(node, shingles) of members (check, rep), and of few others.
 

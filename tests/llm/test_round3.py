@@ -13,8 +13,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from orrery.llm import importance, periodic, queries, token_files
-from orrery.llm.shared import new_folder, text_chunks
+from orrery.llm import importance, jaccard_join, periodic, queries, token_files
+from orrery.llm.shared import mix, new_folder, text_chunks
 
 SF = "/root/testdata/sf0.001"
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -300,3 +300,43 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SHARED", 64)
     small = toxicity.fit(d, y)
     assert len(small.vocabulary) == 50 and len(small.embedding) == 50 + 64 + 1 and small.rows_of(np.array([12345], np.uint32))[0] > 50
+
+
+# ---------------------------------------------------------------- near-duplicate join: part keys
+def test_part_keys_are_packed(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PACK", 50)
+    rng = np.random.default_rng(3)
+    key = mix(np.concatenate([rng.integers(0, 300, 900), np.full(400, 7)]).astype(np.uint64))  # a hot key, too
+    node = rng.integers(-1000, 1000, len(key))
+    want = {}
+    for k, x in zip(key.view(np.int64).tolist(), node.tolist()):
+        low, high = want.get(k, (x, x))
+        want[k] = min(low, x), max(high, x)
+    got, cells = {}, {}
+    for batch in jaccard_join._packed(key, node, 5):
+        assert 0 < sum(len(x) for x in batch.column(1).to_pylist()) <= 8 * 50
+        for cell, keys, nodes in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, x in zip(np.frombuffer(keys, np.int64).tolist(), np.frombuffer(nodes, np.int64).tolist(), strict=True):
+                assert cells.setdefault(k, cell) == cell and 0 <= cell < 5
+                got.setdefault(k, []).append(x)
+    assert {k: (min(x), max(x)) for k, x in got.items()} == want and all(len(x) == len(set(x)) <= 2 for x in got.values())
+    assert len(set(cells.values())) == 5
+    none = np.zeros(0, np.uint64)
+    assert list(jaccard_join._packed(none, none.view(np.int64), 5)) == []
+
+
+def test_no_row_stands_for_a_single_key(spark, monkeypatch):
+    """Which keys several sets share is found without a JVM row or hash table entry for each key."""
+    plans, save = [], jaccard_join.save
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return save(frame)
+
+    monkeypatch.setattr(jaccard_join, "save", seen)
+    words = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(words[i // 2 :])) for i in range(40)] + [(90, None), (91, ""), (92, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, 5, 80).collect()}
+    assert got == {i: 0 for i in range(40)} | {i: i for i in (90, 91, 92)}
+    assert not [p for p in plans if "Aggregate [key" in p]
