@@ -14,9 +14,11 @@ when |A & B| / |A | B| >= percent / 100. The result is exact.
    make no keys of their own, and candidates follow real copies and grow with the input.
 2. Families: every key's sets are joined to the key's smallest set (the join splits when
    skewed); connected components of these pairs are families. Most keys are of one set only; which
-   aren't is found on keys packed into rows by hash range, each key's smallest and largest set
-   combined before the shuffle, so no row or hash table entry of the JVM stands for one key.
-3. Tiles: a family is cut into size bands and blocks; a tile holds two blocks whose sizes
+   aren't is found first, on four bytes of each key, packed into rows by hash range, so no row or hash
+   table entry of the JVM stands for one key and few bytes of one are shuffled. Only one document of equal sets is asked.
+3. Tiles: a large family falls into the groups of its keys, each key's sets under its smallest set, which hold all its
+   candidates; so pairs that share no key aren't met, however many sets a family chains together.
+   A family or group of more than a block is cut into size bands and blocks; a tile holds two blocks whose sizes
    can reach the threshold, about BLOCK sets each. In a tile, bit counts of hashed bitmaps
    bound each overlap from above, the survivors are intersected as sorted arrays, and pairs
    already connected are skipped. A tile returns spanning links only, never all pairs. In
@@ -38,7 +40,7 @@ whole; an empty table returns no rows; other columns are ignored, whatever their
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,13 +50,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.components import clashes, connected_components, renumbered
-from orrery.llm.shared import as_long, byte_class, id_bits, maybe_in, mix, save, span_hashes, text_chunks, word_spans
+from orrery.llm.shared import as_long, byte_class, id_bits, maybe_in, mix, remove, save, span_hashes, text_chunks, word_spans
 
 BLOCK, CROWD = 256, 4
 BITS = 1024
 SLACK, SLACK_SHARE = 2, 0.15
 COUNTS, SLOTS = 1 << 20, 256  # hashed counts of shingles, and pieces that their table is added up in
-PACK, CELL = 1 << 18, 1 << 19  # part keys that are packed at once, and shingles of all documents for each range of keys
+PACK, CELL = 1 << 18, 1 << 20  # part keys that are packed at once, and shingles of all documents for each range of keys
 SPACE = byte_class("space")
 _K = np.array([0x9AE16A3B2F90404F, 0xC949C7DEFE7A4D8B, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
@@ -114,8 +116,8 @@ def part_keys(found: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray
         slack = max(SLACK, math.ceil(SLACK_SHARE * (differ + 1)))
         keys.append(_parts(rare, differ + 1 + slack, 2 * band + 2))
         if differ + 1 + slack - len(keys[-1]) > slack:  # agreed parts may all be empty: the whole set must speak
-            whole = _parts(found, differ + 1 + SLACK, 2 * band + 3)
-            if differ + 1 + SLACK - len(whole) > SLACK:  # the same again: one key for all such sets of a band
+            whole = _parts(found, differ + 1 + slack, 2 * band + 3)
+            if differ + 1 + slack - len(whole) > slack:  # the same again: one key for all such sets of a band
                 whole = np.append(whole, mix(np.array([2 * band + 3], np.uint64) * _K[2]))
             keys.append(whole)
     return np.concatenate(keys)
@@ -166,6 +168,16 @@ def _input(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"))
 
 
+#: A number of a row of `_input`. The least of a set's rows tells which one speaks for it.
+TELLER = "digest ^ coalesce(doc_id, -1L)"
+
+
+def _telling(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows of a batch of `_input` whose TELLER may be in a bitmap."""
+    number = batch.column(2).to_numpy() ^ pc.fill_null(batch.column(1), -1).to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(maybe_in(bits, number)))
+
+
 def shingle_sets(docs: DataFrame, width: int, bits: int = 64) -> tuple[DataFrame, np.ndarray, DataFrame | None]:
     """(doc_id, digest, n, node, check) of every row: the text's hash, set size and the set's identity (node null when empty); flags of common shingles; clashing nodes.
 
@@ -257,10 +269,14 @@ def _grouped(docs: DataFrame, width: int, percent: int, bits: int = 64) -> DataF
     rows, common, clashing = shingle_sets(docs, width, bits)
     if percent == 100:
         return rows.select("doc_id", "digest", "n", F.col("node").alias("group"))
-    found = rows.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.min("check").alias("check"))
-    flags = rows.sparkSession.sparkContext.broadcast(common)
+    found = save(rows.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min(F.expr(TELLER)).alias("teller")))
+    context = rows.sparkSession.sparkContext
+    flags = context.broadcast(common)
+    # one document of each set is enough
+    tellers = context.broadcast(id_bits(found, F.col("teller"), found.count()))
 
     clash = clashing is not None
+    cells = math.ceil((found.agg(F.sum("n")).first()[0] or 1) / CELL)
 
     def keys_of(batch):
         sets = [s for _, s in _sets_of(batch, width) if len(s)]
@@ -269,13 +285,13 @@ def _grouped(docs: DataFrame, width: int, percent: int, bits: int = 64) -> DataF
         return node, check, np.concatenate([*keys, np.zeros(0, np.uint64)])
 
     def keyed(wanted):
-        """(node, key) of all sets, or of those keys only that may be in a bitmap."""
+        """(node, key) of all sets, or of those keys only whose tokens may be in a bitmap."""
 
         def run(batches):
             for batch in _slices(batches):
-                node, check, key = keys_of(batch)
+                node, check, key = keys_of(_telling(batch, tellers.value))
                 if wanted is not None:
-                    some = maybe_in(wanted.value, as_long(key))
+                    some = maybe_in(wanted.value, _tokens(_cells(key, cells), key))
                     node, check, key = node[some], check[some], key[some]
                 yield pa.RecordBatch.from_arrays([pa.array(node), *([pa.array(check)] if clash else []), pa.array(as_long(key))], names=names)
 
@@ -284,20 +300,21 @@ def _grouped(docs: DataFrame, width: int, percent: int, bits: int = 64) -> DataF
         return renumbered(found, clashing, "node", "check").select("node", "key")
 
     if clash:  # sets are renumbered by a join, a row a key
-        first = keyed(None).groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
+        pairs = save(keyed(None))
     else:
-        cells = math.ceil((rows.agg(F.sum("n")).first()[0] or 1) / CELL)
-        first = _shared_keys(_input(docs), keys_of, cells)
-    first = save(first)
-    # most keys are of one set only and needn't be shuffled again
-    wanted = rows.sparkSession.sparkContext.broadcast(id_bits(first, F.col("key"), first.count()))
-    star = save(keyed(wanted).join(first, "key").where("node <> first").select("node", "first").distinct())
+        shared = save(_shared_tokens(_input(docs), lambda batch: keys_of(_telling(batch, tellers.value)), cells))
+        wanted = context.broadcast(id_bits(shared, F.col("token"), shared.count()))
+        pairs = save(keyed(wanted))
+        remove(shared)
+    first = save(_shared_keys(pairs, math.ceil(max(pairs.count(), 1) / CELL)))
+    star = save(pairs.join(first, "key").where("node <> first").select("node", "first").distinct())
+    remove(pairs, first)
     family = connected_components(star, "node", "first").withColumnsRenamed({"component": "family"})
 
     sizes = family.join(found, "node")
     edge = math.log(100 / percent)
     members = save(sizes.withColumn("band", F.floor(F.log("n") / F.lit(edge) + F.lit(1e-9))))
-    links = _verify(lambda of: _member_sets(docs, of, width, bits, clashing), members, star, percent)
+    links = save(_verify(lambda of: _member_sets(docs, of, width, bits, clashing), members, star, percent))
     group = connected_components(links).withColumnsRenamed({"component": "group"})
     return save(rows.join(group, "node", "left").select("doc_id", "digest", "n", F.coalesce("group", "node").alias("group")))
 
@@ -312,12 +329,22 @@ def _ends(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key[cut], np.minimum.reduceat(node, cut), np.maximum.reduceat(node, cut)
 
 
+def _cells(key: np.ndarray, cells: int) -> np.ndarray:
+    """The ranges that keys lie in."""
+    return ((key >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+
+
+def _tokens(cell: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A number of a key's range and its last four bytes; few keys share one by chance, which costs work only."""
+    return as_long(mix((cell.astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))))
+
+
 def _packed(key: np.ndarray, node: np.ndarray, cells: int):
     """Batches (cell, keys, nodes) of keys with their smallest and largest node; a row holds those of one range of keys."""
     key, low, high = _ends(key, node)
     more = np.flatnonzero(low != high)
     key, node = np.insert(key, more, key[more]), np.insert(low, more, high[more])
-    cell = ((key >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+    cell = _cells(key, cells)
     for at in range(0, len(key), PACK):
         here = cell[at : at + PACK].astype(np.int64)
         cut = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1])))
@@ -326,46 +353,69 @@ def _packed(key: np.ndarray, node: np.ndarray, cells: int):
         yield pa.RecordBatch.from_arrays([pa.array(here[cut]), *both], names=["cell", "keys", "nodes"])
 
 
-def _shared_keys(texts: DataFrame, keys_of: Callable, cells: int) -> DataFrame:
-    """(key, first) of the keys that more than one node has; keys_of gives (node, check, key) of a batch of texts."""
+def _packs(keys: Iterator[tuple[np.ndarray, np.ndarray]], cells: int):
+    """`_packed` batches of (key, node) arrays, some PACK keys at a time."""
+    held, n = [], 0
+    for key, node in keys:
+        held.append((key, node))
+        n += len(key)
+        if n >= PACK:
+            yield from _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), cells)
+            held, n = [], 0
+    if n:
+        yield from _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), cells)
+
+
+def _shared_tokens(texts: DataFrame, keys_of: Callable, cells: int) -> DataFrame:
+    """token of the keys that more than one row of texts has; keys_of gives (node, check, key) of a batch of them.
+
+    A row holds the last four bytes of the keys of one range. What other keys share a token with is met as well.
+    """
+
+    def pack(batches):
+        for packed in _packs(((key, node) for node, _, key in map(keys_of, _slices(batches))), cells):
+            ends, data = packed.column(1).buffers()[1:]
+            ends, data = np.frombuffer(ends, np.int32) // 2, np.frombuffer(data, np.uint64).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([packed.column(0), pa.Array.from_buffers(pa.binary(), packed.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data)])], names=["cell", "keys"])
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        some = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("keys")])).astype(np.uint64)
+        again = np.unique(some[1:][some[1:] == some[:-1]])
+        return pa.table({"token": pa.array(_tokens(np.full(len(again), key[0].as_py()), again))})
+
+    return texts.mapInArrow(pack, "cell long, keys binary").groupBy("cell").applyInArrow(meet, "token long")
+
+
+def _shared_keys(pairs: DataFrame, cells: int) -> DataFrame:
+    """(key, first) of the keys that more than one node has; pairs: (node, key)."""
 
     def pack(batches):
-        held, n = [], 0
-        for batch in _slices(batches):
-            held.append(keys_of(batch))
-            n += len(held[-1][2])
-            if n >= PACK:
-                yield from _packed(np.concatenate([h[2] for h in held]), np.concatenate([h[0] for h in held]), cells)
-                held, n = [], 0
-        if n:
-            yield from _packed(np.concatenate([h[2] for h in held]), np.concatenate([h[0] for h in held]), cells)
+        yield from _packs(((b.column(1).to_numpy().view(np.uint64), b.column(0).to_numpy()) for b in batches), cells)
 
     def meet(table: pa.Table) -> pa.Table:
         key, node = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(c)]) for c in ("keys", "nodes"))
         key, low, high = _ends(key, node)
         return pa.table({"key": pa.array(key[low != high]), "first": pa.array(low[low != high])})
 
-    packed = texts.mapInArrow(pack, "cell long, keys binary, nodes binary")
+    packed = pairs.select("node", "key").mapInArrow(pack, "cell long, keys binary, nodes binary")
     return packed.groupBy("cell").applyInArrow(meet, "key long, first long")
 
 
 def _member_sets(docs: DataFrame, members: DataFrame, width: int, bits: int, clashing: DataFrame | None) -> DataFrame:
-    """(node, shingles) of members (check, rep), and of few others.
+    """(node, shingles) of members (teller), and of few others.
 
     One document of each set is enough: a bitmap of them spares a shuffle of all texts.
     """
-    mixed = F.col("check").bitwiseXOR(F.coalesce("rep", F.lit(-1)))
-    wanted = members.sparkSession.sparkContext.broadcast(id_bits(members, mixed, members.count()))
+    wanted = members.sparkSession.sparkContext.broadcast(id_bits(members, F.col("teller"), members.count()))
 
     def sets_again(batches):
         told: set[tuple[int, int]] = set()  # rows that repeat are told once a task
         for batch in _slices(batches):
-            sets = [s for _, s in _sets_of(batch, width)]
+            sets = [s for _, s in _sets_of(_telling(batch, wanted.value), width)]
             node, check = _identities(sets, bits)
             keep = []
-            for k in np.flatnonzero(maybe_in(wanted.value, check ^ pc.fill_null(batch.column(1), -1).to_numpy(zero_copy_only=False))).tolist():
-                both = int(node[k]), int(check[k])
-                if both not in told:
+            for k, both in enumerate(zip(node.tolist(), check.tolist(), strict=True)):
+                if both not in told and len(sets[k]):
                     told.add(both)
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(check[keep]), _lists([sets[k] for k in keep])], names=["node", "check", "shingles"])
@@ -401,19 +451,29 @@ def _verify(sets_of: Callable[[DataFrame], DataFrame], members: DataFrame, star:
     """Links (a, b) that span the groups of every family; sets_of gives the sets of some members.
 
     Members of families of more than CROWD tiles' size are first compared with one set each. What is connected then in
-    groups of a block and more isn't compared within itself again, only with the rest of its family. All else is
-    compared in tiles of two blocks whose size bands touch.
+    groups of a block and more isn't compared within itself again, only with the rest of its family. Such a family
+    then falls into groups, a star's centre and its leaves: sets that link share a key, so they are in the group of
+    that key's smallest set. All else is compared in tiles: a family or group of a block is one, a larger one is cut
+    into two blocks a tile whose size bands touch.
     """
     crowded = members.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > CROWD * BLOCK).select("family")
     crowd = save(members.join(crowded, "family", "left_semi"))
     early = None
+    all_members = members
     members = members.withColumn("crowd", F.lit(0).cast("long"))
     if not crowd.isEmpty():
         early = save(_star_links(sets_of(crowd), crowd, star, percent))
         groups = connected_components(early)
         large = groups.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("component")
         of = groups.join(large, "component", "left_semi")
-        members = save(members.drop("crowd").join(of, "node", "left").withColumn("crowd", F.coalesce("component", F.lit(0))).drop("component"))
+        crowd = save(crowd.join(of, "node", "left").withColumn("crowd", F.coalesce("component", F.lit(0))).drop("component"))
+        own = star.select("node", F.col("first").alias("family")).union(star.select(F.col("first").alias("node"), F.col("first").alias("family")).distinct())
+        groups = crowd.drop("family").join(own, "node")
+        members = members.join(crowded, "family", "left_anti")
+        members = members.select("node", "family", "band", "crowd").unionByName(groups.select("node", "family", "band", "crowd"))
+    placed = save(members.select("node", "family", "band", "crowd"))
+    few = save(placed.groupBy("family").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK).select("family"))
+    members = save(placed.join(few, "family", "left_semi").unionByName(placed.join(few, "family", "left_anti").withColumn("band", F.lit(0).cast("long"))))
 
     blocks = members.groupBy("family", "band", "crowd").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
     entry = F.struct(F.col("band").alias("of"), "crowd", "blocks").alias("near")
@@ -440,7 +500,7 @@ def _verify(sets_of: Callable[[DataFrame], DataFrame], members: DataFrame, star:
         got = linked_in_tile(node[once], shingled, table.column("is_lo").to_numpy(), table.column("is_hi").to_numpy(), percent)
         return pa.table({"a": pa.array([g[0] for g in got], pa.int64()), "b": pa.array([g[1] for g in got], pa.int64())})
 
-    links = sets_of(members).join(tiles, "node").groupBy("tile").applyInArrow(link, "a long, b long")
+    links = sets_of(all_members).join(tiles, "node").groupBy("tile").applyInArrow(link, "a long, b long")
     return links if early is None else links.unionByName(early)
 
 
@@ -463,26 +523,37 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but one row of each group: that of the smallest doc_id (null last), then of the smallest hash of the text.
 
     Rows are told apart by doc_id and text, so different texts of one doc_id, or of none, are judged each by its own group.
-    Rows without words stay, repeated or not. Only rows that may be among the dropped or repeated ones are shuffled, repeats
-    combined before.
+    Rows without words stay, repeated or not. Only rows that repeat, and few others, are shuffled, repeats combined before: two
+    bitmaps tell most rows that go from those that stay where they are read.
     """
     rows = _grouped(docs, width, percent).where("group is not null")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     best = save(rows.groupBy("group").agg(F.min(place).alias("best"), F.count("*").alias("rows")).where("rows > 1").select("group", "best"))
     texts = rows.groupBy("group", "doc_id", "digest").agg(F.count("*").alias("times"))
     marked = texts.join(best, "group").withColumn("_stays", place == F.col("best"))
-    special = save(marked.where("times > 1 or not _stays").select(F.col("doc_id").alias("_of"), F.col("digest").alias("_text"), "_stays"))
-    bits = docs.sparkSession.sparkContext.broadcast(id_bits(special, F.xxhash64("_of", "_text"), special.count()))
+    goes, again = (save(marked.where(w).select(F.col("doc_id").alias("_of"), F.col("digest").alias("_text"))) for w in ("not _stays", "_stays and times > 1"))
+    context, hashed = docs.sparkSession.sparkContext, F.xxhash64("_of", "_text")
+    gone = context.broadcast(id_bits(goes, hashed, goes.count()))
+    number, digest = F.col("doc_id").cast("long"), F.xxhash64("text")
+    same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_digest") == F.col("_text"))
 
     @F.pandas_udf("boolean")
-    def maybe(hashed: pd.Series) -> pd.Series:
-        return pd.Series(maybe_in(bits.value, hashed.to_numpy()))
+    def maybe_gone(hashed: pd.Series) -> pd.Series:
+        return pd.Series(maybe_in(gone.value, hashed.to_numpy()))
+
+    # rows that stay though the first bitmap may hold them, and those that repeat, are in a second one
+    told = rows.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).where(maybe_gone(F.xxhash64("_id", "_digest")))
+    spared = save(told.join(goes, same, "left_anti").select(F.col("_id").alias("_of"), F.col("_digest").alias("_text")).union(again))
+    left = context.broadcast(id_bits(spared, hashed, spared.count()))
+
+    @F.pandas_udf("int")
+    def fate(hashed: pd.Series) -> pd.Series:
+        """0: stays, the only one of its doc_id and text; 1: goes; 2: to be looked at."""
+        return pd.Series(np.where(maybe_in(left.value, hashed.to_numpy()), 2, maybe_in(gone.value, hashed.to_numpy()))).astype("int32")
 
-    number, digest = F.col("doc_id").cast("long"), F.xxhash64("text")
     worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    flagged = docs.withColumn("_maybe", worded & maybe(F.xxhash64(number, digest)))
+    flagged = docs.withColumn("_fate", F.when(worded, fate(F.xxhash64(number, digest))).otherwise(0))
     content = F.xxhash64(*[f.name for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    # a row with words that isn't special is the only one of its doc_id and text
-    once = flagged.where("_maybe").groupBy(number.alias("_id"), digest.alias("_digest")).agg(F.min_by(F.struct(*docs.columns), content).alias("_row"))
-    once = once.join(special, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_digest") == F.col("_text")), "left").where("_stays is null or _stays").select("_row.*")
-    return flagged.where("not _maybe").drop("_maybe").unionByName(once)
+    once = flagged.where("_fate = 2").groupBy(number.alias("_id"), digest.alias("_digest")).agg(F.min_by(F.struct(*docs.columns), content).alias("_row"))
+    once = once.join(goes, same, "left_anti").select("_row.*")
+    return flagged.where("_fate = 0").drop("_fate").unionByName(once)
