@@ -447,13 +447,36 @@ def _star_links(sets: DataFrame, members: DataFrame, star: DataFrame, percent: i
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
+def _settled(placed: DataFrame) -> DataFrame:
+    """placed (node, family, band, crowd), in one band where a family has a block at most."""
+    placed = save(placed)
+    large = save(placed.groupBy("family").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK).select("family"))
+    return save(placed.join(large, "family", "left_semi").unionByName(placed.join(large, "family", "left_anti").withColumn("band", F.lit(0).cast("long"))))
+
+
+def _near(members: DataFrame):
+    """Rows and blocks of every family, band and crowd; per family and band the blocks that it touches; those of them that a crowd meets."""
+    blocks = members.groupBy("family", "band", "crowd").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    entry = F.struct(F.col("band").alias("of"), "crowd", "blocks").alias("near")
+    near = blocks.select("family", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), entry)
+    near = near.groupBy("family", "band").agg(F.collect_list("near").alias("near"))  # an entry per crowd and touching band
+    return blocks, near, F.filter("near", lambda z: (z["crowd"] == 0) | (z["crowd"] != F.col("crowd")))
+
+
+def _cost(members: DataFrame) -> DataFrame:
+    """(family, cost): how many rows its tiles have."""
+    blocks, near, met = _near(members)
+    each = F.aggregate(met, F.lit(0).cast("long"), lambda n, z: n + z["blocks"])
+    return blocks.join(near, ["family", "band"]).groupBy("family").agg(F.sum(F.col("n") * each).alias("cost"))
+
+
 def _verify(sets_of: Callable[[DataFrame], DataFrame], members: DataFrame, star: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that span the groups of every family; sets_of gives the sets of some members.
 
     Members of families of more than CROWD tiles' size are first compared with one set each. What is connected then in
     groups of a block and more isn't compared within itself again, only with the rest of its family. Such a family
-    then falls into groups, a star's centre and its leaves: sets that link share a key, so they are in the group of
-    that key's smallest set. All else is compared in tiles: a family or group of a block is one, a larger one is cut
+    then falls into groups, a star's centre and its leaves, where that makes fewer rows: sets that link share a key, so
+    they are in the group of that key's smallest set. All else is compared in tiles: a family or group of a block is one, a larger one is cut
     into two blocks a tile whose size bands touch.
     """
     crowded = members.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > CROWD * BLOCK).select("family")
@@ -467,21 +490,24 @@ def _verify(sets_of: Callable[[DataFrame], DataFrame], members: DataFrame, star:
         large = groups.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("component")
         of = groups.join(large, "component", "left_semi")
         crowd = save(crowd.join(of, "node", "left").withColumn("crowd", F.coalesce("component", F.lit(0))).drop("component"))
-        own = star.select("node", F.col("first").alias("family")).union(star.select(F.col("first").alias("node"), F.col("first").alias("family")).distinct())
-        groups = crowd.drop("family").join(own, "node")
+        whole = _settled(crowd.select("node", "family", "band", "crowd"))
+        centres = star.select("node", "first").union(star.select(F.col("first").alias("node"), "first").distinct())
+        centres = centres.groupBy("node").agg(F.collect_set("first").alias("firsts"))  # some of the node's keys have each
+        apart = crowd.withColumnRenamed("family", "home").join(centres, "node")
+        apart = _settled(apart.select("node", F.explode("firsts").alias("family"), "band", "crowd", "home"))
+        homes = apart.select("family", "home").distinct()
+        cheaper = _cost(apart).join(homes, "family").groupBy("home").agg(F.sum("cost").alias("cost")).join(_cost(whole).select(F.col("family").alias("home"), F.col("cost").alias("most")), "home", "right")
+        cheaper = save(cheaper.where("coalesce(cost, 0) < most").select("home"))
+        apart = apart.join(cheaper, "home", "left_semi").drop("home")
+        whole = whole.join(cheaper.withColumnRenamed("home", "family"), "family", "left_anti")
         members = members.join(crowded, "family", "left_anti")
-        members = members.select("node", "family", "band", "crowd").unionByName(groups.select("node", "family", "band", "crowd"))
-    placed = save(members.select("node", "family", "band", "crowd"))
-    few = save(placed.groupBy("family").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK).select("family"))
-    members = save(placed.join(few, "family", "left_semi").unionByName(placed.join(few, "family", "left_anti").withColumn("band", F.lit(0).cast("long"))))
+        members = _settled(members.select("node", "family", "band", "crowd")).unionByName(whole).unionByName(apart)
+    else:
+        members = _settled(members.select("node", "family", "band", "crowd"))
 
-    blocks = members.groupBy("family", "band", "crowd").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    entry = F.struct(F.col("band").alias("of"), "crowd", "blocks").alias("near")
-    near = blocks.select("family", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), entry)
-    near = near.groupBy("family", "band").agg(F.collect_list("near").alias("near"))  # an entry per crowd and touching band
+    blocks, near, met = _near(members)
     own = F.concat_ws(":", "band", "crowd", "block")
     them = F.concat_ws(":", "x.of", "x.crowd", "x.i")
-    met = F.filter("near", lambda z: (z["crowd"] == 0) | (z["crowd"] != F.col("crowd")))
     spread = F.flatten(F.transform(met, lambda z: F.transform(F.sequence(F.lit(0).cast("long"), z["blocks"] - 1), lambda i: F.struct(z["of"].alias("of"), z["crowd"].alias("crowd"), i.alias("i")))))
     count = F.element_at(F.filter("near", lambda z: (z["of"] == F.col("band")) & (z["crowd"] == F.col("crowd"))), 1)["blocks"]
     tiled = (
